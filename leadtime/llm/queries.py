@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents
+from .context_tree import held_out_lm_scores
 from .decontaminate import contaminated
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
 from .mixing import mix_sources
+from .substring_dedup import substring_dedup
+from .unigram import held_out_language_id, token_counts
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +23,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(documents(spark, sf_dir))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -28,7 +35,31 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_exact_dedup, op4_mix_sources, op5_line_dedup)}
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return held_out_lm_scores(documents(spark, sf_dir)).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return held_out_language_id(documents(spark, sf_dir)).select("doc_id", "held_out", "lang_pred", "score")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_decontaminate,
+        op2_exact_dedup,
+        op3_token_counts,
+        op4_mix_sources,
+        op5_line_dedup,
+        op6_substring_dedup,
+        op7_lm_score,
+        op10_language_id,
+    )
+}
 
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -75,4 +106,13 @@ m AS (SELECT l.*, coalesce(l.line <> '' AND (nd.line IS NOT NULL OR (l.doc_id, l
 SELECT doc_id, CASE WHEN count(*) = 1 AND max(part) = '' THEN 0 ELSE count(*) END AS n_lines, count(*) FILTER (gone) AS n_removed,
        sha256(coalesce(string_agg(part, chr(10) ORDER BY line_no) FILTER (NOT gone), '')) AS kept_sha256
 FROM m GROUP BY doc_id""",
+    "op6_substring_dedup": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, k, array_to_string(w[k:k + 12], ' ') AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS k FROM d)),
+r AS (SELECT doc_id, k FROM (SELECT doc_id, k, min(doc_id) OVER (PARTITION BY win) AS least FROM g) WHERE least < doc_id),
+c AS (SELECT DISTINCT doc_id, k + j AS k FROM r, (SELECT unnest(range(0, 13)) AS j)),
+x AS (SELECT d.doc_id, k, w[k] AS word FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS k FROM d) d),
+kept AS (SELECT x.doc_id, string_agg(word, ' ' ORDER BY x.k) AS t, count(*) AS n FROM x LEFT JOIN c ON x.doc_id = c.doc_id AND x.k = c.k WHERE c.k IS NULL GROUP BY x.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id""",
 }
