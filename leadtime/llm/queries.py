@@ -10,6 +10,7 @@ from .context_tree import held_out_lm_scores
 from .decontaminate import contaminated
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
+from .minhash_dedup import near_duplicates
 from .mixing import mix_sources
 from .substring_dedup import substring_dedup
 from .unigram import held_out_language_id, token_counts
@@ -43,6 +44,10 @@ def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held_out_lm_scores(documents(spark, sf_dir)).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
 
 
+def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir), shingle_words=4)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held_out_language_id(documents(spark, sf_dir)).select("doc_id", "held_out", "lang_pred", "score")
 
@@ -57,6 +62,7 @@ QUERIES = {
         op5_line_dedup,
         op6_substring_dedup,
         op7_lm_score,
+        op9_minhash_dedup,
         op10_language_id,
     )
 }
@@ -115,4 +121,14 @@ x AS (SELECT d.doc_id, k, w[k] AS word FROM (SELECT doc_id, w, unnest(range(1, l
 kept AS (SELECT x.doc_id, string_agg(word, ' ' ORDER BY x.k) AS t, count(*) AS n FROM x LEFT JOIN c ON x.doc_id = c.doc_id AND x.k = c.k WHERE c.k IS NULL GROUP BY x.doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id""",
+    "op9_minhash_dedup": r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + least(len(w), 4) - 1], ' ') AS sh
+      FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(len(w), 4) + 2)) AS k FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+j AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM j JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 80 * (p.n + q.n - c)),
+r AS (SELECT doc_id AS node, doc_id AS c FROM d UNION SELECT l.y, r.c FROM r JOIN l ON l.x = r.node),
+m AS (SELECT node, min(c) AS component_id FROM r GROUP BY node)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM d JOIN m ON m.node = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id""",
 }
