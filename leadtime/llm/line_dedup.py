@@ -29,8 +29,8 @@ def segment_width(length: Column) -> Column:
     return F.greatest(F.lit(1), F.pow(F.lit(2), F.floor(F.log2(length / SEGMENTS)))).cast("int")
 
 
-def variants(line: Column, length: Column) -> Column:
-    """All variants of a line within the edit bound, as (kind, key) structs.
+def variants(texts: DataFrame) -> DataFrame:
+    """All variants within the edit bound of the lines of (line_id, first, line, length), as (line_id, first, kind, key).
 
     They are the line itself ("whole"), and the line without its character i. The key of the latter comes
     twice: with i ("at"), which it shares with just those lines that differ from it only in character i, and
@@ -40,34 +40,23 @@ def variants(line: Column, length: Column) -> Column:
     hashed once, for segments of the line's length and of the length one below (so that lines one insertion
     apart agree on them), and only the characters of the segment are left out one by one.
     """
-
-    def entries(body: Column, size: Column, *around: Column) -> Column:
-        def less(i: Column) -> Column:
-            return F.concat(F.substring(body, F.lit(1), i), F.substring(body, i + 2, size - i - 1))
-
-        def entry(kind: str, key: Column) -> Column:
-            return F.struct(F.lit(kind).alias("kind"), key.alias("key"))
-
-        places = F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
-        return F.concat(
-            F.array(entry("whole", F.xxhash64(*around, body))),
-            F.transform(places, lambda i: entry("at", F.xxhash64(*around, i, less(i)))),
-            F.transform(places, lambda i: entry("less", F.xxhash64(*around, less(i)))),
-        )
-
-    def segments(total: Column) -> Column:
-        width = segment_width(total)
-
-        def segment(j: Column) -> Column:
-            before = j * width
-            after = F.greatest(F.lit(0), total - before - width)
-            size = length - before - after
-            around = F.xxhash64(total, j, F.substring(line, F.lit(1), before), F.lit("|"), F.substring(line, length - after + 1, after))
-            return entries(F.substring(line, before + 1, size), size, around)
-
-        return F.flatten(F.transform(F.sequence(F.lit(0), F.floor((total - 1) / width).cast("int")), segment))
-
-    return F.when(length < 2 * SEGMENTS - 1, entries(line, length)).otherwise(F.concat(segments(length), segments(length - 1)))
+    length = F.col("length")
+    is_long = length >= 2 * SEGMENTS - 1
+    totals = texts.select("*", F.explode(F.when(is_long, F.array(length, length - 1)).otherwise(F.array(length))).alias("total"))
+    widths = totals.withColumn("width", F.when(is_long, segment_width(F.col("total"))).otherwise(length))
+    places = widths.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("total") - 1) / F.col("width")).cast("int"))).alias("segment"))
+    before = F.col("segment") * F.col("width")
+    after = F.greatest(F.lit(0), F.col("total") - before - F.col("width"))
+    cut = places.select("*", before.alias("before"), after.alias("after"), (length - before - after).alias("size"))
+    around = F.xxhash64("total", "segment", F.substring("line", F.lit(1), F.col("before")), F.lit("|"), F.substring("line", length - F.col("after") + 1, F.col("after")))
+    bodies = cut.select("line_id", "first", "size", F.when(is_long, around).otherwise(F.lit(0)).alias("around"), F.substring("line", F.col("before") + 1, F.col("size")).alias("body"))
+
+    size, body = F.col("size"), F.col("body")
+    whole = bodies.select("line_id", "first", F.lit("whole").alias("kind"), F.xxhash64("around", "body").alias("key"))
+    each = bodies.where("size > 0").select("line_id", "first", "around", "body", "size", F.explode(F.sequence(F.lit(0), size - 1)).alias("i"))
+    less = each.select("line_id", "first", "around", "i", F.concat(F.substring(body, F.lit(1), F.col("i")), F.substring(body, F.col("i") + 2, size - F.col("i") - 1)).alias("rest"))
+    kinds = F.explode(F.array(F.struct(F.lit("at").alias("kind"), F.xxhash64("around", "i", "rest").alias("key")), F.struct(F.lit("less").alias("kind"), F.xxhash64("around", "rest").alias("key")))).alias("v")
+    return whole.unionByName(less.select("line_id", "first", kinds).select("line_id", "first", "v.kind", "v.key"))
 
 
 def clean_line(line: Column) -> Column:
@@ -106,10 +95,11 @@ def near_duplicates(lines: DataFrame, min_near_chars: int = MIN_NEAR_CHARS) -> D
         long_enough.join(left, "line_id")
         .where(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("line_no") == F.col("first.line_no")))
         .dropDuplicates(["line_id"])
-        .select("line_id", "line", "first"),
+        .select("line_id", "line", "first", F.length("line").alias("length")),
         "texts",
     )
-    spread = texts.repartition("line_id").select("line_id", "first", F.explode(variants(F.col("line"), F.length("line"))).alias("v")).select("line_id", "first", "v.kind", "v.key")
+    partitions = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = variants(texts.repartition(partitions, "line_id"))
     # "whole" meets "less", and "at" meets "at".
     sided = spread.withColumn("swap", F.col("kind") == "at")
     by_key = Window.partitionBy("swap", "key")
