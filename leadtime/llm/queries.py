@@ -12,6 +12,7 @@ from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
 from .minhash_dedup import near_duplicates
 from .mixing import mix_sources
+from .personal_data import KINDS, personal_data
 from .substring_dedup import substring_dedup
 from .unigram import held_out_language_id, token_counts
 
@@ -44,6 +45,18 @@ def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held_out_lm_scores(documents(spark, sf_dir)).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data(documents(spark, sf_dir))
+
+    def text(spans: str):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    def count(kind: str):
+        return F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(count, KINDS), F.sha2(text("base_spans"), 256).alias("base_sha256"), text("spans").alias("spans"))
+
+
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), shingle_words=4)
 
@@ -62,6 +75,7 @@ QUERIES = {
         op5_line_dedup,
         op6_substring_dedup,
         op7_lm_score,
+        op8_personal_data,
         op9_minhash_dedup,
         op10_language_id,
     )
