@@ -79,3 +79,10 @@ def bitmap(keys: Column | str, df: DataFrame, bits: int) -> bytes:
     for row in blocks.toLocalIterator():
         out[row["_block"] << 12 : (row["_block"] + 1) << 12] = row["_bits"]
     return bytes(out)
+
+
+def in_bitmap(key: Column, flags: bytes, bits: int) -> Column:
+    """Whether the bit of ``key`` is set in a bitmap of :func:`bitmap`."""
+    slot = F.pmod(key, F.lit(1 << bits))
+    byte = F.conv(F.hex(F.substring(F.lit(bytearray(flags)), (F.shiftright(slot, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return F.getbit(byte, F.pmod(slot, F.lit(8)).cast("int")) == 1

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, stage
+from .common import bitmap, in_bitmap, stage
 
 #: Lines from this length on may differ by one edit; shorter ones must be equal.
 MIN_NEAR_CHARS = 20
 #: A line has at most about twice so many variants.
 SEGMENTS = 256
+#: The filter of documents whose lines are read again has 2**FILTER_BITS bits (512 KB).
+FILTER_BITS = 22
 
 
 def half_keys(line: Column, length: Column) -> Column:
@@ -60,45 +62,44 @@ def variants(texts: DataFrame) -> DataFrame:
 
 
 def clean_line(line: Column) -> Column:
-    """A line without white space at its ends, and each run of it inside as one space."""
-    return F.trim(F.regexp_replace(line, SPACE, " "))
+    """A line as it is compared: without white space at its ends."""
+    return F.btrim(line, F.lit(" \t\r\v\f"))
 
 
 def line_id(line: Column) -> Column:
     return F.unhex(F.md5(line.cast("binary")))
 
 
-def text_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, line_no (from 0), line (as compared) of each line; empty ones too."""
-    return docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)).alias("line_no", "raw")).select("id", "line_no", clean_line(F.col("raw")).alias("line"))
+def text_lines(docs: DataFrame) -> DataFrame:
+    """id, line_no (from 0), line (as compared) of each line of (id, text) that is not empty."""
+    parts = docs.select("id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "raw"))
+    return parts.select("id", "line_no", clean_line(F.col("raw")).alias("line")).where("line <> ''")
 
 
-def near_duplicates(lines: DataFrame, min_near_chars: int = MIN_NEAR_CHARS) -> DataFrame:
+def near_duplicates(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     """line_id of the distinct lines that are one edit from a line that occurs earlier.
 
-    ``lines`` has (id, line_no, line). Distinct lines are joined by key only after lines without any partner
-    for a half have gone, which the pigeonhole principle allows. Within a key the earliest line is the only
-    partner that matters, so a window minimum gives one candidate per line and key, and no pairs of a group are
-    made; the number of distinct lines that can share a variant is bounded by the alphabet.
+    ``distinct`` has (line_id, first, keys), with null keys for lines that only equal ones can match. Lines without
+    any partner for a half have gone first, which the pigeonhole principle allows; only the texts of the
+    others are read again, from documents that a bitmap of fixed size tells. Within a key the earliest line is
+    the only partner that matters, so a window minimum gives one candidate per line and key, and no pairs of a
+    group are made; the number of distinct lines that can share a variant is bounded by the alphabet.
     """
-    long_enough = lines.where(F.length("line") >= min_near_chars).select("id", "line_no", "line", line_id(F.col("line")).alias("line_id"))
-    distinct = stage(
-        long_enough.select("id", "line_no", "line_id", half_keys(F.col("line"), F.length("line")).alias("keys"))
-        .groupBy("line_id")
-        .agg(F.min(F.struct("id", "line_no")).alias("first"), F.first("keys").alias("keys")),
-        "lines",
-    )
-    keyed = distinct.select("line_id", F.xxhash64("line_id").alias("short_id"), F.explode(F.array_distinct("keys")).alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("short_id").alias("a"), F.max("short_id").alias("b")).where("a <> b").select("key")
-    left = stage(keyed.join(shared, "key", "left_semi").select("line_id").distinct().join(distinct.select("line_id", "first"), "line_id"), "paired")
+    keyed = distinct.where("keys is not null").select("line_id", "first", F.xxhash64("line_id").alias("short_id"), F.explode(F.array_distinct("keys")).alias("key"))
+    shared = stage(keyed.groupBy("key").agg(F.min("short_id").alias("a"), F.max("short_id").alias("b")).where("a <> b").select("key"), "shared")
+    left = stage(keyed.join(shared, "key", "left_semi").select("line_id", "first").distinct(), "paired")
+    slot = F.xxhash64("id")
+    flags = bitmap(F.xxhash64("first.id"), left, FILTER_BITS)
     texts = stage(
-        long_enough.join(left, "line_id")
+        text_lines(docs.where(in_bitmap(slot, flags, FILTER_BITS)))
+        .withColumn("line_id", line_id(F.col("line")))
+        .join(left, "line_id")
         .where(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("line_no") == F.col("first.line_no")))
         .dropDuplicates(["line_id"])
         .select("line_id", "line", "first", F.length("line").alias("length")),
         "texts",
     )
-    partitions = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = variants(texts.repartition(partitions, "line_id"))
     # "whole" meets "less", and "at" meets "at".
     sided = spread.withColumn("swap", F.col("kind") == "at")
@@ -127,13 +128,15 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     count as one document each, but share removals, since their lines have the same places. Other columns
     are ignored.
     """
-    lines = text_lines(docs, id_col, text_col).where(F.col("line") != "")
-    near = near_duplicates(lines, min_near_chars)
-    places = lines.select(line_id(F.col("line")).alias("line_id"), "id", "line_no")
-    first_of = places.groupBy("line_id").agg(F.min(F.struct("id", "line_no")).alias("first"))
-    marked = stage(first_of.join(near.withColumn("near", F.lit(True)), "line_id", "left").select("line_id", "first", F.coalesce("near", F.lit(False)).alias("near")), "firsts")
-    place = F.struct("id", "line_no")
-    gone = places.join(marked, "line_id").where(F.col("near") | ~place.eqNullSafe(F.col("first"))).groupBy("id").agg(F.collect_set("line_no").alias("gone"))
+    base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    length = F.length("line")
+    keys = F.when(length >= min_near_chars, half_keys(F.col("line"), length))
+    places = stage(text_lines(base).select("id", "line_no", line_id(F.col("line")).alias("line_id"), keys.alias("keys")), "lines")
+    distinct = stage(places.groupBy("line_id").agg(F.min(F.struct("id", "line_no")).alias("first"), F.first("keys").alias("keys"), F.count("*").alias("n")), "distinct")
+    near = stage(near_duplicates(base, distinct), "near")
+    marked = distinct.join(near.withColumn("near", F.lit(True)), "line_id", "left").where("n > 1 or near").select("line_id", "first", F.coalesce("near", F.lit(False)).alias("near"))
+    here = F.struct("id", "line_no")
+    gone = places.join(stage(marked, "marked"), "line_id").where(F.col("near") | ~here.eqNullSafe(F.col("first"))).groupBy("id").agg(F.collect_set("line_no").alias("gone"))
     left = docs.select(F.col(id_col).alias("id"), F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1).alias("parts"), F.struct(F.lit(1).alias("_"), *carry).alias("carried"))
     joined = left.alias("d").join(gone.alias("g"), F.col("d.id").eqNullSafe(F.col("g.id")), "left").select("d.id", "d.carried", "parts", F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
     kept = F.when(F.size("gone") == 0, F.col("parts")).otherwise(F.filter("parts", lambda x, i: ~F.array_contains(F.col("gone"), i)))

@@ -115,7 +115,7 @@ SELECT doc_id, size, source_size, target,
          + greatest(0, least(size, CAST(floor(target) AS BIGINT) % source_size - before)) END AS BIGINT) AS taken FROM p""",
     "op5_line_dedup": rf"""
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS p FROM documents),
-l AS (SELECT doc_id, k AS line_no, p[k] AS part, trim(regexp_replace(p[k], '{SPACES}', ' ', 'g')) AS line FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS k FROM d)),
+l AS (SELECT doc_id, k AS line_no, p[k] AS part, trim(p[k], ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS k FROM d)),
 f AS (SELECT line, min((doc_id, line_no)) AS first_at, length(line) AS n FROM l WHERE line <> '' GROUP BY line),
 c AS (SELECT line, first_at, n, unnest([left(line, n // 2), left(line, (n - 1) // 2)]) AS half, 'first' AS side FROM f WHERE n >= 20
       UNION ALL SELECT line, first_at, n, unnest([right(line, n // 2), right(line, (n - 1) // 2)]), 'last' FROM f WHERE n >= 20),
