@@ -9,8 +9,8 @@ from .common import bitmap, in_bitmap, stage
 
 #: Lines from this length on may differ by one edit; shorter ones must be equal.
 MIN_NEAR_CHARS = 20
-#: A line has at most about twice so many variants.
-SEGMENTS = 256
+#: Parts of a line; variants leave out characters of the parts whose surroundings two lines share.
+SEGMENTS = 16
 #: The filter of documents whose lines are read again has 2**FILTER_BITS bits (512 KB).
 FILTER_BITS = 22
 
@@ -26,36 +26,32 @@ def half_keys(line: Column, length: Column) -> Column:
     return F.concat(first, last)
 
 
-def segment_width(length: Column) -> Column:
-    """1 for lines below 512 characters, then the power of two that keeps 256 to 511 segments."""
-    return F.greatest(F.lit(1), F.pow(F.lit(2), F.floor(F.log2(length / SEGMENTS)))).cast("int")
+def segments(texts: DataFrame) -> DataFrame:
+    """line_id, first, around, body, size: each of SEGMENTS segments of the lines of (line_id, first, line, length).
 
+    ``around`` is a hash of all but the segment, and ``body`` the segment's ``size`` characters. Segments are laid out
+    for a line's length and for the length one below, so that lines one insertion apart agree on them: two
+    lines within one edit share the surroundings of the segment that holds it.
+    """
+    length, total, before = F.col("length"), F.col("total"), F.col("before")
+    totals = texts.select("*", F.explode(F.array(length, length - 1)).alias("total"))
+    widths = totals.withColumn("width", F.greatest(F.lit(1), F.ceil(total / SEGMENTS)).cast("int"))
+    placed = widths.select("*", F.explode(F.sequence(F.lit(0), F.greatest(total - 1, F.lit(0)), F.col("width"))).alias("before"))
+    cut = placed.withColumn("after", F.greatest(F.lit(0), total - before - F.col("width"))).withColumn("size", length - before - F.col("after"))
+    around = F.xxhash64("total", "before", F.substring("line", F.lit(1), before), F.lit("|"), F.substring("line", length - F.col("after") + 1, F.col("after")))
+    return cut.select("line_id", "first", around.alias("around"), F.substring("line", before + 1, F.col("size")).alias("body"), "size")
 
-def variants(texts: DataFrame) -> DataFrame:
-    """All variants within the edit bound of the lines of (line_id, first, line, length), as (line_id, first, kind, key).
 
-    They are the line itself ("whole"), and the line without its character i. The key of the latter comes
-    twice: with i ("at"), which it shares with just those lines that differ from it only in character i, and
-    without i ("less"), which it shares with the line that lacks this character.
+def variants(shared_segments: DataFrame) -> DataFrame:
+    """The variants of lines with at most one character of one segment left out, as (line_id, first, kind, key).
 
-    In a long line that would hash the whole line for each character. There a segment's surroundings are
-    hashed once, for segments of the line's length and of the length one below (so that lines one insertion
-    apart agree on them), and only the characters of the segment are left out one by one.
+    They are the line itself ("whole"), and the line without character i of the segment. The key of the latter
+    comes twice: with i ("at"), which it shares with just those lines that differ from it only in this character,
+    and without i ("less"), which it shares with the line that lacks this character.
     """
-    length = F.col("length")
-    is_long = length >= 2 * SEGMENTS - 1
-    totals = texts.select("*", F.explode(F.when(is_long, F.array(length, length - 1)).otherwise(F.array(length))).alias("total"))
-    widths = totals.withColumn("width", F.when(is_long, segment_width(F.col("total"))).otherwise(length))
-    places = widths.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("total") - 1) / F.col("width")).cast("int"))).alias("segment"))
-    before = F.col("segment") * F.col("width")
-    after = F.greatest(F.lit(0), F.col("total") - before - F.col("width"))
-    cut = places.select("*", before.alias("before"), after.alias("after"), (length - before - after).alias("size"))
-    around = F.xxhash64("total", "segment", F.substring("line", F.lit(1), F.col("before")), F.lit("|"), F.substring("line", length - F.col("after") + 1, F.col("after")))
-    bodies = cut.select("line_id", "first", "size", F.when(is_long, around).otherwise(F.lit(0)).alias("around"), F.substring("line", F.col("before") + 1, F.col("size")).alias("body"))
-
     size, body = F.col("size"), F.col("body")
-    whole = bodies.select("line_id", "first", F.lit("whole").alias("kind"), F.xxhash64("around", "body").alias("key"))
-    each = bodies.where("size > 0").select("line_id", "first", "around", "body", "size", F.explode(F.sequence(F.lit(0), size - 1)).alias("i"))
+    whole = shared_segments.select("line_id", "first", F.lit("whole").alias("kind"), F.xxhash64("around", "body").alias("key"))
+    each = shared_segments.where("size > 0").select("line_id", "first", "around", "body", "size", F.explode(F.sequence(F.lit(0), size - 1)).alias("i"))
     less = each.select("line_id", "first", "around", "i", F.concat(F.substring(body, F.lit(1), F.col("i")), F.substring(body, F.col("i") + 2, size - F.col("i") - 1)).alias("rest"))
     kinds = F.explode(F.array(F.struct(F.lit("at").alias("kind"), F.xxhash64("around", "i", "rest").alias("key")), F.struct(F.lit("less").alias("kind"), F.xxhash64("around", "rest").alias("key")))).alias("v")
     return whole.unionByName(less.select("line_id", "first", kinds).select("line_id", "first", "v.kind", "v.key"))
@@ -80,8 +76,9 @@ def near_duplicates(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     """line_id of the distinct lines that are one edit from a line that occurs earlier.
 
     ``distinct`` has (line_id, first, keys), with null keys for lines that only equal ones can match. Lines without
-    any partner for a half have gone first, which the pigeonhole principle allows; only the texts of the
-    others are read again, from documents that a bitmap of fixed size tells. Within a key the earliest line is
+    any partner for a half have gone first, which the pigeonhole principle allows, then segments whose
+    surroundings no other line has. Only the texts of lines with a partner are read again, from documents that
+    a bitmap of fixed size tells. Within a key the earliest line is
     the only partner that matters, so a window minimum gives one candidate per line and key, and no pairs of a
     group are made; the number of distinct lines that can share a variant is bounded by the alphabet.
     """
@@ -100,7 +97,10 @@ def near_duplicates(docs: DataFrame, distinct: DataFrame) -> DataFrame:
         "texts",
     )
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = variants(texts.repartition(partitions, "line_id"))
+    cut = stage(segments(texts.repartition(partitions, "line_id")), "segments")
+    short_id = F.xxhash64("line_id")
+    common = cut.groupBy("around").agg(F.min(short_id).alias("a"), F.max(short_id).alias("b")).where("a <> b").select("around")
+    spread = variants(cut.join(stage(common, "common"), "around", "left_semi"))
     # "whole" meets "less", and "at" meets "at".
     sided = spread.withColumn("swap", F.col("kind") == "at")
     by_key = Window.partitionBy("swap", "key")
