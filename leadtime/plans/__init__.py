@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import series
+from . import data, series
 
-MODULES = (series,)
+MODULES = (series, data)
 
 
 def queries() -> dict:
