@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import data, series
+from . import data, forecast, series
 
-MODULES = (series, data)
+MODULES = (series, data, forecast)
 
 
 def queries() -> dict:
