@@ -84,7 +84,7 @@ def contaminated(
     probes = base.select("id", tokens(F.col("text")).alias("words")).select("id", F.explode(hashed_shingles(F.col("words"), sizes)).alias("shingle"))
     candidates = stage(probes.join(sketches, "shingle").select("id", "item_id").distinct(), "candidates")
     wanted = candidates.join(tests.select("item_id", "g", exact_shingles(F.col("item_words"), F.col("g")).alias("item_shingles")), "item_id")
-    suspects = base.join(candidates.select("id").distinct(), "id", "left_semi").select("id", tokens(F.col("text")).alias("words"))
+    suspects = base.join(stage(candidates.select("id").distinct(), "suspects"), "id", "left_semi").select("id", tokens(F.col("text")).alias("words"))
     both = suspects.join(wanted, "id").select("id", "item_id", F.size("item_shingles").cast("long").alias("n_shingles"), F.array_intersect("item_shingles", exact_shingles(F.col("words"), F.col("g"))).alias("shared"))
     shared = F.size(F.array_distinct(F.flatten(F.collect_set("shared")))).cast("long")
     found = both.groupBy("id", "item_id").agg(F.max("n_shingles").alias("n_shingles"), shared.alias("n_shared"))

@@ -18,7 +18,7 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     edges = stage(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), "edges")
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        near = stage(both.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("least")), "near")
+        near = both.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("least"))
         # Large star: larger neighbours of a node point to the smallest of its neighbourhood.
         large = both.where("b > a").join(near, "a").select(F.col("b").alias("a"), F.col("least").alias("b")).where("a > b").distinct()
         large = stage(large, "large")
