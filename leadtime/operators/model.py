@@ -19,6 +19,7 @@ def fold_scores(rows: DataFrame, folds: DataFrame, features: list[str], block: s
     from pyspark.ml.functions import vector_to_array
 
     ready = VectorAssembler(inputCols=features, outputCol="_v", handleInvalid="skip").transform(rows.join(F.broadcast(folds), block))
+    ready = ready.persist()  # each model reads it; what is lost is computed again
     parts = []
     known = ready.where("role = 'train'").groupBy("fold", "threshold").agg(F.sum("y").alias("pos"), F.count("*").alias("n")).collect()  # folds x thresholds
     for k in known:
