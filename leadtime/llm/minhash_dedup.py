@@ -17,10 +17,10 @@ from .textbytes import WORD_BASE, Words, lowered, mix, pieces, powers, shingles
 HASHES, ROWS = 128, 4
 #: Low bits of each minimum that the packed signature keeps.
 BITS = 2
-#: A pair is verified unless its estimated similarity is so far below the threshold: over five standard deviations.
-SLACK = 0.3
+#: A pair is verified unless its estimated similarity is so far below the threshold: nearly five standard deviations.
+SLACK = 0.2
 #: Rounds in which a band's documents are compared with one of them, before the pairs that are left.
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
 FILTER_BITS = 24
 SEEDS = mix(np.arange(1, 2 * HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -147,9 +147,10 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: float =
 
     Documents of equal sets become one class, so that a group of copies is one row from there on. Classes
     that share a band are candidates. In each of some rounds, each band has one class as its hub (the smallest, then
-    others by hash), and each class is compared with one hub of its bands that is not in its component yet. So a
-    large group of near copies becomes one component by about one comparison each. At last all pairs of a band
-    whose components still differ are compared, so that no component is left apart.
+    the one with the fewest shingles of its own), and each class is compared with one hub of its
+    bands that is not in its component yet. So a large group of near copies becomes one component by about
+    one comparison each. Classes with too many shingles of their own to be linked with any in their bands then
+    leave. At last all pairs of a band whose components still differ are compared, so that no component is left apart.
     """
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = stage(sketch(base, shingle_words), "sketches")
@@ -169,35 +170,69 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: float =
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
 
 
+def mixed_bands(rows: DataFrame) -> DataFrame:
+    """The rows of bands that still hold more than one component."""
+    mixed = rows.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("band")
+    return rows.join(stage(mixed, "bands"), "band")
+
+
+def own_shingles(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, own: how many shingles of each set no other set of ``ids`` has."""
+    spread = sets.join(ids, "id", "left_semi").select("id", F.explode("shingles").alias("shingle"))
+    alone = spread.groupBy("shingle").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1")
+    return alone.groupBy("id").agg(F.count("*").alias("own"))
+
+
 def linked_classes(base: DataFrame, reps: DataFrame, members: DataFrame, size: int, similarity: float) -> DataFrame:
-    """node, component of the classes that have a link."""
+    """node, component of the classes that have a link.
+
+    A set of n shingles, ``own`` of which no other open set has, can share n - own with any other at most. That bounds
+    its similarity with all sets of its bands by their sizes; sets below the threshold leave before pairs are made.
+    """
     wanted = members.select("id").distinct()
     sets = stage(full_sets(base, wanted, size).join(reps.select("id", "n", "packed"), "id").dropDuplicates(["id"]), "sets")
     small = stage(sets.select("id", "n", "packed"), "packed")
+    percent = round(100 * similarity)
+
+    def reach(common: Column, size: Column) -> Column:
+        return 100 * common >= percent * size
+
     links = None
     labels = None
+    rows = stage(members.join(small.select("id", "n"), "id").select("id", "band", F.col("n").cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("own")), "rows")
     for turn in range(STAR_ROUNDS + 1):
         if labels is None:
-            now = members.withColumn("component", F.col("id"))
+            now = rows.withColumn("component", F.col("id"))
         else:
-            now = members.join(labels, members["id"] == labels["node"], "left").select("id", "band", F.coalesce("component", "id").alias("component"))
-        mixed = now.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("band")
-        open_ = stage(now.join(mixed, "band"), "open")
+            now = rows.join(labels, rows["id"] == labels["node"], "left").select("id", "band", "n", "own", F.coalesce("component", "id").alias("component"))
+        open_ = mixed_bands(now)
+        if turn == 1:
+            open_ = stage(open_, "open")
+            known = open_.drop("own").join(stage(own_shingles(sets, open_.select("id").distinct()), "own"), "id", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+            common = F.col("n") - F.col("own")
+            least = F.min("n").over(Window.partitionBy("band"))
+            open_ = mixed_bands(known.withColumn("least", least).where(reach(common, F.col("n") + F.greatest("least", common) - common)).drop("least"))
+        open_ = stage(open_.select("id", "band", "n", "own", "component"), "open")
         if open_.isEmpty():
             break
         if turn < STAR_ROUNDS:
-            order = F.struct("id") if turn == 0 else F.struct(F.xxhash64("id", F.lit(turn)), "id")
-            hubs = stage(open_.groupBy("band").agg(F.min_by(F.struct("id", "component"), order).alias("hub")).select("band", "hub.*").toDF("band", "a", "a_component"), "hubs")
+            order = F.struct("id") if turn == 0 else F.struct(F.col("own") / F.col("n"), "id") if turn == 1 else F.struct(F.xxhash64("id", F.lit(turn)), "id")
+            hubs = stage(open_.groupBy("band").agg(F.min_by(F.struct("id", "component"), order).alias("hub"), F.min(order).alias("rank")).select("band", "hub.*", "rank").toDF("band", "a", "a_component", "rank"), "hubs")
             offers = open_.join(hubs, "band").where("component <> a_component")
-            mine = F.struct("a") if turn == 0 else F.struct(F.xxhash64("a", F.lit(turn)), "a")
-            chosen = offers.groupBy("id").agg(F.min_by("a", mine).alias("a"))
+            chosen = offers.groupBy("id").agg(F.min_by("a", "rank").alias("a"))
             pairs = chosen.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"))
         else:
-            other = open_.select("band", F.col("id").alias("a"), F.col("component").alias("a_component"))
-            pairs = open_.join(other, "band").where("a < id and component <> a_component").select("a", F.col("id").alias("b"))
+            # Each pair once, in the first of the bands that both share.
+            mine = open_.join(reps.select("id", "bands", "packed"), "id")
+            other = mine.select("band", *[F.col(c).alias("a" if c == "id" else f"a_{c}") for c in ("id", "component", "n", "own", "bands", "packed")])
+            common = F.least(F.col("n") - F.col("own"), F.col("a_n") - F.col("a_own"))
+            likely = (F.col("a") < F.col("id")) & (F.col("component") != F.col("a_component")) & reach(common, F.col("n") + F.col("a_n") - common)
+            likely = likely & (estimate(F.col("packed"), F.col("a_packed")) >= similarity - SLACK) & (F.get(F.array_intersect("bands", "a_bands"), F.lit(0)) == mine["band"])
+            pairs = mine.join(other, (mine["band"] == other["band"]) & likely).select("a", F.col("id").alias("b"))
         new = verified(pairs.distinct(), small, sets, similarity)
         links = stage(new if links is None else links.unionByName(new), "links")
         labels = stage(components(links), "labels")
+        rows = open_.drop("component")
     if labels is None:
         return members.select(F.col("id").alias("node"), F.col("id").alias("component")).limit(0)
     return labels
