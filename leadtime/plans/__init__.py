@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import data, forecast, series
+from . import data, files, forecast, series
 
-MODULES = (series, data, forecast)
+MODULES = (series, data, forecast, files)
 
 
 def queries() -> dict:
