@@ -96,8 +96,7 @@ def near_duplicates(docs: DataFrame, distinct: DataFrame) -> DataFrame:
         .select("line_id", "line", "first", F.length("line").alias("length")),
         "texts",
     )
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cut = stage(segments(texts.repartition(partitions, "line_id")), "segments")
+    cut = stage(segments(texts.repartition("line_id")), "segments")
     short_id = F.xxhash64("line_id")
     common = cut.groupBy("around").agg(F.min(short_id).alias("a"), F.max(short_id).alias("b")).where("a <> b").select("around")
     spread = variants(cut.join(stage(common, "common"), "around", "left_semi"))
