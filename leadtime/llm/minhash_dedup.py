@@ -216,7 +216,7 @@ def linked_classes(base: DataFrame, reps: DataFrame, members: DataFrame, size: i
         if open_.isEmpty():
             break
         if turn < STAR_ROUNDS:
-            order = F.struct("id") if turn == 0 else F.struct(F.col("own") / F.col("n"), "id") if turn == 1 else F.struct(F.xxhash64("id", F.lit(turn)), "id")
+            order = F.struct("id") if turn == 0 else F.struct(F.col("own") / F.col("n"), "id")
             hubs = stage(open_.groupBy("band").agg(F.min_by(F.struct("id", "component"), order).alias("hub"), F.min(order).alias("rank")).select("band", "hub.*", "rank").toDF("band", "a", "a_component", "rank"), "hubs")
             offers = open_.join(hubs, "band").where("component <> a_component")
             chosen = offers.groupBy("id").agg(F.min_by("a", "rank").alias("a"))
@@ -224,11 +224,11 @@ def linked_classes(base: DataFrame, reps: DataFrame, members: DataFrame, size: i
         else:
             # Each pair once, in the first of the bands that both share.
             mine = open_.join(reps.select("id", "bands", "packed"), "id")
-            other = mine.select("band", *[F.col(c).alias("a" if c == "id" else f"a_{c}") for c in ("id", "component", "n", "own", "bands", "packed")])
+            other = mine.select(*[F.col(c).alias("a" if c == "id" else f"a_{c}") for c in ("id", "band", "component", "n", "own", "bands", "packed")])
             common = F.least(F.col("n") - F.col("own"), F.col("a_n") - F.col("a_own"))
             likely = (F.col("a") < F.col("id")) & (F.col("component") != F.col("a_component")) & reach(common, F.col("n") + F.col("a_n") - common)
-            likely = likely & (estimate(F.col("packed"), F.col("a_packed")) >= similarity - SLACK) & (F.get(F.array_intersect("bands", "a_bands"), F.lit(0)) == mine["band"])
-            pairs = mine.join(other, (mine["band"] == other["band"]) & likely).select("a", F.col("id").alias("b"))
+            likely = likely & (estimate(F.col("packed"), F.col("a_packed")) >= similarity - SLACK) & (F.get(F.array_intersect("bands", "a_bands"), F.lit(0)) == F.col("band"))
+            pairs = mine.join(other, (F.col("band") == F.col("a_band")) & likely).select("a", F.col("id").alias("b"))
         new = verified(pairs.distinct(), small, sets, similarity)
         links = stage(new if links is None else links.unionByName(new), "links")
         labels = stage(components(links), "labels")
