@@ -117,7 +117,7 @@ def near_duplicates(docs: DataFrame, distinct: DataFrame) -> DataFrame:
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_near_chars: int = MIN_NEAR_CHARS, carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: id, text (its kept lines), n_lines, n_removed, and the columns named in ``carry``.
+    """One row per document: id, text (its kept lines), n_lines, n_removed, and with ``carry`` those columns as a struct ``carried``.
 
     Lines are what "\\n" separates, compared after white space is squeezed and trimmed. The corpus is read in the
     order of (id, line number). A line goes if an earlier line of the corpus is equal, or if both have at least
@@ -136,13 +136,13 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     marked = distinct.join(near.withColumn("near", F.lit(True)), "line_id", "left").where("n > 1 or near").select("line_id", "first", F.coalesce("near", F.lit(False)).alias("near"))
     here = F.struct("id", "line_no")
     gone = places.join(stage(marked, "marked"), "line_id").where(F.col("near") | ~here.eqNullSafe(F.col("first"))).groupBy("id").agg(F.collect_set("line_no").alias("gone"))
-    left = docs.select(F.col(id_col).alias("id"), F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1).alias("parts"), F.struct(F.lit(1).alias("_"), *carry).alias("carried"))
-    joined = left.alias("d").join(gone.alias("g"), F.col("d.id").eqNullSafe(F.col("g.id")), "left").select("d.id", "d.carried", "parts", F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
+    left = docs.select(F.col(id_col).alias("id"), F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1).alias("parts"), *([F.struct(*carry).alias("carried")] if carry else []))
+    joined = left.alias("d").join(gone.alias("g"), F.col("d.id").eqNullSafe(F.col("g.id")), "left").select("d.id", *(["d.carried"] if carry else []), "parts", F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
     kept = F.when(F.size("gone") == 0, F.col("parts")).otherwise(F.filter("parts", lambda x, i: ~F.array_contains(F.col("gone"), i)))
     return joined.select(
         F.col("id").alias(id_col),
         F.array_join(kept, "\n").alias(text_col),
         F.when((F.size("parts") == 1) & (F.col("parts")[0] == ""), 0).otherwise(F.size("parts")).cast("long").alias("n_lines"),
         F.size("gone").cast("long").alias("n_removed"),
-        *[F.col(f"carried.{c}").alias(c) for c in carry],
+        *(["carried"] if carry else []),
     )

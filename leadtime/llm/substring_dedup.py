@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bitmap, stage
+from .common import bitmap, in_bitmap, stage
 from .textbytes import WORD_BASE, Words, mix, pieces, shingles
 
 #: Words in an anchor: each window has one, the one of its word triples that comes first in a fixed order.
@@ -21,6 +21,8 @@ SLOT_BITS = 14
 GROUP_ROWS = 200_000
 #: The filter of anchors that repeat has 2**FILTER_BITS bits (32 MB).
 FILTER_BITS = 28
+#: The filter of documents with repeats, which alone are moved to meet them, has 2**ID_BITS bits (512 KB).
+ID_BITS = 22
 SECOND_BASE = np.uint64(0xA0761D6478BD642F)
 #: A null id counts as greater than all others.
 LAST = (1 << 63) - 1
@@ -81,9 +83,9 @@ def anchor_rows(docs: DataFrame, size: int) -> DataFrame:
 
 
 def suffix_rows(docs: DataFrame, size: int, repeated: bytes, long_slots: np.ndarray) -> DataFrame:
-    """group, a, b, id, start, length: windows that may repeat, each as the suffix that it begins.
+    """group, a, b, id, tag, start, length: windows that may repeat, each as the suffix that it begins.
 
-    ``a`` and ``b`` are 128 bits of hash of the window's words. ``group`` is the slot of the shortest prefix
+    ``a`` and ``b`` are 95 bits of hash of the window's words. ``group`` is the slot of the shortest prefix
     that is not in ``long_slots``. Of equal windows in a batch only those of the smallest id go on; those of
     other documents are repeats for sure, and are given as ready runs with ``length`` > 0, alone in their group.
     """
@@ -91,7 +93,7 @@ def suffix_rows(docs: DataFrame, size: int, repeated: bytes, long_slots: np.ndar
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, long_slots = shared.value
-        names = ["group", "a", "b", "id", "start", "length"]
+        names = ["group", "a", "b", "id", "tag", "start", "length"]
         for rows, raw, off in pieces(batches, "text"):
             windows = Windows(Words(raw, off), size)
             if not len(windows.starts):
@@ -100,9 +102,10 @@ def suffix_rows(docs: DataFrame, size: int, repeated: bytes, long_slots: np.ndar
             maybe = np.flatnonzero((bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1)
             at = windows.starts[maybe]
             doc = windows.words.doc()[at]
-            ids = rows.column(0).to_numpy()[doc]
+            ids, tags = rows.column(0).to_numpy()[doc], rows.column(2).to_numpy()[doc]
             start = at - windows.words.doc_off[doc]
             a, b = shingles(windows.hashes, size)[at], shingles(windows.hashes, size, SECOND_BASE)[at]
+            b = b >> np.uint64(33)
             group = (a >> np.uint64(32)).astype(np.int64) | (1 << 40)
             for k in range(len(PREFIX_WORDS) - 1, -1, -1):
                 s = windows.slots(PREFIX_WORDS[k])[maybe]
@@ -113,20 +116,20 @@ def suffix_rows(docs: DataFrame, size: int, repeated: bytes, long_slots: np.ndar
             later = np.zeros(len(at), bool)
             later[order] = ids[order] > least
             open_ = np.flatnonzero(~later)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (group[open_], a[open_].astype(np.int64), b[open_].astype(np.int64), ids[open_], start[open_], np.zeros(len(open_), np.int64))], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (group[open_], a[open_].astype(np.int64), b[open_].astype(np.int32), ids[open_], tags[open_], start[open_], np.zeros(len(open_), np.int64))], names=names)
             done = np.flatnonzero(later)
             if len(done):
                 head = np.r_[True, (start[done][1:] != start[done][:-1] + 1) | (doc[done][1:] != doc[done][:-1])]
                 first = done[head]
                 runs = np.diff(np.r_[np.flatnonzero(head), len(done)])
                 alone = mix(ids[first].astype(np.uint64)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (alone | (1 << 62), alone, start[first], ids[first], start[first], runs)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (alone | (1 << 62), alone, start[first].astype(np.int32), ids[first], tags[first], start[first], runs)], names=names)
 
-    return docs.mapInArrow(find, "group bigint, a bigint, b bigint, id bigint, start bigint, length bigint")
+    return docs.mapInArrow(find, "group bigint, a bigint, b int, id bigint, tag int, start bigint, length bigint")
 
 
 def repeated_spans(docs: DataFrame, min_words: int, group_rows: int) -> DataFrame:
-    """id, spans: array of (start, length), runs of windows whose words also start in a document of smaller id."""
+    """id, tag, spans: array of (start, length), runs of windows whose words also start in a document of smaller id."""
     spark = docs.sparkSession
     found = stage(
         anchor_rows(docs, min_words).groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.sum("n").alias("n")).where("key < 0 or least < most"), "anchors"
@@ -139,8 +142,8 @@ def repeated_spans(docs: DataFrame, min_words: int, group_rows: int) -> DataFram
     suffixes = suffix_rows(docs, min_words, repeated, counts.reshape(-1, slots) > group_rows)
     subtree = Window.partitionBy("group", "a", "b")
     marked = suffixes.repartition(spark_partitions(spark), "group").withColumn("least", F.min("id").over(subtree))
-    runs = marked.where("length > 0 or least < id").select("id", "start", F.greatest("length", F.lit(1)).alias("length"))
-    return runs.groupBy("id").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
+    runs = marked.where("length > 0 or least < id").select("id", "tag", "start", F.greatest("length", F.lit(1)).alias("length"))
+    return runs.groupBy("id", "tag").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
 
 
 def spark_partitions(spark) -> int:
@@ -163,6 +166,7 @@ def substring_dedup(docs: DataFrame, min_words: int = 13, group_rows: int = GROU
     in one document only, so is the window; and of equal windows in a batch one document's go on.
     """
     base = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    base = base.withColumn("tag", F.hash("text"))  # tells texts of the same id apart
     spans = repeated_spans(base, min_words, group_rows)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +187,11 @@ def substring_dedup(docs: DataFrame, min_words: int = 13, group_rows: int = GROU
             yield pa.RecordBatch.from_arrays([rows.column(0), out, pa.array(words.per_doc.astype(np.int64)), pa.array((words.per_doc - n_kept).astype(np.int64))], names=["id", "text", "n_words", "n_removed"])
 
     none = F.array().cast("array<struct<start:bigint,length:bigint>>")
-    both = base.join(spans, "id", "left").select("id", "text", F.coalesce("spans", none).alias("spans"))
+    spans = stage(spans, "spans")
+    flags = bitmap(F.xxhash64("id"), spans, ID_BITS)
+    there = in_bitmap(F.xxhash64("id"), flags, ID_BITS)
+    joined_rows = base.where(there).join(spans, ["id", "tag"], "left").select("id", "text", F.coalesce("spans", none).alias("spans"))
+    both = joined_rows.unionByName(base.where(~there).select("id", "text", none.alias("spans")))
     out = both.mapInArrow(remove, "id bigint, text string, n_words bigint, n_removed bigint")
     return out.select(F.nullif("id", F.lit(LAST)).alias(id_col), F.col("text").alias(text_col), "n_words", "n_removed")
 

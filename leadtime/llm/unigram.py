@@ -90,9 +90,10 @@ def piece_model(
     Piece counts come from the best segmentation by rank scores, plus ``smoothing`` for each piece.
     """
     spark = labelled.sparkSession
-    per_language = labelled.where(F.col(lang_col).isNotNull()).groupBy(lang_col).count()
-    share = F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    sample = labelled.join(per_language.withColumnRenamed("count", "_rows"), lang_col).where(share < F.lit(float(max_docs_per_language)) / F.col("_rows"))
+    named = labelled.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(lang_col).alias("lang"))
+    per_language = named.where("lang is not null").groupBy("lang").agg(F.count("*").alias("rows"))
+    share = F.conv(F.substring(F.md5(F.col("id").cast("binary")), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    sample = named.join(per_language, "lang").where(share < F.lit(float(max_docs_per_language)) / F.col("rows"))
     shared = spark.sparkContext.broadcast((vocab, rank_scores(vocab)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,10 +109,10 @@ def piece_model(
                 at = np.flatnonzero(counts)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(counts[at])], names=["lang", "piece", "n"])
 
-    rows = sample.select(F.col(lang_col).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = sample.select("lang", "text")
     # One row for each language and piece of the fixed vocabulary.
     counted = rows.mapInArrow(count, "lang string, piece bigint, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas()
-    langs = sorted({*counted["lang"], *(r[0] for r in per_language.select(lang_col).collect())})
+    langs = sorted({*counted["lang"], *(r[0] for r in per_language.select("lang").collect())})
     table = np.full((len(vocab), len(langs)), smoothing)
     if len(counted):
         table[counted["piece"].to_numpy(), counted["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy()] += counted["n"].to_numpy()
