@@ -30,7 +30,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes repeated lines out of the texts; a document stays even if none of its lines does."""
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    return line_dedup(docs, carry=others).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    out = line_dedup(docs, carry=others)
+    own = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.char_length("text").cast("long")}
+    return out.select(*[own[c].alias(c) if c in own else F.col("carried").getField(c).alias(c) for c in docs.columns])
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,9 +46,10 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the mix, with their size and how many words of them it takes."""
-    taken = mix_sources(docs).where("taken > 0").groupBy("doc_id").agg(*[F.max(c).alias(c) for c in ("size", "source_size", "target", "taken")])
-    return docs.join(stage(taken, "taken"), "doc_id")
+    """The documents of the mix, with their size and how many words of them it takes; such columns of the input are replaced."""
+    columns = ("size", "source_size", "target", "taken")
+    taken = mix_sources(docs).where("taken > 0").groupBy("doc_id").agg(*[F.max(c).alias(c) for c in columns])
+    return docs.drop(*columns).join(stage(taken, "taken"), "doc_id")
 
 
 STAGES = [
