@@ -258,6 +258,17 @@ def event_window_join(spark, sf_dir):
     return pairs.groupBy("event_id").agg(F.count("*").alias("n_rows"), F.count_if(F.col("resp").isNull()).alias("n_missing"), F.max("resp").alias("max_resp"), F.first("driver").alias("driver"))
 
 
+def event_availability(spark, sf_dir):
+    """Per event: its worst feature by the longest run of missing days in the window, and whether that excludes it."""
+    features = ["f_sum_qty", "f_avg_disc", "resp"]
+    pairs = align.steps_in_intervals(s.daily(spark, sf_dir).select("k", *features), "k", s.events(spark, sf_dir).select("event_id", "start", "end"), "start", "end", 30)
+    long = pairs.select("event_id", "k", F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).isNull().alias("missing")) for f in features])).alias("v")).select("event_id", "k", "v.*")
+    runs = islands.islands(long, ["event_id", "feature"], "k", F.col("missing")).groupBy("event_id", "feature").agg(F.max("n").alias("longest"))
+    all_of = s.events(spark, sf_dir).select("event_id", F.explode(F.array(*[F.lit(f) for f in features])).alias("feature")).join(runs, ["event_id", "feature"], "left")
+    worst = all_of.groupBy("event_id").agg(F.max(F.coalesce("longest", F.lit(0))).alias("longest"), F.max_by("feature", F.struct(F.coalesce("longest", F.lit(0)), "feature")).alias("worst"))
+    return worst.withColumn("excluded", F.col("longest") >= 2)
+
+
 def merge_intervals(spark, sf_dir):
     return islands.merge_intervals(s.events(spark, sf_dir), [], "start", "end", "event_id").select("event_id", "block")
 
@@ -344,7 +355,7 @@ QUERIES = {
         num_coerce, sentinel_nines, sentinel_list, mask_invalid, clean_features, feature_missing_report, missing_summary, missing_ratio, standardize_columns, rename_prefix,
         coupling_features, feature_transform, ts_from_parts, ts_from_doy, ts_iso_mixed, file_date, time_slice, time_axis_report, axes_aligned, require_columns, align_to_step,
         file_audit, daily_coverage, join_aligned, join_horizontal, join_window_stats, resample_check, gap_segments, asof_nearest_segmented, asof_report, event_catalog,
-        event_window_join, merge_intervals, event_groups, split_assign, event_timeline, event_ids_per_row, split_summary, split_integrity, dataset_metadata, event_onset,
+        event_window_join, event_availability, merge_intervals, event_groups, split_assign, event_timeline, event_ids_per_row, split_summary, split_integrity, dataset_metadata, event_onset,
         forward_folds, fold_definitions, fold_rows, fold_integrity,
     )
 }
@@ -442,6 +453,12 @@ SELECT series, h, x, mean_3, CASE WHEN mean_3 IS NOT NULL THEN max_6 END AS max_
   CASE o_orderkey % 5 WHEN 0 THEN 'CME' WHEN 1 THEN 'CIR' WHEN 2 THEN 'CIR' END AS driver FROM orders WHERE o_orderkey % 5 = 0 OR o_orderkey % 7 <> 0)
 SELECT *, CASE WHEN event_id IN (18, 19) THEN 'excluded_engineering' WHEN driver IS NULL THEN 'excluded_driver' WHEN peak_us IS NULL THEN 'excluded_time' ELSE 'selected' END AS status FROM t""",
     "event_window_join": f'WITH {s.DAILY}, {s.EVENTS} SELECT event_id, count(*) AS n_rows, count(*) FILTER (resp IS NULL) AS n_missing, max(resp) AS max_resp, any_value(driver) AS driver FROM d2 JOIN d3 ON k >= "start" AND k < "end" GROUP BY event_id',
+    "event_availability": f"""WITH {s.DAILY}, {s.EVENTS}, u AS (""" + " UNION ALL ".join(f"""SELECT event_id, '{f}' AS feature, k, {f} IS NULL AS missing FROM d2 JOIN d3 ON k >= "start" AND k < "end\"""" for f in ("f_sum_qty", "f_avg_disc", "resp"))
+    + """), r AS (SELECT event_id, feature, max(n) AS longest FROM (SELECT event_id, feature, count(*) AS n FROM (SELECT *, k - row_number() OVER (PARTITION BY event_id, feature ORDER BY k) AS g FROM u WHERE missing) GROUP BY event_id, feature, g) GROUP BY ALL),
+a AS (SELECT event_id, feature, coalesce(longest, 0) AS longest FROM d3 CROSS JOIN (SELECT unnest(['f_sum_qty', 'f_avg_disc', 'resp']) AS feature) LEFT JOIN r USING (event_id, feature))
+SELECT event_id, max(longest) AS longest, arg_max(feature, (longest, feature)) AS worst, max(longest) >= 2 AS excluded FROM a GROUP BY event_id""",
+    "dataset_metadata": f"""WITH {s.EVENTS}, g AS (SELECT coalesce(driver, 'none') AS driver, count(*) AS n FROM d3 GROUP BY 1)
+SELECT '{{' || string_agg('"' || driver || '":' || n, ',' ORDER BY driver) || '}}' AS drivers, CAST(sum(n) AS BIGINT) AS n_events FROM g""",
     "merge_intervals": f"WITH {_BLOCKS} SELECT event_id, block FROM mi",
     "event_groups": f"WITH {_BLOCKS} SELECT * FROM bl",
     "split_assign": f"WITH {_SPLIT} SELECT block, n_events, split FROM sb",
