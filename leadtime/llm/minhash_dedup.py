@@ -197,7 +197,6 @@ def linked_classes(base: DataFrame, reps: DataFrame, members: DataFrame, size: i
     def reach(common: Column, size: Column) -> Column:
         return 100 * common >= percent * size
 
-    links = None
     labels = None
     rows = stage(members.join(small.select("id", "n"), "id").select("id", "band", F.col("n").cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("own")), "rows")
     for turn in range(STAR_ROUNDS + 1):
@@ -229,9 +228,13 @@ def linked_classes(base: DataFrame, reps: DataFrame, members: DataFrame, size: i
             likely = (F.col("a") < F.col("id")) & (F.col("component") != F.col("a_component")) & reach(common, F.col("n") + F.col("a_n") - common)
             likely = likely & (estimate(F.col("packed"), F.col("a_packed")) >= similarity - SLACK) & (F.get(F.array_intersect("bands", "a_bands"), F.lit(0)) == F.col("band"))
             pairs = mine.join(other, (F.col("band") == F.col("a_band")) & likely).select("a", F.col("id").alias("b"))
-        new = verified(pairs.distinct(), small, sets, similarity)
-        links = stage(new if links is None else links.unionByName(new), "links")
-        labels = stage(components(links), "labels")
+        new = stage(verified(pairs.distinct(), small, sets, similarity), "links")
+        if labels is None:
+            labels = stage(components(new), "labels")
+        elif not new.isEmpty():
+            # What is connected already goes in as one link to its component.
+            known = labels.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+            labels = stage(components(known.unionByName(new)), "labels")
         rows = open_.drop("component")
     if labels is None:
         return members.select(F.col("id").alias("node"), F.col("id").alias("component")).limit(0)
