@@ -13,12 +13,13 @@ from .common import bitmap, stage
 from .graph import components
 from .textbytes import WORD_BASE, Words, lowered, mix, pieces, powers, shingles
 
-#: Hash functions, in bands of ROWS; a pair at similarity 0.8 shares no band with probability (1 - 0.8**4)**32 = 5e-8.
-HASHES, ROWS = 128, 4
+#: Hash functions; the first ones make BANDS of ROWS. A pair at similarity 0.8 shares no band with probability
+#: (1 - 0.8**4)**32 = 5e-8.
+HASHES, BANDS, ROWS = 256, 32, 4
 #: Low bits of each minimum that the packed signature keeps.
-BITS = 2
-#: A pair is verified unless its estimated similarity is so far below the threshold: nearly five standard deviations.
-SLACK = 0.2
+BITS = 4
+#: A pair is verified unless its estimated similarity is so far below the threshold: 4.6 standard deviations of 0.026.
+SLACK = 0.12
 #: Rounds in which a band's documents are compared with one of them, before the pairs that are left.
 STAR_ROUNDS = 2
 FILTER_BITS = 24
@@ -56,7 +57,7 @@ def signatures(value: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 def band_keys(minima: np.ndarray) -> np.ndarray:
     """A 64-bit key for each band of ROWS minima, which also tells the bands apart."""
-    banded = minima.reshape(len(minima), -1, ROWS).astype(np.uint64)
+    banded = minima[:, : BANDS * ROWS].reshape(len(minima), BANDS, ROWS).astype(np.uint64)
     keys = np.tile(np.arange(banded.shape[1], dtype=np.uint64), (len(minima), 1))
     for j in range(ROWS):
         keys = mix(keys * WORD_BASE + banded[:, :, j] + np.uint64(1))
@@ -98,7 +99,7 @@ def sketch(docs: DataFrame, size: int) -> DataFrame:
             n = np.diff(set_off)
             full = np.flatnonzero(n > 0)
             a, b = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
-            packed, bands = np.zeros((len(n), HASHES * BITS // 64), np.int64), np.zeros((len(n), HASHES // ROWS), np.int64)
+            packed, bands = np.zeros((len(n), HASHES * BITS // 64), np.int64), np.zeros((len(n), BANDS), np.int64)
             if len(full):
                 for out, salt in ((a, 1), (b, 2)):
                     spread = mix(value * SEEDS[salt] + SEEDS[salt + 2])
