@@ -16,8 +16,8 @@ from .unigram import distinct_words, sums
 
 #: Contexts of up to so many bytes.
 DEPTH = 5
-#: The tree that tasks get has at most so many nodes (12 bytes each), the most frequent ones.
-MAX_NODES = 2_000_000
+#: So many of the most frequent grams are scored from a broadcast table (16 bytes each), the others in a join.
+TOP_GRAMS = 524_288
 #: So many of the most frequent words are looked up in a broadcast table, the others in a join.
 TOP_WORDS = 262_144
 #: The byte after the last word of a text, which is also the context before its first.
@@ -98,7 +98,15 @@ def gram_counts(docs: DataFrame, depth: int) -> DataFrame:
 
 
 def context_tree(counts: DataFrame, depth: int) -> DataFrame:
-    """depth, context, node, n, p: the weighted tree, with the predicted probability of a 1 at each node.
+    """The levels of :func:`tree_levels` in one table."""
+    out, *deeper = tree_levels(counts, depth)
+    for level in deeper:
+        out = out.unionByName(level)
+    return out
+
+
+def tree_levels(counts: DataFrame, depth: int) -> list[DataFrame]:
+    """depth, context, node, n, p for each depth from 0: the weighted tree, with the predicted probability of a 1 at each node.
 
     A byte is eight binary decisions; ``node`` (1 to 255) is the decision, by the bits before it. Each decision
     has a context tree of its own. Bottom up, a node's weighted probability of its training bits is the mean of
@@ -121,7 +129,7 @@ def context_tree(counts: DataFrame, depth: int) -> DataFrame:
         level = stage(level.withColumn("weighted", log_half_sum(F.col("own"), F.col("below"))).drop("below"), "level")
         levels.append(level)
     levels.reverse()
-    out = None
+    out = []
     passed = None
     for d, level in enumerate(levels):
         kt = (F.col("n1") + 0.5) / (F.col("n0") + F.col("n1") + 1)
@@ -137,77 +145,52 @@ def context_tree(counts: DataFrame, depth: int) -> DataFrame:
             "tree",
         )
         passed = here.select(F.col("context").alias("above"), "node", "mass", "mixed")
-        rows = here.select("depth", "context", "node", "n", "p")
-        out = rows if out is None else out.unionByName(rows)
+        out.append(here.select("depth", "context", "node", "n", "p"))
     return out
 
 
-def most_frequent(tree: DataFrame, max_nodes: int) -> DataFrame:
-    """The nodes of at least the least count for which no more than ``max_nodes`` remain.
+def gram_scores(wanted: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """gram, gain: log10 of the probability of the last byte of each gram of ``wanted`` (distinct) after the bytes before it.
 
-    A node is seen no more often than the one above it, so what stays is a tree.
+    Each of the byte's eight decisions takes the deepest context that the tree has for it. Level by level from
+    the deepest, all decisions that are open meet the whole level in a join; what finds no node goes on with
+    the next shorter context. Nearly all end at the first level. A decision that no level has is even.
     """
-    grade = F.floor(F.log2("n") * 8).cast("int")
-    sizes = tree.groupBy(grade.alias("grade")).count().orderBy(F.desc("grade")).collect()  # some hundred grades at most
-    total, least = 0, None
-    for row in sizes:
-        total += row["count"]
-        if total > max_nodes:
-            break
-        least = row["grade"]
-    return tree.where(grade >= F.lit(least if least is not None else 1 << 20))
-
-
-#: A node's key holds its depth, up to DEPTH context bytes, and the decision.
-DEPTH_SHIFT = 48
+    open_ = wanted.select("gram", F.lit(255).alias("missed"))
+    parts = []
+    for d in range(len(levels) - 1, -1, -1):
+        k = F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k")
+        asked = open_.select("gram", "missed", k).where(F.expr("(shiftright(missed, k) & 1) = 1"))
+        asked = asked.select(
+            "gram", "k", F.shiftright("gram", 8).bitwiseAND(F.lit((1 << (8 * d)) - 1)).alias("context"),
+            F.expr("cast(shiftleft(1, k) + shiftright(gram & 255, 8 - k) as int)").alias("node"), F.expr("shiftright(gram & 255, 7 - k) & 1").alias("bit"),
+        )
+        met = asked.join(levels[d].select("context", "node", "p"), ["context", "node"], "left")
+        gain = F.log10(F.when(F.col("bit") == 1, F.col("p")).otherwise(1 - F.col("p")))
+        missed = F.sum(F.when(F.col("p").isNull(), F.expr("shiftleft(1, k)")).otherwise(0)).cast("int")
+        done = stage(met.groupBy("gram").agg(F.coalesce(F.sum(gain), F.lit(0.0)).alias("gain"), missed.alias("missed")), "gains")
+        parts.append(done.select("gram", "gain"))
+        open_ = done.where("missed > 0").select("gram", "missed")
+    out = open_.select("gram", F.bit_count("missed") * F.lit(math.log10(0.5)))
+    for part in parts:
+        out = out.unionAll(part)
+    return out.toDF("gram", "gain").groupBy("gram").agg(F.sum("gain").alias("gain"))
 
 
-def gathered(tree: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The sorted keys and the probabilities of the nodes, brought to the driver as packed arrays."""
-    key = F.shiftleft(F.col("depth").cast("bigint"), DEPTH_SHIFT).bitwiseOR(F.shiftleft("context", 8)).bitwiseOR(F.col("node").cast("bigint"))
+def gathered(scores: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted grams and their gains, brought to the driver as packed arrays; for a number of grams that is bounded."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             packed = [pa.array([x.to_numpy().tobytes()], pa.binary()) for x in batch.columns]
-            yield pa.RecordBatch.from_arrays(packed, names=["keys", "p"])
-
-    rows = tree.select(key.alias("key"), F.col("p").cast("float").alias("p")).repartitionByRange("key").sortWithinPartitions("key")
-    keys, p = bytearray(), bytearray()
-    for row in rows.mapInArrow(pack, "keys binary, p binary").collect():  # 12 bytes a node, max_nodes of them at most
-        keys += row["keys"]
-        p += row["p"]
-    return np.frombuffer(bytes(keys), np.int64), np.frombuffer(bytes(p), np.float32)
-
-
-class Tree:
-    """The tree as sorted arrays, one pair for each depth."""
-
-    def __init__(self, keys: np.ndarray, p: np.ndarray, depth: int):
-        self.depth = depth
-        cuts = np.searchsorted(keys, np.arange(depth + 2, dtype=np.int64) << DEPTH_SHIFT)
-        low = np.int64((1 << DEPTH_SHIFT) - 1)
-        self.levels = [(keys[a:b] & low, p[a:b]) for a, b in zip(cuts, cuts[1:])]
-
-    def log10(self, found: np.ndarray) -> np.ndarray:
-        """log10 of the probability of the last byte of each gram after the bytes before it. Sorted grams are found faster."""
-        out = np.zeros(len(found))
-        byte, context = found & 255, found >> 8
-        for k in range(8):
-            node = (1 << k) + (byte >> (8 - k))
-            one = (byte >> (7 - k)) & 1
-            p = np.full(len(found), 0.5)
-            open_ = np.arange(len(found))
-            for d in range(self.depth, -1, -1):
-                keys, value = self.levels[d]
-                if not len(open_) or not len(keys):
-                    continue
-                want = ((context[open_] & ((1 << (8 * d)) - 1)) << 8) | node[open_]
-                slot = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
-                hit = keys[slot] == want
-                p[open_[hit]] = value[slot[hit]]
-                open_ = open_[~hit]
-            out += np.log10(np.where(one == 1, p, 1 - p))
-        return out
+            yield pa.RecordBatch.from_arrays(packed, names=["grams", "gains"])
+
+    rows = scores.select("gram", "gain").repartitionByRange("gram").sortWithinPartitions("gram")
+    found, gains = bytearray(), bytearray()
+    for row in rows.mapInArrow(pack, "grams binary, gains binary").collect():
+        found += row["grams"]
+        gains += row["gains"]
+    return np.frombuffer(bytes(found), np.int64), np.frombuffer(bytes(gains), np.float64)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -225,7 +208,7 @@ def lm_scores(
     docs: DataFrame,
     train: DataFrame,
     depth: int = DEPTH,
-    max_nodes: int = MAX_NODES,
+    top_grams: int = TOP_GRAMS,
     top_words: int = TOP_WORDS,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -235,13 +218,13 @@ def lm_scores(
     Texts are lower-cased (A-Z); tokens are their words and one end. ``base_score`` is the sum of
     log10((c + 1) / (N + V + 1)) over the tokens. ``score`` is the log10 probability under context-tree
     weighting of the bytes of the words, a space between two and an end byte; ``bits_per_byte`` is its code
-    length. All bytes of ``train`` are counted; tasks get the ``max_nodes`` most frequent nodes of the tree, and
-    a context outside it counts as its longest part inside it. Null and empty texts are just an end. With
+    length. All bytes of ``train`` are counted and all nodes of their tree are used; a context that ``train``
+    does not have counts as its longest part that it has. Null and empty texts are just an end. With
     no training rows each bit has probability 1/2. Each row stands for itself, repeated ids too; other columns
     are ignored.
 
-    The counts of the ``top_words`` most frequent words are broadcast, those of the others are joined, so the
-    join has no hot keys.
+    The counts of the ``top_words`` most frequent words and the gains of the ``top_grams`` most frequent grams are
+    broadcast, those of the others are joined, so the joins have no hot keys.
     """
     spark = docs.sparkSession
     train = train.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -250,28 +233,34 @@ def lm_scores(
     ends = train.count()
     n_train, distinct = total["n"] + ends, total["v"] + (ends > 0)
     top = counts.orderBy(F.desc("c"), "word").limit(top_words).toArrow()
-    tree = most_frequent(stage(context_tree(stage(gram_counts(train, depth), "grams"), depth), "nodes"), max_nodes)
+    seen = stage(gram_counts(train, depth), "grams")
+    levels = tree_levels(seen, depth)
+    frequent = stage(seen.orderBy(F.desc("n"), "gram").limit(top_grams).select("gram"), "frequent")
     known = pa.chunked_array(top["word"].chunks, top["word"].type).cast(pa.large_binary()).combine_chunks()
     known = known.chunk(0) if isinstance(known, pa.ChunkedArray) else known
-    shared = spark.sparkContext.broadcast((Tree(*gathered(tree), depth), known, top["c"].to_numpy()))
+    shared = spark.sparkContext.broadcast((*gathered(gram_scores(frequent, levels)), known, top["c"].to_numpy()))
     least = -math.log10(n_train + distinct + 1)
     of_end = math.log10(ends + 1) + least
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute as pc
 
-        tree, known, known_c = shared.value
+        top_gram, top_gain, known, known_c = shared.value
         gain = np.log10(known_c + 1.0)
-        names = ["row", "id", "word", "times", "n_bytes", "n_tokens", "n_known", "base_score", "score"]
+        names = ["row", "id", "word", "gram", "times", "n_bytes", "n_tokens", "n_known", "base_score", "score"]
         for rows, raw, off in pieces(batches, "text"):
             words = Words(lowered(raw), off)
             data, doc_off = stream(words)
-            coded = pa.array(grams(data, doc_off, tree.depth)).dictionary_encode()
-            seen = coded.dictionary.to_numpy()
-            order = np.argsort(seen)
-            of_gram = np.empty(len(seen))
-            of_gram[order] = tree.log10(seen[order])
-            by_byte = of_gram[coded.indices.to_numpy()]
+            coded = pa.array(grams(data, doc_off, depth)).dictionary_encode()
+            which_gram, seen = coded.indices.to_numpy(), coded.dictionary.to_numpy()
+            of_gram = np.full(len(seen), np.nan)
+            if len(top_gram):
+                order = np.argsort(seen)
+                place = np.minimum(np.searchsorted(top_gram, seen[order]), len(top_gram) - 1)
+                of_gram[order] = np.where(top_gram[place] == seen[order], top_gain[place], np.nan)
+            by_byte = of_gram[which_gram]
+            rare_gram = np.flatnonzero(np.isnan(by_byte))
+            by_byte[rare_gram] = 0.0
             total = sums(by_byte, doc_off)
             distinct, which = distinct_words(words)
             slot = pc.index_in(distinct, value_set=known).fill_null(-1).to_numpy()
@@ -282,23 +271,32 @@ def lm_scores(
             # A key that no word has, as it holds a space, and that spreads these rows.
             own = pa.array([b" %d" % r for r in row.tolist()], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [rows.column(0), rows.column(1), own, pa.array(np.ones(n, np.int64)), pa.array(np.diff(doc_off)), pa.array(tokens),
+                [rows.column(0), rows.column(1), own, pa.nulls(n, pa.int64()), pa.array(np.ones(n, np.int64)), pa.array(np.diff(doc_off)), pa.array(tokens),
                  pa.array(sums((slot >= 0).astype(np.int64)[which], words.doc_off) + (ends > 0)), pa.array(sums(of_word[which], words.doc_off) + of_end), pa.array(total)],
                 names=names,
             )
+
+            def others(at: np.ndarray, word: pa.Array, gram: pa.Array, times: np.ndarray) -> pa.RecordBatch:
+                zero, none = pa.array(np.zeros(len(at), np.int64)), pa.array(np.zeros(len(at)))
+                return pa.RecordBatch.from_arrays([pa.array(row[at]), pa.nulls(len(at), rows.column(1).type), word, gram, pa.array(times), zero, zero, zero, none, none], names=names)
+
             rare = np.flatnonzero(slot[which] < 0)
             if len(rare):
                 key, times = np.unique(words.doc()[rare] * len(distinct) + which[rare], return_counts=True)
-                zero = pa.array(np.zeros(len(key), np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(row[key // len(distinct)]), pa.nulls(len(key), rows.column(1).type), distinct.take(pa.array(key % len(distinct))).cast(pa.binary()), pa.array(times), zero, zero, zero, pa.array(np.zeros(len(key))), pa.array(np.zeros(len(key)))],
-                    names=names,
-                )
+                yield others(key // len(distinct), distinct.take(pa.array(key % len(distinct))).cast(pa.binary()), pa.nulls(len(key), pa.int64()), times)
+            if len(rare_gram):
+                doc = np.searchsorted(doc_off, rare_gram, "right") - 1
+                key, times = np.unique(doc * len(seen) + which_gram[rare_gram], return_counts=True)
+                yield others(key // len(seen), pa.nulls(len(key), pa.binary()), pa.array(seen[key % len(seen)]), times)
 
     base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = base.schema["id"].dataType.simpleString()
-    scored = base.mapInArrow(score, f"row bigint, id {kind}, word binary, times bigint, n_bytes bigint, n_tokens bigint, n_known bigint, base_score double, score double")
-    joined = scored.join(counts, "word", "left")
+    scored = stage(base.mapInArrow(score, f"row bigint, id {kind}, word binary, gram bigint, times bigint, n_bytes bigint, n_tokens bigint, n_known bigint, base_score double, score double"), "scored")
+    by_word = scored.where("gram is null").join(counts, "word", "left")
+    rare = scored.where("gram is not null").drop("score")
+    gains = stage(gram_scores(stage(rare.select("gram").distinct(), "rare"), levels), "gains")
+    by_gram = rare.join(gains, "gram").withColumn("score", F.col("times") * F.col("gain")).withColumn("c", F.lit(None).cast("long"))
+    joined = by_word.unionByName(by_gram.select(*by_word.columns))
     found = F.col("c").isNotNull()
     out = joined.groupBy("row").agg(
         F.max("id").alias("id"),

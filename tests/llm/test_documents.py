@@ -279,6 +279,55 @@ def test_context_tree_equals_recursion(spark):
             assert got[key] == pytest.approx(predict([], path, node), abs=1e-9), key
 
 
+@pytest.mark.parametrize("top_grams", [0, 4, 1000])
+def test_scores_use_the_whole_tree(spark, top_grams):
+    """Scores of texts of seen, part seen and unseen contexts against the definition, whatever part of the grams is broadcast."""
+    import math
+
+    from leadtime.llm.context_tree import lm_scores
+
+    depth, train = 2, ["ab abc abd", "abd bca", None, "AB abc"]
+    docs = [*train, "abx zab", "", "q", "é ab", "bd bd bd ca"]
+
+    def steps(text):
+        data = [10] * depth + [*" ".join((text or "").lower().split()).encode(), 10]
+        return [(bytes(data[k - depth : k]), (1 << b) | (data[k] >> (8 - b)), data[k] >> (7 - b) & 1) for k in range(depth, len(data)) for b in range(8)]
+
+    n = {}
+    below = {}
+    for ctx, node, bit in (s for t in train for s in steps(t)):
+        for d in range(depth + 1):
+            n.setdefault((ctx[depth - d :], node), [0, 0])[bit] += 1
+            if d < depth:
+                below.setdefault((ctx[depth - d :], node), set()).add(ctx[depth - d - 1 :])
+
+    def own(key):
+        a, b = n[key]
+        return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.log(math.pi) - math.lgamma(a + b + 1)
+
+    def weighted(key):
+        if len(key[0]) == depth:
+            return own(key)
+        return math.log((math.exp(own(key)) + math.exp(sum(weighted((c, key[1])) for c in below[key]))) / 2)
+
+    def predict(ctx, node):
+        mass, mixed, p = 1.0, 0.0, 0.5
+        for d in range(depth + 1):
+            key = (ctx[depth - d :], node)
+            if key not in n:
+                break
+            kt = (n[key][1] + 0.5) / (sum(n[key]) + 1)
+            p = mixed + mass * kt
+            stop = math.exp(own(key) - math.log(2) - weighted(key))
+            mass, mixed = mass * (1 - stop), mixed + mass * stop * kt
+        return p
+
+    got = {r.doc_id: r.score for r in lm_scores(frame(spark, docs), frame(spark, train), depth=depth, top_grams=top_grams, top_words=2).collect()}
+    for i, t in enumerate(docs):
+        want = sum(math.log10(predict(ctx, node) if bit else 1 - predict(ctx, node)) for ctx, node, bit in steps(t))
+        assert got[i] == pytest.approx(want, abs=1e-7), t
+
+
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
