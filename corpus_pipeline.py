@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadtime.llm.common import stage
+from leadtime.llm.common import row_keys, stage
 from leadtime.llm.decontaminate import contaminated
 from leadtime.llm.line_dedup import line_dedup
 from leadtime.llm.minhash_dedup import near_duplicates
@@ -16,15 +16,16 @@ from leadtime.llm.unigram import language_id
 MIN_LANGUAGE_SCORE = 0.5
 
 
-def without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
-    """The documents but those of ``ids``. Staged, so that the planner knows the size and broadcasts ids only if few."""
-    return docs.join(stage(ids.select("doc_id").distinct(), name), "doc_id", "left_anti").select(*docs.columns)
+def without(docs: DataFrame, keys: DataFrame, key: str, name: str) -> DataFrame:
+    """The documents but those of ``keys``. Staged, so that the planner knows the size and broadcasts keys only if few."""
+    return docs.join(stage(keys.select(key).distinct(), name), key, "left_anti")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without letters and those of no clear language."""
-    found = language_id(docs, docs)
-    return without(docs, found.where((F.col("lang_pred") == "und") | (F.col("score") < MIN_LANGUAGE_SCORE)), "rejected")
+    rows, key = row_keys(docs)
+    found = language_id(rows, docs.select(F.col("doc_id").alias(key), "text", "lang"), id_col=key)
+    return without(rows, found.where((F.col("lang_pred") == "und") | (F.col("score") < MIN_LANGUAGE_SCORE)), key, "rejected").select(*docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,19 +38,22 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the smallest id of each group of near duplicates."""
-    return without(docs, near_duplicates(docs).where(~F.col("kept")), "near")
+    rows, key = row_keys(docs)
+    return without(rows, near_duplicates(rows, id_col=key).where(~F.col("kept")), key, "near").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item."""
-    return without(docs, contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), "leaks")
+    rows, key = row_keys(docs)
+    return without(rows, contaminated(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=key), key, "leaks").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents of the mix, with their size and how many words of them it takes; such columns of the input are replaced."""
     columns = ("size", "source_size", "target", "taken")
-    taken = mix_sources(docs).where("taken > 0").groupBy("doc_id").agg(*[F.max(c).alias(c) for c in columns])
-    return docs.drop(*columns).join(stage(taken, "taken"), "doc_id")
+    rows, key = row_keys(docs)
+    taken = mix_sources(rows, carry=(key,)).where("taken > 0").select(F.col("carried").getField(key).alias(key), *columns)
+    return rows.drop(*columns).join(stage(taken, "taken"), key).select(*[c for c in docs.columns if c not in columns], *columns)
 
 
 STAGES = [

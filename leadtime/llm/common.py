@@ -29,6 +29,25 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def row_keys(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, str]:
+    """The rows, and the name of a column that is never null and different for each of them.
+
+    That is ``id_col`` itself if no id is null or repeated. Otherwise it is a new text column: the id in an order
+    that texts keep (null last), a hash of the row, and a number that tells equal rows apart. The rows are staged
+    with it, so it stays the same wherever they are read again.
+    """
+    if docs.groupBy(id_col).count().where((F.col("count") > 1) | F.col(id_col).isNull()).isEmpty():
+        return docs, id_col
+    name = "row_key"
+    while name in docs.columns:
+        name += "_"
+    whole = docs.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long")
+    ordered = F.lpad(F.hex(F.col(id_col).cast("bigint").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0") if whole else F.concat(F.lit("0"), F.col(id_col).cast("string"))
+    row = F.md5(F.concat_ws("|", *[F.coalesce(F.md5(F.col(c).cast("string").cast("binary")), F.lit("-")) for c in docs.columns]).cast("binary"))
+    key = F.concat_ws("\x00", F.coalesce(ordered, F.lit("~")), row, F.monotonically_increasing_id().cast("string"))
+    return stage(docs.withColumn(name, key), "keyed"), name
+
+
 def squeeze(text: Column) -> Column:
     """Null as empty, and each run of white space as one space."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " ")

@@ -60,7 +60,7 @@ def contaminated(
     Columns: id, item_id, n_shingles (of the item), n_shared, containment. Words are runs of letters and
     digits in lower case, shingles are ``shingle_words`` of them in a row; an item with fewer words is one
     shingle of all its words. Items and documents without words (null, empty) match nothing. Rows that repeat
-    an id count as one document with the words of each. Other columns are ignored.
+    an id (null ids are one such id) count as one document with the words of each. Other columns are ignored.
 
     The sketches are read from a staged table, so the planner knows their size and broadcasts them only if they
     are below its limit; otherwise it shuffles both sides by shingle. Candidates are verified on the shingles
@@ -84,8 +84,10 @@ def contaminated(
     probes = base.select("id", tokens(F.col("text")).alias("words")).select("id", F.explode(hashed_shingles(F.col("words"), sizes)).alias("shingle"))
     candidates = stage(probes.join(sketches, "shingle").select("id", "item_id").distinct(), "candidates")
     wanted = candidates.join(tests.select("item_id", "g", exact_shingles(F.col("item_words"), F.col("g")).alias("item_shingles")), "item_id")
-    suspects = base.join(stage(candidates.select("id").distinct(), "suspects"), "id", "left_semi").select("id", tokens(F.col("text")).alias("words"))
-    both = suspects.join(wanted, "id").select("id", "item_id", F.size("item_shingles").cast("long").alias("n_shingles"), F.array_intersect("item_shingles", exact_shingles(F.col("words"), F.col("g"))).alias("shared"))
+    found_ids = stage(candidates.select(F.col("id").alias("found_id")).distinct(), "suspects")
+    suspects = base.join(found_ids, F.col("id").eqNullSafe(F.col("found_id")), "left_semi").select("id", tokens(F.col("text")).alias("words"))
+    wanted = wanted.withColumnRenamed("id", "wanted_id")
+    both = suspects.join(wanted, F.col("id").eqNullSafe(F.col("wanted_id"))).select("id", "item_id", F.size("item_shingles").cast("long").alias("n_shingles"), F.array_intersect("item_shingles", exact_shingles(F.col("words"), F.col("g"))).alias("shared"))
     shared = F.size(F.array_distinct(F.flatten(F.collect_set("shared")))).cast("long")
     found = both.groupBy("id", "item_id").agg(F.max("n_shingles").alias("n_shingles"), shared.alias("n_shared"))
     return found.where(F.col("n_shared") >= F.ceil(F.col("n_shingles") * containment - 1e-9)).select(

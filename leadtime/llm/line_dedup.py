@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bitmap, in_bitmap, stage
+from .common import bitmap, in_bitmap, row_keys, stage
 
 #: Lines from this length on may differ by one edit; shorter ones must be equal.
 MIN_NEAR_CHARS = 20
@@ -123,11 +123,11 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     order of (id, line number). A line goes if an earlier line of the corpus is equal, or if both have at least
     ``min_near_chars`` characters and are one edit (a character put in, taken out or changed) apart, whether
     the earlier one stays or not. Empty lines always stay. The kept lines are joined by "\\n" again. Null and
-    empty texts give an empty text with no line removed. Rows that repeat an id (null ids are one such id)
-    count as one document each, but share removals, since their lines have the same places. Other columns
-    are ignored.
+    empty texts give an empty text with no line removed. Rows that repeat an id, or have none, are documents of
+    their own, in an order by their content, ids that are null last. Other columns are ignored.
     """
-    base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    docs, key_col = row_keys(docs, id_col)
+    base = docs.select(F.col(key_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     length = F.length("line")
     keys = F.when(length >= min_near_chars, half_keys(F.col("line"), length))
     places = stage(text_lines(base).select("id", "line_no", line_id(F.col("line")).alias("line_id"), keys.alias("keys")), "lines")
@@ -136,11 +136,11 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     marked = distinct.join(near.withColumn("near", F.lit(True)), "line_id", "left").where("n > 1 or near").select("line_id", "first", F.coalesce("near", F.lit(False)).alias("near"))
     here = F.struct("id", "line_no")
     gone = places.join(stage(marked, "marked"), "line_id").where(F.col("near") | ~here.eqNullSafe(F.col("first"))).groupBy("id").agg(F.collect_set("line_no").alias("gone"))
-    left = docs.select(F.col(id_col).alias("id"), F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1).alias("parts"), *([F.struct(*carry).alias("carried")] if carry else []))
-    joined = left.alias("d").join(gone.alias("g"), F.col("d.id").eqNullSafe(F.col("g.id")), "left").select("d.id", *(["d.carried"] if carry else []), "parts", F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
+    left = docs.select(F.col(key_col).alias("id"), F.col(id_col).alias("own_id"), F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1).alias("parts"), *([F.struct(*carry).alias("carried")] if carry else []))
+    joined = left.alias("d").join(gone.alias("g"), F.col("d.id").eqNullSafe(F.col("g.id")), "left").select("d.own_id", *(["d.carried"] if carry else []), "parts", F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
     kept = F.when(F.size("gone") == 0, F.col("parts")).otherwise(F.filter("parts", lambda x, i: ~F.array_contains(F.col("gone"), i)))
     return joined.select(
-        F.col("id").alias(id_col),
+        F.col("own_id").alias(id_col),
         F.array_join(kept, "\n").alias(text_col),
         F.when((F.size("parts") == 1) & (F.col("parts")[0] == ""), 0).otherwise(F.size("parts")).cast("long").alias("n_lines"),
         F.size("gone").cast("long").alias("n_removed"),

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bitmap, stage
+from .common import bitmap, row_keys, stage
 from .graph import components
 from .textbytes import WORD_BASE, Words, lowered, mix, pieces, powers, shingles
 
@@ -143,8 +143,9 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: float =
     A document's set is its distinct runs of ``shingle_words`` words, A-Z lower-cased; with fewer words the whole
     sequence. Documents are linked if their sets' Jaccard similarity is at least ``similarity``;
     ``component_id`` is the smallest id that a document reaches by links, and ``kept`` tells whether that is its
-    own. Documents without words are linked with nothing. Rows that repeat an id are kept or dropped like the
-    others of their set; a null id is never the smallest while there is another. Other columns are ignored.
+    own. Documents without words are linked with nothing. Rows that repeat an id, or have none, are documents of
+    their own, and one row of a group is kept; a null id is never the smallest while there is another. Other
+    columns are ignored.
 
     Documents of equal sets become one class, so that a group of copies is one row from there on. Classes
     that share a band are candidates. In each of some rounds, each band has one class as its hub (the smallest, then
@@ -153,6 +154,13 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: float =
     one comparison each. Classes with too many shingles of their own to be linked with any in their bands then
     leave. At last all pairs of a band whose components still differ are compared, so that no component is left apart.
     """
+    docs, key_col = row_keys(docs, id_col)
+    if key_col != id_col:
+        found = near_duplicates(docs, shingle_words, similarity, key_col, text_col)
+        ids = docs.select(key_col, id_col)
+        first = ids.select(F.col(key_col).alias("component_id"), F.col(id_col).alias("first_id"))
+        named = found.join(ids, key_col).join(first, "component_id")
+        return named.select(id_col, "n_shingles", F.col("first_id").alias("component_id"), "kept")
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = stage(sketch(base, shingle_words), "sketches")
     has_set = F.col("n") > 0

@@ -42,8 +42,9 @@ def mix_sources(
     text_col: str = "text",
     source_col: str = "source",
     bucket_rows: int = BUCKET_ROWS,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per document: id, source, size, source_size, target, taken.
+    """One row per document: id, source, size, source_size, target, taken, and with ``carry`` those columns as a struct ``carried``.
 
     ``size`` is the number of words of the text (0 for null or empty), ``taken`` how many words the mix
     takes, repeats counted. Each source's documents have a random order, by the md5 of seed and id (rows that
@@ -63,6 +64,7 @@ def mix_sources(
             F.col(source_col).alias("source"),
             F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("size"),
             key.alias("key"),
+            *([F.struct(*carry).alias("carried")] if carry else []),
         ),
         "sizes",
     )
@@ -73,7 +75,7 @@ def mix_sources(
     by_range = Window.partitionBy("source").orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
     offsets = bucket_sums.select("source", "range_no", F.coalesce(F.sum("bucket_size").over(by_range), F.lit(0)).alias("before_range"))
     plan = offsets.alias("o").join(targets(sizes, weights, max_epochs).alias("t"), F.col("o.source").eqNullSafe(F.col("t.source"))).select("o.*", "source_size", "target")
-    in_range = Window.partitionBy("source", "range_no").orderBy("key", "size", "id").rowsBetween(Window.unboundedPreceding, -1)
+    in_range = Window.partitionBy("source", "range_no").orderBy("key", "size", "id", *(["carried"] if carry else [])).rowsBetween(Window.unboundedPreceding, -1)
     placed = ranged.withColumn("before", F.coalesce(F.sum("size").over(in_range), F.lit(0)))
     both = placed.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d.range_no") == F.col("p.range_no")))
     budget = F.floor("target").cast("long")
@@ -81,5 +83,6 @@ def mix_sources(
     rest = budget - epochs * F.col("source_size")
     last = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("before") - F.col("before_range")))
     return both.select(
-        F.col("id").alias(id_col), F.col("d.source").alias(source_col), "size", "source_size", "target", (epochs * F.col("size") + last).cast("long").alias("taken")
+        F.col("id").alias(id_col), F.col("d.source").alias(source_col), "size", "source_size", "target", (epochs * F.col("size") + last).cast("long").alias("taken"),
+        *(["carried"] if carry else []),
     )
