@@ -79,7 +79,7 @@ def feature_deltas(spark, sf_dir):
 
 def sequence_windows(spark, sf_dir):
     made = w.chunked(s.hourly(spark, sf_dir), ["series"], "h", 4, 0, lambda o: {"seq": w.sequences(F.col("x"), o, 2, 3)})
-    return made.where("seq is not null and h % 5 = 0").select("series", "h", F.array_join(F.transform("seq", lambda v: F.round(v * 100).cast("bigint").cast("string")), ",").alias("seq"))
+    return made.where("seq is not null").select("series", "h", F.array_join(F.transform("seq", lambda v: F.round(v * 100).cast("bigint").cast("string")), ",").alias("seq"))
 
 
 def sample_index(spark, sf_dir):
@@ -100,8 +100,7 @@ def missing_intervals(spark, sf_dir):
 def long_missing_intervals(spark, sf_dir):
     """Of all features at once, by unpivot; runs also break where days are not in a row."""
     features = ["f_sum_qty", "f_max_price", "f_avg_disc", "resp"]
-    rows = s.daily(spark, sf_dir).where("k % 7 <> 6")
-    long = rows.select("k", F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).isNull().alias("missing")) for f in features])).alias("v")).select("k", "v.*")
+    long = s.daily(spark, sf_dir).select("k", F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).isNull().alias("missing")) for f in features])).alias("v")).select("k", "v.*")
     found = islands.islands(long, ["feature"], "k", F.col("missing"))
     return found.where("n >= 2").select("feature", F.col("first").alias("start_k"), F.col("last").alias("end_k"), F.col("n").alias("days"))
 
