@@ -10,6 +10,8 @@ from ..sources.staging import shared_folder
 #: A run of white space, and a word: what lies between such runs.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Arrow batches of texts have about so many bytes at most; one longer text is a batch of its own.
+BATCH_BYTES = 16 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +31,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches that Python workers get to BATCH_BYTES each, so that long texts don't fill their memory."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == "67108864b":  # as it is when nobody has set it
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def row_keys(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, str]:
     """The rows, and the name of a column that is never null and different for each of them.
 

@@ -10,15 +10,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_back, stage
-from .textbytes import Words, lowered, pieces
+from .common import held_back, small_batches, stage
+from .textbytes import Words, lowered, mix, pieces
 from .unigram import distinct_words, sums
 
 #: Contexts of up to so many bytes.
 DEPTH = 5
-#: So many of the most frequent grams are scored from a broadcast table (16 bytes each), the others in a join.
-TOP_GRAMS = 524_288
-#: So many of the most frequent words are looked up in a broadcast table, the others in a join.
+#: About so many of the most frequent grams are scored from a broadcast table (16 bytes each), the others in a join.
+TOP_GRAMS = 1 << 20
+#: About so many of the most frequent words are looked up in a broadcast table, the others in a join.
 TOP_WORDS = 262_144
 #: The byte after the last word of a text, which is also the context before its first.
 END = 10
@@ -67,34 +67,126 @@ def stream(words: Words) -> tuple[np.ndarray, np.ndarray]:
 
 def grams(data: np.ndarray, doc_off: np.ndarray, depth: int) -> np.ndarray:
     """For each byte, it and the ``depth`` bytes before it in its text as one integer; END stands before a text."""
-    at = np.arange(len(data)) - np.repeat(doc_off[:-1], np.diff(doc_off))
     out = data.astype(np.int64)
-    for back in range(1, depth + 1):
-        before = np.full(len(data), END, np.int64)
-        before[back:] = data[:-back] if back < len(data) else 0
-        before[at < back] = END
-        out |= before << (8 * back)
+    have = 1
+    while have <= depth:
+        take = min(have, depth + 1 - have)
+        wider = out.copy()
+        wider[have:] |= (out[:-have] & ((1 << (8 * take)) - 1)) << (8 * have)
+        out, have = wider, have + take
+    # The first bytes of a text have seen another one.
+    ends = int.from_bytes(bytes([END] * (depth + 1)), "big")
+    for k in range(depth):
+        at = doc_off[:-1][np.diff(doc_off) > k] + k
+        own = (1 << (8 * (k + 1))) - 1
+        out[at] = (out[at] & own) | (ends & ~own)
     return out
 
 
-def gram_counts(docs: DataFrame, depth: int) -> DataFrame:
-    """gram, n: how often each byte follows each context of ``depth`` bytes."""
+class Tally:
+    """Counts of sorted integers, merged when what is pending is about as much as what is held."""
+
+    def __init__(self):
+        self.keys, self.n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pending: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, values: np.ndarray) -> None:
+        values.sort()
+        first = np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.zeros(0, np.int64)
+        self.pending.append((values[first], np.diff(np.r_[first, len(values)])))
+        if sum(len(k) for k, _ in self.pending) > len(self.keys):
+            self.merge()
+
+    def merge(self) -> None:
+        keys = np.concatenate([self.keys, *(k for k, _ in self.pending)])
+        n = np.concatenate([self.n, *(n for _, n in self.pending)])
+        order = np.argsort(keys, kind="stable")
+        keys, n = keys[order], n[order]
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+        self.keys, self.n, self.pending = keys[first], np.add.reduceat(n, first) if len(first) else n, []
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray]:
+        self.merge()
+        out = self.keys, self.n
+        self.__init__()
+        return out
+
+
+class Lookup:
+    """Values of non-negative 64-bit keys in an open table at most half full; nan for other keys."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = max(4, (2 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.full(1 << bits, np.nan)
+        left, slot = np.arange(len(keys)), self.slots(keys)
+        while len(left):
+            free = np.flatnonzero(self.keys[slot] < 0)
+            at, one = np.unique(slot[free], return_index=True)
+            placed = free[one]
+            self.keys[at], self.values[at] = keys[left[placed]], values[left[placed]]
+            still = np.ones(len(left), bool)
+            still[placed] = False
+            left, slot = left[still], (slot[still] + 1) & self.mask
+
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        return (mix(keys.view(np.uint64)) >> self.shift).astype(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        slot = self.slots(keys)
+        there = self.keys[slot]
+        out = np.where(there == keys, self.values[slot], np.nan)
+        left = np.flatnonzero((there != keys) & (there >= 0))
+        while len(left):
+            slot_left = (slot[left] + 1) & self.mask
+            slot[left] = slot_left
+            there = self.keys[slot_left]
+            hit = there == keys[left]
+            out[left[hit]] = self.values[slot_left[hit]]
+            left = left[~hit & (there >= 0)]
+        return out
+
+
+def tallies(docs: DataFrame, depth: int) -> DataFrame:
+    """word, gram, n: how often each word occurs, and how often each byte follows each context of ``depth`` bytes. The other of word and gram is null."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_keys, held_n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        tally = Tally()
+
+        def of_grams() -> pa.RecordBatch:
+            keys, n = tally.rows()
+            return pa.RecordBatch.from_arrays([pa.nulls(len(keys), pa.binary()), pa.array(keys), pa.array(n)], names=["word", "gram", "n"])
+
         for _, raw, off in pieces(batches, "text"):
-            data, doc_off = stream(Words(lowered(raw), off))
-            coded = pa.array(grams(data, doc_off, depth)).value_counts()
-            keys = np.r_[held_keys, coded.field(0).to_numpy()]
-            n = np.r_[held_n, coded.field(1).to_numpy()]
-            held_keys, where = np.unique(keys, return_inverse=True)
-            held_n = np.bincount(where, n, len(held_keys)).astype(np.int64)
-            if len(held_keys) > 2_000_000:  # memory stays bounded: the sums are finished by the aggregate
-                yield pa.RecordBatch.from_arrays([pa.array(held_keys), pa.array(held_n)], names=["gram", "n"])
-                held_keys, held_n = held_keys[:0], held_n[:0]
-        yield pa.RecordBatch.from_arrays([pa.array(held_keys), pa.array(held_n)], names=["gram", "n"])
+            words = Words(lowered(raw), off)
+            coded = words.arrow().value_counts()
+            yield pa.RecordBatch.from_arrays([coded.field(0).cast(pa.binary()), pa.nulls(len(coded), pa.int64()), coded.field(1)], names=["word", "gram", "n"])
+            tally.add(grams(*stream(words), depth))
+            if len(tally.keys) > 2_000_000:  # memory stays bounded: the sums are finished by the aggregate
+                yield of_grams()
+        yield of_grams()
+
+    return docs.mapInArrow(count, "word binary, gram bigint, n bigint").groupBy("word", "gram").agg(F.sum("n").alias("n"))
+
 
-    return docs.mapInArrow(count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+def gram_counts(docs: DataFrame, depth: int) -> DataFrame:
+    """gram, n: how often each byte follows each context of ``depth`` bytes."""
+    return tallies(docs, depth).where("gram is not null").select("gram", "n")
+
+
+def most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    """The rows of the highest n, as many as there are down to a level of n, but not more than ``most``.
+
+    Levels are sixteenths of powers of two, so their table is small whatever the counts.
+    """
+    level = F.floor(F.log2(F.col("n").cast("double")) * 16)
+    least, rows = None, 0
+    for row in sorted(counts.groupBy(level.alias("level")).count().collect(), reverse=True):
+        rows += row["count"]
+        if rows > most:
+            break
+        least = row["level"]
+    return counts.where(level >= least) if least is not None else counts.limit(0)
 
 
 def context_tree(counts: DataFrame, depth: int) -> DataFrame:
@@ -149,26 +241,39 @@ def tree_levels(counts: DataFrame, depth: int) -> list[DataFrame]:
     return out
 
 
+def gram_parts(wanted: DataFrame, level: DataFrame, depth: int) -> DataFrame:
+    """gram, gain, missed: what a level of the tree adds to log10 of the probability of each gram's last byte, and the decisions that it has no node for.
+
+    ``wanted`` has grams (distinct) and ``missed``, a bit for each of the byte's eight decisions that is asked for.
+    """
+    k = F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k")
+    asked = wanted.select("gram", "missed", k).where(F.expr("(shiftright(missed, k) & 1) = 1"))
+    asked = asked.select(
+        "gram", "k", F.shiftright("gram", 8).bitwiseAND(F.lit((1 << (8 * depth)) - 1)).alias("context"),
+        F.expr("cast(shiftleft(1, k) + shiftright(gram & 255, 8 - k) as int)").alias("node"), F.expr("shiftright(gram & 255, 7 - k) & 1").alias("bit"),
+    )
+    met = asked.join(level.select("context", "node", "p"), ["context", "node"], "left")
+    gain = F.log10(F.when(F.col("bit") == 1, F.col("p")).otherwise(1 - F.col("p")))
+    missed = F.sum(F.when(F.col("p").isNull(), F.expr("shiftleft(1, k)")).otherwise(0)).cast("int")
+    return met.groupBy("gram").agg(F.coalesce(F.sum(gain), F.lit(0.0)).alias("gain"), missed.alias("missed"))
+
+
+def known_gains(seen: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """gram, gain of the grams that the tree is made of: the deepest level has all their decisions."""
+    return gram_parts(seen.select("gram", F.lit(255).alias("missed")), levels[-1], len(levels) - 1).select("gram", "gain")
+
+
 def gram_scores(wanted: DataFrame, levels: list[DataFrame]) -> DataFrame:
     """gram, gain: log10 of the probability of the last byte of each gram of ``wanted`` (distinct) after the bytes before it.
 
     Each of the byte's eight decisions takes the deepest context that the tree has for it. Level by level from
     the deepest, all decisions that are open meet the whole level in a join; what finds no node goes on with
-    the next shorter context. Nearly all end at the first level. A decision that no level has is even.
+    the next shorter context. A decision that no level has is even.
     """
     open_ = wanted.select("gram", F.lit(255).alias("missed"))
     parts = []
     for d in range(len(levels) - 1, -1, -1):
-        k = F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k")
-        asked = open_.select("gram", "missed", k).where(F.expr("(shiftright(missed, k) & 1) = 1"))
-        asked = asked.select(
-            "gram", "k", F.shiftright("gram", 8).bitwiseAND(F.lit((1 << (8 * d)) - 1)).alias("context"),
-            F.expr("cast(shiftleft(1, k) + shiftright(gram & 255, 8 - k) as int)").alias("node"), F.expr("shiftright(gram & 255, 7 - k) & 1").alias("bit"),
-        )
-        met = asked.join(levels[d].select("context", "node", "p"), ["context", "node"], "left")
-        gain = F.log10(F.when(F.col("bit") == 1, F.col("p")).otherwise(1 - F.col("p")))
-        missed = F.sum(F.when(F.col("p").isNull(), F.expr("shiftleft(1, k)")).otherwise(0)).cast("int")
-        done = stage(met.groupBy("gram").agg(F.coalesce(F.sum(gain), F.lit(0.0)).alias("gain"), missed.alias("missed")), "gains")
+        done = stage(gram_parts(open_, levels[d], d), "gains")
         parts.append(done.select("gram", "gain"))
         open_ = done.where("missed > 0").select("gram", "missed")
     out = open_.select("gram", F.bit_count("missed") * F.lit(math.log10(0.5)))
@@ -193,17 +298,6 @@ def gathered(scores: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(bytes(found), np.int64), np.frombuffer(bytes(gains), np.float64)
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """word, c over all documents."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, raw, off in pieces(batches, "text"):
-            counted = Words(lowered(raw), off).arrow().value_counts()
-            yield pa.RecordBatch.from_arrays([counted.field(0).cast(pa.binary()), counted.field(1)], names=["word", "c"])
-
-    return docs.mapInArrow(count, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
-
-
 def lm_scores(
     docs: DataFrame,
     train: DataFrame,
@@ -227,18 +321,21 @@ def lm_scores(
     broadcast, those of the others are joined, so the joins have no hot keys.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     train = train.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    counts = stage(word_counts(train), "words")
+    tallied = stage(tallies(train, depth), "tallies")
+    counts = tallied.where("gram is null").select("word", F.col("n").alias("c"))
+    seen = tallied.where("gram is not null").select("gram", "n")
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     ends = train.count()
     n_train, distinct = total["n"] + ends, total["v"] + (ends > 0)
-    top = counts.orderBy(F.desc("c"), "word").limit(top_words).toArrow()
-    seen = stage(gram_counts(train, depth), "grams")
+    top = most_frequent(counts.withColumnRenamed("c", "n"), top_words).toArrow()
     levels = tree_levels(seen, depth)
-    frequent = stage(seen.orderBy(F.desc("n"), "gram").limit(top_grams).select("gram"), "frequent")
+    gains = stage(known_gains(seen, levels), "gains")
+    frequent = most_frequent(seen, top_grams).select("gram")
     known = pa.chunked_array(top["word"].chunks, top["word"].type).cast(pa.large_binary()).combine_chunks()
     known = known.chunk(0) if isinstance(known, pa.ChunkedArray) else known
-    shared = spark.sparkContext.broadcast((*gathered(gram_scores(frequent, levels)), known, top["c"].to_numpy()))
+    shared = spark.sparkContext.broadcast((*gathered(gains.join(stage(frequent, "frequent"), "gram")), known, top["n"].to_numpy()))
     least = -math.log10(n_train + distinct + 1)
     of_end = math.log10(ends + 1) + least
 
@@ -246,19 +343,14 @@ def lm_scores(
         import pyarrow.compute as pc
 
         top_gram, top_gain, known, known_c = shared.value
+        table = Lookup(top_gram, top_gain)
         gain = np.log10(known_c + 1.0)
         names = ["row", "id", "word", "gram", "times", "n_bytes", "n_tokens", "n_known", "base_score", "score"]
         for rows, raw, off in pieces(batches, "text"):
             words = Words(lowered(raw), off)
             data, doc_off = stream(words)
-            coded = pa.array(grams(data, doc_off, depth)).dictionary_encode()
-            which_gram, seen = coded.indices.to_numpy(), coded.dictionary.to_numpy()
-            of_gram = np.full(len(seen), np.nan)
-            if len(top_gram):
-                order = np.argsort(seen)
-                place = np.minimum(np.searchsorted(top_gram, seen[order]), len(top_gram) - 1)
-                of_gram[order] = np.where(top_gram[place] == seen[order], top_gain[place], np.nan)
-            by_byte = of_gram[which_gram]
+            of_byte = grams(data, doc_off, depth)
+            by_byte = table(of_byte)
             rare_gram = np.flatnonzero(np.isnan(by_byte))
             by_byte[rare_gram] = 0.0
             total = sums(by_byte, doc_off)
@@ -285,17 +377,20 @@ def lm_scores(
                 key, times = np.unique(words.doc()[rare] * len(distinct) + which[rare], return_counts=True)
                 yield others(key // len(distinct), distinct.take(pa.array(key % len(distinct))).cast(pa.binary()), pa.nulls(len(key), pa.int64()), times)
             if len(rare_gram):
-                doc = np.searchsorted(doc_off, rare_gram, "right") - 1
-                key, times = np.unique(doc * len(seen) + which_gram[rare_gram], return_counts=True)
-                yield others(key // len(seen), pa.nulls(len(key), pa.binary()), pa.array(seen[key % len(seen)]), times)
+                doc, gram = np.searchsorted(doc_off, rare_gram, "right") - 1, of_byte[rare_gram]
+                order = np.lexsort((gram, doc))
+                doc, gram = doc[order], gram[order]
+                first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (gram[1:] != gram[:-1])])
+                yield others(doc[first], pa.nulls(len(first), pa.binary()), pa.array(gram[first]), np.diff(np.r_[first, len(doc)]))
 
     base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = base.schema["id"].dataType.simpleString()
     scored = stage(base.mapInArrow(score, f"row bigint, id {kind}, word binary, gram bigint, times bigint, n_bytes bigint, n_tokens bigint, n_known bigint, base_score double, score double"), "scored")
     by_word = scored.where("gram is null").join(counts, "word", "left")
     rare = scored.where("gram is not null").drop("score")
-    gains = stage(gram_scores(stage(rare.select("gram").distinct(), "rare"), levels), "gains")
-    by_gram = rare.join(gains, "gram").withColumn("score", F.col("times") * F.col("gain")).withColumn("c", F.lit(None).cast("long"))
+    unseen = stage(rare.select("gram").distinct().join(gains, "gram", "left_anti"), "unseen")
+    all_gains = gains if unseen.isEmpty() else gains.unionByName(stage(gram_scores(unseen, levels), "unseen_gains"))
+    by_gram = rare.join(all_gains, "gram").withColumn("score", F.col("times") * F.col("gain")).withColumn("c", F.lit(None).cast("long"))
     joined = by_word.unionByName(by_gram.select(*by_word.columns))
     found = F.col("c").isNotNull()
     out = joined.groupBy("row").agg(
