@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, row_keys, stage
+from .common import bitmap, row_keys, small_batches, stage
 from .graph import components
 from .textbytes import WORD_BASE, Words, lowered, mix, pieces, powers, shingles
 
@@ -22,6 +22,8 @@ BITS = 4
 SLACK = 0.12
 #: Rounds in which a band's documents are compared with one of them, before the pairs that are left.
 STAR_ROUNDS = 2
+#: A shingle that at most so many of the sets still open hold is rare: its sets may be paired, as their pairs are in proportion to them.
+RARE = 64
 FILTER_BITS = 24
 SEEDS = mix(np.arange(1, 2 * HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -151,9 +153,10 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: float =
     that share a band are candidates. In each of some rounds, each band has one class as its hub (the smallest, then
     the one with the fewest shingles of its own), and each class is compared with one hub of its
     bands that is not in its component yet. So a large group of near copies becomes one component by about
-    one comparison each. Classes with too many shingles of their own to be linked with any in their bands then
-    leave. At last all pairs of a band whose components still differ are compared, so that no component is left apart.
+    one comparison each. At last the classes whose components still differ are compared by the rare shingles that they share,
+    and by their bands where they have few rare ones (see :func:`last_pairs`), so that no component is left apart.
     """
+    small_batches(docs.sparkSession)
     docs, key_col = row_keys(docs, id_col)
     if key_col != id_col:
         found = near_duplicates(docs, shingle_words, similarity, key_col, text_col)
@@ -185,58 +188,78 @@ def mixed_bands(rows: DataFrame) -> DataFrame:
     return rows.join(stage(mixed, "bands"), "band")
 
 
-def own_shingles(sets: DataFrame, ids: DataFrame) -> DataFrame:
-    """id, own: how many shingles of each set no other set of ``ids`` has."""
-    spread = sets.join(ids, "id", "left_semi").select("id", F.explode("shingles").alias("shingle"))
-    alone = spread.groupBy("shingle").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1")
-    return alone.groupBy("id").agg(F.count("*").alias("own"))
+def rare_shingles(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, shingle, held: the shingles of the sets of ``ids`` that at most RARE of them hold, and how many do."""
+    spread = stage(sets.join(ids, "id", "left_semi").select("id", F.explode("shingles").alias("shingle")), "spread")
+    held = spread.groupBy("shingle").agg(F.count("*").alias("held")).where(F.col("held") <= RARE)
+    return spread.join(stage(held, "held"), "shingle").select("id", "shingle", "held")
+
+
+def last_pairs(open_: DataFrame, rare: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
+    """a, b: the pairs of open classes that may be linked and are not in one component; those that are linked are all among them.
+
+    Two linked sets of n and m shingles share t = ceil(s / (1 + s) * (n + m)) of them at least. With each set's shingles in the
+    order of how many sets hold them, both have one of those that they share among their first n - t + 1 and m - t + 1. So sets meet
+    by the rare ones of these. A pair that no rare shingle joins shares at most what is not rare: only sets with few enough
+    rare ones, and only pairs whose sizes allow it, are compared by their bands.
+    """
+    percent = round(100 * similarity)
+    smallest = open_.groupBy("band").agg(F.min("n").alias("least"))
+    nodes = open_.join(smallest, "band").groupBy("id").agg(F.first("component").alias("component"), F.first("n").alias("n"), F.min("least").alias("least"))
+    least = F.greatest("least", F.ceil(F.col("n") * percent / 100))
+    nodes = nodes.withColumn("prefix", F.col("n") - F.ceil((F.col("n") + least) * percent / (100 + percent)) + 1)
+    held = rare.groupBy("id").agg(F.count("*").alias("n_rare"), F.sum(F.when(F.col("held") == 1, 1).otherwise(0)).alias("own"), F.array_sort(F.collect_list(F.when(F.col("held") > 1, F.struct("held", "shingle")))).alias("shared"))
+    nodes = nodes.join(held, "id", "left").select("id", "component", "n", "prefix", F.coalesce("n_rare", F.lit(0)).alias("n_rare"), F.coalesce("own", F.lit(0)).alias("own"), "shared")
+    nodes = stage(nodes, "nodes")
+    first = F.slice("shared", F.lit(1), F.greatest(F.lit(0), F.col("prefix") - F.col("own")).cast("int"))
+    keyed = stage(nodes.where("shared is not null").select("id", "component", "n", F.explode(first.getField("shingle")).alias("shingle")), "prefixes")
+    mine, other = keyed.toDF("b", "b_component", "b_n", "shingle"), keyed.toDF("a", "a_component", "a_n", "shingle")
+    sized = percent * F.greatest("a_n", "b_n") <= 100 * F.least("a_n", "b_n")
+    by_shingle = mine.join(other, "shingle").where((F.col("a") < F.col("b")) & (F.col("a_component") != F.col("b_component")) & sized).select("a", "b")
+    few = stage(nodes.where("n_rare < prefix").select("id", "n_rare"), "few")
+    left = mixed_bands(open_.join(few, "id")).join(reps.select("id", "bands", "packed"), "id")
+    other = left.select(*[F.col(c).alias("a" if c == "id" else f"a_{c}") for c in ("id", "band", "component", "n", "n_rare", "bands", "packed")])
+    common = F.least(F.col("n") - F.col("n_rare"), F.col("a_n") - F.col("a_n_rare"))
+    likely = (F.col("a") < F.col("id")) & (F.col("component") != F.col("a_component")) & (100 * common >= percent * (F.col("n") + F.col("a_n") - common))
+    # Each pair once, in the first of the bands that both share.
+    likely = likely & (estimate(F.col("packed"), F.col("a_packed")) >= similarity - SLACK) & (F.get(F.array_intersect("bands", "a_bands"), F.lit(0)) == F.col("band"))
+    by_band = left.join(other, (F.col("band") == F.col("a_band")) & likely).select("a", F.col("id").alias("b"))
+    return by_shingle.unionByName(by_band)
 
 
 def linked_classes(base: DataFrame, reps: DataFrame, members: DataFrame, size: int, similarity: float) -> DataFrame:
     """node, component of the classes that have a link.
 
-    A set of n shingles, ``own`` of which no other open set has, can share n - own with any other at most. That bounds
-    its similarity with all sets of its bands by their sizes; sets below the threshold leave before pairs are made.
+    In each of STAR_ROUNDS rounds, each band has a hub and each class is compared with one hub. At last the pairs that
+    may still be linked are compared.
     """
     wanted = members.select("id").distinct()
     sets = stage(full_sets(base, wanted, size).join(reps.select("id", "n", "packed"), "id").dropDuplicates(["id"]), "sets")
     small = stage(sets.select("id", "n", "packed"), "packed")
-    percent = round(100 * similarity)
-
-    def reach(common: Column, size: Column) -> Column:
-        return 100 * common >= percent * size
-
-    labels = None
-    rows = stage(members.join(small.select("id", "n"), "id").select("id", "band", F.col("n").cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("own")), "rows")
+    labels = rare = None
+    rows = stage(members.join(small.select("id", "n"), "id").select("id", "band", F.col("n").cast("bigint").alias("n")), "rows")
     for turn in range(STAR_ROUNDS + 1):
         if labels is None:
             now = rows.withColumn("component", F.col("id"))
         else:
-            now = rows.join(labels, rows["id"] == labels["node"], "left").select("id", "band", "n", "own", F.coalesce("component", "id").alias("component"))
-        open_ = mixed_bands(now)
-        if turn == 1:
-            open_ = stage(open_, "open")
-            known = open_.drop("own").join(stage(own_shingles(sets, open_.select("id").distinct()), "own"), "id", "left").withColumn("own", F.coalesce("own", F.lit(0)))
-            common = F.col("n") - F.col("own")
-            least = F.min("n").over(Window.partitionBy("band"))
-            open_ = mixed_bands(known.withColumn("least", least).where(reach(common, F.col("n") + F.greatest("least", common) - common)).drop("least"))
-        open_ = stage(open_.select("id", "band", "n", "own", "component"), "open")
+            now = rows.join(labels, rows["id"] == labels["node"], "left").select("id", "band", "n", F.coalesce("component", "id").alias("component"))
+        open_ = stage(mixed_bands(now).select("id", "band", "n", "component"), "open")
         if open_.isEmpty():
             break
+        if rare is None and turn in (1, STAR_ROUNDS):
+            rare = stage(rare_shingles(sets, open_.select("id").distinct()), "rare")
+            shares = stage(rare.groupBy("id").agg(F.count("*").alias("n_rare")), "shares")
         if turn < STAR_ROUNDS:
-            order = F.struct("id") if turn == 0 else F.struct(F.col("own") / F.col("n"), "id")
-            hubs = stage(open_.groupBy("band").agg(F.min_by(F.struct("id", "component"), order).alias("hub"), F.min(order).alias("rank")).select("band", "hub.*", "rank").toDF("band", "a", "a_component", "rank"), "hubs")
+            ranked = open_.withColumn("rank", F.lit(0.0))
+            if rare is not None:
+                ranked = open_.join(shares, "id", "left").select(*open_.columns, (F.coalesce("n_rare", F.lit(0)) / F.col("n")).alias("rank"))
+            order = F.struct("rank", "id")
+            hubs = stage(ranked.groupBy("band").agg(F.min_by(F.struct("id", "component"), order).alias("hub"), F.min(order).alias("rank")).select("band", "hub.*", "rank").toDF("band", "a", "a_component", "rank"), "hubs")
             offers = open_.join(hubs, "band").where("component <> a_component")
             chosen = offers.groupBy("id").agg(F.min_by("a", "rank").alias("a"))
             pairs = chosen.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"))
         else:
-            # Each pair once, in the first of the bands that both share.
-            mine = open_.join(reps.select("id", "bands", "packed"), "id")
-            other = mine.select(*[F.col(c).alias("a" if c == "id" else f"a_{c}") for c in ("id", "band", "component", "n", "own", "bands", "packed")])
-            common = F.least(F.col("n") - F.col("own"), F.col("a_n") - F.col("a_own"))
-            likely = (F.col("a") < F.col("id")) & (F.col("component") != F.col("a_component")) & reach(common, F.col("n") + F.col("a_n") - common)
-            likely = likely & (estimate(F.col("packed"), F.col("a_packed")) >= similarity - SLACK) & (F.get(F.array_intersect("bands", "a_bands"), F.lit(0)) == F.col("band"))
-            pairs = mine.join(other, (F.col("band") == F.col("a_band")) & likely).select("a", F.col("id").alias("b"))
+            pairs = last_pairs(open_, rare, reps, similarity)
         new = stage(verified(pairs.distinct(), small, sets, similarity), "links")
         if labels is None:
             labels = stage(components(new), "labels")
