@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_back
+from .common import held_back, small_batches
 from .textbytes import Words, pieces
 from .trie import Pieces, Trie
 
@@ -62,6 +62,7 @@ def token_counts(docs: DataFrame, vocabulary_path: str | None = None, id_col: st
     scored once, and each terminal holds its count. Null and empty texts have no tokens. Each row stands for
     itself, repeated ids too; other columns are ignored. There is no shuffle.
     """
+    small_batches(docs.sparkSession)
     vocab = vocabulary(vocabulary_path)
     shared = docs.sparkSession.sparkContext.broadcast((vocab, rank_scores(vocab)))
 
@@ -86,14 +87,20 @@ def piece_model(
 ) -> tuple[list[str], np.ndarray]:
     """The languages (by code point) and, for each piece, a row of its log-probability in each language.
 
-    At most about ``max_docs_per_language`` documents of a language count, chosen by the md5 of their ids.
-    Piece counts come from the best segmentation by rank scores, plus ``smoothing`` for each piece.
+    At most about ``max_docs_per_language`` documents of a language count, chosen by the md5 of their ids where
+    they are read, so no text is moved. Piece counts come from the best segmentation by rank scores, plus
+    ``smoothing`` for each piece.
     """
     spark = labelled.sparkSession
     named = labelled.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(lang_col).alias("lang"))
-    per_language = named.where("lang is not null").groupBy("lang").agg(F.count("*").alias("rows"))
+    # One row for each language, as many as the model has columns.
+    per_language = {r["lang"]: r["rows"] for r in named.where("lang is not null").groupBy("lang").agg(F.count("*").alias("rows")).collect()}
+    langs = sorted(per_language)
+    if not langs:
+        return [], np.zeros((len(vocab), 0))
     share = F.conv(F.substring(F.md5(F.col("id").cast("binary")), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    sample = named.join(per_language, "lang").where(share < F.lit(float(max_docs_per_language)) / F.col("rows"))
+    bound = F.element_at(F.create_map(*[F.lit(x) for lang in langs for x in (lang, max_docs_per_language / per_language[lang])]), F.col("lang"))
+    sample = named.where("lang is not null").where(share < bound)
     shared = spark.sparkContext.broadcast((vocab, rank_scores(vocab)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,7 +119,7 @@ def piece_model(
     rows = sample.select("lang", "text")
     # One row for each language and piece of the fixed vocabulary.
     counted = rows.mapInArrow(count, "lang string, piece bigint, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas()
-    langs = sorted({*counted["lang"], *(r[0] for r in per_language.select("lang").collect())})
+    shared.unpersist()
     table = np.full((len(vocab), len(langs)), smoothing)
     if len(counted):
         table[counted["piece"].to_numpy(), counted["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy()] += counted["n"].to_numpy()
@@ -139,6 +146,7 @@ def language_id(
     row has a language. Each row stands for itself; other columns are ignored. There is no shuffle but that of
     the piece counts.
     """
+    small_batches(docs.sparkSession)
     vocab = vocabulary(vocabulary_path)
     langs, log_p = piece_model(train, vocab, max_docs_per_language, smoothing, id_col, text_col, lang_col)
     shared = docs.sparkSession.sparkContext.broadcast((vocab, langs, log_p))
