@@ -2,12 +2,33 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
 
 
+#: The folders made so far and not deleted.
+_made: list[str] = []
+
+
+@contextlib.contextmanager
+def tidied(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at the end, the folders made inside but the last one, which holds the result."""
+    before = len(_made)
+    yield
+    for path in _made[before:-1]:
+        _delete(spark, path)
+    del _made[before:-1]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder that driver and executors share: below ``spark.checkpoint.dir``, or an own one where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -16,9 +37,12 @@ def shared_folder(spark: SparkSession, name: str) -> str:
         root = option.get() if option.isDefined() else None
     if not root:
         local = spark.sparkContext.master.startswith("local")
-        root = "file://" + tempfile.mkdtemp(prefix="leadtime-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stages"
+        if not local:
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="leadtime-")
         spark.sparkContext.setCheckpointDir(root)
     path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    _made.append(path)
     return path
