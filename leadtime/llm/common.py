@@ -31,6 +31,10 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A filter of :func:`maybe_in` has 2**MAX_BITS bits at most.
+MAX_BITS = 26
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bounds the Arrow batches that Python workers get to BATCH_BYTES each, so that long texts don't fill their memory."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -90,8 +94,17 @@ def bitmap(keys: Column | str, df: DataFrame, bits: int) -> bytes:
     return bytes(out)
 
 
-def in_bitmap(key: Column, flags: bytes, bits: int) -> Column:
-    """Whether the bit of ``key`` is set in a bitmap of :func:`bitmap`."""
-    slot = F.pmod(key, F.lit(1 << bits))
-    byte = F.conv(F.hex(F.substring(F.lit(bytearray(flags)), (F.shiftright(slot, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return F.getbit(byte, F.pmod(slot, F.lit(8)).cast("int")) == 1
+def maybe_in(df: DataFrame, key: Column, keys: DataFrame, name: str) -> DataFrame:
+    """Adds whether ``key`` may be in ``keys`` (one column of hashes, staged): true for all that are, and for few others.
+
+    A bit stands for each key modulo a power of two, 16 times the number of keys up to 2**MAX_BITS. The bits are a table of
+    blocks of 4 KB, of 2**MAX_BITS bits (8 MB) in all at most, so it can be broadcast whatever the input.
+    """
+    bits = min(MAX_BITS, max(16, (16 * keys.count()).bit_length()))
+    size = F.lit(1 << bits)
+    slot = F.pmod(F.col(keys.columns[0]), size).cast("long")
+    blocks = keys.select(slot.alias("_slot")).groupBy(F.shiftright("_slot", 15).alias("_block")).agg(F.bitmap_construct_agg(F.pmod("_slot", F.lit(1 << 15))).alias("_bits"))
+    own = df.withColumn("_slot", F.pmod(key, size).cast("long")).withColumn("_block", F.shiftright("_slot", 15))
+    byte = F.conv(F.hex(F.substring("_bits", (F.shiftright(F.pmod("_slot", F.lit(1 << 15)), 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    there = F.coalesce(F.getbit(byte, F.pmod("_slot", F.lit(8)).cast("int")) == 1, F.lit(False))
+    return own.join(F.broadcast(stage(blocks, "blocks")), "_block", "left").select(*df.columns, there.alias(name))

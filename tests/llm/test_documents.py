@@ -20,6 +20,7 @@ from leadtime.llm.line_dedup import line_dedup
 from leadtime.llm.minhash_dedup import near_duplicates
 from leadtime.llm.mixing import mix_sources
 from leadtime.llm.personal_data import personal_data, reliabilities
+from leadtime.llm import substring_dedup as substring_dedup_module
 from leadtime.llm.substring_dedup import substring_dedup
 from leadtime.llm.unigram import held_out_language_id, token_counts
 
@@ -161,9 +162,19 @@ def test_contamination_by_brute_force(spark):
     assert contaminated(frame(spark, docs), bench.limit(0)).collect() == []
 
 
-@pytest.mark.parametrize("group_rows", [1, 1000])
-def test_substring_dedup_by_brute_force(spark, texts, group_rows):
-    docs = [*texts, " ".join(words_of(13, 77)), " ".join(words_of(13, 77)[:12]), "A " + " ".join(words_of(13, 77)), " ".join(["again"] * 40), " ".join(["again"] * 14)]
+@pytest.mark.parametrize(("group_rows", "tree_bytes"), [(1, 1), (1000, 1 << 20), (1000, 1)])
+def test_substring_dedup_by_brute_force(spark, texts, group_rows, tree_bytes, monkeypatch):
+    monkeypatch.setattr(substring_dedup_module, "TREE_BYTES", tree_bytes)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)  # so that parts begin and end anywhere in a batch
+    try:
+        check_substrings(spark, texts, group_rows)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def check_substrings(spark, texts, group_rows):
+    copies = [" ".join(words_of(60, 901)[k : k + 25]) for k in range(0, 36, 5)] * 2
+    docs = [*texts, *copies, " ".join(words_of(13, 77)), " ".join(words_of(13, 77)[:12]), "A " + " ".join(words_of(13, 77)), " ".join(["again"] * 40), " ".join(["again"] * 14)]
     got = {r.doc_id: r for r in substring_dedup(frame(spark, docs), group_rows=group_rows).collect()}
     first = {}
     split = [re.findall(WORD, t or "") for t in docs]
