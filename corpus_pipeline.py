@@ -1,4 +1,10 @@
-"""A corpus pipeline: five operators in a row, each on all that the one before kept."""
+"""A corpus pipeline: five operators in a row, each on all that the one before kept.
+
+Every stage treats each row as a document of its own: null and repeated ids are told apart by a key made for the
+stage (see ``row_keys``), so one row's fate never is another's. Long texts are handled whole. An empty table gives an
+empty table. Columns beside ``doc_id text lang source n_chars`` are carried along; those whose names a stage uses itself
+are kept by it, but for the four that the mix adds, which replace columns of their names.
+"""
 
 from __future__ import annotations
 
@@ -11,6 +17,7 @@ from leadtime.llm.line_dedup import line_dedup
 from leadtime.llm.minhash_dedup import near_duplicates
 from leadtime.llm.mixing import mix_sources
 from leadtime.llm.unigram import language_id
+from leadtime.sources.staging import tidied
 
 #: A text whose language has less than this posterior is rejected.
 MIN_LANGUAGE_SCORE = 0.5
@@ -22,7 +29,7 @@ def without(docs: DataFrame, keys: DataFrame, key: str, name: str) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without letters and those of no clear language."""
+    """Drops documents without letters (null and empty ones too) and those of no clear language."""
     rows, key = row_keys(docs)
     found = language_id(rows, docs.select(F.col("doc_id").alias(key), "text", "lang"), id_col=key)
     return without(rows, found.where((F.col("lang_pred") == "und") | (F.col("score") < MIN_LANGUAGE_SCORE)), key, "rejected").select(*docs.columns)
@@ -51,9 +58,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents of the mix, with their size and how many words of them it takes; such columns of the input are replaced."""
     columns = ("size", "source_size", "target", "taken")
-    rows, key = row_keys(docs)
-    taken = mix_sources(rows, carry=(key,)).where("taken > 0").select(F.col("carried").getField(key).alias(key), *columns)
-    return rows.drop(*columns).join(stage(taken, "taken"), key).select(*[c for c in docs.columns if c not in columns], *columns)
+    others = tuple(c for c in docs.columns if c not in columns)
+    found = mix_sources(docs, carry=others).where("taken > 0")
+    return found.select(*[F.col("carried").getField(c).alias(c) for c in others], *columns)
 
 
 STAGES = [
@@ -69,7 +76,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of ``documents`` after all stages. What a stage has staged on the way goes when its result is staged, and so does the result before it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir), name)
+        with tidied(spark):
+            docs = stage(step(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bitmap, in_bitmap, row_keys, stage
+from .common import maybe_in, row_keys, stage
 
 #: Lines from this length on may differ by one edit; shorter ones must be equal.
 MIN_NEAR_CHARS = 20
 #: Parts of a line; variants leave out characters of the parts whose surroundings two lines share.
 SEGMENTS = 16
-#: The filter of documents whose lines are read again has 2**FILTER_BITS bits (512 KB).
-FILTER_BITS = 22
 
 
 def half_keys(line: Column, length: Column) -> Column:
@@ -78,17 +76,16 @@ def near_duplicates(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     ``distinct`` has (line_id, first, keys), with null keys for lines that only equal ones can match. Lines without
     any partner for a half have gone first, which the pigeonhole principle allows, then segments whose
     surroundings no other line has. Only the texts of lines with a partner are read again, from documents that
-    a bitmap of fixed size tells. Within a key the earliest line is
+    a filter of bounded size tells. Within a key the earliest line is
     the only partner that matters, so a window minimum gives one candidate per line and key, and no pairs of a
     group are made; the number of distinct lines that can share a variant is bounded by the alphabet.
     """
     keyed = distinct.where("keys is not null").select("line_id", "first", F.xxhash64("line_id").alias("short_id"), F.explode(F.array_distinct("keys")).alias("key"))
     shared = stage(keyed.groupBy("key").agg(F.min("short_id").alias("a"), F.max("short_id").alias("b")).where("a <> b").select("key"), "shared")
     left = stage(keyed.join(shared, "key", "left_semi").select("line_id", "first").distinct(), "paired")
-    slot = F.xxhash64("id")
-    flags = bitmap(F.xxhash64("first.id"), left, FILTER_BITS)
+    firsts = stage(left.select(F.xxhash64("first.id").alias("key")).distinct(), "firsts")
     texts = stage(
-        text_lines(docs.where(in_bitmap(slot, flags, FILTER_BITS)))
+        text_lines(maybe_in(docs, F.xxhash64("id"), firsts, "maybe").where("maybe"))
         .withColumn("line_id", line_id(F.col("line")))
         .join(left, "line_id")
         .where(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("line_no") == F.col("first.line_no")))
@@ -119,7 +116,7 @@ def near_duplicates(docs: DataFrame, distinct: DataFrame) -> DataFrame:
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_near_chars: int = MIN_NEAR_CHARS, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: id, text (its kept lines), n_lines, n_removed, and with ``carry`` those columns as a struct ``carried``.
 
-    Lines are what "\\n" separates, compared after white space is squeezed and trimmed. The corpus is read in the
+    Lines are what "\\n" separates, compared without white space at their ends, equal ones by the md5 of their bytes. The corpus is read in the
     order of (id, line number). A line goes if an earlier line of the corpus is equal, or if both have at least
     ``min_near_chars`` characters and are one edit (a character put in, taken out or changed) apart, whether
     the earlier one stays or not. Empty lines always stay. The kept lines are joined by "\\n" again. Null and

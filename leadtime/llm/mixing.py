@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, stage
+from .common import WORD, row_keys, stage
 
 #: A source of this many documents has one bucket of its order; larger ones have more.
 BUCKET_ROWS = 50_000
@@ -48,41 +48,53 @@ def mix_sources(
 
     ``size`` is the number of words of the text (0 for null or empty), ``taken`` how many words the mix
     takes, repeats counted. Each source's documents have a random order, by the md5 of seed and id (rows that
-    repeat an id are told apart by size, and equal rows are interchangeable). A source takes whole
+    repeat an id, or have none, are told apart by size and by a key made for them). A source takes whole
     epochs of its documents while its budget lasts, then documents in that order; the last one is cut where
     the budget, the whole part of the target, is used up. A null source is a source of its own. An empty
     table gives an empty result, and sources without words take nothing. Other columns are ignored.
 
     The order is by hash, so equal ranges of the hash hold equal shares of a source. Rows meet in (source,
     range) buckets of bounded size; a bucket's offset is the running sum of the bucket totals before it. No
-    task sees a whole source.
+    task sees a whole source. That gives, for each source, the document at which its budget ends: one row, which all
+    documents of the source are compared with where they are read, so their texts are not moved.
     """
-    key: Column = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
-    sizes = stage(
-        docs.select(
-            F.col(id_col).alias("id"),
-            F.col(source_col).alias("source"),
-            F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("size"),
-            key.alias("key"),
-            *([F.struct(*carry).alias("carried")] if carry else []),
-        ),
-        "sizes",
+    docs, key_col = row_keys(docs, id_col)
+
+    def placed(*more: Column) -> DataFrame:
+        key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
+        size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
+        return docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), F.struct(key.alias("key"), size.alias("size"), F.col(key_col).alias("row")).alias("place"), *more)
+
+    sizes = stage(placed(), "sizes")
+    plan = stage(source_plan(sizes, weights, max_epochs, bucket_rows), "plan")
+    rows = placed(F.struct(*carry).alias("carried")) if carry else sizes
+    both = rows.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))
+    last = F.when(F.col("end").isNull() | (F.col("place") < F.col("end")), F.col("size")).when(F.col("place") == F.col("end"), F.col("of_last")).otherwise(0)
+    return both.select(
+        F.col("id").alias(id_col), F.col("d.source").alias(source_col), "size", "source_size", "target", (F.col("epochs") * F.col("size") + last).cast("long").alias("taken"),
+        *(["carried"] if carry else []),
     )
+
+
+def source_plan(sizes: DataFrame, weights: tuple[float, ...], max_epochs: int, bucket_rows: int) -> DataFrame:
+    """source, source_size, target, epochs, end, of_last: the whole epochs of each source, the place at which its budget ends after them, and the words taken there.
+
+    ``sizes`` has source, size, and places that differ from each other. ``end`` is null if the budget has no end.
+    """
     buckets = max(64, -(-sizes.count() // bucket_rows))
-    range_no = F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("double") * buckets / float(1 << 32))
-    ranged = sizes.withColumn("range_no", range_no)
-    bucket_sums = ranged.groupBy("source", "range_no").agg(F.sum("size").alias("bucket_size"))
+    ranged = sizes.withColumn("range_no", F.floor(F.conv(F.substring("place.key", 1, 8), 16, 10).cast("double") * buckets / float(1 << 32)))
+    bucket_sums = stage(ranged.groupBy("source", "range_no").agg(F.sum("size").alias("bucket_size")), "buckets")
     by_range = Window.partitionBy("source").orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = bucket_sums.select("source", "range_no", F.coalesce(F.sum("bucket_size").over(by_range), F.lit(0)).alias("before_range"))
-    plan = offsets.alias("o").join(targets(sizes, weights, max_epochs).alias("t"), F.col("o.source").eqNullSafe(F.col("t.source"))).select("o.*", "source_size", "target")
-    in_range = Window.partitionBy("source", "range_no").orderBy("key", "size", "id", *(["carried"] if carry else [])).rowsBetween(Window.unboundedPreceding, -1)
-    placed = ranged.withColumn("before", F.coalesce(F.sum("size").over(in_range), F.lit(0)))
-    both = placed.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d.range_no") == F.col("p.range_no")))
+    offsets = bucket_sums.select("source", "range_no", "bucket_size", F.coalesce(F.sum("bucket_size").over(by_range), F.lit(0)).alias("before_range"))
     budget = F.floor("target").cast("long")
     epochs = F.coalesce(F.try_divide(budget - F.pmod(budget, F.greatest("source_size", F.lit(1))), F.col("source_size")), F.lit(0)).cast("long")
-    rest = budget - epochs * F.col("source_size")
-    last = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("before") - F.col("before_range")))
-    return both.select(
-        F.col("id").alias(id_col), F.col("d.source").alias(source_col), "size", "source_size", "target", (epochs * F.col("size") + last).cast("long").alias("taken"),
-        *(["carried"] if carry else []),
-    )
+    aims = targets(bucket_sums.withColumnRenamed("bucket_size", "size"), weights, max_epochs).withColumn("epochs", epochs).withColumn("rest", budget - F.col("epochs") * F.col("source_size"))
+    aims = stage(aims, "targets")
+    # The one range of each source in which the rest of its budget ends; only its rows are put in order.
+    ending = offsets.alias("o").join(aims.alias("t"), F.col("o.source").eqNullSafe(F.col("t.source"))).where((F.col("before_range") <= F.col("rest")) & (F.col("rest") < F.col("before_range") + F.col("bucket_size")))
+    ending = stage(ending.select("o.source", "range_no", (F.col("rest") - F.col("before_range")).alias("left")), "ending")
+    here = ranged.alias("r").join(ending.alias("e"), F.col("r.source").eqNullSafe(F.col("e.source")) & (F.col("r.range_no") == F.col("e.range_no"))).select("r.source", "size", "place", "left")
+    before = F.coalesce(F.sum("size").over(Window.partitionBy("source").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    over = here.withColumn("before", before).where(F.col("before") + F.col("size") > F.col("left"))
+    ends = over.groupBy("source").agg(F.min("place").alias("end"), F.min_by(F.greatest(F.lit(0), F.col("left") - F.col("before")), "place").alias("of_last"))
+    return aims.alias("t").join(ends.alias("e"), F.col("t.source").eqNullSafe(F.col("e.source")), "left").select("t.source", "source_size", "target", "epochs", "end", "of_last")

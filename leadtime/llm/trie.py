@@ -29,7 +29,7 @@ SPAN = 1 << 16
 class Pieces:
     """A vocabulary of byte strings, looked up by the hash of a stretch of a trie path. Every single byte is in it."""
 
-    FILTER_BITS = 20
+    FILTER_BITS = 16
 
     def __init__(self, pieces: list[bytes]):
         known = dict.fromkeys(pieces)

@@ -118,11 +118,12 @@ def piece_model(
 
     rows = sample.select("lang", "text")
     # One row for each language and piece of the fixed vocabulary.
-    counted = rows.mapInArrow(count, "lang string, piece bigint, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas()
+    counted = rows.mapInArrow(count, "lang string, piece bigint, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toArrow()
     shared.unpersist()
     table = np.full((len(vocab), len(langs)), smoothing)
     if len(counted):
-        table[counted["piece"].to_numpy(), counted["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy()] += counted["n"].to_numpy()
+        column = {x: i for i, x in enumerate(langs)}
+        table[counted["piece"].to_numpy(), [column[x] for x in counted["lang"].to_pylist()]] += counted["n"].to_numpy()
     return langs, np.log(table / table.sum(axis=0, keepdims=True))
 
 
