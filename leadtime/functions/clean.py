@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +23,7 @@ def number(text: Column) -> Column:
 
 def repeated_nines(text: Column) -> Column:
     """Whether a cell is a sentinel of nines: at least three with a decimal point, four without."""
-    cell = F.trim(F.regexp_replace(text, "[\"']", ""))
+    cell = F.regexp_replace(F.regexp_replace(text, r"^\s+|\s+$", ""), '"', "")
     mantissa = F.regexp_replace(cell, "e.*$", "")
     enough = F.when(mantissa.contains("."), 3).otherwise(4)
     return F.coalesce(cell.rlike(NINES) & (F.length(F.regexp_replace(mantissa, "[^9]", "")) >= enough), F.lit(False))
@@ -28,7 +31,8 @@ def repeated_nines(text: Column) -> Column:
 
 def in_list(x: Column, sentinels: list[float], tolerance: float = SENTINEL_TOLERANCE) -> Column:
     """Whether the magnitude of x is within the tolerance of one of the sentinels."""
-    return F.coalesce(F.exists(F.array(*[F.lit(float(s)) for s in sentinels]), lambda s: F.abs(F.abs(x) - s) <= tolerance), F.lit(False))
+    near = [F.abs(F.abs(x) - float(s)) <= tolerance for s in sentinels]
+    return F.coalesce(reduce(or_, near), F.lit(False)) if near else F.lit(False)
 
 
 def masked(x: Column, ok: Column, name: str) -> list[Column]:
@@ -64,16 +68,19 @@ def missing_report(df: DataFrame, names: list[str]) -> DataFrame:
 def standard_names(columns: list[str], aliases: dict[str, list[str]], drop: tuple[str, ...] = ("cnt", "quality", "flag")) -> dict[str, str]:
     """From each column that an alias list names (after lower case and runs of other characters as "_") to its standard name.
 
-    An exact alias comes first, then a column whose name contains one; columns with a ``drop`` part never match.
+    An exact alias comes first, then a column whose name has an alias as a whole word (or words, between "_"). Columns with a
+    ``drop`` part match exactly only. A standard name that is there already stays as it is, and no column gets two.
     """
     import re
 
     keys = {c: re.sub("[^a-z0-9]+", "_", c.lower()).strip("_") for c in columns}
-    usable = {c: k for c, k in keys.items() if not any(part in k for part in drop)}
     out: dict[str, str] = {}
     for name, known in aliases.items():
-        exact = [c for c, k in usable.items() if k in known and c not in out]
-        loose = [c for c, k in usable.items() if any(a in k for a in known) and c not in out]
+        if name in columns:
+            continue
+        open_ = {c: k for c, k in keys.items() if c not in out and c not in aliases}
+        exact = [c for c, k in open_.items() if k in known]
+        loose = [c for c, k in open_.items() if not any(part in k for part in drop) and any(f"_{a}_" in f"_{k}_" for a in known)]
         if exact or loose:
             out[(exact or loose)[0]] = name
     return out

@@ -70,7 +70,7 @@ def rank_configurations(scores: DataFrame, by: list[str], *tie: str) -> DataFram
 
 def choose_window(scores: DataFrame, window: str, cap: float) -> DataFrame:
     """The window with the best mean CSI among those whose mean POFD is within the cap; else that of the lowest POFD."""
-    means = scores.groupBy(window).agg(F.round(F.avg("csi"), 9).alias("csi"), F.round(F.avg("pofd"), 9).alias("pofd"))
+    means = scores.groupBy(window).agg(F.avg("csi").alias("csi"), F.avg("pofd").alias("pofd"))
     ok = F.coalesce(F.col("pofd") <= cap, F.lit(False))
     order = F.struct(F.when(ok, 0).otherwise(1), F.when(ok, -F.col("csi")).otherwise(F.col("pofd")), F.col(window))
     best = F.min_by(F.struct(window, "csi", "pofd", ok.alias("within_cap")), order)

@@ -9,9 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .islands import islands
+from .islands import islands, merge_intervals
 
 COUNTS = ("tp", "fp", "fn", "tn")
+#: Blocks of overlapping segments that are matched in one group.
+BLOCKS = 1000
 
 
 def confusion(y: Column, alarm: Column) -> list[Column]:
@@ -20,13 +22,11 @@ def confusion(y: Column, alarm: Column) -> list[Column]:
     ]
 
 
-def ratios(df: DataFrame, digits: int = 9) -> DataFrame:
+def ratios(df: DataFrame) -> DataFrame:
     """Adds POD, POFD, FAR, CSI, F1 and Bias to the four counts; null where a denominator is 0."""
     tp, fp, fn, tn = map(F.col, COUNTS)
 
-    def ratio(a: Column, b: Column) -> Column:
-        return F.round(F.try_divide(a, b), digits)
-
+    ratio = F.try_divide
     return df.select(
         "*", ratio(tp, tp + fn).alias("pod"), ratio(fp, fp + tn).alias("pofd"), ratio(fp, tp + fp).alias("far"), ratio(tp, tp + fp + fn).alias("csi"),
         ratio(2 * tp, 2 * tp + fp + fn).alias("f1"), ratio(tp + fp, tp + fn).alias("bias"),
@@ -58,49 +58,50 @@ def roc_auc(df: DataFrame, by: list[str]) -> DataFrame:
     below = F.sum(F.col("pos") * (F.col("fp") - F.col("neg") / 2))
     # fp counts negatives at or above a score, so what it misses is below.
     total = s.groupBy(*by).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"), below.alias("_a"))
-    return total.select(*by, F.round(F.try_divide(F.col("_p") * F.col("_n") - F.col("_a"), F.col("_p") * F.col("_n")), 9).alias("roc_auc"))
+    return total.select(*by, F.try_divide(F.col("_p") * F.col("_n") - F.col("_a"), F.col("_p") * F.col("_n")).alias("roc_auc"))
 
 
 def average_precision(df: DataFrame, by: list[str]) -> DataFrame:
     """Sum over scores of the step in recall times the precision there."""
     s = score_steps(df, by)
     precision = F.col("tp") / (F.col("tp") + F.col("fp"))
-    return s.groupBy(*by).agg(F.round(F.try_divide(F.sum(F.col("pos") * precision), F.sum("pos")), 9).alias("pr_auc"))
+    return s.groupBy(*by).agg(F.try_divide(F.sum(F.col("pos") * precision), F.sum("pos")).alias("pr_auc"))
 
 
 def roc_curve(df: DataFrame, by: list[str]) -> DataFrame:
     s = score_steps(df, by)
     total = s.groupBy(*by).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
-    points = s.join(F.broadcast(total), by).select(*by, "p", F.round(F.try_divide("fp", "_n"), 9).alias("fpr"), F.round(F.try_divide("tp", "_p"), 9).alias("tpr"))
+    points = s.join(total, by).select(*by, "p", F.try_divide("fp", "_n").alias("fpr"), F.try_divide("tp", "_p").alias("tpr"))
     return points.unionByName(total.select(*by, F.lit(None).cast("double").alias("p"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr")))
 
 
 def pr_curve(df: DataFrame, by: list[str]) -> DataFrame:
     s = score_steps(df, by)
     total = s.groupBy(*by).agg(F.sum("pos").alias("_p"))
-    points = s.join(F.broadcast(total), by).select(*by, "p", F.round(F.try_divide("tp", "_p"), 9).alias("recall"), F.round(F.col("tp") / (F.col("tp") + F.col("fp")), 9).alias("precision"))
+    points = s.join(total, by).select(*by, "p", F.try_divide("tp", "_p").alias("recall"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"))
     return points.unionByName(total.select(*by, F.lit(None).cast("double").alias("p"), F.lit(0.0).alias("recall"), F.lit(1.0).alias("precision")))
 
 
 def candidate_cutoffs(df: DataFrame, by: list[str], n: int) -> DataFrame:
     """by, cutoff: n quantiles of the scores, 0 and 1, without repeats."""
     grid = F.array(*[F.lit(i / (n - 1)) for i in range(n)])
-    return df.groupBy(*by).agg(F.percentile("p", grid).alias("q")).select(*by, F.explode(F.array_distinct(F.concat(F.transform("q", lambda v: F.round(v, 9)), F.array(F.lit(0.0), F.lit(1.0))))).alias("cutoff"))
+    return df.groupBy(*by).agg(F.percentile("p", grid).alias("q")).select(*by, F.explode(F.array_distinct(F.concat("q", F.array(F.lit(0.0), F.lit(1.0))))).alias("cutoff"))
 
 
 def cutoff_sweep(df: DataFrame, cutoffs: DataFrame, by: list[str]) -> DataFrame:
-    """The counts and ratios of each cutoff, by one pass: rows are counted by the highest cutoff they reach, then summed from above.
+    """The counts and ratios of each cutoff: distinct scores are counted by the highest cutoff they reach, then summed from above.
 
-    There are some thousand cutoffs at most, so they are broadcast as one sorted array for each forecast.
+    There are some thousand cutoffs at most, which meet the scores as one sorted array for each forecast.
     """
     lists = cutoffs.groupBy(*by).agg(F.array_sort(F.collect_list("cutoff")).alias("_c"))
     reached = F.aggregate("_c", F.lit(0), lambda n, c: n + F.when(F.col("p") >= c, 1).otherwise(0))
-    counted = df.join(F.broadcast(lists), by).groupBy(*by, reached.alias("_k")).agg(F.sum("y").alias("_pos"), F.sum(1 - F.col("y")).alias("_neg"))
+    scores = df.groupBy(*by, "p").agg(F.sum("y").alias("_pos"), F.sum(1 - F.col("y")).alias("_neg"))
+    counted = scores.join(lists, by).groupBy(*by, reached.alias("_k")).agg(F.sum("_pos").alias("_pos"), F.sum("_neg").alias("_neg"))
     totals = counted.groupBy(*by).agg(F.sum("_pos").alias("_p"), F.sum("_neg").alias("_n"))
     steps = lists.select(*by, F.posexplode("_c").alias("_i", "cutoff")).withColumn("_k", F.col("_i") + 1)
     w = Window.partitionBy(*by).orderBy(F.desc("_k"))
     filled = steps.join(counted, [*by, "_k"], "left")
-    at = filled.select(*by, "cutoff", F.coalesce(F.sum("_pos").over(w), F.lit(0)).alias("tp"), F.coalesce(F.sum("_neg").over(w), F.lit(0)).alias("fp")).join(F.broadcast(totals), by)
+    at = filled.select(*by, "cutoff", F.coalesce(F.sum("_pos").over(w), F.lit(0)).alias("tp"), F.coalesce(F.sum("_neg").over(w), F.lit(0)).alias("fp")).join(totals, by)
     return ratios(at.select(*by, "cutoff", "tp", "fp", (F.col("_p") - F.col("tp")).alias("fn"), (F.col("_n") - F.col("fp")).alias("tn")))
 
 
@@ -146,17 +147,20 @@ def alarm_segments(df: DataFrame, keys: list[str], step: str, flag: Column) -> D
 def match_events(truth: DataFrame, alarms: DataFrame, keys: list[str]) -> DataFrame:
     """keys, alarm_first, truth_first: alarms in time order each take the overlapping true segment with the nearest start that is still free.
 
-    The choice depends on earlier choices, so it runs for each group of ``keys`` on its own; segments never cross
-    groups, and a group holds only its few segments.
+    The choice depends on earlier choices, but only on those of segments that overlap, directly or through others: one block. A
+    block of one alarm and one true segment is a match at once; the others are gone through in groups of some blocks, however
+    long the series is.
     """
     import pandas as pd
 
     names = [*keys, "alarm_first", "truth_first"]
     kinds = dict(alarms.dtypes)
     schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "alarm_first bigint", "truth_first bigint"])
-    t = truth.select(*keys, F.col("first").alias("truth_first"), F.col("last").alias("truth_last"))
-    a = alarms.select(*keys, F.col("first").alias("alarm_first"), F.col("last").alias("alarm_last"))
-    pairs = a.join(t, keys).where("alarm_first <= truth_last and truth_first <= alarm_last")
+    both = [df.select(*keys, "first", "last", F.lit(kind).alias("_kind"), (F.col("last") + 1).alias("_end")) for kind, df in (("alarm", alarms), ("truth", truth))]
+    placed = merge_intervals(both[0].unionByName(both[1]), keys, "first", "_end")
+    a = placed.where("_kind = 'alarm'").select(*keys, "block", F.col("first").alias("alarm_first"), F.col("last").alias("alarm_last"))
+    t = placed.where("_kind = 'truth'").select(*keys, "block", F.col("first").alias("truth_first"), F.col("last").alias("truth_last"))
+    pairs = a.join(t, [*keys, "block"]).where("alarm_first <= truth_last and truth_first <= alarm_last")
 
     def choose(group: pd.DataFrame) -> pd.DataFrame:
         taken, out = set(), []
@@ -168,7 +172,22 @@ def match_events(truth: DataFrame, alarms: DataFrame, keys: list[str]) -> DataFr
                 out.append(free.iloc[0])
         return pd.DataFrame(out)[names] if out else group.iloc[:0][names]
 
-    return pairs.groupBy(*keys).applyInPandas(choose, schema)
+    counted = pairs.withColumn("_n", F.count("*").over(Window.partitionBy(*keys, "block")))
+    unclear = counted.where("_n > 1").groupBy(*keys, F.floor(F.col("block") / BLOCKS)).applyInPandas(choose, schema)
+    return counted.where("_n = 1").select(*names).unionByName(unclear)
+
+
+def mask_counts(rows: DataFrame, alarms: DataFrame, keys: list[str], by: list[str], step: str, known: DataFrame) -> DataFrame:
+    """Per forecast of ``known``: point counts (tp, fp, fn, tn) of the rows inside alarm segments, which may bridge rows below the cutoff.
+
+    ``keys`` tell the series of the rows apart, ``by`` the forecasts of the alarms; what both have joins them.
+    """
+    shared = [k for k in by if k in rows.columns]
+    inside = alarms.select(*dict.fromkeys([*keys, *by]), F.explode(F.sequence("first", "last")).alias(step)).join(rows.select(*keys, step, "y"), [*keys, step])
+    hit = inside.groupBy(*by).agg(F.sum("y").cast("bigint").alias("tp"), F.sum(1 - F.col("y")).cast("bigint").alias("fp"))
+    total = rows.groupBy(*shared).agg(F.sum("y").cast("bigint").alias("_p"), F.sum(1 - F.col("y")).cast("bigint").alias("_n"))
+    out = known.join(total, shared).join(hit, by, "left").na.fill(0, ["tp", "fp"])
+    return out.select(*by, "tp", "fp", (F.col("_p") - F.col("tp")).alias("fn"), (F.col("_n") - F.col("fp")).alias("tn"))
 
 
 def event_scores(truth: DataFrame, alarms: DataFrame, matches: DataFrame, by: list[str], known: DataFrame) -> DataFrame:
@@ -179,11 +198,44 @@ def event_scores(truth: DataFrame, alarms: DataFrame, matches: DataFrame, by: li
     out = known.join(n_t, by, "left").join(n_a, by, "left").join(n_m, by, "left").na.fill(0, ["n_truth", "n_alarms", "hits"])
     hits, t, a = F.col("hits"), F.col("n_truth"), F.col("n_alarms")
     return out.select(
-        *by, "n_truth", "n_alarms", "hits", (t - hits).alias("misses"), (a - hits).alias("false_alarms"), F.round(F.try_divide(hits, t), 9).alias("event_pod"),
-        F.round(F.try_divide(a - hits, a), 9).alias("event_far"), F.round(F.try_divide(hits, t + a - hits), 9).alias("event_csi"),
+        *by, "n_truth", "n_alarms", "hits", (t - hits).alias("misses"), (a - hits).alias("false_alarms"), F.try_divide(hits, t).alias("event_pod"), F.try_divide(a - hits, a).alias("event_far"),
+        F.try_divide(hits, t + a - hits).alias("event_csi"), F.try_divide(2 * hits, t + a).alias("event_f1"), F.try_divide(a, t).alias("event_bias"),
     )
 
 
+def operating_points(rows: DataFrame, keys: list[str], by: list[str], step: str, cutoffs: DataFrame, settings: list[tuple[int, int, int]]) -> DataFrame:
+    """by, cutoff, setting (its place): event scores and the POFD of the processed alarms, for each cutoff of each forecast and each alarm setting.
+
+    ``keys`` (with those of ``by``) tell series apart. Segments are made once per cutoff; settings work on segments, far fewer than rows.
+    """
+    found = alarm_segments(rows.join(cutoffs, by).where("p >= cutoff"), [*keys, "cutoff"], step, F.lit(True))
+    done = None
+    for i, setting in enumerate(settings):
+        part = postprocess(found, [*keys, "cutoff"], *setting).withColumn("setting", F.lit(i))
+        done = part if done is None else done.unionByName(part)
+    each = [*by, "cutoff", "setting"]
+    known = cutoffs.select(*by, "cutoff", F.explode(F.array(*[F.lit(i) for i in range(len(settings))])).alias("setting"))
+    truth = alarm_segments(rows, keys, step, F.col("y") == 1).join(known, by)
+    scores = event_scores(truth, done, match_events(truth, done, [*dict.fromkeys([*keys, *each])]), each, known)
+    points = mask_counts(rows, done, keys, each, step, known)
+    return scores.join(points.select(*each, F.try_divide("fp", F.col("fp") + F.col("tn")).alias("event_pofd")), each)
+
+
+def event_operating_point(points: DataFrame, by: list[str], max_pofd: float, pod_floor: float) -> DataFrame:
+    """The operating point of each forecast, with ``tier``.
+
+    0: the highest event CSI (then POD, then the lowest POFD) among those with POFD within the cap. Where there is none, 1: the
+    lowest POFD (then the highest F1, then POD) among those with an event POD from the floor on. Where there is none, 2: the same
+    of all. Ties go to the lowest cutoff and the first setting.
+    """
+    tier = F.when(F.coalesce(F.col("event_pofd") <= max_pofd, F.lit(False)), 0).when(F.coalesce(F.col("event_pod") >= pod_floor, F.lit(False)), 1).otherwise(2)
+    capped = F.col("tier") == 0
+    first = F.when(capped, -F.col("event_csi")).otherwise(F.col("event_pofd"))
+    second = F.when(capped, -F.col("event_pod")).otherwise(-F.col("event_f1"))
+    third = F.when(capped, F.col("event_pofd")).otherwise(-F.col("event_pod"))
+    return first_row(points.withColumn("tier", tier), by, F.col("tier"), *[c.asc_nulls_last() for c in (first, second, third)], F.col("cutoff"), F.col("setting"))
+
+
 def lead_times(onsets: DataFrame, alarms: DataFrame, keys: list[str], step: str, onset: str, horizon: int) -> DataFrame:
     """Each onset with the first alarm in the ``horizon`` steps before it, if any, and the lead."""
     spread = onsets.withColumn("_b", F.explode(F.array(F.floor((F.col(onset) - horizon) / horizon), F.floor((F.col(onset) - 1) / horizon))))
@@ -203,14 +255,14 @@ def losses(df: DataFrame, by: list[str], eps: float = 1e-7) -> DataFrame:
     ones, zeros = F.sum(F.when(F.col("y") == 1, -F.log(p)).otherwise(0.0)), F.sum(F.when(F.col("y") == 0, -F.log(1 - p)).otherwise(0.0))
     g = df.groupBy(*by).agg(ones.alias("_a"), zeros.alias("_b"), F.sum("y").alias("_p"), F.count("*").alias("_n"))
     weight = (F.col("_n") - F.col("_p")) / F.greatest(F.col("_p"), F.lit(1))
-    return g.select(*by, F.round((F.col("_a") + F.col("_b")) / F.col("_n"), 6).alias("bce"), F.round((F.col("_a") * weight + F.col("_b")) / F.col("_n"), 6).alias("weighted_bce"))
+    return g.select(*by, ((F.col("_a") + F.col("_b")) / F.col("_n")).alias("bce"), ((F.col("_a") * weight + F.col("_b")) / F.col("_n")).alias("weighted_bce"))
 
 
 def monotonicity_penalty(df: DataFrame, sample: list[str], threshold: str) -> Column | DataFrame:
     """One row: the mean square by which a higher threshold's probability exceeds the one below it."""
     w = Window.partitionBy(*sample).orderBy(threshold)
     rise = F.greatest(F.lit(0.0), F.col("p") - F.lag("p").over(w))
-    return df.select(rise.alias("_r"), F.lag("p").over(w).isNotNull().alias("_ok")).where("_ok").agg(F.round(F.avg(F.col("_r") * F.col("_r")), 9).alias("penalty"))
+    return df.select(rise.alias("_r"), F.lag("p").over(w).isNotNull().alias("_ok")).where("_ok").agg(F.avg(F.col("_r") * F.col("_r")).alias("penalty"))
 
 
 def fit_temperature(df: DataFrame, by: list[str], low: float = 0.05, high: float = 20.0, points: int = 41, rounds: int = 3) -> DataFrame:
@@ -221,10 +273,9 @@ def fit_temperature(df: DataFrame, by: list[str], low: float = 0.05, high: float
     grids = df.groupBy(*by).agg(F.min("y").alias("_lo"), F.max("y").alias("_hi")).select(*by, (F.col("_lo") < F.col("_hi")).alias("_two"), F.log(F.lit(low)).alias("_a"), F.log(F.lit(high)).alias("_b"))
     for _ in range(rounds):
         grid = grids.select(*by, "_two", "_a", "_b", F.explode(F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.col("_a") + (F.col("_b") - F.col("_a")) * i / (points - 1))).alias("_t"))
-        t = F.broadcast(grid)  # points rows for each forecast
         z = F.col("z") / F.exp("_t")
         loss = F.greatest(z, F.lit(0.0)) - z * F.col("y") + F.log1p(F.exp(-F.abs(z)))
-        best = df.join(t, by).groupBy(*by, "_t", "_two", "_a", "_b").agg(F.sum(loss).alias("_l")).groupBy(*by, "_two", "_a", "_b").agg(F.min_by("_t", F.struct("_l", "_t")).alias("_m"))
+        best = df.join(grid, by).groupBy(*by, "_t", "_two", "_a", "_b").agg(F.sum(loss).alias("_l")).groupBy(*by, "_two", "_a", "_b").agg(F.min_by("_t", F.struct("_l", "_t")).alias("_m"))
         width = (F.col("_b") - F.col("_a")) / (points - 1)
         grids = best.select(*by, "_two", F.greatest(F.col("_m") - width, F.log(F.lit(low))).alias("_a"), F.least(F.col("_m") + width, F.log(F.lit(high))).alias("_b"), "_m")
     return grids.select(*by, F.when(F.col("_two"), F.exp("_m")).otherwise(F.lit(1.0)).alias("temperature"))

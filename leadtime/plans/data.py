@@ -146,7 +146,7 @@ def axes_aligned(spark, sf_dir):
 
 
 def require_columns(spark, sf_dir):
-    return validate.require_columns(s.table(spark, sf_dir, "region"), ["r_regionkey", "r_name"])
+    return validate.require_columns(s.table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
 def align_to_step(spark, sf_dir):
@@ -244,7 +244,7 @@ def event_catalog(spark, sf_dir):
     clock = F.regexp_replace(F.regexp_replace("time_ut", " ", ""), r"\.", ":")
     at = F.try_to_timestamp(F.concat_ws(" ", "date", clock), F.lit("d.M.yyyy H:mm"))
     kept = text.where(F.col("number").rlike(r"^\d+\*?$")).select(
-        "key", F.regexp_extract("number", r"\d+", 0).cast("int").alias("event_id"), F.unix_micros(at).alias("peak_us"),
+        "key", F.regexp_extract("number", r"\d+", 0).cast("int").alias("event_id"), times.micros(at).alias("peak_us"),
         F.abs(F.regexp_replace("peak", ",", ".").cast("double")).alias("peak_abs"),
         F.when(F.col("storm").contains("CIR"), "CIR").when(F.col("storm").contains("CME") & ~F.col("storm").startswith("SC"), "CME").alias("driver"),
     )
@@ -434,7 +434,7 @@ SELECT c.series, CAST(sum(n) AS BIGINT) AS n_rows, {s.HOURS} AS n_expected, CAST
 FROM c LEFT JOIN a ON a.series = c.series JOIN m ON m.series = c.series GROUP BY c.series""",
     "axes_aligned": """WITH a AS (SELECT o_custkey AS c, count(*) AS n FROM orders GROUP BY 1), b AS (SELECT c_custkey AS c, count(*) AS n FROM customer GROUP BY 1)
 SELECT (SELECT count(*) FROM a ANTI JOIN b USING (c)) AS only_a, (SELECT count(*) FROM a WHERE n > 1) AS repeated_a, (SELECT count(*) FROM b ANTI JOIN a USING (c)) AS only_b, (SELECT count(*) FROM b WHERE n > 1) AS repeated_b, false AS aligned""",
-    "require_columns": "SELECT r_regionkey, r_name FROM region",
+    "require_columns": "SELECT l_orderkey, l_linenumber FROM lineitem",
     "align_to_step": """SELECT series, n_hours, n_collisions, n_offsets, least_offset FROM (SELECT series, count(*) AS n_hours, count(*) FILTER (n > 1) AS n_collisions FROM (SELECT event_type AS series, date_trunc('hour', ts) AS t, count(*) AS n FROM events GROUP BY ALL) GROUP BY 1)
 JOIN (SELECT event_type AS series, count(DISTINCT minute(ts)) AS n_offsets, min(minute(ts)) AS least_offset FROM events GROUP BY 1) USING (series)""",
     "file_audit": f"WITH {_AUDIT} SELECT * FROM au",

@@ -15,8 +15,9 @@ from . import standins as s
 BY = ["threshold"]
 KEYS = ["series", "threshold"]
 CUTOFF = 0.5
-#: min_run, merge_gap, min_length of the alarm settings that a search tries.
-SETTINGS = ((1, 0, 1), (1, 2, 1), (2, 0, 2), (2, 2, 2), (2, 2, 3), (3, 4, 4))
+# min_run, merge_gap, min_length of the alarm settings that a search tries; numbers of quantiles that are cutoffs.
+SETTINGS = ((1, 0, 1), (2, 2, 2), (3, 5, 3), (3, 10, 3), (5, 5, 5), (5, 10, 5))
+POINT_CUTOFFS, EVENT_CUTOFFS = 1001, 31
 FEATURES = ["f_sum_qty", "f_max_price", "f_avg_disc", "f_n"]
 WEIGHTS = {50: 0.45, 100: 0.45, 150: 0.1, 200: 0.0}
 
@@ -25,6 +26,11 @@ def d5(spark, sf_dir) -> DataFrame:
     return s.forecasts(spark, sf_dir)
 
 
+def rounded(df: DataFrame, digits: int = 9) -> DataFrame:
+    """Doubles with so many digits, as the SQL has them."""
+    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
 def alarm():
     return physics.decision(F.col("p"), F.lit(CUTOFF))
 
@@ -43,7 +49,7 @@ def calibrated_probability(spark, sf_dir):
 
 
 def temperature_fit(spark, sf_dir):
-    return verify.fit_temperature(logits(spark, sf_dir), BY, rounds=1).select("threshold", F.round("temperature", 6).alias("temperature"))
+    return verify.fit_temperature(logits(spark, sf_dir), BY).select("threshold", F.round("temperature", 6).alias("temperature"))
 
 
 def probability_series(spark, sf_dir):
@@ -51,28 +57,28 @@ def probability_series(spark, sf_dir):
 
 
 def skill_scores(spark, sf_dir):
-    return verify.skill_scores(d5(spark, sf_dir), BY, F.lit(CUTOFF))
+    return rounded(verify.skill_scores(d5(spark, sf_dir), BY, F.lit(CUTOFF)))
 
 
 def roc_auc(spark, sf_dir):
-    return verify.roc_auc(d5(spark, sf_dir), BY)
+    return rounded(verify.roc_auc(d5(spark, sf_dir), BY))
 
 
 def pr_auc(spark, sf_dir):
-    return verify.average_precision(d5(spark, sf_dir), BY)
+    return rounded(verify.average_precision(d5(spark, sf_dir), BY))
 
 
 def roc_curve(spark, sf_dir):
-    return verify.roc_curve(d5(spark, sf_dir), BY)
+    return rounded(verify.roc_curve(d5(spark, sf_dir), BY))
 
 
 def pr_curve(spark, sf_dir):
-    return verify.pr_curve(d5(spark, sf_dir), BY)
+    return rounded(verify.pr_curve(d5(spark, sf_dir), BY))
 
 
 def cutoff_sweep(spark, sf_dir):
     rows = d5(spark, sf_dir)
-    return verify.cutoff_sweep(rows, verify.candidate_cutoffs(rows, BY, 31), BY)
+    return rounded(verify.cutoff_sweep(rows, verify.candidate_cutoffs(rows, BY, POINT_CUTOFFS), BY)).withColumn("cutoff", F.round("cutoff", 6))
 
 
 def cutoff_csi(spark, sf_dir):
@@ -128,12 +134,12 @@ def class_weights(spark, sf_dir):
 
 
 def forecast_loss(spark, sf_dir):
-    return verify.losses(d5(spark, sf_dir), BY)
+    return rounded(verify.losses(d5(spark, sf_dir), BY), 6)
 
 
 def monotonicity_penalty(spark, sf_dir):
     raised = d5(spark, sf_dir).withColumn("p", F.when((F.col("h") % 7 == 0) & (F.col("threshold") == 100), F.col("p") * 1.5).otherwise(F.col("p")))
-    return verify.monotonicity_penalty(raised, ["series", "h"], "threshold")
+    return rounded(verify.monotonicity_penalty(raised, ["series", "h"], "threshold"))
 
 
 def ensemble_mean(spark, sf_dir):
@@ -206,17 +212,17 @@ def config_scores(spark, sf_dir) -> DataFrame:
 
 
 def config_comparison(spark, sf_dir):
-    scores = config_scores(spark, sf_dir).select("lag", "length", "threshold", "csi", "far", "bias")
+    scores = rounded(config_scores(spark, sf_dir)).select("lag", "length", "threshold", "csi", "far", "bias")
     counts = series.config_valid_counts(spark, sf_dir)
     return scores.join(counts, ["lag", "length"], "left")
 
 
 def config_ranking(spark, sf_dir):
-    return select.rank_configurations(config_scores(spark, sf_dir), BY, "lag", "length").select("threshold", "lag", "length", "csi", "rank")
+    return rounded(select.rank_configurations(config_scores(spark, sf_dir), BY, "lag", "length").select("threshold", "lag", "length", "csi", "rank"))
 
 
 def window_selection(spark, sf_dir):
-    return select.choose_window(config_scores(spark, sf_dir), "length", 0.5)
+    return rounded(select.choose_window(config_scores(spark, sf_dir), "length", 0.5))
 
 
 def best_epoch(spark, sf_dir):
@@ -226,32 +232,20 @@ def best_epoch(spark, sf_dir):
 
 
 def event_operating_point(spark, sf_dir):
-    """Per threshold the cutoff and alarm setting of the best event CSI with POFD up to 0.3 and event POD from 0.5, else by tiers.
-
-    Alarm segments are made once per cutoff; the settings work on segments, which are far fewer than rows.
-    """
+    """Per threshold the cutoff and alarm setting by event scores, with a POFD of 0.3 at most and an event POD of 0.5 at least."""
     rows = d5(spark, sf_dir)
-    cutoffs = verify.candidate_cutoffs(rows, BY, 7)
-    alarms = rows.join(F.broadcast(cutoffs), BY).where("p >= cutoff")
-    found = verify.alarm_segments(alarms, ["series", "threshold", "cutoff"], "h", F.lit(True))
-    by = ["threshold", "cutoff", "setting"]
-    done = spine.union_parts(*[verify.postprocess(found, ["series", "threshold", "cutoff"], *x).withColumn("setting", F.lit(i)) for i, x in enumerate(SETTINGS)])
-    known = cutoffs.select("threshold", "cutoff", F.explode(F.array(*[F.lit(i) for i in range(len(SETTINGS))])).alias("setting"))
-    truth = true_segments(spark, sf_dir).join(F.broadcast(known), "threshold")
-    matches = verify.match_events(truth, done, ["series", *by])
-    scores = verify.event_scores(truth, done, matches, by, known).join(verify.cutoff_sweep(rows, cutoffs, BY).select("threshold", "cutoff", "pofd"), ["threshold", "cutoff"])
-    capped = F.coalesce(F.col("pofd") <= 0.3, F.lit(False))
-    tier = F.when(capped & (F.col("event_pod") >= 0.5), 0).when(capped, 1).otherwise(2)
-    order = [tier, F.when(tier < 2, -F.col("event_csi")).otherwise(F.col("pofd")).asc_nulls_last(), F.col("cutoff"), F.col("setting")]
-    return verify.first_row(scores.withColumn("tier", tier), BY, *order)
+    points = verify.operating_points(rows, KEYS, BY, "h", verify.candidate_cutoffs(rows, BY, EVENT_CUTOFFS), list(SETTINGS))
+    return rounded(verify.event_operating_point(points, BY, 0.3, 0.5))
 
 
 def test_metrics(spark, sf_dir):
-    """Point scores of raw decisions and event scores of processed alarms, per threshold."""
-    truth, done = true_segments(spark, sf_dir), processed(spark, sf_dir)
+    """Point scores of raw decisions and of processed alarms, and event scores of these, per threshold."""
+    rows, truth, done = d5(spark, sf_dir), true_segments(spark, sf_dir), processed(spark, sf_dir)
     known = spark.createDataFrame([(t,) for t in s.THRESHOLDS], "threshold int")
     events = verify.event_scores(truth, done, verify.match_events(truth, done, KEYS), BY, known)
-    return events.join(skill_scores(spark, sf_dir), BY, "left")
+    points = verify.ratios(verify.mask_counts(rows, done, KEYS, BY, "h", known))
+    named = points.select("threshold", *[F.col(c).alias(f"processed_{c}") for c in points.columns if c != "threshold"])
+    return rounded(events.join(named, BY, "left").join(skill_scores(spark, sf_dir), BY, "left"))
 
 
 def test_predictions(spark, sf_dir):
@@ -307,8 +301,8 @@ def _counts(cut: str) -> str:
 
 _STEPS = f"""WITH {s.FORECASTS}, g AS (SELECT threshold, p, sum(y) AS pos, sum(1 - y) AS neg FROM d5 GROUP BY ALL),
 sc AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER (PARTITION BY threshold) AS np, sum(neg) OVER (PARTITION BY threshold) AS nn FROM g WINDOW w AS (PARTITION BY threshold ORDER BY p DESC))"""
-_SWEEP = f"""WITH {s.FORECASTS}, cu AS (SELECT DISTINCT threshold, c AS cutoff FROM (SELECT threshold, unnest(list_concat(list_transform(quantile_cont(p, [{", ".join(str(i / 30) for i in range(31))}]), lambda v: round(v, 9)), [0.0, 1.0])) AS c FROM d5 GROUP BY threshold)),
-sw AS (SELECT threshold, cutoff, tp, fp, fn, tn, {_RATIO} FROM (SELECT d5.threshold, cutoff, {_counts("cutoff")} FROM d5 JOIN cu ON d5.threshold = cu.threshold GROUP BY ALL))"""
+_SWEEP = f"""WITH {s.FORECASTS}, cu AS (SELECT DISTINCT threshold, c AS cutoff FROM (SELECT threshold, unnest(list_concat(list_transform(quantile_cont(p, [{", ".join(str(i / (POINT_CUTOFFS - 1)) for i in range(POINT_CUTOFFS))}]), lambda v: v), [0.0, 1.0])) AS c FROM d5 GROUP BY threshold)),
+sw AS (SELECT threshold, round(cutoff, 6) AS cutoff, tp, fp, fn, tn, {_RATIO} FROM (SELECT d5.threshold, cutoff, {_counts("cutoff")} FROM d5 JOIN cu ON d5.threshold = cu.threshold GROUP BY ALL))"""
 _AT = f"SELECT {{by}}, tp, fp, fn, tn, {_RATIO} FROM (SELECT {{by}}, {_counts('0.5')} FROM {{t}} GROUP BY ALL)"
 _SEG = f"""{s.FORECASTS}, se AS (SELECT series, threshold, min(h) AS a, max(h) AS b, count(*) AS n, sum(y) AS ty, max(y) AS my FROM
   (SELECT *, h - row_number() OVER (PARTITION BY series, threshold ORDER BY h) AS g FROM d5 WHERE p >= 0.5) GROUP BY series, threshold, g)"""
@@ -320,14 +314,24 @@ _CONFIG = f"{s.FORECASTS}, mk AS (SELECT series, h, {series._MASK} FROM pk), cv
     f"SELECT series, h, {a} AS lag, {n} AS length FROM mk WHERE mask_{a}_{n} = 1" for a in series.LAGS for n in series.LENGTHS
 ) + "), cj AS (SELECT d5.*, lag, length FROM d5 JOIN cv ON d5.series = cv.series AND d5.h = cv.h), cs AS (" + _AT.format(by="lag, length, threshold", t="cj") + ")"
 _LOSS = "least(greatest(p, 1e-7), 1 - 1e-7)"
-_TEMPS = f"(SELECT {math.log(0.05)!r}::DOUBLE + ({math.log(20.0)!r}::DOUBLE - {math.log(0.05)!r}::DOUBLE) * i / 40 AS lt FROM (SELECT unnest(range(41)) AS i))"
+_LOW, _HIGH = f"{math.log(0.05)!r}::DOUBLE", f"{math.log(20.0)!r}::DOUBLE"
+
+
+def _temperatures(rounds: int, points: int = 41) -> str:
+    """One table of grid bounds and best place (a, b, m) for each round."""
+    out = f"g1 AS (SELECT threshold, {_LOW} AS a, {_HIGH} AS b FROM z GROUP BY 1)"
+    for k in range(1, rounds + 1):
+        out += f""", t{k} AS (SELECT threshold, a, b, a + (b - a) * i / {points - 1} AS lt FROM g{k}, (SELECT unnest(range({points})) AS i)),
+l{k} AS (SELECT threshold, a, b, lt, sum(greatest(z / exp(lt), 0) - z / exp(lt) * y + ln(1 + exp(-abs(z / exp(lt))))) AS loss, min(y) < max(y) AS two FROM z JOIN t{k} USING (threshold) GROUP BY ALL),
+g{k + 1} AS (SELECT threshold, greatest(m - w, {_LOW}) AS a, least(m + w, {_HIGH}) AS b, m, two FROM (SELECT threshold, arg_min(lt, loss) AS m, any_value(two) AS two, (any_value(b) - any_value(a)) / {points - 1} AS w FROM l{k} GROUP BY threshold))"""
+    return out
+
 
 ORACLE = {
     "decision_cut": f"WITH {s.FORECASTS} SELECT series, h, threshold, CAST(p >= 0.5 AS INT) AS alarm FROM d5",
     "calibrated_probability": f"WITH {s.FORECASTS} SELECT series, h, threshold, round(1 / (1 + exp(-ln(p / (1 - p)) / 1.5)), 6) AS p FROM d5 WHERE p > 0 AND p < 1",
-    "temperature_fit": f"""WITH {s.FORECASTS}, z AS (SELECT threshold, y, ln(p / (1 - p)) AS z FROM d5 WHERE p > 0 AND p < 1),
-l AS (SELECT threshold, lt, sum(greatest(z / exp(lt), 0) - z / exp(lt) * y + ln(1 + exp(-abs(z / exp(lt))))) AS loss, min(y) < max(y) AS two FROM z, {_TEMPS} GROUP BY ALL)
-SELECT threshold, round(CASE WHEN any_value(two) THEN exp(arg_min(lt, loss)) ELSE 1 END, 6) AS temperature FROM l GROUP BY threshold""",
+    "temperature_fit": f"""WITH {s.FORECASTS}, z AS (SELECT threshold, y, ln(p / (1 - p)) AS z FROM d5 WHERE p > 0 AND p < 1), {_temperatures(3)}
+SELECT threshold, round(CASE WHEN two THEN exp(m) ELSE 1 END, 6) AS temperature FROM g4""",
     "probability_series": f"WITH {s.FORECASTS} SELECT series, h, " + ", ".join(f"max(p) FILTER (threshold = {t}) AS p_{t}" for t in s.THRESHOLDS) + " FROM d5 GROUP BY ALL",
     "skill_scores": f"WITH {s.FORECASTS} " + _AT.format(by="threshold", t="d5"),
     "roc_auc": f"{_STEPS} SELECT threshold, round(sum(pos * ((nn - fp) + neg / 2)) / nullif(max(np) * max(nn), 0), 9) AS roc_auc FROM sc GROUP BY threshold",
@@ -366,7 +370,7 @@ FROM (SELECT unnest([50, 100, 150, 200, 1000]) AS threshold) LEFT JOIN (SELECT t
 LEFT JOIN (SELECT threshold, count(*) AS episodes, count(*) FILTER (my = 0) AS fe FROM se GROUP BY 1) USING (threshold)""",
     "config_comparison": f"WITH {_CONFIG} SELECT lag, length, threshold, csi, far, bias, n_valid FROM cs LEFT JOIN (SELECT lag, length, count(*) AS n_valid FROM cv GROUP BY ALL) USING (lag, length)",
     "config_ranking": f"WITH {_CONFIG} SELECT threshold, lag, length, csi, row_number() OVER (PARTITION BY threshold ORDER BY csi DESC NULLS LAST, far NULLS LAST, abs(bias - 1) NULLS LAST, lag, length) AS rank FROM cs",
-    "window_selection": f"""WITH {_CONFIG}, m AS (SELECT length, round(avg(csi), 9) AS csi, round(avg(pofd), 9) AS pofd FROM cs GROUP BY length)
+    "window_selection": f"""WITH {_CONFIG}, m AS (SELECT length, round(avg(tp / nullif(tp + fp + fn, 0)), 9) AS csi, round(avg(fp / nullif(fp + tn, 0)), 9) AS pofd FROM cs GROUP BY length)
 SELECT length, csi, pofd, coalesce(pofd <= 0.5, false) AS within_cap FROM m ORDER BY CASE WHEN pofd <= 0.5 THEN 0 ELSE 1 END, CASE WHEN pofd <= 0.5 THEN -csi ELSE pofd END, length LIMIT 1""",
     "best_epoch": f"""WITH {s.FORECASTS}, e AS (SELECT threshold, h // 72 AS epoch, round(avg((p - y) * (p - y)), 9) AS loss FROM d5 GROUP BY ALL)
 SELECT threshold, epoch, loss FROM e QUALIFY row_number() OVER (PARTITION BY threshold ORDER BY loss, epoch) = 1""",

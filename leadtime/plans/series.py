@@ -163,10 +163,10 @@ FROM pk, (SELECT unnest([50, 100, 150, 200]) AS threshold) GROUP BY series, thre
     + ", ".join(f"CASE WHEN count(*) OVER {_BACK[n]} = {n} THEN CAST(count(*) FILTER (x > 100) OVER {_BACK[n]} AS BIGINT) END AS above_{n}" for n in LENGTHS) + " FROM d1",
     "feature_deltas": f"WITH {s.HOURLY} SELECT series, h, " + ", ".join(f"coalesce(round(x - lag(x, {n}) OVER (PARTITION BY series ORDER BY h), 6), 0.0) AS delta_{n}" for n in (1, 10)) + " FROM d1",
     "sequence_windows": f"""WITH {s.HOURLY}, q AS (SELECT series, h, list(x) OVER f AS v, count(x) OVER f AS n FROM d1 WINDOW f AS (PARTITION BY series ORDER BY h ROWS BETWEEN 4 PRECEDING AND 2 PRECEDING))
-SELECT series, h, array_to_string([CAST(CAST(round(z * 100) AS BIGINT) AS VARCHAR) FOR z IN v], ',') AS seq FROM q WHERE n = 3 AND h % 5 = 0""",
+SELECT series, h, array_to_string([CAST(CAST(round(z * 100) AS BIGINT) AS VARCHAR) FOR z IN v], ',') AS seq FROM q WHERE n = 3""",
     "sample_index": f"WITH {s.HOURLY}, {s.PEAK}, m AS (SELECT series, h, x, lag(x, 2) OVER (PARTITION BY series ORDER BY h) AS c, {_MASK} FROM pk) SELECT series, h FROM m WHERE h % 2 = 0 AND mask_2_3 = 1 AND c IS NOT NULL",
     "missing_intervals": f"WITH {s.HOURLY} SELECT series, a AS start_h, b AS end_h, n AS hours FROM ({_RUNS.format(k='series', o='h', t='d1', c='x IS NULL')}) WHERE n >= 2",
-    "long_missing_intervals": f"""WITH {s.DAILY}, u AS (""" + " UNION ALL ".join(f"SELECT '{f}' AS feature, k, {f} IS NULL AS missing FROM d2 WHERE k % 7 <> 6" for f in ("f_sum_qty", "f_max_price", "f_avg_disc", "resp"))
+    "long_missing_intervals": f"""WITH {s.DAILY}, u AS (""" + " UNION ALL ".join(f"SELECT '{f}' AS feature, k, {f} IS NULL AS missing FROM d2" for f in ("f_sum_qty", "f_max_price", "f_avg_disc", "resp"))
     + f") SELECT feature, a AS start_k, b AS end_k, n AS days FROM ({_RUNS.format(k='feature', o='k', t='u', c='missing')}) WHERE n >= 2",
     "longest_gap": f"WITH {s.HOURLY} SELECT series, max(n) AS longest, CAST(sum(n) AS BIGINT) AS missing FROM ({_RUNS.format(k='series', o='h', t='d1', c='x IS NULL')}) GROUP BY series",
     "dedup_keep_last": f"WITH {s.SAMPLES} SELECT series, h, arg_max(value, event_id) AS value, max(event_id) AS event_id, count(*) AS n_rows FROM ev GROUP BY series, h",

@@ -10,7 +10,7 @@ from ..functions import clean, times
 # File suffixes, the seven sample columns, sentinels and the range of samples.
 SUFFIXES = "*.{[tT][xX][tT],[dD][aA][tT],[cC][sS][vV]}"
 SAMPLE_COLUMNS = ("year", "month", "day", "hour", "minute", "second", "value")
-SAMPLE_SENTINELS = (99.99, 999.99, 9999.99, 99999.0)
+SAMPLE_SENTINELS = (9.99, 99.99, 999.99, 9999.99, 999.9, 9999.9, 99999.9)
 SAMPLE_LIMIT = 120.0
 
 
@@ -20,12 +20,26 @@ def discover(spark: SparkSession, folder: str, suffixes: str = SUFFIXES) -> Data
     return files.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"))
 
 
-def lines(spark: SparkSession, folder: str, suffixes: str = SUFFIXES) -> DataFrame:
-    """source_file (its path), line_no (from 1), value of each line; whole files, so that line numbers are sure."""
+def whole_files(spark: SparkSession, folder: str, suffixes: str = SUFFIXES) -> DataFrame:
+    """source_file (its path), all (its lines): a file is one row, so its header is found where it is read."""
     raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", suffixes).text(folder, wholetext=True)
-    named = raw.select(F.col("_metadata.file_path").alias("source_file"), F.regexp_replace("value", "\r\n?", "\n").alias("value"))
-    parts = named.select("source_file", F.posexplode(F.split("value", "\n")).alias("line_no", "value"))
-    return parts.select("source_file", (F.col("line_no") + 1).alias("line_no"), "value").where(F.trim("value") != "")
+    return raw.select(F.col("_metadata.file_path").alias("source_file"), F.split(F.regexp_replace("value", "\r\n?", "\n"), "\n").alias("all"))
+
+
+def lines(files: DataFrame, *carried: str) -> DataFrame:
+    """source_file, the carried columns, line_no (from 1), value of each line that is not blank."""
+    parts = files.select("source_file", *carried, F.posexplode("all").alias("line_no", "value"))
+    return parts.select("source_file", *carried, (F.col("line_no") + 1).alias("line_no"), "value").where(F.trim("value") != "")
+
+
+def first_line(condition) -> Column:
+    """The number (from 1) of the first line that meets a condition; null if none does."""
+    return F.nullif(F.array_position(F.transform("all", condition), F.lit(True)), F.lit(0)).cast("int")
+
+
+def complete(files: DataFrame, bad: Column) -> DataFrame:
+    """The files; one that lacks columns is an error."""
+    return files.where(F.assert_true(~bad, F.concat(F.lit("missing columns in "), F.col("source_file"))).isNull())
 
 
 def samples(fields: Column) -> list[Column]:
@@ -44,7 +58,7 @@ def read_samples(spark: SparkSession, folder: str) -> DataFrame:
     What follows "#" is a comment, fields past the seventh don't count, and rows without a valid time go; rows
     with a bad value stay.
     """
-    rows = lines(spark, folder).withColumn("value", F.trim(F.regexp_replace("value", "#.*$", ""))).where("value <> ''")
+    rows = lines(whole_files(spark, folder)).withColumn("value", F.trim(F.regexp_replace("value", "#.*$", ""))).where("value <> ''")
     fields = F.split("value", r"\s+")
     return rows.select("source_file", "line_no", *samples(fields)).where("time is not null")
 
@@ -55,58 +69,81 @@ def read_samples_csv(spark: SparkSession, folder: str, aliases: tuple[str, ...]
     A first line is a header if it has the word year, second or an alias of value. A file whose header lacks a
     column is an error.
     """
-    rows = lines(spark, folder)
-    first = rows.groupBy("source_file").agg(F.min_by("value", "line_no").alias("head"), F.min("line_no").alias("head_no"))
-    names = F.transform(F.split(F.lower("head"), ","), lambda x: F.trim(x))
-    has = F.exists(names, lambda x: x.isin("year", "second", *aliases))
+    files = whole_files(spark, folder).withColumn("head_no", first_line(lambda x: F.trim(x) != ""))
+    names = F.transform(F.split(F.lower(F.get("all", F.col("head_no") - 1)), ","), lambda x: F.trim(x))
+    has = F.coalesce(F.exists(names, lambda x: x.isin("year", "second", *aliases)), F.lit(False))
     value_at = F.coalesce(*[F.when(F.array_position(names, a) > 0, F.array_position(names, a)) for a in aliases])
     places = F.array(*[F.nullif(F.array_position(names, c), F.lit(0)) for c in SAMPLE_COLUMNS[:-1]], value_at)
-    bad = has & F.exists(places, lambda p: p.isNull())
-    heads = first.select("source_file", "head_no", has.alias("has"), F.when(has, places).otherwise(F.sequence(F.lit(1).cast("bigint"), F.lit(7).cast("bigint"))).alias("places"), bad.alias("bad"))
-    joined = rows.join(F.broadcast(heads.where(F.assert_true(~F.col("bad"), F.concat(F.lit("missing columns in "), F.col("source_file"))).isNull())), "source_file")
-    data = joined.where(~F.col("has") | (F.col("line_no") > F.col("head_no")))
+    files = complete(files.withColumn("has", has).withColumn("named", places), F.col("has") & F.exists("named", lambda p: p.isNull()))
+    plain = F.sequence(F.lit(1).cast("bigint"), F.lit(7).cast("bigint"))
+    rows = lines(files.withColumn("places", F.when(F.col("has"), F.col("named")).otherwise(plain)), "head_no", "has", "places")
+    data = rows.where(~F.col("has") | (F.col("line_no") > F.col("head_no")))
     cells = F.split("value", ",")
     ordered = data.withColumn("cells", F.transform("places", lambda p: F.trim(F.get(cells, (p - 1).cast("int")))))
     return ordered.select("source_file", "line_no", *samples(F.col("cells"))).where("time is not null")
 
 
-def read_header_ascii(spark: SparkSession, folder: str, wanted: dict[str, str]) -> DataFrame:
+def read_header_ascii(spark: SparkSession, folder: str, wanted: dict[str, str] | None = None) -> DataFrame:
     """source_file, line_no, time, and the wanted columns as text, from files whose header is found by its words.
 
     The header is the first line with the words year, doy and millisecs; data begin two lines below; lines with more
-    fields than the header are skipped. ``wanted`` maps header words to column names.
+    fields than the header are skipped, and so are files without a header. ``wanted`` maps header words to column names;
+    a file whose header lacks one of them is an error. Without ``wanted`` all columns but the times come as one
+    map ``cells`` from header word to text.
     """
-    rows = lines(spark, folder).withColumn("words", F.split(F.trim("value"), r"\s+"))
-    low = rows.withColumn("low", F.transform("words", lambda w: F.lower(w)))
-    is_head = F.array_contains("low", "year") & F.array_contains("low", "doy") & F.array_contains("low", "millisecs")
-    heads = low.where(is_head).groupBy("source_file").agg(F.min_by("low", "line_no").alias("head"), F.min("line_no").alias("head_no"))
-    data = rows.join(F.broadcast(heads), "source_file").where((F.col("line_no") >= F.col("head_no") + 2) & (F.size("words") <= F.size("head")))
+
+    def words(line: Column) -> Column:
+        return F.split(F.trim(line), r"\s+")
+
+    times_of = ("year", "doy", "millisecs")
+    head_no = first_line(lambda x: F.size(F.array_intersect(F.split(F.lower(F.trim(x)), r"\s+"), F.array(*map(F.lit, times_of)))) == len(times_of))
+    files = whole_files(spark, folder).withColumn("head_no", head_no).where("head_no is not null").withColumn("named", words(F.get("all", F.col("head_no") - 1)))
+    files = files.withColumn("head", F.transform("named", lambda x: F.lower(x)))
+    if wanted:
+        files = complete(files, ~F.forall(F.array(*[F.lit(k.lower()) for k in wanted]), lambda k: F.array_contains("head", k)))
+    data = lines(files, "head_no", "head", "named").withColumn("words", words(F.col("value"))).where((F.col("line_no") >= F.col("head_no") + 2) & (F.size("words") <= F.size("head")))
 
     def cell(name: str) -> Column:
         return F.get("words", (F.nullif(F.array_position("head", F.lit(name.lower())), F.lit(0)) - 1).cast("int"))
 
-    at = times.from_day_of_year(clean.number(cell("year")), clean.number(cell("doy")), clean.number(cell("millisecs")))
-    return data.select("source_file", "line_no", at.alias("time"), *[cell(k).alias(v) for k, v in wanted.items()]).where("time is not null")
+    at = times.from_day_of_year(*[clean.number(cell(c)) for c in times_of])
+    if wanted:
+        others = [cell(k).alias(v) for k, v in wanted.items()]
+    else:
+        pairs = F.transform("named", lambda name, i: F.struct(name.alias("key"), F.get("words", i).alias("value")))
+        others = [F.map_from_entries(F.filter(pairs, lambda x: ~F.lower(x["key"]).isin(*times_of))).alias("cells")]
+    return data.select("source_file", "line_no", at.alias("time"), *others).where("time is not null")
 
 
-def read_preamble(spark: SparkSession, folder: str, skip: int, columns: list[str]) -> DataFrame:
+def read_preamble(spark: SparkSession, folder: str, skip: int, columns: list[str], keep_bad_times: bool = False) -> DataFrame:
     """source_file, line_no, time, columns as text, from delimited files after ``skip`` lines and a header.
 
     The delimiter is the comma or tab, whichever the header has more of; the time column is the first whose name holds
-    epoch, time or date. Rows with a bad time go.
+    epoch, time or date. Rows with a bad time go, unless they are kept (with a null time) to be counted.
     """
-    rows = lines(spark, folder)
-    heads = rows.where(F.col("line_no") > skip).groupBy("source_file").agg(F.min_by("value", "line_no").alias("head"), F.min("line_no").alias("head_no"))
+    head_no = F.array_position(F.transform("all", lambda x, i: (i >= skip) & (F.trim(x) != "")), F.lit(True)).cast("int")
+    files = whole_files(spark, folder).withColumn("head_no", head_no).where("head_no > 0").withColumn("head", F.get("all", F.col("head_no") - 1))
     tabs = F.length(F.regexp_replace("head", "[^\t]", "")) > F.length(F.regexp_replace("head", "[^,]", ""))
-    delimiter = F.when(tabs, "\t").otherwise(",")
-    named = heads.select("source_file", "head_no", delimiter.alias("d"), F.transform(F.split(F.lower("head"), delimiter), lambda x: F.trim(x)).alias("names"))
-    data = rows.join(F.broadcast(named), "source_file").where(F.col("line_no") > F.col("head_no")).withColumn("cells", F.split("value", F.col("d")))
+    named = files.withColumn("d", F.when(tabs, "\t").otherwise(",")).withColumn("names", F.transform(F.split(F.lower("head"), F.col("d")), lambda x: F.trim(x)))
+    data = lines(named, "head_no", "d", "names").where(F.col("line_no") > F.col("head_no")).withColumn("cells", F.split("value", F.col("d")))
     time_name = F.get(F.filter("names", lambda n: n.rlike("epoch|time|date")), F.lit(0))
 
     def cell(name: Column) -> Column:
         return F.trim(F.get("cells", (F.nullif(F.array_position("names", name), F.lit(0)) - 1).cast("int")))
 
-    return data.select("source_file", "line_no", times.from_iso(cell(time_name)).alias("time"), *[cell(F.lit(c.lower())).alias(c) for c in columns]).where("time is not null")
+    out = data.select("source_file", "line_no", times.from_iso(cell(time_name)).alias("time"), *[cell(F.lit(c.lower())).alias(c) for c in columns])
+    return out if keep_bad_times else out.where("time is not null")
+
+
+def file_audit(rows: DataFrame, value_flag: str) -> DataFrame:
+    """Per file of read samples: rows, missing values, first and last time, repeated times, and whether all times are of the date in its name."""
+    name = F.element_at(F.split("source_file", "/"), -1)
+    grouped = rows.groupBy("source_file").agg(
+        F.count("*").alias("n_rows"), F.sum(value_flag).alias("n_missing"), F.min("time").alias("first_time"), F.max("time").alias("last_time"), (F.count("*") - F.countDistinct("time")).alias("n_repeated")
+    )
+    date = times.date_in_name(name)
+    match = (F.to_date("first_time") == date) & (F.to_date("last_time") == date)
+    return grouped.withColumn("date_matches", F.when(date.isNotNull(), match))
 
 
 def keep_last_file(df: DataFrame, keys: list[str]) -> DataFrame:
