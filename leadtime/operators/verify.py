@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.staging import staged
 from .islands import islands, merge_intervals
 
 COUNTS = ("tp", "fp", "fn", "tn")
@@ -151,6 +152,7 @@ def match_events(truth: DataFrame, alarms: DataFrame, keys: list[str]) -> DataFr
     block of one alarm and one true segment is a match at once; the others are gone through in groups of some blocks, however
     long the series is.
     """
+    import numpy as np
     import pandas as pd
 
     names = [*keys, "alarm_first", "truth_first"]
@@ -163,14 +165,14 @@ def match_events(truth: DataFrame, alarms: DataFrame, keys: list[str]) -> DataFr
     pairs = a.join(t, [*keys, "block"]).where("alarm_first <= truth_last and truth_first <= alarm_last")
 
     def choose(group: pd.DataFrame) -> pd.DataFrame:
-        taken, out = set(), []
-        for alarm, options in group.groupby("alarm_first", sort=True):
-            near = options.assign(d=(options["truth_first"] - alarm).abs()).sort_values(["d", "truth_first"])
-            free = near[~near["truth_first"].isin(taken)]
-            if len(free):
-                taken.add(free["truth_first"].iloc[0])
-                out.append(free.iloc[0])
-        return pd.DataFrame(out)[names] if out else group.iloc[:0][names]
+        alarm, true = group["alarm_first"].to_numpy(), group["truth_first"].to_numpy()
+        taken, kept, last = set(), [], None
+        for k in np.lexsort((true, abs(true - alarm), alarm)).tolist():
+            if alarm[k] != last and true[k] not in taken:
+                taken.add(true[k])
+                kept.append(k)
+                last = alarm[k]
+        return group.iloc[kept][names]
 
     counted = pairs.withColumn("_n", F.count("*").over(Window.partitionBy(*keys, "block")))
     unclear = counted.where("_n > 1").groupBy(*keys, F.floor(F.col("block") / BLOCKS)).applyInPandas(choose, schema)
@@ -208,14 +210,16 @@ def operating_points(rows: DataFrame, keys: list[str], by: list[str], step: str,
 
     ``keys`` (with those of ``by``) tell series apart. Segments are made once per cutoff; settings work on segments, far fewer than rows.
     """
-    found = alarm_segments(rows.join(cutoffs, by).where("p >= cutoff"), [*keys, "cutoff"], step, F.lit(True))
+    rows, cutoffs = staged(rows.select(*dict.fromkeys([*keys, *by, step, "y", "p"])), "scored"), staged(cutoffs, "cutoffs")
+    found = staged(alarm_segments(rows.join(cutoffs, by).where("p >= cutoff"), [*keys, "cutoff"], step, F.lit(True)), "segments")
     done = None
     for i, setting in enumerate(settings):
         part = postprocess(found, [*keys, "cutoff"], *setting).withColumn("setting", F.lit(i))
         done = part if done is None else done.unionByName(part)
+    done = staged(done, "processed")
     each = [*by, "cutoff", "setting"]
     known = cutoffs.select(*by, "cutoff", F.explode(F.array(*[F.lit(i) for i in range(len(settings))])).alias("setting"))
-    truth = alarm_segments(rows, keys, step, F.col("y") == 1).join(known, by)
+    truth = staged(alarm_segments(rows, keys, step, F.col("y") == 1).join(known, by), "truth")
     scores = event_scores(truth, done, match_events(truth, done, [*dict.fromkeys([*keys, *each])]), each, known)
     points = mask_counts(rows, done, keys, each, step, known)
     return scores.join(points.select(*each, F.try_divide("fp", F.col("fp") + F.col("tn")).alias("event_pofd")), each)

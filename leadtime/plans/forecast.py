@@ -78,7 +78,8 @@ def pr_curve(spark, sf_dir):
 
 def cutoff_sweep(spark, sf_dir):
     rows = d5(spark, sf_dir)
-    return rounded(verify.cutoff_sweep(rows, verify.candidate_cutoffs(rows, BY, POINT_CUTOFFS), BY)).withColumn("cutoff", F.round("cutoff", 6))
+    swept = verify.cutoff_sweep(rows, verify.candidate_cutoffs(rows, BY, POINT_CUTOFFS), BY)
+    return rounded(swept.withColumn("cutoff", F.round("cutoff", 12).cast("decimal(20,12)"))).withColumn("cutoff", F.col("cutoff").cast("double"))
 
 
 def cutoff_csi(spark, sf_dir):
@@ -144,7 +145,7 @@ def monotonicity_penalty(spark, sf_dir):
 
 def ensemble_mean(spark, sf_dir):
     folds = d5(spark, sf_dir).select("*", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("fold")).withColumn("p", F.col("p") * (1 - 0.01 * F.col("fold")))
-    return folds.groupBy("series", "h", "threshold").agg(F.round(F.avg("p"), 8).alias("p"))
+    return folds.groupBy("series", "h", "threshold").agg(F.round(F.avg("p"), 12).alias("p"))
 
 
 def weighted_score(spark, sf_dir):
@@ -302,7 +303,7 @@ def _counts(cut: str) -> str:
 _STEPS = f"""WITH {s.FORECASTS}, g AS (SELECT threshold, p, sum(y) AS pos, sum(1 - y) AS neg FROM d5 GROUP BY ALL),
 sc AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER (PARTITION BY threshold) AS np, sum(neg) OVER (PARTITION BY threshold) AS nn FROM g WINDOW w AS (PARTITION BY threshold ORDER BY p DESC))"""
 _SWEEP = f"""WITH {s.FORECASTS}, cu AS (SELECT DISTINCT threshold, c AS cutoff FROM (SELECT threshold, unnest(list_concat(list_transform(quantile_cont(p, [{", ".join(str(i / (POINT_CUTOFFS - 1)) for i in range(POINT_CUTOFFS))}]), lambda v: v), [0.0, 1.0])) AS c FROM d5 GROUP BY threshold)),
-sw AS (SELECT threshold, round(cutoff, 6) AS cutoff, tp, fp, fn, tn, {_RATIO} FROM (SELECT d5.threshold, cutoff, {_counts("cutoff")} FROM d5 JOIN cu ON d5.threshold = cu.threshold GROUP BY ALL))"""
+sw AS (SELECT threshold, round(cutoff, 12) AS cutoff, tp, fp, fn, tn, {_RATIO} FROM (SELECT d5.threshold, cutoff, {_counts("cutoff")} FROM d5 JOIN cu ON d5.threshold = cu.threshold GROUP BY ALL))"""
 _AT = f"SELECT {{by}}, tp, fp, fn, tn, {_RATIO} FROM (SELECT {{by}}, {_counts('0.5')} FROM {{t}} GROUP BY ALL)"
 _SEG = f"""{s.FORECASTS}, se AS (SELECT series, threshold, min(h) AS a, max(h) AS b, count(*) AS n, sum(y) AS ty, max(y) AS my FROM
   (SELECT *, h - row_number() OVER (PARTITION BY series, threshold ORDER BY h) AS g FROM d5 WHERE p >= 0.5) GROUP BY series, threshold, g)"""
@@ -359,7 +360,7 @@ UNION ALL SELECT 'f_avg_disc', (SELECT count(f_avg_disc) FROM d2) FROM k2 WHERE
 SELECT threshold, round((a + b) / n, 6) AS bce, round((a * ((n - np) / greatest(np, 1)) + b) / n, 6) AS weighted_bce FROM l""",
     "monotonicity_penalty": f"""WITH {s.FORECASTS}, q AS (SELECT *, p * CASE WHEN h % 7 = 0 AND threshold = 100 THEN 1.5 ELSE 1 END AS pp FROM d5), w AS (SELECT pp - lag(pp) OVER (PARTITION BY series, h ORDER BY threshold) AS d FROM q)
 SELECT round(avg(greatest(d, 0) * greatest(d, 0)), 9) AS penalty FROM w WHERE d IS NOT NULL""",
-    "ensemble_mean": f"WITH {s.FORECASTS} SELECT series, h, threshold, round(p * 0.99, 8) AS p FROM d5",
+    "ensemble_mean": f"WITH {s.FORECASTS} SELECT series, h, threshold, round(p * 0.99, 12) AS p FROM d5",
     "weighted_score": f"WITH {s.FORECASTS}, t AS (" + _AT.format(by="threshold", t="d5") + ") SELECT round(sum(CASE threshold WHEN 50 THEN 0.45 WHEN 100 THEN 0.45 WHEN 150 THEN 0.1 END * csi) / sum(CASE WHEN csi IS NOT NULL THEN CASE threshold WHEN 50 THEN 0.45 WHEN 100 THEN 0.45 WHEN 150 THEN 0.1 END END), 9) AS score, max(csi) AS best_csi FROM t",
     "alarm_segments": f"WITH {_SEG} SELECT series, threshold, a AS first_h, b AS last_h, n FROM se",
     "alarm_postprocess": f"WITH {_POST} SELECT series, threshold, a AS first_h, b AS last_h FROM po",

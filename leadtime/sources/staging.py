@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 #: The folders made so far and not deleted.
@@ -46,3 +46,10 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     _made.append(path)
     return path
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """The table, written as Parquet in the shared folder and read back: what uses it more than once doesn't compute it again."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
