@@ -114,9 +114,9 @@ def predictions(spark, pairs):
 def test_scores_by_hand(spark):
     df = predictions(spark, [(1, 0.9), (1, 0.4), (0, 0.6), (0, 0.1)])
     r = verify.skill_scores(df, ["threshold"], F.lit(0.5)).first()
-    assert (r.tp, r.fp, r.fn, r.tn, r.pod, r.far, r.csi, r.bias) == (1, 1, 1, 1, 0.5, 0.5, round(1 / 3, 9), 1.0)
+    assert (r.tp, r.fp, r.fn, r.tn, r.pod, r.far, r.csi, r.bias) == (1, 1, 1, 1, 0.5, 0.5, pytest.approx(1 / 3, rel=1e-12), 1.0)
     assert verify.roc_auc(df, ["threshold"]).first().roc_auc == 0.75
-    assert verify.average_precision(df, ["threshold"]).first().pr_auc == round((1 + 2 / 3) / 2, 9)
+    assert verify.average_precision(df, ["threshold"]).first().pr_auc == pytest.approx((1 + 2 / 3) / 2, rel=1e-12)
 
 
 def test_ratios_are_null_on_zero_denominators(spark):
