@@ -28,15 +28,31 @@ def nearest_in_segments(obs: DataFrame, keys: list[str], time: str, segment: str
     return best.select(*keys, "target", f"_o.{time}", "_o.offset", f"_o.{segment}")
 
 
-def steps_in_intervals(rows: DataFrame, step: str, intervals: DataFrame, start: str, end: str, bucket: int) -> DataFrame:
-    """Each row with each half-open interval that holds its step.
+def steps_in_intervals(rows: DataFrame, step: str, intervals: DataFrame, start: str, end: str, bucket: int, keys: list[str] | None = None) -> DataFrame:
+    """Each row with each half-open interval that holds its step, of the same ``keys`` if there are any.
 
     Intervals are put into buckets of ``bucket`` steps, so that the join is an equi-join followed by the exact test.
     """
     b = F.sequence(F.floor(F.col(start) / bucket), F.floor((F.col(end) - 1) / bucket))
     spread = intervals.select("*", F.explode(b).alias("_bucket"))
     placed = rows.withColumn("_bucket", F.floor(F.col(step) / bucket))
-    return placed.join(spread, "_bucket").where((F.col(step) >= F.col(start)) & (F.col(step) < F.col(end))).drop("_bucket")
+    return placed.join(spread, [*(keys or []), "_bucket"]).where((F.col(step) >= F.col(start)) & (F.col(step) < F.col(end))).drop("_bucket")
+
+
+def floor_to_step(df: DataFrame, time: str, step: int) -> DataFrame:
+    """Adds ``step`` (the number of the step that holds the time) and ``offset`` (the time from its start)."""
+    return df.withColumn("step", F.floor(F.col(time) / step)).withColumn("offset", F.pmod(F.col(time), F.lit(step)))
+
+
+def alignment_report(aligned: DataFrame, keys: list[str]) -> DataFrame:
+    """Per series of rows put on steps: steps, steps that hold more than one row, distinct offsets, the least one, and ``ok`` without collisions.
+
+    ``validate.require`` makes a collision an error.
+    """
+    per = aligned.groupBy(*keys, "step").agg(F.count("*").alias("_n"))
+    offsets = aligned.groupBy(*keys, "offset").count().groupBy(*keys).agg(F.count("*").alias("n_offsets"), F.min("offset").alias("least_offset"))
+    steps = per.groupBy(*keys).agg(F.count("*").alias("n_steps"), F.count_if(F.col("_n") > 1).alias("n_collisions"))
+    return steps.join(offsets, keys).withColumn("ok", F.col("n_collisions") == 0)
 
 
 def coverage(expected: DataFrame, audit: DataFrame, keys: list[str], ok: Column) -> DataFrame:

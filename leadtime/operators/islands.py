@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .running import running
+
 
 def islands(df: DataFrame, keys: list[str], step: str, flag: Column, max_step: int = 1, extra: dict[str, Column] | None = None, chunk_steps: int = 10_000) -> DataFrame:
     """keys, first, last, n (and ``extra`` aggregates) of each run of rows with ``flag``, not more than ``max_step`` apart.
@@ -26,28 +28,41 @@ def islands(df: DataFrame, keys: list[str], step: str, flag: Column, max_step: i
     ).drop("_run2")
 
 
-def gap_segments(df: DataFrame, keys: list[str], order: str, gap_break: Column | float, by: Column | None = None) -> DataFrame:
-    """Adds ``segment`` (from 0): it grows where the step from the row before is longer than ``gap_break``."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    by = F.col(order) if by is None else by
-    step = by - F.lag(by).over(w)
+def gap_segments(df: DataFrame, keys: list[str], order: str, gap_break: Column | float, chunk: int = 10_000) -> DataFrame:
+    """Adds ``segment`` (from 0): it grows where the step from the row before is longer than ``gap_break``.
+
+    A series is gone through in ranges of ``chunk`` units of ``order``.
+    """
+    place = F.floor(F.col(order) / chunk)
+    seen = running(df, keys, [order], place, maxima={"_before": F.col(order)}, before=True)
     limit = gap_break if isinstance(gap_break, Column) else F.lit(gap_break)
-    return df.withColumn("_new", F.when(step > limit, 1).otherwise(0)).withColumn("segment", F.sum("_new").over(w)).drop("_new")
+    marked = seen.withColumn("_new", F.when(F.col(order) - F.col("_before") > limit, 1).otherwise(0)).drop("_before")
+    return running(marked, keys, [order], place, sums={"segment": F.col("_new")}).drop("_new")
 
 
-def merge_intervals(df: DataFrame, keys: list[str], start: str, end: str, *tie: str) -> DataFrame:
-    """Adds ``block`` (from 1): half-open intervals that overlap share one; those that only touch don't."""
-    w = Window.partitionBy(*keys).orderBy(start, *tie)
-    reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return df.withColumn("_new", F.when(F.col(start) < reach, 0).otherwise(1)).withColumn("block", F.sum("_new").over(w)).drop("_new")
+def merge_intervals(df: DataFrame, keys: list[str], start: str, end: str, *tie: str, chunk: int = 10_000) -> DataFrame:
+    """Adds ``block`` (from 1): half-open intervals that overlap share one; those that only touch don't.
 
+    Intervals are gone through in ranges of ``chunk`` units of ``start``.
+    """
+    place = F.floor(F.col(start) / chunk)
+    reached = running(df, keys, [start, *tie], place, maxima={"_reach": F.col(end)}, before=True)
+    marked = reached.withColumn("_new", F.when(F.col(start) < F.col("_reach"), 0).otherwise(1)).drop("_reach")
+    return running(marked, keys, [start, *tie], place, sums={"block": F.col("_new")}).drop("_new")
 
-def downsample_peaks(df: DataFrame, keys: list[str], order: str, value: str, points: int) -> DataFrame:
+
+def downsample_peaks(df: DataFrame, keys: list[str], order: str, value: str, points: int, chunk: int = 10_000) -> DataFrame:
     """At most ``points`` rows of each group: of each positional bucket the row of the largest magnitude, else the first."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    n = F.count("*").over(Window.partitionBy(*keys))
-    bucket = F.floor((F.row_number().over(w) * points - 1) / F.greatest(n, F.lit(points)))
+    placed = running(df, keys, [order], F.floor(F.col(order) / chunk), sums={"_place": F.lit(1)})
+    total = df.groupBy(*keys).agg(F.count("*").alias("_total"))
+    bucket = F.floor((F.col("_place") * points - 1) / F.greatest("_total", F.lit(points)))
     row = F.struct(*[F.col(c) for c in df.columns])
     # Larger magnitudes first, then earlier rows; a bucket without values gives its first row.
     best = F.min_by(row, F.struct(F.coalesce(-F.abs(F.col(value)), F.lit(float("inf"))), F.col(order)))
-    return df.withColumn("_b", bucket).groupBy(*keys, "_b").agg(best.alias("_row")).select("_row.*")
+    return placed.join(total, keys).groupBy(*keys, bucket.alias("_b")).agg(best.alias("_row")).select("_row.*")
+
+
+def sample_index(df: DataFrame, keys: list[str], order: str, stride: int, needed: Column, chunk: int = 10_000) -> DataFrame:
+    """Of every ``stride``-th row of each group (such as a split), by its place and from the first on, those that meet ``needed``."""
+    placed = running(df, keys, [order], F.floor(F.col(order) / chunk), sums={"_place": F.lit(1)})
+    return placed.where((F.pmod(F.col("_place") - 1, F.lit(stride)) == 0) & needed).drop("_place")

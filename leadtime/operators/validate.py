@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .running import running
+
 
 def require_columns(df: DataFrame, names: list[str]) -> DataFrame:
     """Only these columns; an error that names the missing ones."""
@@ -20,10 +22,11 @@ def require(report: DataFrame, ok: str) -> DataFrame:
     return report.where(checked.isNull())
 
 
-def axis_report(df: DataFrame, keys: list[str], step: str, first: int, last: int, stored: Column | None = None) -> DataFrame:
+def axis_report(df: DataFrame, keys: list[str], step: str, first: int, last: int, stored: Column | None = None, chunk: int = 100_000) -> DataFrame:
     """For each series: rows, expected rows, rows with a repeated step, missing and extra steps, the first of each, exact.
 
-    ``stored`` is the order in which rows are stored, for the monotone flag; by default that of the steps.
+    ``stored`` is the order in which rows are stored, for the monotone flag; by default that of the steps. It is gone through
+    in ranges of ``chunk`` units.
     """
     stored = F.col(step) if stored is None else stored
     inside = F.col(step).between(first, last)
@@ -34,8 +37,8 @@ def axis_report(df: DataFrame, keys: list[str], step: str, first: int, last: int
     )
     known = df.select(*keys).distinct().select(*keys, F.explode(F.sequence(F.lit(first).cast("bigint"), F.lit(last).cast("bigint"))).alias(step))
     absent = known.join(counted, [*keys, step], "left_anti").groupBy(*keys).agg(F.count("*").alias("n_missing"), F.min(step).alias("first_missing"))
-    before = F.lag(step).over(Window.partitionBy(*keys).orderBy(stored))
-    monotone = df.withColumn("_back", F.coalesce(F.col(step) < before, F.lit(False))).groupBy(*keys).agg((F.count_if("_back") == 0).alias("monotone"))
+    seen = running(df.select(*keys, step, stored.alias("_at")), keys, ["_at"], F.floor(F.col("_at") / chunk), maxima={"_before": F.col(step)}, before=True)
+    monotone = seen.groupBy(*keys).agg((F.count_if(F.col(step) < F.col("_before")) == 0).alias("monotone"))
     out = per_step.join(absent, keys, "left").join(monotone, keys)
     n_missing = F.coalesce("n_missing", F.lit(0))
     return out.select(
@@ -44,6 +47,18 @@ def axis_report(df: DataFrame, keys: list[str], step: str, first: int, last: int
     )
 
 
+def row_count(df: DataFrame, expected: int) -> DataFrame:
+    """One row: n_rows, n_expected, ok; to be read, or failed on by ``require``."""
+    return df.agg(F.count("*").alias("n_rows")).select("n_rows", F.lit(expected).cast("bigint").alias("n_expected"), (F.col("n_rows") == expected).alias("ok"))
+
+
+def covered(groups: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Each group of ``keys`` with its number of rows and ``ok``, false where it has none."""
+    counted = rows.groupBy(*keys).agg(F.count("*").alias("n_rows"))
+    found = groups.select(*keys).join(counted, keys, "left").na.fill(0, ["n_rows"])
+    return found.withColumn("ok", F.col("n_rows") > 0)
+
+
 def axes_aligned(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """One row: steps only in either table, repeated steps of each, and whether a one-to-one join is safe."""
 

@@ -131,8 +131,11 @@ def cutoff_far_cap(sweep: DataFrame, by: list[str], cap: float) -> DataFrame:
 # Alarms as events
 
 
-def postprocess(segments: DataFrame, keys: list[str], min_run: int, merge_gap: int, min_length: int) -> DataFrame:
-    """Segments (first, last) with short ones dropped, gaps of up to ``merge_gap`` steps closed, and short results dropped."""
+def postprocess(segments: DataFrame, keys: list[str], min_run: int | Column, merge_gap: int | Column, min_length: int | Column) -> DataFrame:
+    """Segments (first, last) with short ones dropped, gaps of up to ``merge_gap`` steps closed, and short results dropped.
+
+    The settings are numbers, or columns that are among the keys.
+    """
     w = Window.partitionBy(*keys).orderBy("first")
     kept = segments.where(F.col("n") >= min_run)
     new = F.when(F.col("first") - F.lag("last").over(w) - 1 <= merge_gap, 0).otherwise(1)

@@ -6,11 +6,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import clean, physics, times
-from ..operators import align, blocks, islands, spine, validate
+from ..operators import align, blocks, events, islands, spine, validate
+from ..operators import windows as w
 from . import standins as s
 
 ALIASES = {"speed": ["l_extendedprice", "price"], "density": ["quantity"], "day": ["l_shipdate"]}
 SPLITS = ["train", "validation", "test"]
+#: Lag and length of the masks of the daily timeline.
+MASKS = {f"mask_{lag}_{length}": (lag, length) for lag in (1, 2) for length in (2, 3)}
+BLOCK = ["series", "block"]
 
 
 # cleaning
@@ -137,7 +141,7 @@ def time_slice(spark, sf_dir):
 
 
 def time_axis_report(spark, sf_dir):
-    return validate.axis_report(s.samples(spark, sf_dir), ["series"], "h", 0, s.HOURS - 1, F.col("event_id"))
+    return validate.axis_report(s.samples(spark, sf_dir), ["series"], "h", 0, s.HOURS - 1, F.col("event_id"), chunk=1_000)
 
 
 def axes_aligned(spark, sf_dir):
@@ -150,11 +154,9 @@ def require_columns(spark, sf_dir):
 
 
 def align_to_step(spark, sf_dir):
-    """Per series: hours that hold more than one sample, distinct offsets within the hour in minutes."""
-    ev = s.table(spark, sf_dir, "events").select(F.col("event_type").alias("series"), F.date_trunc("hour", "ts").alias("hour"), F.minute("ts").alias("minute"))
-    per = ev.groupBy("series", "hour").agg(F.count("*").alias("n"))
-    offsets = ev.groupBy("series").agg(F.countDistinct("minute").alias("n_offsets"), F.min("minute").alias("least_offset"))
-    return per.groupBy("series").agg(F.count("*").alias("n_hours"), F.count_if(F.col("n") > 1).alias("n_collisions")).join(offsets, "series")
+    """Per series: hours, those that hold more than one sample, distinct offsets within the hour."""
+    ev = s.table(spark, sf_dir, "events").select(F.col("event_type").alias("series"), times.micros(F.col("ts")).alias("us"))
+    return align.alignment_report(align.floor_to_step(ev, "us", 3_600_000_000), ["series"])
 
 
 def file_audit(spark, sf_dir):
@@ -209,7 +211,7 @@ def segmented(spark, sf_dir) -> DataFrame:
     step = F.col("us") - F.lag("us").over(Window.partitionBy("series").orderBy("us"))
     q = obs.withColumn("step", step).groupBy("series").agg(F.percentile("step", F.array(F.lit(0.5), F.lit(0.9))).alias("q"))
     limit = q.select("series", F.greatest(F.element_at("q", 1) * 1.5, F.element_at("q", 2) * 1.05).alias("reach"))
-    return islands.gap_segments(obs.join(limit, "series"), ["series"], "us", F.col("reach"))
+    return islands.gap_segments(obs.join(limit, "series"), ["series"], "us", F.col("reach"), chunk=86_400_000_000)
 
 
 def gap_segments(spark, sf_dir):
@@ -241,15 +243,8 @@ def event_catalog(spark, sf_dir):
         F.regexp_replace(F.format_string("%.2f", -F.col("o_totalprice")), r"\.", ",").alias("peak"),
         F.element_at(F.array(*[F.lit(x) for x in ("CME", "CIR", "CME+CIR", "SC CME", "HSS")]), (k % 5 + 1).cast("int")).alias("storm"), k.alias("key"),
     )
-    clock = F.regexp_replace(F.regexp_replace("time_ut", " ", ""), r"\.", ":")
-    at = F.try_to_timestamp(F.concat_ws(" ", "date", clock), F.lit("d.M.yyyy H:mm"))
-    kept = text.where(F.col("number").rlike(r"^\d+\*?$")).select(
-        "key", F.regexp_extract("number", r"\d+", 0).cast("int").alias("event_id"), times.micros(at).alias("peak_us"),
-        F.abs(F.regexp_replace("peak", ",", ".").cast("double")).alias("peak_abs"),
-        F.when(F.col("storm").contains("CIR"), "CIR").when(F.col("storm").contains("CME") & ~F.col("storm").startswith("SC"), "CME").alias("driver"),
-    )
-    status = F.when(F.col("event_id").isin(18, 19), "excluded_engineering").when(F.col("driver").isNull(), "excluded_driver").when(F.col("peak_us").isNull(), "excluded_time").otherwise("selected")
-    return kept.withColumn("status", status)
+    found = events.parse_catalog(text, "number", "date", "time_ut", "peak", "storm", ["key"])
+    return found.select("key", "event_id", times.micros(F.col("peak_time")).alias("peak_us"), "peak_abs", "driver", "status")
 
 
 def event_window_join(spark, sf_dir):
@@ -260,93 +255,91 @@ def event_window_join(spark, sf_dir):
 
 def event_availability(spark, sf_dir):
     """Per event: its worst feature by the longest run of missing days in the window, and whether that excludes it."""
-    features = ["f_sum_qty", "f_avg_disc", "resp"]
-    pairs = align.steps_in_intervals(s.daily(spark, sf_dir).select("k", *features), "k", s.events(spark, sf_dir).select("event_id", "start", "end"), "start", "end", 30)
-    long = pairs.select("event_id", "k", F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).isNull().alias("missing")) for f in features])).alias("v")).select("event_id", "k", "v.*")
-    runs = islands.islands(long, ["event_id", "feature"], "k", F.col("missing")).groupBy("event_id", "feature").agg(F.max("n").alias("longest"))
-    all_of = s.events(spark, sf_dir).select("event_id", F.explode(F.array(*[F.lit(f) for f in features])).alias("feature")).join(runs, ["event_id", "feature"], "left")
-    worst = all_of.groupBy("event_id").agg(F.max(F.coalesce("longest", F.lit(0))).alias("longest"), F.max_by("feature", F.struct(F.coalesce("longest", F.lit(0)), "feature")).alias("worst"))
-    return worst.withColumn("excluded", F.col("longest") >= 2)
+    return events.availability(s.daily(spark, sf_dir), "k", ["f_sum_qty", "f_avg_disc", "resp"], s.events(spark, sf_dir), 2, 30)
 
 
 def merge_intervals(spark, sf_dir):
-    return islands.merge_intervals(s.events(spark, sf_dir), [], "start", "end", "event_id").select("event_id", "block")
+    return islands.merge_intervals(s.events(spark, sf_dir), ["series"], "start", "end", "event_id", chunk=500).select("series", "event_id", "block")
 
 
 def event_groups(spark, sf_dir):
-    return blocks.event_blocks(s.events(spark, sf_dir))
+    return blocks.event_blocks(s.events(spark, sf_dir), ["series"])
+
+
+def placed(spark, sf_dir) -> DataFrame:
+    return blocks.split_blocks(event_groups(spark, sf_dir), order=["start", "series"], chunk=50)
 
 
 def split_assign(spark, sf_dir):
-    return blocks.split_blocks(event_groups(spark, sf_dir)).select("block", "n_events", "split")
+    return placed(spark, sf_dir).select(*BLOCK, "n_events", "split")
 
 
 def event_timeline(spark, sf_dir):
-    """Days of blocks with their split, and a mask that needs its input and target inside the block."""
-    placed = blocks.split_blocks(event_groups(spark, sf_dir)).select("block", "start", "end", "split")
-    rows = align.steps_in_intervals(s.daily(spark, sf_dir).select("k", "resp", "f_n"), "k", placed, "start", "end", 30)
-    w = Window.partitionBy("block").orderBy("k")
-    valid = F.col("resp").isNotNull() & F.col("f_n").isNotNull()
-    seen = F.sum(valid.cast("int")).over(w.rowsBetween(-3, -1)) == 3
-    inside = (F.col("k") - 3 >= F.col("start")) & (F.col("k") + 1 < F.col("end"))
-    return rows.select("block", "split", "k", F.coalesce((seen & inside).cast("int"), F.lit(0)).alias("mask"))
+    """Days of blocks with their split, and a mask for each lag and length that needs its input and target inside the block."""
+    valid, target = F.col("resp").isNotNull() & F.col("f_n").isNotNull(), F.col("ahead").isNotNull()
+    rows = w.chunked(s.daily(spark, sf_dir).select("k", "resp", "f_n"), [], "k", 0, 1, lambda o: {"ahead": w.future_peak(F.col("resp"), o, 1)}, chunk_steps=500)
+    rows = w.chunked(rows, [], "k", 4, 0, lambda o: {name: w.window_mask(valid, target, o, *of) for name, of in MASKS.items()}, chunk_steps=500)
+    made = events.event_timeline(rows, "k", placed(spark, sf_dir), MASKS, 1, 30)
+    return made.select(*BLOCK, "split", "k", *MASKS)
 
 
 def event_ids_per_row(spark, sf_dir):
     pairs = align.steps_in_intervals(s.daily(spark, sf_dir).select("k"), "k", s.events(spark, sf_dir), "start", "end", 30)
     ids = F.array_sort(F.collect_list(F.struct("peak", "event_id")))
-    return pairs.groupBy("k").agg(F.array_join(F.transform(ids, lambda x: x["event_id"].cast("string")), ",").alias("event_ids"))
+    return pairs.groupBy("series", "k").agg(F.array_join(F.transform(ids, lambda x: x["event_id"].cast("string")), ",").alias("event_ids"))
 
 
 def split_summary(spark, sf_dir):
-    """Per split, empty ones too: blocks, events, days, valid days."""
-    known = spark.createDataFrame([(x,) for x in SPLITS], "split string")
-    groups = blocks.split_blocks(event_groups(spark, sf_dir)).groupBy("split").agg(F.count("*").alias("n_blocks"), F.sum("n_events").alias("n_events"), F.min("start").alias("first_k"), F.max("end").alias("last_k"))
-    days = event_timeline(spark, sf_dir).groupBy("split").agg(F.count("*").alias("n_days"), F.sum("mask").alias("n_valid"))
-    return F.broadcast(known).join(groups, "split", "left").join(days, "split", "left")
+    return events.split_manifest(placed(spark, sf_dir), event_timeline(spark, sf_dir), SPLITS, list(MASKS), "k")
 
 
 def split_integrity(spark, sf_dir):
-    return validate.split_integrity(event_timeline(spark, sf_dir), "block", "split", SPLITS)
+    torn = event_timeline(spark, sf_dir).withColumn("place", F.concat_ws(".", *BLOCK))
+    return validate.split_integrity(torn, "place", "split", SPLITS)
+
+
+def block_coverage(spark, sf_dir):
+    """Blocks by whether they have days at all."""
+    found = validate.covered(event_groups(spark, sf_dir), event_timeline(spark, sf_dir), BLOCK)
+    return found.groupBy("ok").agg(F.count("*").alias("n_blocks"), F.sum("n_rows").alias("n_rows"))
 
 
 def dataset_metadata(spark, sf_dir):
-    """One nested row of what the dataset holds, as a JSON text."""
-    e = s.events(spark, sf_dir)
-    per = e.groupBy(F.coalesce("driver", F.lit("none")).alias("driver")).count()
-    out = per.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("driver", "count"))))).alias("drivers"), F.sum("count").alias("n_events"))
-    return out
+    """One row of what the dataset holds."""
+    return events.dataset_metadata(s.events(spark, sf_dir), placed(spark, sf_dir), event_timeline(spark, sf_dir), list(MASKS))
 
 
 def event_onset(spark, sf_dir):
     """Per event and threshold: the first day of the run of days above it that is nearest to the peak, in the window."""
-    rows = s.daily(spark, sf_dir).select("k", "resp")
-    pairs = align.steps_in_intervals(rows, "k", s.events(spark, sf_dir).select("event_id", "peak", "start", "end"), "start", "end", 30)
-    long = pairs.select("event_id", "peak", "k", "resp", F.explode(F.array(F.lit(300000), F.lit(400000))).alias("threshold"))
-    high = long.where(F.col("resp") >= F.col("threshold"))
-    w = Window.partitionBy("event_id", "threshold").orderBy("k")
-    run = F.col("k") - F.row_number().over(w)
-    starts = high.withColumn("run", run).withColumn("run_start", F.min("k").over(Window.partitionBy("event_id", "threshold", "run")))
-    return starts.groupBy("event_id", "threshold").agg(F.min_by("run_start", F.struct(F.abs(F.col("k") - F.col("peak")), "k")).alias("onset"))
+    found = events.event_onsets(s.daily(spark, sf_dir), "k", "resp", s.events(spark, sf_dir), [300000, 400000], 30)
+    return found.select("event_id", "threshold", "onset")
+
+
+def event_day_summary(spark, sf_dir):
+    """Per series and day: the samples, the hours made of them, and whether these agree."""
+    day = F.floor(F.col("h") / 24).alias("day")
+    raw = s.samples(spark, sf_dir).select("series", day, F.col("value").alias("x"), "event_id")
+    return events.event_day_summary(raw, resample_check(spark, sf_dir).select("series", day, "x", "matches"), ["series", "day"], "x", "event_id")
 
 
 def forward_folds(spark, sf_dir):
-    return blocks.forward_folds(event_groups(spark, sf_dir))
+    """Folds of the blocks that are not for the test."""
+    return blocks.forward_folds(placed(spark, sf_dir).where("split <> 'test'"), order=["start", "series"], keys=["series"], chunk=50)
 
 
 def fold_definitions(spark, sf_dir):
-    parts = forward_folds(spark, sf_dir).join(event_groups(spark, sf_dir), "block")
+    parts = forward_folds(spark, sf_dir).join(event_groups(spark, sf_dir), BLOCK)
     return parts.groupBy("fold", "role").agg(F.count("*").alias("n_blocks"), F.sum("n_events").alias("n_events"), F.min("start").alias("first_k"), F.max("end").alias("last_k"))
 
 
 def fold_rows(spark, sf_dir):
-    rows = event_timeline(spark, sf_dir).select("block", "k", "mask")
-    return rows.join(F.broadcast(forward_folds(spark, sf_dir)), "block").groupBy("fold", "role").agg(F.count("*").alias("n_rows"), F.sum("mask").alias("n_valid"))
+    rows = event_timeline(spark, sf_dir)
+    return rows.join(forward_folds(spark, sf_dir), BLOCK).groupBy("fold", "role").agg(F.count("*").alias("n_rows"), F.sum("mask_1_3").alias("n_valid"))
 
 
 def fold_integrity(spark, sf_dir):
-    rows = event_timeline(spark, sf_dir).select("block", "k", "mask").join(F.broadcast(forward_folds(spark, sf_dir).where("role = 'validation'")), "block")
-    return validate.fold_integrity(rows, ["block", "k"], "fold", "mask")
+    rows = event_timeline(spark, sf_dir).join(forward_folds(spark, sf_dir).where("role = 'validation'"), BLOCK)
+    return validate.fold_integrity(rows, [*BLOCK, "k"], "fold", "mask_1_3")
 
 
 QUERIES = {
@@ -356,7 +349,7 @@ QUERIES = {
         coupling_features, feature_transform, ts_from_parts, ts_from_doy, ts_iso_mixed, file_date, time_slice, time_axis_report, axes_aligned, require_columns, align_to_step,
         file_audit, daily_coverage, join_aligned, join_horizontal, join_window_stats, resample_check, gap_segments, asof_nearest_segmented, asof_report, event_catalog,
         event_window_join, event_availability, merge_intervals, event_groups, split_assign, event_timeline, event_ids_per_row, split_summary, split_integrity, dataset_metadata, event_onset,
-        forward_folds, fold_definitions, fold_rows, fold_integrity,
+        block_coverage, event_day_summary,        forward_folds, fold_definitions, fold_rows, fold_integrity,
     )
 }
 
@@ -382,20 +375,22 @@ _NEAR = _OBS + """, sp AS (SELECT series, segment, min(us) // 3600000000 AS a, m
 tg AS (SELECT series, segment, unnest(range(a, b + 1)) AS h FROM sp),
 nn AS (SELECT tg.series, h, us, abs(us - h * 3600000000) AS "offset", tg.segment, row_number() OVER (PARTITION BY tg.series, h ORDER BY abs(us - h * 3600000000), us) AS r
   FROM tg JOIN sg ON sg.series = tg.series AND sg.segment = tg.segment)"""
-_BLOCKS = s.EVENTS + """, mi AS (SELECT *, CAST(sum(CASE WHEN "start" < reach THEN 0 ELSE 1 END) OVER (ORDER BY "start", event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS block FROM
-  (SELECT *, max("end") OVER (ORDER BY "start", event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM d3)),
-bl AS (SELECT block, min("start") AS "start", max("end") AS "end", count(*) AS n_events, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY peak, event_id) AS event_ids FROM mi GROUP BY block)"""
-_SPLIT = _BLOCKS + """, ci AS (SELECT *, row_number() OVER (ORDER BY "start") - 1 AS i, sum(n_events) OVER (ORDER BY "start") AS cum, sum(n_events) OVER () AS total, count(*) OVER () AS n FROM bl),
+_BLOCKS = s.EVENTS + """, mi AS (SELECT *, CAST(sum(CASE WHEN "start" < reach THEN 0 ELSE 1 END) OVER (PARTITION BY series ORDER BY "start", event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS block FROM
+  (SELECT *, max("end") OVER (PARTITION BY series ORDER BY "start", event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM d3)),
+bl AS (SELECT series, block, min("start") AS "start", max("end") AS "end", count(*) AS n_events, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY peak, event_id) AS event_ids FROM mi GROUP BY series, block)"""
+_SPLIT = _BLOCKS + """, ci AS (SELECT *, row_number() OVER (ORDER BY "start", series) - 1 AS i, sum(n_events) OVER (ORDER BY "start", series) AS cum, sum(n_events) OVER () AS total, count(*) OVER () AS n FROM bl),
 t1 AS (SELECT i AS ti, cum AS tc FROM ci WHERE i <= n - 3 ORDER BY abs(cum - 0.7::DOUBLE * total), i LIMIT 1),
 t2 AS (SELECT i AS vi FROM ci, t1 WHERE i > ti AND i <= n - 2 ORDER BY abs(cum - (tc + 0.15::DOUBLE * total)), i LIMIT 1),
 sb AS (SELECT ci.*, CASE WHEN i <= ti THEN 'train' WHEN i <= vi THEN 'validation' ELSE 'test' END AS split FROM ci, t1, t2)"""
-_LINE = s.DAILY + ", " + _SPLIT + """, tl AS (SELECT block, split, k, CASE WHEN count(*) FILTER (resp IS NOT NULL AND f_n IS NOT NULL) OVER (PARTITION BY block ORDER BY k ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) = 3
-  AND k - 3 >= "start" AND k + 1 < "end" THEN 1 ELSE 0 END AS mask FROM d2 JOIN sb ON k >= "start" AND k < "end")"""
-_FOLDS = """, fi AS (SELECT block, row_number() OVER (ORDER BY "start") - 1 AS i, count(*) OVER () AS n FROM bl),
+_FRAMES = ", ".join(f"CASE WHEN lead(resp) OVER (ORDER BY k) IS NOT NULL AND count(*) FILTER (resp IS NOT NULL AND f_n IS NOT NULL) OVER (ORDER BY k ROWS BETWEEN {a + n - 1} PRECEDING AND {a} PRECEDING) = {n} THEN 1 ELSE 0 END AS {m}" for m, (a, n) in MASKS.items())
+_INSIDE = ", ".join(f"""CASE WHEN {m} = 1 AND k - {a + n - 1} >= "start" AND k + 1 < "end" THEN 1 ELSE 0 END AS {m}""" for m, (a, n) in MASKS.items())
+_LINE = s.DAILY + ", " + _SPLIT + f""", fm AS (SELECT k, {_FRAMES} FROM d2), tl AS (SELECT series, block, split, k, {_INSIDE} FROM fm JOIN sb ON k >= "start" AND k < "end")"""
+_VALID = ", ".join(f"CAST(sum({m}) AS BIGINT) AS valid_{m}" for m in MASKS)
+_FOLDS = """, fi AS (SELECT series, block, row_number() OVER (ORDER BY "start", series) - 1 AS i, count(*) OVER () AS n FROM sb WHERE split <> 'test'),
 fh AS (SELECT *, least(greatest(CAST(ceil(n * 0.4::DOUBLE) AS INT), 1), n - 3) AS head FROM fi),
-fr AS (SELECT block, CASE WHEN i < head THEN 0 WHEN i - head < ((n - head) % 3) * ((n - head) // 3 + 1) THEN (i - head) // ((n - head) // 3 + 1) + 1
+fr AS (SELECT series, block, CASE WHEN i < head THEN 0 WHEN i - head < ((n - head) % 3) * ((n - head) // 3 + 1) THEN (i - head) // ((n - head) // 3 + 1) + 1
   ELSE (n - head) % 3 + (i - head - ((n - head) % 3) * ((n - head) // 3 + 1)) // greatest((n - head) // 3, 1) + 1 END AS run FROM fh),
-ff AS (SELECT fold, block, CASE WHEN run = fold THEN 'validation' ELSE 'train' END AS role FROM fr, (SELECT unnest([1, 2, 3]) AS fold) WHERE run <= fold)"""
+ff AS (SELECT fold, series, block, CASE WHEN run = fold THEN 'validation' ELSE 'train' END AS role FROM fr, (SELECT unnest([1, 2, 3]) AS fold) WHERE run <= fold)"""
 _DAY = f"CAST(date_diff('day', DATE '{s.FIRST_DAY}', CAST(o_orderdate AS DATE)) AS BIGINT)"
 _AUDIT = f"""au AS (SELECT {_DAY} AS k, count(*) AS n_rows, count(*) FILTER (o_totalprice <= 400000) AS n_valid, min(o_orderkey) AS first_key, max(o_orderkey) AS last_key,
   count(*) - count(DISTINCT o_custkey) AS n_repeated FROM orders GROUP BY 1)"""
@@ -435,8 +430,8 @@ FROM c LEFT JOIN a ON a.series = c.series JOIN m ON m.series = c.series GROUP BY
     "axes_aligned": """WITH a AS (SELECT o_custkey AS c, count(*) AS n FROM orders GROUP BY 1), b AS (SELECT c_custkey AS c, count(*) AS n FROM customer GROUP BY 1)
 SELECT (SELECT count(*) FROM a ANTI JOIN b USING (c)) AS only_a, (SELECT count(*) FROM a WHERE n > 1) AS repeated_a, (SELECT count(*) FROM b ANTI JOIN a USING (c)) AS only_b, (SELECT count(*) FROM b WHERE n > 1) AS repeated_b, false AS aligned""",
     "require_columns": "SELECT l_orderkey, l_linenumber FROM lineitem",
-    "align_to_step": """SELECT series, n_hours, n_collisions, n_offsets, least_offset FROM (SELECT series, count(*) AS n_hours, count(*) FILTER (n > 1) AS n_collisions FROM (SELECT event_type AS series, date_trunc('hour', ts) AS t, count(*) AS n FROM events GROUP BY ALL) GROUP BY 1)
-JOIN (SELECT event_type AS series, count(DISTINCT minute(ts)) AS n_offsets, min(minute(ts)) AS least_offset FROM events GROUP BY 1) USING (series)""",
+    "align_to_step": """SELECT series, n_steps, n_collisions, n_offsets, least_offset, n_collisions = 0 AS ok FROM (SELECT series, count(*) AS n_steps, count(*) FILTER (n > 1) AS n_collisions FROM (SELECT event_type AS series, date_trunc('hour', ts) AS t, count(*) AS n FROM events GROUP BY ALL) GROUP BY 1)
+JOIN (SELECT event_type AS series, count(DISTINCT epoch_us(ts) % 3600000000) AS n_offsets, min(epoch_us(ts) % 3600000000) AS least_offset FROM events GROUP BY 1) USING (series)""",
     "file_audit": f"WITH {_AUDIT} SELECT * FROM au",
     "daily_coverage": f"WITH {_AUDIT} SELECT g.k, n_rows, n_valid, n_rows IS NOT NULL AS found, coalesce(n_valid = n_rows, false) AS passes FROM (SELECT CAST(unnest(range({s.DAYS})) AS BIGINT) AS k) g LEFT JOIN au ON au.k = g.k",
     "join_aligned": f"WITH {s.DAILY} SELECT li.*, resp FROM li JOIN rs USING (k)",
@@ -457,22 +452,30 @@ SELECT *, CASE WHEN event_id IN (18, 19) THEN 'excluded_engineering' WHEN driver
     + """), r AS (SELECT event_id, feature, max(n) AS longest FROM (SELECT event_id, feature, count(*) AS n FROM (SELECT *, k - row_number() OVER (PARTITION BY event_id, feature ORDER BY k) AS g FROM u WHERE missing) GROUP BY event_id, feature, g) GROUP BY ALL),
 a AS (SELECT event_id, feature, coalesce(longest, 0) AS longest FROM d3 CROSS JOIN (SELECT unnest(['f_sum_qty', 'f_avg_disc', 'resp']) AS feature) LEFT JOIN r USING (event_id, feature))
 SELECT event_id, max(longest) AS longest, arg_max(feature, (longest, feature)) AS worst, max(longest) >= 2 AS excluded FROM a GROUP BY event_id""",
-    "dataset_metadata": f"""WITH {s.EVENTS}, g AS (SELECT coalesce(driver, 'none') AS driver, count(*) AS n FROM d3 GROUP BY 1)
-SELECT '{{' || string_agg('"' || driver || '":' || n, ',' ORDER BY driver) || '}}' AS drivers, CAST(sum(n) AS BIGINT) AS n_events FROM g""",
-    "merge_intervals": f"WITH {_BLOCKS} SELECT event_id, block FROM mi",
+    "dataset_metadata": f"""WITH {_LINE}, vm AS (""" + " UNION ALL ".join(f"SELECT '{m}' AS key, sum({m}) AS value FROM tl" for m in MASKS) + """), j AS (
+SELECT 'drivers' AS part, coalesce(driver, 'none') AS key, count(*) AS value FROM d3 GROUP BY 2 UNION ALL SELECT 'split_events', split, sum(n_events) FROM sb GROUP BY 2
+UNION ALL SELECT 'split_blocks', split, count(*) FROM sb GROUP BY 2 UNION ALL SELECT 'valid_steps', key, value FROM vm),
+t AS (SELECT part, '{' || string_agg('"' || key || '":' || CAST(value AS BIGINT), ',' ORDER BY key) || '}' AS text FROM j GROUP BY part)
+SELECT (SELECT count(*) FROM d3) AS n_events, (SELECT count(*) FROM bl) AS n_blocks, (SELECT count(*) FROM tl) AS n_steps, """ + ", ".join(f"max(text) FILTER (part = '{x}') AS {x}" for x in ("drivers", "split_events", "split_blocks", "valid_steps")) + " FROM t",
+    "merge_intervals": f"WITH {_BLOCKS} SELECT series, event_id, block FROM mi",
     "event_groups": f"WITH {_BLOCKS} SELECT * FROM bl",
-    "split_assign": f"WITH {_SPLIT} SELECT block, n_events, split FROM sb",
+    "split_assign": f"WITH {_SPLIT} SELECT series, block, n_events, split FROM sb",
     "event_timeline": f"WITH {_LINE} SELECT * FROM tl",
-    "event_ids_per_row": f"""WITH {s.EVENTS} SELECT k, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY peak, event_id) AS event_ids FROM (SELECT CAST(unnest(range({s.DAYS})) AS BIGINT) AS k) JOIN d3 ON k >= "start" AND k < "end" GROUP BY k""",
-    "split_summary": f"""WITH {_LINE} SELECT split, n_blocks, n_events, first_k, last_k, n_days, n_valid FROM (SELECT unnest(['train', 'validation', 'test']) AS split)
-LEFT JOIN (SELECT split, count(*) AS n_blocks, CAST(sum(n_events) AS BIGINT) AS n_events, min("start") AS first_k, max("end") AS last_k FROM sb GROUP BY 1) USING (split)
-LEFT JOIN (SELECT split, count(*) AS n_days, CAST(sum(mask) AS BIGINT) AS n_valid FROM tl GROUP BY 1) USING (split)""",
+    "event_ids_per_row": f"""WITH {s.EVENTS} SELECT series, k, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY peak, event_id) AS event_ids FROM (SELECT CAST(unnest(range({s.DAYS})) AS BIGINT) AS k) JOIN d3 ON k >= "start" AND k < "end" GROUP BY series, k""",
+    "split_summary": f"""WITH {_LINE} SELECT split, coalesce(n_blocks, 0) AS n_blocks, coalesce(n_events, 0) AS n_events, coalesce(n_steps, 0) AS n_steps, first_step, last_step, """ + ", ".join(f"coalesce(valid_{m}, 0) AS valid_{m}" for m in MASKS) + f""" FROM (SELECT unnest(['train', 'validation', 'test']) AS split)
+LEFT JOIN (SELECT split, count(*) AS n_blocks, CAST(sum(n_events) AS BIGINT) AS n_events FROM sb GROUP BY 1) USING (split)
+LEFT JOIN (SELECT split, count(*) AS n_steps, min(k) AS first_step, max(k) AS last_step, {_VALID} FROM tl GROUP BY 1) USING (split)""",
+    "block_coverage": f"""WITH {_LINE}, c AS (SELECT bl.series, bl.block, count(k) AS n FROM bl LEFT JOIN tl ON tl.series = bl.series AND tl.block = bl.block GROUP BY ALL)
+SELECT n > 0 AS ok, count(*) AS n_blocks, CAST(sum(n) AS BIGINT) AS n_rows FROM c GROUP BY 1""",
+    "event_day_summary": f"""WITH {s.HOURLY}, a AS (SELECT series, h // 24 AS day, count(*) AS raw_rows, count(value) AS raw_valid, min(event_id) AS raw_first, max(event_id) AS raw_last FROM ev GROUP BY ALL),
+b AS (SELECT series, h // 24 AS day, count(*) AS steps, count(x) AS steps_valid, count(*) FILTER (x IS NULL) AS steps_missing, count(*) AS steps_matching, 0 AS steps_not_matching FROM d1 GROUP BY ALL)
+SELECT b.*, coalesce(raw_rows, 0) AS raw_rows, coalesce(raw_valid, 0) AS raw_valid, raw_first, raw_last FROM b LEFT JOIN a ON a.series = b.series AND a.day = b.day""",
     "split_integrity": f"WITH {_LINE} SELECT count(*) FILTER (split IS NULL OR block IS NULL) AS n_null, 0 AS n_unknown, 0 AS n_torn_groups FROM tl",
     "event_onset": f"""WITH {s.DAILY}, {s.EVENTS}, hi AS (SELECT event_id, threshold, peak, k, k - row_number() OVER (PARTITION BY event_id, threshold ORDER BY k) AS run FROM d2 JOIN d3 ON k >= "start" AND k < "end", (SELECT unnest([300000, 400000]) AS threshold) WHERE resp >= threshold),
 rs2 AS (SELECT *, min(k) OVER (PARTITION BY event_id, threshold, run) AS a FROM hi)
 SELECT event_id, threshold, arg_min(a, abs(k - peak) * 100000 + k) AS onset FROM rs2 GROUP BY ALL""",
-    "forward_folds": f"WITH {_BLOCKS}{_FOLDS} SELECT fold, block, role FROM ff",
-    "fold_definitions": f"""WITH {_BLOCKS}{_FOLDS} SELECT fold, role, count(*) AS n_blocks, CAST(sum(n_events) AS BIGINT) AS n_events, min("start") AS first_k, max("end") AS last_k FROM ff JOIN bl USING (block) GROUP BY ALL""",
-    "fold_rows": f"WITH {_LINE}{_FOLDS} SELECT fold, role, count(*) AS n_rows, CAST(sum(mask) AS BIGINT) AS n_valid FROM tl JOIN ff USING (block) GROUP BY ALL",
-    "fold_integrity": f"WITH {_LINE}{_FOLDS} SELECT count(*) AS n_samples, 0 AS n_shared, 0 AS n_contradicted FROM tl JOIN ff USING (block) WHERE role = 'validation'",
+    "forward_folds": f"WITH {_SPLIT}{_FOLDS} SELECT fold, series, block, role FROM ff",
+    "fold_definitions": f"""WITH {_SPLIT}{_FOLDS} SELECT fold, role, count(*) AS n_blocks, CAST(sum(n_events) AS BIGINT) AS n_events, min("start") AS first_k, max("end") AS last_k FROM ff JOIN bl USING (series, block) GROUP BY ALL""",
+    "fold_rows": f"WITH {_LINE}{_FOLDS} SELECT fold, role, count(*) AS n_rows, CAST(sum(mask_1_3) AS BIGINT) AS n_valid FROM tl JOIN ff USING (series, block) GROUP BY ALL",
+    "fold_integrity": f"WITH {_LINE}{_FOLDS} SELECT count(*) AS n_samples, 0 AS n_shared, 0 AS n_contradicted FROM tl JOIN ff USING (series, block) WHERE role = 'validation'",
 }

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import physics
-from ..operators import blocks, model, select, spine, verify
+from ..operators import blocks, events, model, select, spine, verify
 from . import series
 from . import standins as s
 
@@ -19,6 +19,7 @@ CUTOFF = 0.5
 SETTINGS = ((1, 0, 1), (2, 2, 2), (3, 5, 3), (3, 10, 3), (5, 5, 5), (5, 10, 5))
 POINT_CUTOFFS, EVENT_CUTOFFS = 1001, 31
 FEATURES = ["f_sum_qty", "f_max_price", "f_avg_disc", "f_n"]
+POINT = (0.5, 0.45, 0.4, 0.35)
 WEIGHTS = {50: 0.45, 100: 0.45, 150: 0.1, 200: 0.0}
 
 
@@ -205,6 +206,27 @@ def warning_summary(spark, sf_dir):
     return out.select("*", F.round(F.try_divide("detected", "eligible"), 9).alias("pod"), F.round(F.try_divide("false_episodes", "episodes"), 9).alias("false_ratio"))
 
 
+def points(spark) -> DataFrame:
+    """A cutoff and an alarm setting for each threshold."""
+    rows = [(t, c, *SETTINGS[i]) for t, c, i in zip(s.THRESHOLDS, POINT, (0, 1, 1, 2))]
+    return spark.createDataFrame(rows, "threshold int, cutoff double, min_run int, merge_gap int, min_length int")
+
+
+def event_warnings(spark, sf_dir):
+    """Catalogued events by threshold: onset, the first warning of the alarms at each threshold's own point, and the lead."""
+    rows = d5(spark, sf_dir)
+    onsets = events.event_onsets(s.hourly(spark, sf_dir), "h", "x", s.shocks(spark, sf_dir), list(s.THRESHOLDS), 48, ["series"])
+    alarms = events.decided_alarms(rows, "h", points(spark), KEYS, BY).drop("cutoff")
+    return events.event_warnings(rows, "h", alarms, onsets, KEYS, 6).select(*KEYS, "event_id", "onset", "first_alarm", "lead", "detected")
+
+
+def event_evaluation(spark, sf_dir):
+    """Per threshold, with its point: events that reach it, those warned of in time, the median lead, alarms and false ones."""
+    rows = d5(spark, sf_dir)
+    episodes = events.alarm_episodes(rows, "h", events.decided_alarms(rows, "h", points(spark), KEYS, BY), KEYS)
+    return rounded(events.warning_summary(event_warnings(spark, sf_dir), episodes, points(spark), BY))
+
+
 def config_scores(spark, sf_dir) -> DataFrame:
     """Point scores for each (lag, length), on the hours that its mask lets through."""
     pairs = [F.struct(F.lit(a).alias("lag"), F.lit(n).alias("length"), F.col(f"mask_{a}_{n}").alias("valid")) for a in series.LAGS for n in series.LENGTHS]
@@ -287,7 +309,7 @@ QUERIES = {
     for f in (
         decision_cut, calibrated_probability, temperature_fit, probability_series, skill_scores, roc_auc, pr_auc, roc_curve, pr_curve, cutoff_sweep, cutoff_csi, cutoff_bias_one,
         cutoff_far_cap, exact_quantiles, histogram, histogram_abs, corr_matrix, feature_filter, feature_roles, standard_scale, class_weights, forecast_loss, monotonicity_penalty,
-        ensemble_mean, weighted_score, alarm_segments, alarm_postprocess, alarm_episodes, event_match, warning_lead_time, warning_summary, config_comparison, config_ranking,
+        ensemble_mean, weighted_score, alarm_segments, alarm_postprocess, alarm_episodes, event_match, warning_lead_time, warning_summary, event_warnings, event_evaluation, config_comparison, config_ranking,
         window_selection, best_epoch, event_operating_point, test_metrics, test_predictions, fold_scores, oof_predictions,
     )
 }
@@ -311,6 +333,17 @@ _POST = f"""{_SEG}, kp AS (SELECT *, CASE WHEN a - lag(b) OVER (PARTITION BY ser
 po AS (SELECT series, threshold, min(a) AS a, max(b) AS b FROM (SELECT *, sum(nw) OVER (PARTITION BY series, threshold ORDER BY a) AS g FROM kp) GROUP BY series, threshold, g HAVING max(b) - min(a) + 1 >= 3)"""
 _LEAD = f"""{_SEG}, tr AS (SELECT series, threshold, min(h) AS onset FROM (SELECT *, h - row_number() OVER (PARTITION BY series, threshold ORDER BY h) AS g FROM d5 WHERE y = 1) GROUP BY series, threshold, g),
 ld AS (SELECT tr.series, tr.threshold, onset, min(h) AS first_alarm FROM tr LEFT JOIN d5 ON d5.series = tr.series AND d5.threshold = tr.threshold AND p >= 0.5 AND h >= onset - 6 AND h < onset GROUP BY ALL)"""
+_EVAL = f"""{s.FORECASTS}, {s.SHOCKS}, pt AS (SELECT * FROM (VALUES {", ".join(str((t, c, *SETTINGS[i])) for t, c, i in zip(s.THRESHOLDS, POINT, (0, 1, 1, 2)))}) v(threshold, cutoff, min_run, merge_gap, min_length)),
+s1 AS (SELECT series, threshold, merge_gap, min_length, min(h) AS a, max(h) AS b FROM (SELECT d5.*, pt.*, h - row_number() OVER (PARTITION BY series, d5.threshold ORDER BY h) AS g FROM d5 JOIN pt ON pt.threshold = d5.threshold WHERE p >= cutoff)
+  GROUP BY series, threshold, merge_gap, min_length, min_run, g HAVING count(*) >= min_run),
+s2 AS (SELECT *, CASE WHEN a - lag(b) OVER (PARTITION BY series, threshold ORDER BY a) - 1 <= merge_gap THEN 0 ELSE 1 END AS nw FROM s1),
+pr AS (SELECT series, threshold, min(a) AS a, max(b) AS b FROM (SELECT *, sum(nw) OVER (PARTITION BY series, threshold ORDER BY a) AS g FROM s2) GROUP BY series, threshold, min_length, g HAVING max(b) - min(a) + 1 >= min_length),
+al AS (SELECT d5.series, d5.threshold, h, y, a FROM d5 JOIN pr ON pr.series = d5.series AND pr.threshold = d5.threshold AND h BETWEEN a AND b),
+hi AS (SELECT d7.series, event_id, threshold, peak, h, h - row_number() OVER (PARTITION BY event_id, threshold ORDER BY h) AS run FROM d1 JOIN d7 ON d7.series = d1.series AND h >= "start" AND h < "end", (SELECT unnest([50, 100, 150, 200]) AS threshold) WHERE abs(x) >= threshold),
+st AS (SELECT *, min(h) OVER (PARTITION BY event_id, threshold, run) AS a FROM hi),
+os AS (SELECT series, event_id, threshold, arg_min(a, abs(h - peak) * 100000 + h) AS onset FROM st GROUP BY ALL),
+wn AS (SELECT os.series, os.threshold, event_id, onset, min(h) AS first_alarm FROM os LEFT JOIN al ON al.series = os.series AND al.threshold = os.threshold AND h >= onset - 6 AND h < onset GROUP BY ALL),
+ep AS (SELECT pr.series, pr.threshold, pr.a, coalesce(sum(y), 0) AS ty FROM pr LEFT JOIN al ON al.series = pr.series AND al.threshold = pr.threshold AND al.a = pr.a GROUP BY ALL)"""
 _CONFIG = f"{s.FORECASTS}, mk AS (SELECT series, h, {series._MASK} FROM pk), cv AS (" + " UNION ALL ".join(
     f"SELECT series, h, {a} AS lag, {n} AS length FROM mk WHERE mask_{a}_{n} = 1" for a in series.LAGS for n in series.LENGTHS
 ) + "), cj AS (SELECT d5.*, lag, length FROM d5 JOIN cv ON d5.series = cv.series AND d5.h = cv.h), cs AS (" + _AT.format(by="lag, length, threshold", t="cj") + ")"
@@ -369,6 +402,11 @@ SELECT round(avg(greatest(d, 0) * greatest(d, 0)), 9) AS penalty FROM w WHERE d
     "warning_summary": f"""WITH {_LEAD} SELECT threshold, coalesce(eligible, 0) AS eligible, coalesce(detected, 0) AS detected, median_lead, coalesce(episodes, 0) AS episodes, coalesce(fe, 0) AS false_episodes, round(detected / nullif(eligible, 0), 9) AS pod, round(fe / nullif(episodes, 0), 9) AS false_ratio
 FROM (SELECT unnest([50, 100, 150, 200, 1000]) AS threshold) LEFT JOIN (SELECT threshold, count(*) AS eligible, count(first_alarm) AS detected, round(median(onset - first_alarm), 6) AS median_lead FROM ld GROUP BY 1) USING (threshold)
 LEFT JOIN (SELECT threshold, count(*) AS episodes, count(*) FILTER (my = 0) AS fe FROM se GROUP BY 1) USING (threshold)""",
+    "event_warnings": f"WITH {_EVAL} SELECT series, threshold, event_id, onset, first_alarm, onset - first_alarm AS lead, first_alarm IS NOT NULL AS detected FROM wn",
+    "event_evaluation": f"""WITH {_EVAL} SELECT pt.*, coalesce(eligible, 0) AS eligible, coalesce(detected, 0) AS detected, round(median_lead, 9) AS median_lead, coalesce(episodes, 0) AS episodes, coalesce(fe, 0) AS false_episodes,
+  coalesce(eligible - detected, 0) AS missed, round(detected / nullif(eligible, 0), 9) AS pod, coalesce(episodes - fe, 0) AS true_episodes, round(fe / nullif(episodes, 0), 9) AS false_ratio
+FROM pt LEFT JOIN (SELECT threshold, count(*) AS eligible, count(first_alarm) AS detected, median(onset - first_alarm) AS median_lead FROM wn GROUP BY 1) w ON w.threshold = pt.threshold
+LEFT JOIN (SELECT threshold, count(*) AS episodes, count(*) FILTER (ty = 0) AS fe FROM ep GROUP BY 1) e ON e.threshold = pt.threshold""",
     "config_comparison": f"WITH {_CONFIG} SELECT lag, length, threshold, csi, far, bias, n_valid FROM cs LEFT JOIN (SELECT lag, length, count(*) AS n_valid FROM cv GROUP BY ALL) USING (lag, length)",
     "config_ranking": f"WITH {_CONFIG} SELECT threshold, lag, length, csi, row_number() OVER (PARTITION BY threshold ORDER BY csi DESC NULLS LAST, far NULLS LAST, abs(bias - 1) NULLS LAST, lag, length) AS rank FROM cs",
     "window_selection": f"""WITH {_CONFIG}, m AS (SELECT length, round(avg(tp / nullif(tp + fp + fn, 0)), 9) AS csi, round(avg(fp / nullif(fp + tn, 0)), 9) AS pofd FROM cs GROUP BY length)

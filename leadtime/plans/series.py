@@ -83,13 +83,10 @@ def sequence_windows(spark, sf_dir):
 
 
 def sample_index(spark, sf_dir):
-    """Every second step, then those with a valid window, context and label."""
-    from pyspark.sql import Window
-
-    rows = masks(spark, sf_dir)
-    order = Window.partitionBy("series").orderBy("h")
-    placed = rows.select("series", "h", "mask_2_3", F.lag(F.col("x"), 2).over(order).isNotNull().alias("context"), F.pmod(F.row_number().over(order) - 1, F.lit(2)).alias("place"))
-    return placed.where("place = 0 and mask_2_3 = 1 and context").select("series", "h")
+    """Every second step, then those with a valid window, context and labels."""
+    rows = w.chunked(masks(spark, sf_dir), ["series"], "h", 2, 0, lambda o: {"context": F.lag("x", 2).over(o)})
+    needed = F.col("target") & (F.col("mask_2_3") == 1) & F.col("context").isNotNull()
+    return islands.sample_index(rows, ["series"], "h", 2, needed, chunk=240).select("series", "h")
 
 
 def missing_intervals(spark, sf_dir):
@@ -116,7 +113,7 @@ def dedup_keep_last(spark, sf_dir):
 
 
 def downsample_peaks(spark, sf_dir):
-    return islands.downsample_peaks(s.hourly(spark, sf_dir), ["series"], "h", "x", 100)
+    return islands.downsample_peaks(s.hourly(spark, sf_dir), ["series"], "h", "x", 100, chunk=240)
 
 
 def union_parts(spark, sf_dir):

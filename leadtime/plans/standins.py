@@ -10,6 +10,7 @@ from ..operators.windows import chunked, exceedance, full, future_peak
 
 HOURS, DAYS, HORIZON = 720, 2500, 3
 THRESHOLDS = (50, 100, 150, 200)
+LARGE, SHOCK = 400_000, 200
 START, END, FIRST_DAY = "2024-01-01", "2024-01-31", "1995-01-01"
 
 
@@ -48,11 +49,19 @@ def drivers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """D3: event_id, peak (day from FIRST_DAY), start, end (half-open window), driver class, size; the 92 largest orders."""
+    """D3: series, event_id, peak (day from FIRST_DAY), start, end (half-open window), driver class, size; each order of LARGE or more, its customer as series."""
     day = F.datediff(F.col("o_orderdate"), F.lit(FIRST_DAY)).cast("bigint")
-    top = table(spark, sf_dir, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(92)
+    large = table(spark, sf_dir, "orders").where(F.col("o_totalprice") >= LARGE)
     driver = F.when(F.col("o_orderpriority").startswith("1"), "CME").when(F.col("o_orderpriority").startswith("2"), "CIR")
-    return top.select(F.col("o_orderkey").alias("event_id"), day.alias("peak"), (day - 5).alias("start"), (day + 5).alias("end"), driver.alias("driver"), F.col("o_totalprice").alias("size"))
+    return large.select(
+        F.col("o_custkey").alias("series"), F.col("o_orderkey").alias("event_id"), day.alias("peak"), (day - 5).alias("start"), (day + 5).alias("end"), driver.alias("driver"), F.col("o_totalprice").alias("size")
+    )
+
+
+def shocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D7: series, event_id, peak, start, end in hours; each sample of SHOCK or more as an event with a day before and after it."""
+    h = F.col("h")
+    return samples(spark, sf_dir).where(F.abs("value") >= SHOCK).select("series", "event_id", h.alias("peak"), (h - 24).alias("start"), (h + 24).alias("end"))
 
 
 def forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,9 +91,10 @@ DAILY = f"""li AS (SELECT CAST(date_diff('day', DATE '{FIRST_DAY}', CAST(l_shipd
   round(avg(l_discount), 6) AS f_avg_disc, count(*) AS f_n FROM lineitem GROUP BY 1),
 rs AS (SELECT CAST(date_diff('day', DATE '{FIRST_DAY}', CAST(o_orderdate AS DATE)) AS BIGINT) AS k, max(o_totalprice) AS resp FROM orders GROUP BY 1),
 d2 AS (SELECT g.k, f_sum_qty, f_max_price, f_avg_disc, f_n, resp FROM (SELECT CAST(unnest(range({DAYS})) AS BIGINT) AS k) g LEFT JOIN li ON li.k = g.k LEFT JOIN rs ON rs.k = g.k)"""
-EVENTS = f"""d3 AS (SELECT o_orderkey AS event_id, d AS peak, d - 5 AS "start", d + 5 AS "end", size,
+EVENTS = f"""d3 AS (SELECT o_custkey AS series, o_orderkey AS event_id, d AS peak, d - 5 AS "start", d + 5 AS "end", size,
   CASE WHEN o_orderpriority LIKE '1%' THEN 'CME' WHEN o_orderpriority LIKE '2%' THEN 'CIR' END AS driver
-  FROM (SELECT *, CAST(date_diff('day', DATE '{FIRST_DAY}', CAST(o_orderdate AS DATE)) AS BIGINT) AS d, o_totalprice AS size FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 92))"""
+  FROM (SELECT *, CAST(date_diff('day', DATE '{FIRST_DAY}', CAST(o_orderdate AS DATE)) AS BIGINT) AS d, o_totalprice AS size FROM orders WHERE o_totalprice >= {LARGE}))"""
+SHOCKS = f"""d7 AS (SELECT series, event_id, h AS peak, h - 24 AS "start", h + 24 AS "end" FROM ev WHERE abs(value) >= {SHOCK})"""
 #: Peak of the next HORIZON hours, null unless all are observed.
 PEAK = f"""pk AS (SELECT *, CASE WHEN count(x) OVER f = {HORIZON} THEN max(abs(x)) OVER f END AS peak FROM d1
   WINDOW f AS (PARTITION BY series ORDER BY h ROWS BETWEEN 1 FOLLOWING AND {HORIZON} FOLLOWING))"""
