@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import squeeze, stage
+from .common import maybe_in, squeeze, stage
 
 
 def md5_128(text: Column) -> Column:
@@ -20,26 +20,26 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     same id are members of the group like others and are all marked kept. A null id never stays while a
     group has another one. Other columns of ``docs`` are ignored.
 
-    The aggregate that builds the groups also holds the smallest and the largest text of each hash, which
-    compares the bytes of all members: they are the same text exactly if all members are. It combines
-    inside map tasks, so a group of any size reaches its reducer as one row per task. Groups in which the
-    bytes differ (a hash collision) are grouped again by hash and text. The groups are joined back by hash
-    with an exchange on either side, so that adaptive execution can split a hot group.
+    Groups are built from staged digests, so no text is shuffled for them; the aggregate combines inside map tasks, and
+    a group of any size reaches its reducer as one row per task. Bytes are compared in groups of two and more: a
+    bitmap of a fixed size lets (almost) no other text through, and the smallest and the largest text of a hash are the same
+    exactly if all its members are. Groups in which the bytes differ (a hash collision) are grouped again by hash
+    and text. The groups are joined back by hash with an exchange on either side, so that adaptive execution can
+    split a hot group.
     """
     base = docs.select(F.col(id_col).alias("id"), squeeze(F.col(text_col)).alias("text"))
-    digests = base.select("id", content_hash(F.col("text")).alias("hash"), F.unhex(F.sha2("text", 256)).alias("sha"))
-    groups = stage(
-        base.groupBy(content_hash(F.col("text")).alias("hash"))
-        .agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size"), F.min("text").alias("least"), F.max("text").alias("most"))
-        .select("hash", "keep_id", "group_size", (F.col("least") != F.col("most")).alias("mixed")),
-        "groups",
-    )
-    out = digests.join(groups.where(~F.col("mixed")), "hash").select("id", "keep_id", "group_size", "sha")
-    mixed = groups.where("mixed").select("hash")
+    digests = stage(base.select("id", content_hash(F.col("text")).alias("hash"), F.unhex(F.sha2("text", 256)).alias("sha")), "digests")
+    groups = stage(digests.groupBy("hash").agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size")), "groups")
+    repeated = groups.where("group_size > 1").select(F.xxhash64("hash").alias("key"))
+    hashed = base.withColumn("hash", content_hash(F.col("text")))
+    texts = maybe_in(hashed, F.xxhash64("hash"), repeated, "repeated").where("repeated")
+    mixed = stage(texts.groupBy("hash").agg(F.min("text").alias("least"), F.max("text").alias("most")).where("least <> most").select("hash"), "mixed")
+    out = digests.join(groups, "hash").select("id", "keep_id", "group_size", "sha", "hash")
     if not mixed.isEmpty():
-        members = base.withColumn("hash", content_hash(F.col("text"))).join(mixed, "hash")
+        members = hashed.join(mixed, "hash")
         parts = members.groupBy("hash", "text").agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size"))
-        out = out.unionByName(members.join(parts, ["hash", "text"]).select("id", "keep_id", "group_size", F.unhex(F.sha2("text", 256)).alias("sha")))
+        apart = members.join(parts, ["hash", "text"]).select("id", "keep_id", "group_size", F.unhex(F.sha2("text", 256)).alias("sha"), "hash")
+        out = out.join(mixed, "hash", "left_anti").unionByName(apart)
     return out.select(
         F.col("id").alias(id_col),
         "keep_id",
