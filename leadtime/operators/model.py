@@ -1,44 +1,91 @@
-"""Probability models of folds as Spark ML jobs, and their out-of-fold scores."""
+"""Probability models of folds as Spark ML jobs: fitting, scores of validation blocks and of new tables."""
 
 from __future__ import annotations
 
 from functools import reduce
+from typing import Any, NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.staging import staged
+from .select import feature_filter
 
-def fold_scores(rows: DataFrame, folds: DataFrame, features: list[str], block: str, keep: list[str], max_iter: int = 20) -> DataFrame:
-    """keep, fold, threshold, y, z, p: for each fold and threshold a logistic model of its training blocks, on its validation blocks.
 
-    ``rows`` has a row per sample and threshold with y; positives weigh negatives over positives. A model whose
-    training rows have one class gives that class's share.
+class Fitted(NamedTuple):
+    """The model of a fold and threshold, or the share of positives where its training rows have one class."""
+
+    fold: int
+    threshold: Any
+    model: Any
+    share: float
+
+
+def fold_rows(rows: DataFrame, folds: DataFrame, block: str) -> DataFrame:
+    """Each row once for each fold that has its block, with ``fold`` and ``role``."""
+    return staged(rows.join(folds, block), "fold_rows")
+
+
+def fit_folds(ready: DataFrame, features: list[str], max_iter: int = 20, limit: float = 0.95) -> list[Fitted]:
+    """For each fold and threshold a logistic model of its training rows; positives weigh negatives over positives.
+
+    ``ready`` (see ``fold_rows``) has a row per sample, fold and threshold with y. Features are screened and scaled on the
+    training rows of each fold alone; rows that lack one are left out.
     """
+    from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.feature import StandardScaler, VectorAssembler
 
-    ready = VectorAssembler(inputCols=features, outputCol="_v", handleInvalid="skip").transform(rows.join(F.broadcast(folds), block))
-    ready = ready.persist()  # each model reads it; what is lost is computed again
-    parts = []
-    known = ready.where("role = 'train'").groupBy("fold", "threshold").agg(F.sum("y").alias("pos"), F.count("*").alias("n")).collect()  # folds x thresholds
-    for k in known:
-        mine = (F.col("fold") == k["fold"]) & (F.col("threshold") == k["threshold"])
-        train = ready.where(mine & (F.col("role") == "train"))
-        check = ready.where(mine & (F.col("role") == "validation"))
-        if 0 < k["pos"] < k["n"]:
+    training = ready.where("role = 'train'")
+    known = training.groupBy("fold", "threshold").agg(F.sum("y").alias("pos"), F.count("*").alias("n")).collect()  # folds x thresholds
+    kept = {fold: feature_filter(training.where(F.col("fold") == fold), features, limit) for fold in {k["fold"] for k in known}}
+    out = []
+    for k in sorted(known, key=lambda k: (k["fold"], k["threshold"])):
+        model, names = None, kept[k["fold"]]
+        if 0 < k["pos"] < k["n"] and names:
             weight = F.when(F.col("y") == 1, float(k["n"] - k["pos"]) / k["pos"]).otherwise(1.0)
-            fitted = LogisticRegression(featuresCol="_v", labelCol="y", weightCol="_w", maxIter=max_iter, regParam=1e-3).fit(train.withColumn("_w", weight))
-            scored = fitted.transform(check).select(*keep, "fold", "threshold", "y", vector_to_array("rawPrediction")[1].alias("z"), vector_to_array("probability")[1].alias("p"))
-        else:
-            share = k["pos"] / k["n"]
-            scored = check.select(*keep, "fold", "threshold", "y", F.lit(20.0 if share else -20.0).alias("z"), F.lit(float(share)).alias("p"))
-        parts.append(scored)
-    return reduce(DataFrame.unionByName, parts)
+            mine = training.where((F.col("fold") == k["fold"]) & (F.col("threshold") == k["threshold"])).withColumn("_w", weight)
+            steps = [
+                VectorAssembler(inputCols=names, outputCol="_raw", handleInvalid="skip"), StandardScaler(inputCol="_raw", outputCol="_v", withMean=True),
+                LogisticRegression(featuresCol="_v", labelCol="y", weightCol="_w", maxIter=max_iter, regParam=1e-3, standardization=False),
+            ]
+            model = Pipeline(stages=steps).fit(mine)
+        out.append(Fitted(k["fold"], k["threshold"], model, k["pos"] / k["n"]))
+    return out
+
+
+def score(rows: DataFrame, fitted: Fitted, keep: list[str | Column]) -> DataFrame:
+    """keep, fold, threshold, z, p of rows of any table with the features; those that lack one are left out."""
+    from pyspark.ml.functions import vector_to_array
+
+    named = [F.lit(fitted.fold).alias("fold"), F.lit(fitted.threshold).alias("threshold")]
+    if fitted.model is None:
+        share = min(max(fitted.share, 1e-9), 1 - 1e-9)
+        return rows.select(*keep, *named, F.log(F.lit(share / (1 - share))).alias("z"), F.lit(float(fitted.share)).alias("p"))
+    return fitted.model.transform(rows).select(*keep, *named, vector_to_array("rawPrediction")[1].alias("z"), vector_to_array("probability")[1].alias("p"))
+
+
+def validation_scores(ready: DataFrame, models: list[Fitted], keep: list[str]) -> DataFrame:
+    """keep, fold, threshold, y, z, p: each model on the validation rows of its fold and threshold."""
+    checks = ready.where("role = 'validation'")
+    return reduce(DataFrame.unionByName, [score(checks.where((F.col("fold") == m.fold) & (F.col("threshold") == m.threshold)), m, [*keep, "y"]) for m in models])
+
+
+def fold_scores(rows: DataFrame, folds: DataFrame, features: list[str], block: str, keep: list[str], max_iter: int = 20) -> DataFrame:
+    """keep, fold, threshold, y, z, p: for each fold and threshold a logistic model of its training blocks, on its validation blocks."""
+    ready = fold_rows(rows, folds, block)
+    return validation_scores(ready, fit_folds(ready, features, max_iter), keep)
+
+
+def mean_scores(rows: DataFrame, models: list[Fitted], sample: list[str]) -> DataFrame:
+    """sample, threshold, y, p, n_folds: the rows of each threshold (such as test rows), with the mean probability of the folds' models."""
+    each = reduce(DataFrame.unionByName, [score(rows.where(F.col("threshold") == m.threshold), m, [*sample, "y"]) for m in models])
+    return each.groupBy(*sample, "threshold").agg(F.max("y").alias("y"), F.avg("p").alias("p"), F.count("*").alias("n_folds"))
 
 
 def out_of_fold(scores: DataFrame, sample: list[str], thresholds: list[int]) -> DataFrame:
-    """One row per sample: y_<t> and p_<t> of the fold that validates it."""
-    return scores.groupBy(*sample, "fold").agg(
-        *[F.max(F.when(F.col("threshold") == t, F.col(c))).alias(f"{c}_{t}") for t in thresholds for c in ("y", "p")]
+    """One row per sample: y_<t> and p_<t> of the fold that validates it. A sample of two folds is an error."""
+    wide = scores.groupBy(*sample).agg(
+        F.min("fold").alias("fold"), F.max("fold").alias("_last"), *[F.max(F.when(F.col("threshold") == t, F.col(c))).alias(f"{c}_{t}") for t in thresholds for c in ("y", "p")]
     )
+    return wide.where(F.assert_true(F.col("fold") == F.col("_last"), F.lit("a sample is validated by two folds")).isNull()).drop("_last")

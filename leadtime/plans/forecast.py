@@ -281,23 +281,40 @@ def test_predictions(spark, sf_dir):
 # models
 
 
-def model_scores(spark, sf_dir) -> DataFrame:
-    """Folds over weeks of the grid, features of the last hours, labels of the next ones."""
-    from ..operators.windows import chunked, delta, rolling
+MODEL_FEATURES = ["f_last", "f_mean", "f_max", "f_delta"]
+
+
+def model_rows(spark, sf_dir) -> DataFrame:
+    """Labels of the next hours with features that end two hours before, in blocks of three days."""
+    from ..operators.windows import chunked, full
 
     def make(w):
-        x = F.col("x")
-        stats = rolling(F.abs(x), w, 3)
-        return {"f_last": F.abs(x), "f_mean": stats["mean"], "f_max": stats["max"], "f_delta": delta(x, w, 1)}
+        x = F.abs("x")
+        stats = {name: full(f, x, w, -4, -2) for name, f in (("f_mean", F.avg), ("f_max", F.max))}
+        return stats | {"f_last": F.lag(x, 2).over(w), "f_delta": F.lag("x", 2).over(w) - F.lag("x", 3).over(w)}
+
+    feats = chunked(s.hourly(spark, sf_dir), ["series"], "h", 4, 0, make).select("series", "h", *MODEL_FEATURES)
+    return d5(spark, sf_dir).drop("p").join(feats, ["series", "h"]).withColumn("block", F.floor(F.col("h") / 72).cast("int")).na.drop()
 
-    feats = chunked(s.hourly(spark, sf_dir), ["series"], "h", 3, 0, make).select("series", "h", "f_last", "f_mean", "f_max", "f_delta")
-    rows = d5(spark, sf_dir).drop("p").join(feats, ["series", "h"]).withColumn("block", F.floor(F.col("h") / 72).cast("int")).na.drop()
-    weeks = spark.range(s.HOURS // 72).select(F.col("id").cast("int").alias("block"), F.col("id").alias("start"))
-    return model.fold_scores(rows, blocks.forward_folds(weeks, 3, 0.4), ["f_last", "f_mean", "f_max", "f_delta"], "block", ["series", "h"])
+
+def model_parts(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Rows of the folds with their roles, and rows of the test, the last two blocks."""
+    rows = model_rows(spark, sf_dir)
+    last = s.HOURS // 72 - 2
+    known = spark.range(last).select(F.col("id").cast("int").alias("block"), F.col("id").alias("start"))
+    return model.fold_rows(rows, blocks.forward_folds(known, 3, 0.4), "block"), rows.where(F.col("block") >= last)
 
 
 def fold_scores(spark, sf_dir):
-    return model_scores(spark, sf_dir).select("series", "h", "fold", "threshold", "y", F.round("p", 6).alias("p"))
+    ready, _ = model_parts(spark, sf_dir)
+    found = model.validation_scores(ready, model.fit_folds(ready, MODEL_FEATURES), ["series", "h"])
+    return found.select("series", "h", "fold", "threshold", "y", F.round("p", 6).alias("p"))
+
+
+def test_ensemble(spark, sf_dir):
+    """The test rows with the mean probability of all folds' models."""
+    ready, test = model_parts(spark, sf_dir)
+    return rounded(model.mean_scores(test, model.fit_folds(ready, MODEL_FEATURES), ["series", "h"]), 6)
 
 
 def oof_predictions(spark, sf_dir):
@@ -310,7 +327,7 @@ QUERIES = {
         decision_cut, calibrated_probability, temperature_fit, probability_series, skill_scores, roc_auc, pr_auc, roc_curve, pr_curve, cutoff_sweep, cutoff_csi, cutoff_bias_one,
         cutoff_far_cap, exact_quantiles, histogram, histogram_abs, corr_matrix, feature_filter, feature_roles, standard_scale, class_weights, forecast_loss, monotonicity_penalty,
         ensemble_mean, weighted_score, alarm_segments, alarm_postprocess, alarm_episodes, event_match, warning_lead_time, warning_summary, event_warnings, event_evaluation, config_comparison, config_ranking,
-        window_selection, best_epoch, event_operating_point, test_metrics, test_predictions, fold_scores, oof_predictions,
+        window_selection, best_epoch, event_operating_point, test_metrics, test_predictions, fold_scores, oof_predictions, test_ensemble,
     )
 }
 

@@ -162,3 +162,25 @@ def test_fold_scores_rank_the_signal(spark):
     folds = spark.createDataFrame([(1, 0, "train"), (1, 1, "validation"), (2, 0, "train"), (2, 1, "train"), (2, 2, "validation")], "fold int, block int, role string")
     out = model.fold_scores(df, folds, ["f"], "block", ["block", "h"])
     assert out.count() == 80 and verify.roc_auc(out, ["fold"]).agg(F.min("roc_auc")).first()[0] == 1.0
+
+
+def test_models_of_folds_on_new_rows(spark):
+    data = [(b, i, int((i * 13) % 10 > 4), float((i * 13) % 10), 2.0 * ((i * 13) % 10), 1.0) for b in range(4) for i in range(40)]
+    df = spark.createDataFrame(data, "block int, h int, y int, f double, copy double, flat double").withColumn("threshold", F.lit(1))
+    folds = spark.createDataFrame([(1, 0, "train"), (1, 1, "validation"), (2, 0, "train"), (2, 1, "train"), (2, 2, "validation")], "fold int, block int, role string")
+    ready = model.fold_rows(df, folds, "block")
+    models = model.fit_folds(ready, ["f", "copy", "flat"])
+    assert [m.model.stages[0].getInputCols() for m in models] == [["f"], ["f"]]
+    test = df.where("block = 3")
+    single = [{r.h: r.p for r in model.score(test, m, ["h"]).collect()} for m in models]
+    mean = {r.h: (r.p, r.n_folds) for r in model.mean_scores(test, models, ["block", "h"]).collect()}
+    assert len(mean) == 40 and all(mean[h] == (pytest.approx((single[0][h] + single[1][h]) / 2), 2) for h in mean)
+    one = model.score(test, model.Fitted(1, 1, None, 0.25), ["h"]).first()
+    assert one.p == 0.25 and one.z == pytest.approx(-1.0986123)
+
+
+def test_a_sample_of_two_folds_is_an_error(spark):
+    ok = spark.createDataFrame([(1, 1, 5, 1, 0.2), (1, 1, 6, 0, 0.1), (2, 2, 5, 0, 0.4)], "h int, fold int, threshold int, y int, p double")
+    assert rows(model.out_of_fold(ok, ["h"], [5, 6]), "h", "fold", "y_5", "p_5", "y_6", "p_6") == [(1, 1, 1, 0.2, 0, 0.1), (2, 2, 0, 0.4, None, None)]
+    with pytest.raises(Exception, match="two folds"):
+        model.out_of_fold(ok.withColumn("h", F.lit(1)), ["h"], [5, 6]).collect()
