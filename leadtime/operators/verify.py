@@ -272,6 +272,14 @@ def monotonicity_penalty(df: DataFrame, sample: list[str], threshold: str) -> Co
     return df.select(rise.alias("_r"), F.lag("p").over(w).isNotNull().alias("_ok")).where("_ok").agg(F.avg(F.col("_r") * F.col("_r")).alias("penalty"))
 
 
+def forecast_objective(peak: DataFrame, onset: DataFrame, by: list[str], sample: list[str], threshold: str, onset_weight: float, monotonicity_weight: float) -> DataFrame:
+    """One row: the weighted cross entropy of peaks and of onsets (means over the forecasts), the monotonicity penalty of peaks, and their weighted sum."""
+    a = losses(peak, by).agg(F.avg("weighted_bce").alias("peak_bce"))
+    b = losses(onset, by).agg(F.avg("weighted_bce").alias("onset_bce"))
+    parts = a.crossJoin(b).crossJoin(monotonicity_penalty(peak, sample, threshold))  # one row each
+    return parts.withColumn("objective", F.col("peak_bce") + onset_weight * F.col("onset_bce") + monotonicity_weight * F.coalesce("penalty", F.lit(0.0)))
+
+
 def fit_temperature(df: DataFrame, by: list[str], low: float = 0.05, high: float = 20.0, points: int = 41, rounds: int = 3) -> DataFrame:
     """by, temperature: the T that minimises the cross entropy of sigmoid(z / T); 1 where there is one class only.
 

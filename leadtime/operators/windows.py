@@ -82,3 +82,19 @@ def sequences(values: Column, window: WindowSpec, lag: int, length: int) -> Colu
     """The values of the ``length`` rows that end ``lag`` rows before this one, oldest first; null unless all are there."""
     frame = window.rowsBetween(-(lag + length - 1), -lag)
     return F.when(F.count(values).over(frame) == length, F.collect_list(values).over(frame))
+
+
+def sequence_matrix(df: DataFrame, series: list[str], step: str, sequence: list[str], context: list[str], lag: int, length: int, name: str = "matrix", chunk_steps: int = 10_000) -> DataFrame:
+    """Adds ``name``: the rows of ``sequence`` features of the ``length`` steps that end ``lag`` steps before, oldest first.
+
+    Each row also has the ``context`` features as they are at the last of these steps. Null unless all sequence
+    features are there at all steps, and the context at the last.
+    """
+    row, end = F.array(*[F.col(c).cast("double") for c in sequence]), F.array(*[F.col(c).cast("double") for c in context]).cast("array<double>")
+
+    def make(window: WindowSpec) -> dict[str, Column]:
+        return {"_rows": sequences(F.when(F.forall(row, lambda v: v.isNotNull()), row), window, lag, length), "_end": F.lag(end, lag).over(window)}
+
+    made = chunked(df, series, step, lag + length - 1, 0, make, chunk_steps)
+    whole = F.col("_rows").isNotNull() & F.forall("_end", lambda v: v.isNotNull())
+    return made.withColumn(name, F.when(whole, F.transform("_rows", lambda r: F.concat(r, F.col("_end"))))).drop("_rows", "_end")

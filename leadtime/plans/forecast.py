@@ -144,6 +144,14 @@ def monotonicity_penalty(spark, sf_dir):
     return rounded(verify.monotonicity_penalty(raised, ["series", "h"], "threshold"))
 
 
+def forecast_objective(spark, sf_dir):
+    """The loss of all thresholds, onsets counting half."""
+    rows, flags = d5(spark, sf_dir), series.onset_labels(spark, sf_dir)
+    pairs = F.explode(F.array(*[F.struct(F.lit(t).alias("threshold"), F.col(f"y_onset_{t}").alias("y")) for t in s.THRESHOLDS])).alias("l")
+    onset = rows.drop("y").join(flags.select("series", "h", pairs).select("series", "h", "l.*").where("y is not null"), ["series", "h", "threshold"])
+    return rounded(verify.forecast_objective(rows, onset, BY, ["series", "h"], "threshold", 0.5, 0.1), 6)
+
+
 def ensemble_mean(spark, sf_dir):
     folds = d5(spark, sf_dir).select("*", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("fold")).withColumn("p", F.col("p") * (1 - 0.01 * F.col("fold")))
     return folds.groupBy("series", "h", "threshold").agg(F.round(F.avg("p"), 12).alias("p"))
@@ -325,7 +333,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         decision_cut, calibrated_probability, temperature_fit, probability_series, skill_scores, roc_auc, pr_auc, roc_curve, pr_curve, cutoff_sweep, cutoff_csi, cutoff_bias_one,
-        cutoff_far_cap, exact_quantiles, histogram, histogram_abs, corr_matrix, feature_filter, feature_roles, standard_scale, class_weights, forecast_loss, monotonicity_penalty,
+        cutoff_far_cap, exact_quantiles, histogram, histogram_abs, corr_matrix, feature_filter, feature_roles, standard_scale, class_weights, forecast_loss, monotonicity_penalty, forecast_objective,
         ensemble_mean, weighted_score, alarm_segments, alarm_postprocess, alarm_episodes, event_match, warning_lead_time, warning_summary, event_warnings, event_evaluation, config_comparison, config_ranking,
         window_selection, best_epoch, event_operating_point, test_metrics, test_predictions, fold_scores, oof_predictions, test_ensemble,
     )
@@ -410,6 +418,18 @@ UNION ALL SELECT 'f_avg_disc', (SELECT count(f_avg_disc) FROM d2) FROM k2 WHERE
 SELECT threshold, round((a + b) / n, 6) AS bce, round((a * ((n - np) / greatest(np, 1)) + b) / n, 6) AS weighted_bce FROM l""",
     "monotonicity_penalty": f"""WITH {s.FORECASTS}, q AS (SELECT *, p * CASE WHEN h % 7 = 0 AND threshold = 100 THEN 1.5 ELSE 1 END AS pp FROM d5), w AS (SELECT pp - lag(pp) OVER (PARTITION BY series, h ORDER BY threshold) AS d FROM q)
 SELECT round(avg(greatest(d, 0) * greatest(d, 0)), 9) AS penalty FROM w WHERE d IS NOT NULL""",
+    "forecast_objective": f"""WITH {s.FORECASTS}, o AS (SELECT *, {series._ONSET} FROM d1), ol AS (SELECT series, h, """
+    + ", ".join(f"CASE WHEN x IS NOT NULL AND count(x) OVER f = {s.HORIZON} THEN max(onset_{t}) OVER f END AS y_{t}" for t in s.THRESHOLDS)
+    + f""" FROM o WINDOW f AS (PARTITION BY series ORDER BY h ROWS BETWEEN 1 FOLLOWING AND {s.HORIZON} FOLLOWING)), od AS (SELECT d5.threshold, p, CASE d5.threshold """
+    + " ".join(f"WHEN {t} THEN y_{t}" for t in s.THRESHOLDS)
+    + f""" END AS y FROM d5 JOIN ol ON ol.series = d5.series AND ol.h = d5.h), bo AS (SELECT 'peak' AS what, threshold, y, p FROM d5 UNION ALL SELECT 'onset', threshold, y, p FROM od WHERE y IS NOT NULL),
+l AS (SELECT what, threshold, sum(CASE WHEN y = 1 THEN -ln({_LOSS}) ELSE 0 END) AS a, sum(CASE WHEN y = 0 THEN -ln(1 - {_LOSS}) ELSE 0 END) AS b, sum(y) AS np, count(*) AS n FROM bo GROUP BY ALL),
+m AS (SELECT what, avg((a * ((n - np) / greatest(np, 1)) + b) / n) AS v FROM l GROUP BY 1), r AS (SELECT p - lag(p) OVER (PARTITION BY series, h ORDER BY threshold) AS d FROM d5),
+t AS (SELECT max(v) FILTER (what = 'peak') AS pk, max(v) FILTER (what = 'onset') AS os, (SELECT avg(greatest(d, 0) * greatest(d, 0)) FROM r WHERE d IS NOT NULL) AS pe FROM m)
+SELECT round(pk, 6) AS peak_bce, round(os, 6) AS onset_bce, round(pe, 6) AS penalty, round(pk + 0.5::DOUBLE * os + 0.1::DOUBLE * coalesce(pe, 0), 6) AS objective FROM t""",
+    "feature_roles": f"WITH {s.HOURLY}, q AS (SELECT " + ", ".join(f"CAST(count(x) OVER {series._BACK[n]} = {n} AS INT) AS w{n}" for n in series.LENGTHS)
+    + " FROM d1) SELECT 'delta' AS role, 2 AS n_columns, 2 * count(*) AS n_values FROM q UNION ALL SELECT 'accumulation', 0, 0 UNION ALL SELECT 'statistics', 9, CAST(3 * sum("
+    + " + ".join(f"w{n}" for n in series.LENGTHS) + ") AS BIGINT) FROM q UNION ALL SELECT 'sequence', 0, 0",
     "ensemble_mean": f"WITH {s.FORECASTS} SELECT series, h, threshold, round(p * 0.99, 12) AS p FROM d5",
     "weighted_score": f"WITH {s.FORECASTS}, t AS (" + _AT.format(by="threshold", t="d5") + ") SELECT round(sum(CASE threshold WHEN 50 THEN 0.45 WHEN 100 THEN 0.45 WHEN 150 THEN 0.1 END * csi) / sum(CASE WHEN csi IS NOT NULL THEN CASE threshold WHEN 50 THEN 0.45 WHEN 100 THEN 0.45 WHEN 150 THEN 0.1 END END), 9) AS score, max(csi) AS best_csi FROM t",
     "alarm_segments": f"WITH {_SEG} SELECT series, threshold, a AS first_h, b AS last_h, n FROM se",

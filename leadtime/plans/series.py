@@ -82,6 +82,13 @@ def sequence_windows(spark, sf_dir):
     return made.where("seq is not null").select("series", "h", F.array_join(F.transform("seq", lambda v: F.round(v * 100).cast("bigint").cast("string")), ",").alias("seq"))
 
 
+def sequence_features(spark, sf_dir):
+    """Two features of the days k-4 to k-2, each with a third as it is on day k-2."""
+    made = w.sequence_matrix(s.daily(spark, sf_dir), [], "k", ["f_sum_qty", "resp"], ["f_n"], 2, 3, chunk_steps=500)
+    text = F.array_join(F.transform(F.flatten("matrix"), lambda v: F.round(v).cast("bigint").cast("string")), ",")
+    return made.where("matrix is not null").select("k", text.alias("matrix"))
+
+
 def sample_index(spark, sf_dir):
     """Every second step, then those with a valid window, context and labels."""
     rows = w.chunked(masks(spark, sf_dir), ["series"], "h", 2, 0, lambda o: {"context": F.lag("x", 2).over(o)})
@@ -127,7 +134,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         flagship, resample_argmax, reindex_spine, future_peak, exceedance_labels, onset_flags, onset_labels, lag_window_masks, config_valid_counts, rolling_stats, rolling_accumulation,
-        feature_deltas, sequence_windows, sample_index, missing_intervals, long_missing_intervals, longest_gap, dedup_keep_last, downsample_peaks, union_parts,
+        feature_deltas, sequence_windows, sequence_features, sample_index, missing_intervals, long_missing_intervals, longest_gap, dedup_keep_last, downsample_peaks, union_parts,
     )
 }
 
@@ -161,6 +168,8 @@ FROM pk, (SELECT unnest([50, 100, 150, 200]) AS threshold) GROUP BY series, thre
     "feature_deltas": f"WITH {s.HOURLY} SELECT series, h, " + ", ".join(f"coalesce(round(x - lag(x, {n}) OVER (PARTITION BY series ORDER BY h), 6), 0.0) AS delta_{n}" for n in (1, 10)) + " FROM d1",
     "sequence_windows": f"""WITH {s.HOURLY}, q AS (SELECT series, h, list(x) OVER f AS v, count(x) OVER f AS n FROM d1 WINDOW f AS (PARTITION BY series ORDER BY h ROWS BETWEEN 4 PRECEDING AND 2 PRECEDING))
 SELECT series, h, array_to_string([CAST(CAST(round(z * 100) AS BIGINT) AS VARCHAR) FOR z IN v], ',') AS seq FROM q WHERE n = 3""",
+    "sequence_features": f"""WITH {s.DAILY}, q AS (SELECT k, """ + ", ".join(f"lag({c}, {b}) OVER (ORDER BY k) AS {c}_{b}" for b in (4, 3, 2) for c in ("f_sum_qty", "resp", "f_n")) + """ FROM d2)
+SELECT k, concat_ws(',', """ + ", ".join(f"CAST(round({c}) AS BIGINT)" for b in (4, 3, 2) for c in (f"f_sum_qty_{b}", f"resp_{b}", "f_n_2")) + ") AS matrix FROM q WHERE " + " AND ".join(f"{c}_{b} IS NOT NULL" for b in (4, 3, 2) for c in ("f_sum_qty", "resp")) + """ AND f_n_2 IS NOT NULL""",
     "sample_index": f"WITH {s.HOURLY}, {s.PEAK}, m AS (SELECT series, h, x, lag(x, 2) OVER (PARTITION BY series ORDER BY h) AS c, {_MASK} FROM pk) SELECT series, h FROM m WHERE h % 2 = 0 AND mask_2_3 = 1 AND c IS NOT NULL",
     "missing_intervals": f"WITH {s.HOURLY} SELECT series, a AS start_h, b AS end_h, n AS hours FROM ({_RUNS.format(k='series', o='h', t='d1', c='x IS NULL')}) WHERE n >= 2",
     "long_missing_intervals": f"""WITH {s.DAILY}, u AS (""" + " UNION ALL ".join(f"SELECT '{f}' AS feature, k, {f} IS NULL AS missing FROM d2" for f in ("f_sum_qty", "f_max_price", "f_avg_disc", "resp"))

@@ -184,3 +184,20 @@ def test_a_sample_of_two_folds_is_an_error(spark):
     assert rows(model.out_of_fold(ok, ["h"], [5, 6]), "h", "fold", "y_5", "p_5", "y_6", "p_6") == [(1, 1, 1, 0.2, 0, 0.1), (2, 2, 0, 0.4, None, None)]
     with pytest.raises(Exception, match="two folds"):
         model.out_of_fold(ok.withColumn("h", F.lit(1)), ["h"], [5, 6]).collect()
+
+
+@pytest.mark.parametrize("chunk", [3, 1000])
+def test_sequences_of_all_features_with_context(spark, chunk):
+    data = [(k, float(k), None if k == 5 else 10.0 * k, None if k == 2 else -k) for k in range(9)]
+    df = spark.createDataFrame(data, "k bigint, a double, b double, c int")
+    got = dict(rows(w.sequence_matrix(df, [], "k", ["a", "b"], ["c"], 1, 2, chunk_steps=chunk), "k", "matrix"))
+    assert got[2] == [[0.0, 0.0, -1.0], [1.0, 10.0, -1.0]] and got[8] == [[6.0, 60.0, -7.0], [7.0, 70.0, -7.0]]
+    assert [k for k, v in sorted(got.items()) if v is None] == [0, 1, 3, 6, 7]
+
+
+def test_objective_by_hand(spark):
+    peak = spark.createDataFrame([("a", 1, 5, 1, 0.5), ("a", 2, 5, 0, 0.5), ("a", 1, 9, 1, 0.75), ("a", 2, 9, 0, 0.25)], "s string, h int, threshold int, y int, p double")
+    onset = peak.where("threshold = 5")
+    r = verify.forecast_objective(peak, onset, ["threshold"], ["s", "h"], "threshold", 0.5, 2.0).first()
+    assert r.onset_bce == pytest.approx(0.6931472) and r.peak_bce == pytest.approx((0.6931472 + 0.2876821) / 2) and r.penalty == pytest.approx(0.0625 / 2)
+    assert r.objective == pytest.approx(r.peak_bce + 0.5 * r.onset_bce + 2 * r.penalty)
