@@ -147,7 +147,7 @@ ORACLE = {
     "src_discover": "SELECT 'txt' AS suffix, count(DISTINCT year(o_orderdate)) AS n_files FROM orders",
     "src_samples_text": _SAMPLES,
     "src_samples_csv": _SAMPLES,
-    "src_ascii_header": "SELECT year(o_orderdate) AS year, count(*) AS n, round(sum(o_totalprice), 2) AS b, 5.0 * count(*) AS density FROM orders WHERE o_orderkey % 11 <> 0 GROUP BY 1",
+    "src_ascii_header": "SELECT year(o_orderdate) AS year, count(*) AS n, round(sum(o_totalprice), 2) AS b, 5e0 * count(*) AS density FROM orders WHERE o_orderkey % 11 <> 0 GROUP BY 1",
     "src_preamble_delim": "SELECT hour(ts) AS hour, count(*) AS n, round(sum(value), 4) AS total, CAST(sum(user_id) AS DOUBLE) AS users FROM events WHERE event_id % 10 <> 0 GROUP BY 1",
     "src_product_keep_last": """WITH b AS (SELECT o_custkey, o_orderkey AS line_no, o_totalprice, 'f1.txt' AS source_file FROM orders UNION ALL SELECT o_custkey, o_orderkey, o_totalprice, 'f2.txt' FROM orders WHERE o_orderkey % 3 = 0)
 SELECT *, count(*) OVER (PARTITION BY o_custkey) AS n_rows FROM b QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY source_file DESC, line_no DESC) = 1""",

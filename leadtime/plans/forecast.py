@@ -358,7 +358,7 @@ _POST = f"""{_SEG}, kp AS (SELECT *, CASE WHEN a - lag(b) OVER (PARTITION BY ser
 po AS (SELECT series, threshold, min(a) AS a, max(b) AS b FROM (SELECT *, sum(nw) OVER (PARTITION BY series, threshold ORDER BY a) AS g FROM kp) GROUP BY series, threshold, g HAVING max(b) - min(a) + 1 >= 3)"""
 _LEAD = f"""{_SEG}, tr AS (SELECT series, threshold, min(h) AS onset FROM (SELECT *, h - row_number() OVER (PARTITION BY series, threshold ORDER BY h) AS g FROM d5 WHERE y = 1) GROUP BY series, threshold, g),
 ld AS (SELECT tr.series, tr.threshold, onset, min(h) AS first_alarm FROM tr LEFT JOIN d5 ON d5.series = tr.series AND d5.threshold = tr.threshold AND p >= 0.5 AND h >= onset - 6 AND h < onset GROUP BY ALL)"""
-_EVAL = f"""{s.FORECASTS}, {s.SHOCKS}, pt AS (SELECT * FROM (VALUES {", ".join(str((t, c, *SETTINGS[i])) for t, c, i in zip(s.THRESHOLDS, POINT, (0, 1, 1, 2)))}) v(threshold, cutoff, min_run, merge_gap, min_length)),
+_EVAL = f"""{s.FORECASTS}, {s.SHOCKS}, pt AS (SELECT * FROM (VALUES {", ".join(f"({t}, {c}::DOUBLE, {', '.join(map(str, SETTINGS[i]))})" for t, c, i in zip(s.THRESHOLDS, POINT, (0, 1, 1, 2)))}) v(threshold, cutoff, min_run, merge_gap, min_length)),
 s1 AS (SELECT series, threshold, merge_gap, min_length, min(h) AS a, max(h) AS b FROM (SELECT d5.*, pt.*, h - row_number() OVER (PARTITION BY series, d5.threshold ORDER BY h) AS g FROM d5 JOIN pt ON pt.threshold = d5.threshold WHERE p >= cutoff)
   GROUP BY series, threshold, merge_gap, min_length, min_run, g HAVING count(*) >= min_run),
 s2 AS (SELECT *, CASE WHEN a - lag(b) OVER (PARTITION BY series, threshold ORDER BY a) - 1 <= merge_gap THEN 0 ELSE 1 END AS nw FROM s1),
