@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import maybe_in, stage
 
 SHINGLE_WORDS = 5
 CONTAINMENT = 0.8
 #: A word for matching: a run of letters and digits, in lower case.
 TOKEN = r"[\p{L}\p{N}]+"
+#: From so many rows of sketches on, documents' shingles pass a filter of bits before they meet them.
+FILTER_FROM = 200_000
 
 
 def tokens(text: Column) -> Column:
@@ -63,8 +65,9 @@ def contaminated(
     an id (null ids are one such id) count as one document with the words of each. Other columns are ignored.
 
     The sketches are read from a staged table, so the planner knows their size and broadcasts them only if they
-    are below its limit; otherwise it shuffles both sides by shingle. Candidates are verified on the shingles
-    themselves, not on hashes.
+    are below its limit. Beyond FILTER_FROM rows, shingles that a filter of bits of bounded size rules out are left
+    out first, so that a join by shuffles moves few of the corpus. Candidates are verified on the shingles themselves,
+    not on hashes.
     """
     tests = stage(
         items.select(F.col(item_id_col).alias("item_id"), tokens(F.col(item_text_col)).alias("item_words"))
@@ -82,6 +85,8 @@ def contaminated(
     sketches = stage(item_sketches(hashed, containment), "sketches")
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     probes = base.select("id", tokens(F.col("text")).alias("words")).select("id", F.explode(hashed_shingles(F.col("words"), sizes)).alias("shingle"))
+    if sketches.count() > FILTER_FROM:
+        probes = maybe_in(probes, F.col("shingle"), sketches.select("shingle"), "likely").where("likely").drop("likely")
     candidates = stage(probes.join(sketches, "shingle").select("id", "item_id").distinct(), "candidates")
     wanted = candidates.join(tests.select("item_id", "g", exact_shingles(F.col("item_words"), F.col("g")).alias("item_shingles")), "item_id")
     found_ids = stage(candidates.select(F.col("id").alias("found_id")).distinct(), "suspects")
