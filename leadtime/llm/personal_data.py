@@ -27,9 +27,19 @@ LOOSE = {
 }
 #: What a text must have for a pattern to be tried.
 NEEDS = {"email": "@", "loose email": r"(?i)[\[(\x20]at[\])\x20]", "ip": r"[0-9]\.[0-9]", "loose ip": r"[0-9A-Fa-f]:[0-9A-Fa-f]|[\[(]\.[\])]", "card": r"[0-9]", "phone": r"\+[0-9]", "loose card": r"[0-9]{4}", "loose phone": r"[0-9]{3}"}
-#: Gazetteers: endings of domains, first digits of card numbers, words that announce personal data.
-DOMAIN_ENDINGS = ("com", "org", "net", "edu", "gov", "info", "io", "de", "fr", "es", "uk", "eu", "us", "ca", "ch", "at")
-CARD_STARTS = r"^(?:4|5[1-5]|2[2-7]|3[47]|6011|65)"
+#: Gazetteers, fixed values: endings of domains (generic ones and countries), first digits of card numbers by
+#: network, country calling codes, area codes without one, and networks whose addresses belong to nobody.
+DOMAIN_ENDINGS = (
+    "com", "org", "net", "edu", "gov", "mil", "int", "info", "biz", "name", "pro", "io", "co", "me", "tv", "app", "dev", "ai", "eu",
+    "ae", "ar", "at", "au", "be", "bg", "br", "by", "ca", "ch", "cl", "cn", "cr", "cy", "cz", "de", "dk", "ec", "ee", "eg", "es", "fi", "fr", "gr", "hk", "hr", "hu", "id", "ie", "il", "in",
+    "ir", "is", "it", "jp", "ke", "kr", "kz", "lt", "lu", "lv", "ma", "mx", "my", "ng", "nl", "no", "nz", "pe", "ph", "pk", "pl", "pt", "ro", "rs", "ru", "sa", "se", "sg", "si", "sk", "th", "tn",
+    "tr", "tw", "ua", "uk", "us", "uy", "ve", "vn", "za",
+)
+CARD_STARTS = r"^(?:4|5[0-8]|2(?:22[1-9]|2[3-9]|[3-6]|7[01]|720)|3[47]|30[0-5]|3[689]|35(?:2[89]|[3-8])|6011|62|64[4-9]|65)"
+CALLING_CODES = r"^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|(?:2[1-689]|3[578]|42|5[09]|6[7-9]|8[058]|9[679])[0-9])"
+AREA_CODES = r"^[2-9](?!11)[0-9]{2}[2-9][0-9]{6}$"
+NOBODYS_NETWORKS = r"^(?:0|127|22[4-9]|2[3-5][0-9]|10|169\.254|172\.(?:1[6-9]|2[0-9]|3[01])|192\.168|192\.0\.2|198\.51\.100|203\.0\.113)\."
+#: Words that announce personal data.
 CUES = {
     "email": r"(?i)\b(?:e-?mail|mail|contact|correo|courriel|kontakt)\b",
     "ip": r"(?i)\b(?:ip|host|server|address|addr|client|adresse)\b",
@@ -130,8 +140,14 @@ def votes(spans: DataFrame) -> DataFrame:
         F.when(kind == "email", match.contains("@")).when(kind == "card", match.rlike(r"^[0-9]{4}([\x20-]?[0-9]{4}){3}$|^3[0-9]{14}$")).when(kind == "phone", match.rlike(r"\([0-9]{3}\)|^\+|^00")).otherwise(~match.contains("[")),
         F.when(kind == "card", ~n.between(14, 19)).when(kind == "phone", ~n.between(10, 15)).otherwise(False),
     )
-    checked = F.when(kind == "card", luhn(digits)).when(kind == "ip", ~match.contains(":") & octets(match))
-    gazetteer = F.when(kind == "email", F.lower(F.regexp_extract(match, r"([A-Za-z]+)$", 1)).isin(*DOMAIN_ENDINGS)).when(kind == "card", digits.rlike(CARD_STARTS))
+    checked = F.when(kind == "card", luhn(digits)).when((kind == "ip") & ~match.contains(":"), octets(match))
+    abroad = F.regexp_extract(match, r"^(\+|00)", 1)
+    gazetteer = (
+        F.when(kind == "email", F.lower(F.regexp_extract(match, r"([A-Za-z]+)$", 1)).isin(*DOMAIN_ENDINGS))
+        .when(kind == "card", digits.rlike(CARD_STARTS))
+        .when(kind == "phone", F.when(abroad == "", digits.rlike(AREA_CODES)).otherwise(digits_of(F.regexp_replace(match, "^00", "")).rlike(CALLING_CODES)))
+        .otherwise(F.when(match.contains(":"), match.rlike("^[23]")).otherwise(~F.regexp_replace(match, r"[\[\]()]", "").rlike(NOBODYS_NETWORKS)))
+    )
     cue = F.when(kind == "email", F.col("before").rlike(CUES["email"]))
     for k in KINDS[1:]:
         cue = cue.when(kind == k, F.col("before").rlike(CUES[k]))
@@ -213,7 +229,11 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     labelled = voted.join(F.broadcast(labels), ["kind", *names])
     weighed = labelled.select("kind", "posterior", F.explode("features").alias("feature")).groupBy("kind", "feature").agg(F.sum("posterior").alias("yes"), F.sum(1 - F.col("posterior")).alias("no"))
     totals = labelled.groupBy("kind").agg(F.sum("posterior").alias("all_yes"), F.sum(1 - F.col("posterior")).alias("all_no"))
-    weights = weighed.join(F.broadcast(totals), "kind").select("kind", "feature", F.log(((F.col("yes") + 0.5) / (F.col("all_yes") + 1)) / ((F.col("no") + 0.5) / (F.col("all_no") + 1))).alias("weight"))
+
+    def share(truth: str) -> Column:
+        return (F.col(truth) + 0.5) / (F.col(f"all_{truth}") + 0.5 * CONTEXT_BUCKETS)  # half a count for each bucket
+
+    weights = weighed.join(F.broadcast(totals), "kind").select("kind", "feature", F.log(share("yes") / share("no")).alias("weight"))
     weights = stage(weights, "weights")
     candidates = voted.where(~F.col("base")).withColumn("span", F.struct("row", "start", "end", "kind"))
     scored = (

@@ -54,7 +54,7 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     def count(kind: str):
         return F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    return found.select("doc_id", *map(count, KINDS), F.sha2(text("base_spans"), 256).alias("base_sha256"), text("spans").alias("spans"))
+    return found.select("doc_id", *map(count, KINDS), F.sha2(text("base_spans"), 256).alias("base_sha256"), text("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
