@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .byte_pairs import decode, encode
 from .common import documents
 from .context_tree import held_out_lm_scores
 from .decontaminate import contaminated
@@ -65,6 +66,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held_out_language_id(documents(spark, sf_dir)).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    encoded = encode(documents(spark, sf_dir)).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), "ids", "ends")
+    return decode(encoded, keep=("doc_id", "n_tokens", "ids_sha256")).select("doc_id", "n_tokens", "ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -78,6 +85,7 @@ QUERIES = {
         op8_personal_data,
         op9_minhash_dedup,
         op10_language_id,
+        op11_byte_bpe,
     )
 }
 
