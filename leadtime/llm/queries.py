@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .byte_pairs import decode, encode
 from .common import documents
 from .context_tree import held_out_lm_scores
+from .conversation_trie import prefix_trie, shared_heads, turn_sequences
 from .decontaminate import contaminated
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
@@ -72,6 +73,10 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode(encoded, keep=("doc_id", "n_tokens", "ids_sha256")).select("doc_id", "n_tokens", "ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(shared_heads(turn_sequences(spark.read.parquet(f"{sf_dir}/conversations.parquet"))))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -86,6 +91,7 @@ QUERIES = {
         op9_minhash_dedup,
         op10_language_id,
         op11_byte_bpe,
+        op12_conversation_trie,
     )
 }
 
@@ -153,4 +159,19 @@ l AS (SELECT x, y FROM j JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE
 r AS (SELECT doc_id AS node, doc_id AS c FROM d UNION SELECT l.y, r.c FROM r JOIN l ON l.x = r.node),
 m AS (SELECT node, min(c) AS component_id FROM r GROUP BY node)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM d JOIN m ON m.node = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id""",
+    "op12_conversation_trie": r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k
+           FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, list(struct_pack(k := k, b := strlen(text)) ORDER BY turn NULLS FIRST, k) AS w FROM t GROUP BY conv_id),
+c AS (SELECT *, xor(list_reduce(flatten(list_prepend([4294967295], list_transform(string_split(conv_id::VARCHAR, ''), lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+                                lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295) % 9 AS h FROM o),
+r AS (SELECT c.conv_id, list_concat(coalesce(b.w[1:c.h], []), c.w[c.h + 1:]) AS w FROM c LEFT JOIN o b ON b.conv_id = c.conv_id - c.conv_id % 5),
+m AS (SELECT conv_id, d, array_to_string(list_transform(w[1:d], lambda x: x.k), '') AS p, CASE WHEN d > 0 THEN w[d].b ELSE 0 END AS b, len(w) = d AS ends
+      FROM (SELECT conv_id, w, unnest(range(0, len(w) + 1)) AS d FROM r)),
+n AS (SELECT p, d, min(conv_id) AS conv_id, count(*) AS n, max(b) AS b, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends FROM m GROUP BY p, d),
+k AS (SELECT p[:32 * (d - 1)] AS p, count(*) AS n FROM n WHERE d > 0 GROUP BY 1),
+u AS (SELECT n.p, d, n.n, b, k.p IS NULL AS leaf FROM n LEFT JOIN k ON k.p = n.p),
+s AS (SELECT p[:32 * a] AS p, count(*) FILTER (leaf) AS leaves, sum((n - 1) * b) AS saved FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM u) GROUP BY 1)
+SELECT n.conv_id, n.d AS depth, q.conv_id AS parent_conv_id, n.n AS n_convs, coalesce(k.n, 0) AS n_children, leaves AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, n.ends AS ends_sha256
+FROM n JOIN s ON s.p = n.p LEFT JOIN k ON k.p = n.p LEFT JOIN n q ON n.d > 0 AND q.p = n.p[:32 * (n.d - 1)]""",
 }
