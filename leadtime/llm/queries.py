@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import align
 from .byte_pairs import decode, encode
 from .common import documents
 from .context_tree import held_out_lm_scores
@@ -77,6 +78,11 @@ def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(shared_heads(turn_sequences(spark.read.parquet(f"{sf_dir}/conversations.parquet"))))
 
 
+def op13_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256")
+    return align(documents(spark, sf_dir)).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", groups)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -92,6 +98,7 @@ QUERIES = {
         op10_language_id,
         op11_byte_bpe,
         op12_conversation_trie,
+        op13_align_tokenizers,
     )
 }
 
