@@ -24,7 +24,9 @@ from .textbytes import pieces
 MARK = "▁"
 #: A task forgets the tokens of segments when it holds so many.
 CACHED_SEGMENTS = 1 << 18
-#: Counts of at most so many pairs are held by each task; a task merges its counts when it has so many.
+#: So many segments are encoded at a time.
+SLICE = 1 << 12
+#: Each task has the counts of at most so many pairs, and passes on its own when there are more.
 TOP_PAIRS = 1 << 20
 EMPTY = np.zeros(0, np.int64)
 
@@ -69,17 +71,29 @@ class Tokenizers:
         self.decimals = pa.array([f"{i}{mark}".encode() for i in range(max(len(self.a_bytes), len(self.b_bytes))) for mark in ",|;"], pa.large_binary())
         #: Whether no piece has a blank after another character, so that none reaches over the beginning of a segment.
         self.cuts = not any(x != MARK and y == MARK for p in pieces for x, y in zip(p, p[1:]))
-        self.known: dict[bytes, tuple[list[int], list[int]]] = {}
-
-    def ids(self, segments: list[bytes]) -> list[tuple[list[int], list[int]]]:
-        """The ids of both for segments that begin with a blank, which SentencePiece puts in itself."""
-        new = [s for s in segments if s not in self.known]
-        texts = [s.decode(errors="replace") for s in new]
-        for s, a, b in zip(new, self.a.encode_batch_fast(texts, add_special_tokens=False), self.b.encode([t[1:] for t in texts], out_type=int, num_threads=1)):
-            self.known[s] = a.ids, b
-        out = [self.known[s] for s in segments]
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.values, self.off = [np.zeros(0, np.int32)] * 2, [np.zeros(1, np.int64)] * 2
+
+    def ids(self, segments: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of both tokenizers the ids of segments that begin with a blank (which SentencePiece puts in itself), end to end, and their offsets."""
         if len(self.known) > CACHED_SEGMENTS:
-            self.known.clear()
+            self.forget()
+        new = [s for s in dict.fromkeys(segments) if s not in self.known]
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+        found: list[list[list[int]]] = [[], []]
+        for k in range(0, len(new), SLICE):
+            texts = [s.decode(errors="replace") for s in new[k : k + SLICE]]
+            found[0] += [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+            found[1] += self.b.encode([t[1:] for t in texts], out_type=int, num_threads=1)
+        which = np.fromiter(map(self.known.__getitem__, segments), np.int64, len(segments))
+        out = []
+        for k, lists in enumerate(found):
+            self.off[k] = np.r_[self.off[k], self.off[k][-1] + np.cumsum([len(x) for x in lists], dtype=np.int64)]
+            self.values[k] = np.r_[self.values[k], np.fromiter(chain.from_iterable(lists), np.int32)]
+            out.append((self.values[k][spread(which, self.off[k])], np.r_[0, np.cumsum(np.diff(self.off[k])[which])]))
         return out
 
 
@@ -105,7 +119,7 @@ def segments(raw: np.ndarray, off: np.ndarray, cuts: bool) -> tuple[pa.Array, np
 
 
 class Aligned(NamedTuple):
-    """Of each segment: whether both tokenizers give its bytes, tokens, groups, links, and the bounds of its links and of its part of ``text``."""
+    """Of each segment: whether both tokenizers give its bytes, tokens, groups and links, the bounds of its links, and its groups."""
 
     ok: np.ndarray
     n_a: np.ndarray
@@ -115,8 +129,7 @@ class Aligned(NamedTuple):
     link_off: np.ndarray
     link_a: np.ndarray
     link_b: np.ndarray
-    text_off: np.ndarray
-    text: np.ndarray
+    text: pa.Array
 
 
 def joined(vocab: pa.Array, ids: np.ndarray, off: np.ndarray) -> tuple[pa.Array, np.ndarray]:
@@ -132,13 +145,12 @@ def inside(off: np.ndarray, keep: np.ndarray) -> np.ndarray:
     return np.repeat(keep, np.diff(off))
 
 
-def align_segments(found: pa.Array, ids: list[tuple[list[int], list[int]]], both: Tokenizers) -> Aligned:
+def align_segments(found: pa.Array, ids: list[tuple[np.ndarray, np.ndarray]], both: Tokenizers) -> Aligned:
     """Tokens of both are put in order of their first bytes; a group ends where a token begins at or after all ends before it.
 
     ``text`` has the groups of each segment as ``a1,a2|b1;``; links are all pairs of tokens that share a byte.
     """
-    flat = [np.fromiter(chain.from_iterable(x[k] for x in ids), np.int64) for k in (0, 1)]
-    off = [np.r_[0, np.cumsum([len(x[k]) for x in ids], dtype=np.int64)] for k in (0, 1)]
+    flat, off = zip(*ids)
     ok = np.logical_and.reduce([pc.equal(joined(vocab, flat[k], off[k])[0], found).to_numpy(zero_copy_only=False) for k, vocab in enumerate((both.a_bytes, both.b_bytes))]) & (np.diff(off[0]) > 0)
     n = [np.where(ok, np.diff(o), 0) for o in off]
     a, b = (flat[k][inside(off[k], ok)] for k in (0, 1))
@@ -163,8 +175,8 @@ def align_segments(found: pa.Array, ids: list[tuple[list[int], list[int]]], both
     separator = np.where(same, np.where(np.r_[side_in_order[1:] != side_in_order[:-1], False][: len(order)], 1, 0), 2)
     token_text, token_ends = joined(both.decimals, ids_in_order * 3 + separator, np.array([0, len(order)]))
     text_off = token_ends[np.searchsorted(segment_in_order, np.arange(len(ok) + 1))]
-    text = np.frombuffer(token_text.buffers()[2], np.uint8)[: text_off[-1]]
-    return Aligned(ok, *n, n_groups, np.diff(link_off), link_off, np.repeat(a, per_a), b[to], text_off, text)
+    text = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ok), [None, pa.py_buffer(np.ascontiguousarray(text_off)), token_text.buffers()[2] or pa.py_buffer(b"")])
+    return Aligned(ok, *n, n_groups, np.diff(link_off), link_off, np.repeat(a, per_a).astype(np.int64), b[to], text)
 
 
 def aligned_pieces(batches: Iterator[pa.RecordBatch], both: Tokenizers) -> Iterator[tuple[pa.RecordBatch, Aligned, np.ndarray, np.ndarray, np.ndarray]]:
@@ -187,30 +199,46 @@ def summed(values: np.ndarray, off: np.ndarray) -> np.ndarray:
     return total[off[1:]] - total[off[:-1]]
 
 
-def pair_counts(docs: DataFrame, a_path: str | None = None, b_path: str | None = None, text_col: str = "text") -> DataFrame:
-    """a_id, b_id, n: how many links of all documents hold each pair of ids. Tasks add up their own before the shuffle."""
+def aligned_texts(docs: DataFrame, a_path: str | None, b_path: str | None, key: str, id_col: str, text_col: str) -> DataFrame:
+    """_key, id, n_a, n_b, n_groups, n_links, groups, links (each a number: A's id times the size of B's vocabulary, and B's id)."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(read_files(a_path, b_path))
+    names = ["_key", id_col, "n_a", "n_b", "n_groups", "n_links", "groups", "links"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = Tokenizers(shared.value)
-        size = len(both.b_bytes)
-        codes, counts = EMPTY, EMPTY
+        for rows, of, which, doc_off, good in aligned_pieces(batches, both):
+            per_text = [np.where(good, summed(x[which], doc_off), 0) for x in (of.n_a, of.n_b, of.n_groups, of.n_links)]
+            which, doc_off = which[inside(doc_off, good)], np.r_[0, np.cumsum(np.where(good, np.diff(doc_off), 0))]
+            links = (of.link_a * len(both.b_bytes) + of.link_b)[spread(which, of.link_off)]
+            written = of.text.take(pa.array(which))
+            ends = np.frombuffer(written.buffers()[1], np.int64)[: len(which) + 1] if len(which) else np.zeros(1, np.int64)
+            text = memoryview(written.buffers()[2] or b"")
+            bounds = ends[doc_off].tolist()
+            groups = [bytes(text[a : max(a, b - 1)]) for a, b in zip(bounds, bounds[1:])]
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(per_text[3])].astype(np.int32)), pa.array(links))
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *[pa.array(x.astype(np.int64)) for x in per_text], pa.array(groups, pa.string()), lists], names=names)
+
+    base = docs.select(F.col(key).alias("_key"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kinds = [base.schema[c].dataType.simpleString() for c in ("_key", "id")]
+    return base.mapInArrow(run, f"_key {kinds[0]}, `{id_col}` {kinds[1]}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups string, links array<bigint>")
+
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array((codes // size).astype(np.int32)), pa.array((codes % size).astype(np.int32)), pa.array(counts)], names=["a_id", "b_id", "n"])
+def link_counts(aligned: DataFrame) -> DataFrame:
+    """link, n: how many links of all texts are the same pair of ids. Tasks add up their own before the shuffle."""
 
-        for _, of, which, doc_off, good in aligned_pieces(batches, both):
-            times = np.bincount(which[inside(doc_off, good)], minlength=len(of.ok))
-            codes, place = np.unique(np.r_[codes, of.link_a * size + of.link_b], return_inverse=True)
-            counts = np.bincount(place, np.r_[counts, np.repeat(times, of.n_links)], minlength=len(codes)).astype(np.int64)
-            if len(codes) > TOP_PAIRS:
-                yield out()
-                codes, counts = EMPTY, EMPTY
-        yield out()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        links, counts = EMPTY, EMPTY
+        for batch in batches:
+            own, times = np.unique(batch.column(0).flatten().to_numpy(zero_copy_only=False), return_counts=True)
+            links, place = np.unique(np.r_[links, own], return_inverse=True)
+            counts = np.bincount(place, np.r_[counts, times], minlength=len(links)).astype(np.int64)
+            if len(links) > TOP_PAIRS:
+                yield pa.RecordBatch.from_arrays([pa.array(links), pa.array(counts)], names=["link", "n"])
+                links, counts = EMPTY, EMPTY
+        yield pa.RecordBatch.from_arrays([pa.array(links), pa.array(counts)], names=["link", "n"])
 
-    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "a_id int, b_id int, n bigint")
-    return rows.where("n > 0").groupBy("a_id", "b_id").agg(F.sum("n").alias("n"))
+    return aligned.select("links").mapInArrow(run, "link bigint, n bigint").groupBy("link").agg(F.sum("n").alias("n"))
 
 
 def align(docs: DataFrame, a_path: str | None = None, b_path: str | None = None, top_pairs: int = TOP_PAIRS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -220,66 +248,57 @@ def align(docs: DataFrame, a_path: str | None = None, b_path: str | None = None,
     puts the blank in. Strings of special tokens are plain text. ``groups`` has the ids of both in the groups that are cut where
     both end, as ``a1,a2|b1;a3|b2,b3``. Links are all pairs of overlapping tokens; ``count_sum`` adds up how many links of all documents
     hold the ids of each, ``n_best`` counts those that no id of A is linked more often with the same id of B. Texts that are
-    null, empty, or whose bytes a tokenizer does not give back have no tokens, zeros and an empty ``groups``, and no part in the counts. Each row stands for
-    itself, repeated and null ids too; other columns are ignored.
+    null, empty, or whose bytes a tokenizer does not give back have no tokens, zeros and an empty ``groups``, and no part in the
+    counts. Each row stands for itself, repeated and null ids too; other columns are ignored.
 
-    Documents are read twice, for the counts and with them; no text is shuffled. The counts of the most frequent pairs, ``top_pairs``
-    at most, and the highest of each id of B are with every task; the links of rarer pairs meet their counts in a join.
+    Texts are encoded and aligned once, and staged as groups and links; no text is shuffled. The counts of the most frequent pairs,
+    ``top_pairs`` at most, and the highest of each id of B are with every task; the links of rarer pairs meet their counts in a join.
     """
-    small_batches(docs.sparkSession)
     docs, key = row_keys(docs, id_col)
-    files = read_files(a_path, b_path)
-    counts = stage(pair_counts(docs, a_path, b_path, text_col), "pairs")
-    # As many rows as there are powers of two; then those from such a power on, as many as are allowed; then one row per id of B.
-    powers = sorted(((r["power"], r["pairs"]) for r in counts.groupBy(F.floor(F.log2("n")).alias("power")).agg(F.count("*").alias("pairs")).collect()), reverse=True)
+    spark = docs.sparkSession
+    aligned = stage(aligned_texts(docs, a_path, b_path, key, id_col, text_col), "aligned")
+    size = len(Tokenizers(read_files(a_path, b_path)).b_bytes)
+    counts = stage(link_counts(aligned).withColumn("b_id", (F.col("link") % size).cast("int")), "pairs")
+    # As many rows as there are powers of two; then the pairs from such a power on, as many as are allowed; then one row per id of B.
+    powers = counts.groupBy(F.floor(F.log2("n")).alias("power")).agg(F.count("*").alias("pairs")).collect()
     least, held = (1 << 62), 0
-    for power, pairs in powers:
+    for power, pairs in sorted(((r["power"], r["pairs"]) for r in powers), reverse=True):
         if held + pairs > top_pairs:
             break
         least, held = 1 << power, held + pairs
-    top = counts.where(F.col("n") >= least).toArrow()
-    best = counts.groupBy("b_id").agg(F.max("n").alias("n")).toArrow()
-    tables = [{c: t[c].to_numpy() for c in t.schema.names} for t in (top, best)]
-    shared = docs.sparkSession.sparkContext.broadcast((files, *tables))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, top, best = shared.value
-        both = Tokenizers(files)
-        size = len(both.b_bytes)
-        codes = top["a_id"].astype(np.int64) * size + top["b_id"]
-        by_code = np.argsort(codes)
-        codes, frequency = np.r_[codes[by_code], -1], np.r_[top["n"][by_code], 0]
-        highest = np.zeros(size, np.int64)
-        highest[best["b_id"]] = best["n"]
-        for rows, of, which, doc_off, good in aligned_pieces(batches, both):
-            code = of.link_a * size + of.link_b
-            at = np.searchsorted(codes[:-1], code)
-            count = np.where(codes[at] == code, frequency[at], 0)
-            is_best = (count > 0) & (count == highest[of.link_b])
-            per_segment = [of.n_a, of.n_b, of.n_groups, of.n_links, summed(is_best, of.link_off), summed(count, of.link_off)]
-            per_text = [np.where(good, summed(x[which], doc_off), 0) for x in per_segment]
-            rare = np.flatnonzero(count == 0)
-            rare_off = np.searchsorted(rare, of.link_off)
-            rare_code = code[rare][spread(which, rare_off)]
-            rest_per_text = summed(np.diff(rare_off)[which], doc_off)
-            rare_code, rest_per_text = rare_code[np.repeat(good, rest_per_text)], np.where(good, rest_per_text, 0)
-            rest = [pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(rest_per_text)].astype(np.int32)), pa.array(x.astype(np.int32))) for x in (rare_code // size, rare_code % size)]
-            text = of.text[spread(which, of.text_off)].tobytes()
-            ends = np.r_[0, np.cumsum(np.diff(of.text_off)[which])][doc_off].tolist()
-            groups = [text[a : b - 1] if fine else b"" for a, b, fine in zip(ends, ends[1:], good.tolist())]
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *[pa.array(x.astype(np.int64)) for x in per_text], pa.array(groups, pa.string()), *rest], names=names)
-
-    numbers = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
-    names = ["_key", id_col, *numbers, "groups", "rest_a", "rest_b"]
-    base = docs.select(F.col(key).alias("_key"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kinds = {c: base.schema[c].dataType.simpleString() for c in ("_key", "id")}
-    schema = f"_key {kinds['_key']}, `{id_col}` {kinds['id']}, {', '.join(f'{c} bigint' for c in numbers)}, groups string, rest_a array<int>, rest_b array<int>"
-    found = stage(base.mapInArrow(run, schema), "aligned")
-    links = found.select("_key", F.explode(F.arrays_zip("rest_a", "rest_b")).alias("l")).select("_key", F.col("l.rest_a").alias("a_id"), F.col("l.rest_b").alias("b_id"))
-    rarer = stage(counts.where(F.col("n") < least).join(stage(counts.groupBy("b_id").agg(F.max("n").alias("most")), "best"), "b_id"), "rarer")
-    rest = links.groupBy("_key", "a_id", "b_id").agg(F.count("*").alias("times")).join(rarer, ["a_id", "b_id"])
-    rest = stage(rest.groupBy("_key").agg(F.sum(F.when(F.col("n") == F.col("most"), F.col("times")).otherwise(0)).alias("more_best"), F.sum(F.col("n") * F.col("times")).alias("more_sum")), "rest")
-    both = found.join(rest, "_key", "left")
-    return both.select(
-        id_col, *numbers[:4], (F.col("n_best") + F.coalesce("more_best", F.lit(0))).alias("n_best"), (F.col("count_sum") + F.coalesce("more_sum", F.lit(0))).alias("count_sum"), "groups"
-    )
+    highest = counts.groupBy("b_id").agg(F.max("n").alias("most"))
+    top, best = counts.where(F.col("n") >= least).select("link", "n").toArrow(), highest.toArrow()
+    by_link = np.argsort(top["link"].to_numpy())
+    most = np.zeros(size, np.int64)
+    most[best["b_id"].to_numpy()] = best["most"].to_numpy()
+    shared = spark.sparkContext.broadcast((np.r_[top["link"].to_numpy()[by_link], -1], np.r_[top["n"].to_numpy()[by_link], 0], most))
+
+    def counted(links: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The links of all rows, their counts (0 for those that are joined), which are their B id's best, and the offsets of rows."""
+        known, n, most = shared.value
+        flat = links.flatten().to_numpy(zero_copy_only=False)
+        at = np.searchsorted(known[:-1], flat)
+        count = np.where(known[at] == flat, n[at], 0)
+        return flat, count, (count > 0) & (count == most[flat % size]), np.r_[0, np.cumsum(links.value_lengths().to_numpy(zero_copy_only=False))].astype(np.int64)
+
+    kept = aligned.columns[:7]
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, count, is_best, off = counted(batch.column(7))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:7], pa.array(summed(is_best, off)), pa.array(summed(count, off))], names=[*kept, "n_best", "count_sum"])
+
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, count, _, off = counted(batch.column(1))
+            left = np.flatnonzero(count == 0)
+            row = np.searchsorted(off, left, "right") - 1
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(flat[left])], names=["_key", "link"])
+
+    kinds = ", ".join(f"`{c}` {aligned.schema[c].dataType.simpleString()}" for c in kept)
+    rarer = stage(counts.where(F.col("n") < least).join(stage(highest, "best"), "b_id").select("link", "n", "most"), "rarer")
+    links = aligned.select("_key", "links").mapInArrow(rare, f"_key {aligned.schema['_key'].dataType.simpleString()}, link bigint").groupBy("_key", "link").agg(F.count("*").alias("times"))
+    each = links.join(rarer, "link").groupBy("_key").agg(F.sum(F.when(F.col("n") == F.col("most"), F.col("times")).otherwise(0)).alias("more_best"), F.sum(F.col("n") * F.col("times")).alias("more_sum"))
+    both = aligned.mapInArrow(scored, f"{kinds}, n_best bigint, count_sum bigint").join(stage(each, "rare"), "_key", "left")
+    more = [(F.col(c) + F.coalesce(x, F.lit(0))).alias(c) for c, x in (("n_best", "more_best"), ("count_sum", "more_sum"))]
+    return both.select(id_col, "n_a", "n_b", "n_groups", "n_links", *more, "groups")
