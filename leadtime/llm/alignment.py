@@ -23,7 +23,9 @@ from .textbytes import pieces
 #: How SentencePiece writes a blank.
 MARK = "▁"
 #: A task forgets the tokens of segments when it holds so many.
-CACHED_SEGMENTS = 1 << 18
+CACHED_SEGMENTS = 1 << 17
+#: Texts are aligned in pieces of about so many bytes; one longer text is a piece of its own.
+PIECE_BYTES = 1 << 20
 #: So many segments are encoded at a time.
 SLICE = 1 << 12
 #: Each task has the counts of at most so many pairs, and passes on its own when there are more.
@@ -181,7 +183,7 @@ def align_segments(found: pa.Array, ids: list[tuple[np.ndarray, np.ndarray]], bo
 
 def aligned_pieces(batches: Iterator[pa.RecordBatch], both: Tokenizers) -> Iterator[tuple[pa.RecordBatch, Aligned, np.ndarray, np.ndarray, np.ndarray]]:
     """Rows, their distinct segments aligned, which segment comes where, the first one of each text, and which texts have tokens."""
-    for rows, raw, off in pieces(batches, "text"):
+    for rows, raw, off in pieces(batches, "text", PIECE_BYTES):
         found, which, doc_off = segments(raw, off, both.cuts)
         of = align_segments(found, both.ids(found.to_pylist()), both)
         bad = np.r_[0, np.cumsum(~of.ok[which])]

@@ -39,13 +39,13 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Slices of the batches of about PIECE_BYTES, with the bytes and offsets of their texts."""
+def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int | None = None) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of the batches of about ``most`` bytes (PIECE_BYTES if not given), with the bytes and offsets of their texts."""
     for batch in batches:
         raw, off = flat(batch.column(batch.schema.names.index(text)))
         lo = 0
         while lo < len(off) - 1:
-            hi = max(lo + 1, int(np.searchsorted(off, off[lo] + PIECE_BYTES, "right")) - 1)
+            hi = max(lo + 1, int(np.searchsorted(off, off[lo] + (most or PIECE_BYTES), "right")) - 1)
             yield batch.slice(lo, hi - lo), raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
             lo = hi
 
