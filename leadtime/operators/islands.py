@@ -2,30 +2,75 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .running import running
 
 
-def islands(df: DataFrame, keys: list[str], step: str, flag: Column, max_step: int = 1, extra: dict[str, Column] | None = None, chunk_steps: int = 10_000) -> DataFrame:
+#: Chunks of the next level are so many times as long.
+WIDER = 1000
+
+
+def coalesced(
+    df: DataFrame, keys: list[str], first: str, last: str, max_step: Column | int, aggregates: dict[str, Callable[[Column], Column]], chunk_steps: int = 10_000
+) -> DataFrame:
+    """keys, first, last and ``aggregates`` (of columns named alike) of disjoint intervals, those merged that begin ``max_step`` or less after the one before.
+
+    An interval is a step, a run of steps or longer. Neighbours merge inside chunks; all but the first and the last of a chunk are then
+    done, and only those two can go on. They merge in the same way in chunks of chunks, and what the edges of these leave, two rows in
+    ``WIDER`` chunks at most, for each group. ``aggregates`` must be sums, minima or maxima.
+    """
+    limit = max_step if isinstance(max_step, Column) else F.lit(max_step)
+    parts = df.select(*keys, F.col(first).alias("first"), F.col(last).alias("last"), *aggregates, F.lit(True).alias("_edge"))
+    for size in (chunk_steps, chunk_steps * WIDER, None):
+        group = [*keys, "_home", "_done"]
+        home = F.floor(F.col("first") / size) if size else F.lit(0)
+        placed = parts.select("*", home.alias("_home"), F.when(~F.col("_edge"), F.col("first")).alias("_done"))
+        order = Window.partitionBy(*group).orderBy("first")
+        apart = F.when(F.col("first") - F.lag("last").over(order) <= limit, 0).otherwise(1)
+        numbered = placed.select("*", apart.alias("_new")).select("*", F.sum("_new").over(order).alias("_run"))
+        merged = numbered.groupBy(*group, "_run").agg(F.min("first").alias("first"), F.max("last").alias("last"), *[f(F.col(name)).alias(name) for name, f in aggregates.items()])
+        outer = (F.col("_run") == 1) | (F.col("_run") == F.max("_run").over(Window.partitionBy(*group)))
+        parts = merged.select(*keys, "first", "last", *aggregates, (F.col("_done").isNull() & outer).alias("_edge"))
+    return parts.drop("_edge")
+
+
+def islands(df: DataFrame, keys: list[str], step: str, flag: Column, max_step: int = 1, extra: dict[str, tuple[Column, Callable]] | None = None, chunk_steps: int = 10_000) -> DataFrame:
     """keys, first, last, n (and ``extra`` aggregates) of each run of rows with ``flag``, not more than ``max_step`` apart.
 
-    Rows are grouped inside chunks of steps first, and runs that touch a chunk's edge are stitched on the much
-    smaller table of runs. ``extra`` aggregates must be sums, minima or maxima of columns named alike.
+    ``extra`` aggregates must be sums, minima or maxima of columns. See :func:`coalesced` for long series.
     """
     extra = extra or {}
-    rows = df.where(flag).select(*keys, F.col(step).alias("_t"), F.floor(F.col(step) / chunk_steps).alias("_c"), *[c.alias(name) for name, (c, _) in extra.items()])
+    rows = df.where(flag).select(*keys, F.col(step).alias("_t"), F.lit(1).alias("n"), *[c.alias(name) for name, (c, _) in extra.items()])
+    return coalesced(rows, keys, "_t", "_t", max_step, {"n": F.sum} | {name: agg for name, (_, agg) in extra.items()}, chunk_steps)
+
+
+def runs_by_level(df: DataFrame, keys: list[str], step: str, level: str, opening: dict[str, Column], closing: dict[str, Column], chunk_steps: int = 10_000) -> DataFrame:
+    """keys, level, first, last, n: for each whole number from 1 on the runs of consecutive steps whose ``level`` is that or more.
+
+    Also ``opening`` as it is at the first step and ``closing`` as it is at the last, which must grow with the steps. Runs are
+    nested, like the superlevel sets of a merge tree: a step opens as many of them as it rises above the step before, and closes as many
+    as it falls to the next, so there is a row for each end of a run, not one for each step and level.
+    """
+    rows = df.select(*keys, F.col(step).alias("_t"), F.floor(F.col(step) / chunk_steps).alias("_c"), F.col(level).alias("_v"), *[c.alias(name) for name, c in (opening | closing).items()])
     local = Window.partitionBy(*keys, "_c").orderBy("_t")
-    new = F.when(F.col("_t") - F.lag("_t").over(local) <= max_step, 0).otherwise(1)
-    grouped = rows.select("*", new.alias("_new")).select("*", F.sum("_new").over(local).alias("_run"))
-    parts = grouped.groupBy(*keys, "_c", "_run").agg(F.min("_t").alias("first"), F.max("_t").alias("last"), F.count("*").alias("n"), *[agg(F.col(name)).alias(name) for name, (_, agg) in extra.items()])
-    order = Window.partitionBy(*keys).orderBy("first")
-    apart = F.when(F.col("first") - F.lag("last").over(order) <= max_step, 0).otherwise(1)
-    stitched = parts.select("*", apart.alias("_new")).select("*", F.sum("_new").over(order).alias("_run2"))
-    return stitched.groupBy(*keys, "_run2").agg(
-        F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n"), *[agg(F.col(name)).alias(name) for name, (_, agg) in extra.items()]
-    ).drop("_run2")
+    before = F.when(F.lag("_t").over(local) == F.col("_t") - 1, F.lag("_v").over(local)).otherwise(0)
+    after = F.when(F.lead("_t").over(local) == F.col("_t") + 1, F.lead("_v").over(local)).otherwise(0)
+
+    def ends(low: str, kind: int) -> Column:
+        levels = F.when(F.col("_v") > F.col(low), F.sequence(F.col(low) + 1, F.col("_v"))).otherwise(F.array().cast("array<int>"))
+        return F.transform(levels, lambda k: F.struct(k.alias("level"), F.lit(kind).alias("kind")))
+
+    seen = rows.select("*", before.alias("_p"), after.alias("_q")).where("_v > 0")
+    each = seen.select("*", F.explode(F.concat(ends("_p", 0), ends("_q", 1))).alias("_e")).select("*", "_e.level", "_e.kind")
+    # Inside a chunk the runs of a level open and close in turn.
+    turns = Window.partitionBy(*keys, "_c", "level").orderBy("_t", "kind")
+    runs = each.select(*keys, "level", "kind", F.col("_t").alias("_a"), F.lead("_t").over(turns).alias("_z"), *opening, *[F.lead(c).over(turns).alias(c) for c in closing]).where("kind = 0")
+    runs = runs.withColumn("n", F.col("_z") - F.col("_a") + 1)
+    return coalesced(runs, [*keys, "level"], "_a", "_z", 1, {"n": F.sum} | dict.fromkeys(opening, F.min) | dict.fromkeys(closing, F.max), chunk_steps)
 
 
 def gap_segments(df: DataFrame, keys: list[str], order: str, gap_break: Column | float, chunk: int = 10_000) -> DataFrame:

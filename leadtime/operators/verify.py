@@ -6,15 +6,18 @@ that tell forecasts apart (such as the threshold); everything is computed for al
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.staging import staged
-from .islands import islands, merge_intervals
+from .islands import coalesced, islands, runs_by_level
+from .matching import match_events
+from .order import place, quantiles, ranges
+from .running import running
 
 COUNTS = ("tp", "fp", "fn", "tn")
-#: Blocks of overlapping segments that are matched in one group.
-BLOCKS = 1000
 
 
 def confusion(y: Column, alarm: Column) -> list[Column]:
@@ -38,19 +41,14 @@ def skill_scores(df: DataFrame, by: list[str], cutoff: Column) -> DataFrame:
     return ratios(df.groupBy(*by).agg(*confusion(F.col("y"), (F.col("p") >= cutoff).cast("int"))))
 
 
-def score_steps(df: DataFrame, by: list[str], buckets: int = 256) -> DataFrame:
+def score_steps(df: DataFrame, by: list[str]) -> DataFrame:
     """by, p, pos, neg, and tp, fp: for each distinct score, how many positives and negatives it has and how many score at least as high.
 
-    Running sums in two levels: inside ranges of p, then over the range totals, so that no task sorts all scores.
+    Running sums in two levels: inside ranges of scores with about equal shares of them, then over the range totals.
     """
-    g = df.groupBy(*by, "p").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg")).withColumn("_r", F.floor(F.col("p") * buckets))
-    inner = Window.partitionBy(*by, "_r").orderBy(F.desc("p"))
-    part = g.select("*", F.sum("pos").over(inner).alias("_tp"), F.sum("neg").over(inner).alias("_fp"))
-    outer = Window.partitionBy(*by).orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, -1)
-    sums = g.groupBy(*by, "_r").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
-    above = sums.select(*by, "_r", F.coalesce(F.sum("_p").over(outer), F.lit(0)).alias("_p"), F.coalesce(F.sum("_n").over(outer), F.lit(0)).alias("_n"))
-    out = part.join(above, [*by, "_r"])
-    return out.select(*by, "p", "pos", "neg", (F.col("_tp") + F.col("_p")).alias("tp"), (F.col("_fp") + F.col("_n")).alias("fp"))
+    g = df.groupBy(*by, "p").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
+    ranged = ranges(g.withColumn("_o", -F.col("p")), [*by, "_o"])
+    return running(ranged, by, ["_o"], F.col("_r"), sums={"tp": F.col("pos"), "fp": F.col("neg")}).drop("_o", "_r")
 
 
 def roc_auc(df: DataFrame, by: list[str]) -> DataFrame:
@@ -85,19 +83,19 @@ def pr_curve(df: DataFrame, by: list[str]) -> DataFrame:
 
 def candidate_cutoffs(df: DataFrame, by: list[str], n: int) -> DataFrame:
     """by, cutoff: n quantiles of the scores, 0 and 1, without repeats."""
-    grid = F.array(*[F.lit(i / (n - 1)) for i in range(n)])
-    return df.groupBy(*by).agg(F.percentile("p", grid).alias("q")).select(*by, F.explode(F.array_distinct(F.concat("q", F.array(F.lit(0.0), F.lit(1.0))))).alias("cutoff"))
+    found = quantiles(df, by, "p", [i / (n - 1) for i in range(n)])
+    return found.select(*by, F.explode(F.array("quantile", F.lit(0.0), F.lit(1.0))).alias("cutoff")).distinct()
 
 
 def cutoff_sweep(df: DataFrame, cutoffs: DataFrame, by: list[str]) -> DataFrame:
     """The counts and ratios of each cutoff: distinct scores are counted by the highest cutoff they reach, then summed from above.
 
-    There are some thousand cutoffs at most, which meet the scores as one sorted array for each forecast.
+    There are some thousand cutoffs at most, which meet the scores as one sorted array for each forecast. The place of a score among
+    them is found by halving and counted where the score is read, so scores aren't put in order.
     """
     lists = cutoffs.groupBy(*by).agg(F.array_sort(F.collect_list("cutoff")).alias("_c"))
-    reached = F.aggregate("_c", F.lit(0), lambda n, c: n + F.when(F.col("p") >= c, 1).otherwise(0))
     scores = df.groupBy(*by, "p").agg(F.sum("y").alias("_pos"), F.sum(1 - F.col("y")).alias("_neg"))
-    counted = scores.join(lists, by).groupBy(*by, reached.alias("_k")).agg(F.sum("_pos").alias("_pos"), F.sum("_neg").alias("_neg"))
+    counted = scores.join(lists, by).groupBy(*by, place(F.col("_c"), F.col("p")).alias("_k")).agg(F.sum("_pos").alias("_pos"), F.sum("_neg").alias("_neg"))
     totals = counted.groupBy(*by).agg(F.sum("_pos").alias("_p"), F.sum("_neg").alias("_n"))
     steps = lists.select(*by, F.posexplode("_c").alias("_i", "cutoff")).withColumn("_k", F.col("_i") + 1)
     w = Window.partitionBy(*by).orderBy(F.desc("_k"))
@@ -131,16 +129,13 @@ def cutoff_far_cap(sweep: DataFrame, by: list[str], cap: float) -> DataFrame:
 # Alarms as events
 
 
-def postprocess(segments: DataFrame, keys: list[str], min_run: int | Column, merge_gap: int | Column, min_length: int | Column) -> DataFrame:
+def postprocess(segments: DataFrame, keys: list[str], min_run: int | Column, merge_gap: int | Column, min_length: int | Column, extra: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
     """Segments (first, last) with short ones dropped, gaps of up to ``merge_gap`` steps closed, and short results dropped.
 
-    The settings are numbers, or columns that are among the keys.
+    The settings are numbers, or columns that are among the keys. ``extra`` aggregates columns of the segments that merge.
     """
-    w = Window.partitionBy(*keys).orderBy("first")
-    kept = segments.where(F.col("n") >= min_run)
-    new = F.when(F.col("first") - F.lag("last").over(w) - 1 <= merge_gap, 0).otherwise(1)
-    runs = kept.withColumn("_new", new).withColumn("_g", F.sum("_new").over(w))
-    merged = runs.groupBy(*keys, "_g").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("_g")
+    gap = merge_gap if isinstance(merge_gap, Column) else F.lit(merge_gap)
+    merged = coalesced(segments.where(F.col("n") >= min_run), keys, "first", "last", gap + 1, extra or {})
     return merged.where(F.col("last") - F.col("first") + 1 >= min_length)
 
 
@@ -148,40 +143,6 @@ def alarm_segments(df: DataFrame, keys: list[str], step: str, flag: Column) -> D
     return islands(df, keys, step, flag)
 
 
-def match_events(truth: DataFrame, alarms: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, alarm_first, truth_first: alarms in time order each take the overlapping true segment with the nearest start that is still free.
-
-    The choice depends on earlier choices, but only on those of segments that overlap, directly or through others: one block. A
-    block of one alarm and one true segment is a match at once; the others are gone through in groups of some blocks, however
-    long the series is.
-    """
-    import numpy as np
-    import pandas as pd
-
-    names = [*keys, "alarm_first", "truth_first"]
-    kinds = dict(alarms.dtypes)
-    schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "alarm_first bigint", "truth_first bigint"])
-    both = [df.select(*keys, "first", "last", F.lit(kind).alias("_kind"), (F.col("last") + 1).alias("_end")) for kind, df in (("alarm", alarms), ("truth", truth))]
-    placed = merge_intervals(both[0].unionByName(both[1]), keys, "first", "_end")
-    a = placed.where("_kind = 'alarm'").select(*keys, "block", F.col("first").alias("alarm_first"), F.col("last").alias("alarm_last"))
-    t = placed.where("_kind = 'truth'").select(*keys, "block", F.col("first").alias("truth_first"), F.col("last").alias("truth_last"))
-    pairs = a.join(t, [*keys, "block"]).where("alarm_first <= truth_last and truth_first <= alarm_last")
-
-    def choose(group: pd.DataFrame) -> pd.DataFrame:
-        alarm, true = group["alarm_first"].to_numpy(), group["truth_first"].to_numpy()
-        taken, kept, last = set(), [], None
-        for k in np.lexsort((true, abs(true - alarm), alarm)).tolist():
-            if alarm[k] != last and true[k] not in taken:
-                taken.add(true[k])
-                kept.append(k)
-                last = alarm[k]
-        return group.iloc[kept][names]
-
-    counted = pairs.withColumn("_n", F.count("*").over(Window.partitionBy(*keys, "block")))
-    unclear = counted.where("_n > 1").groupBy(*keys, F.floor(F.col("block") / BLOCKS)).applyInPandas(choose, schema)
-    return counted.where("_n = 1").select(*names).unionByName(unclear)
-
-
 def mask_counts(rows: DataFrame, alarms: DataFrame, keys: list[str], by: list[str], step: str, known: DataFrame) -> DataFrame:
     """Per forecast of ``known``: point counts (tp, fp, fn, tn) of the rows inside alarm segments, which may bridge rows below the cutoff.
 
@@ -196,11 +157,12 @@ def mask_counts(rows: DataFrame, alarms: DataFrame, keys: list[str], by: list[st
 
 
 def event_scores(truth: DataFrame, alarms: DataFrame, matches: DataFrame, by: list[str], known: DataFrame) -> DataFrame:
-    """Per forecast of ``known``: true events, alarms, hits, misses, false alarms and their ratios."""
-    n_t = truth.groupBy(*by).agg(F.count("*").alias("n_truth"))
+    """Per forecast of ``known``: true events, alarms, hits, misses, false alarms and their ratios. ``truth`` may have a part of ``by`` only."""
+    shared = [k for k in by if k in truth.columns]
+    n_t = truth.groupBy(*shared).agg(F.count("*").alias("n_truth"))
     n_a = alarms.groupBy(*by).agg(F.count("*").alias("n_alarms"))
     n_m = matches.groupBy(*by).agg(F.count("*").alias("hits"))
-    out = known.join(n_t, by, "left").join(n_a, by, "left").join(n_m, by, "left").na.fill(0, ["n_truth", "n_alarms", "hits"])
+    out = known.join(n_t, shared, "left").join(n_a, by, "left").join(n_m, by, "left").na.fill(0, ["n_truth", "n_alarms", "hits"])
     hits, t, a = F.col("hits"), F.col("n_truth"), F.col("n_alarms")
     return out.select(
         *by, "n_truth", "n_alarms", "hits", (t - hits).alias("misses"), (a - hits).alias("false_alarms"), F.try_divide(hits, t).alias("event_pod"), F.try_divide(a - hits, a).alias("event_far"),
@@ -211,21 +173,30 @@ def event_scores(truth: DataFrame, alarms: DataFrame, matches: DataFrame, by: li
 def operating_points(rows: DataFrame, keys: list[str], by: list[str], step: str, cutoffs: DataFrame, settings: list[tuple[int, int, int]]) -> DataFrame:
     """by, cutoff, setting (its place): event scores and the POFD of the processed alarms, for each cutoff of each forecast and each alarm setting.
 
-    ``keys`` (with those of ``by``) tell series apart. Segments are made once per cutoff; settings work on segments, far fewer than rows.
+    ``keys`` (with those of ``by``) tell series apart. A row has a level, the number of cutoffs it reaches, so the segments of all
+    cutoffs come from one pass. They carry the positives and rows up to their ends, so what lies inside an alarm is a difference,
+    and rows are joined with neither cutoffs nor alarms. All settings work on segments, in one plan.
     """
-    rows, cutoffs = staged(rows.select(*dict.fromkeys([*keys, *by, step, "y", "p"])), "scored"), staged(cutoffs, "cutoffs")
-    found = staged(alarm_segments(rows.join(cutoffs, by).where("p >= cutoff"), [*keys, "cutoff"], step, F.lit(True)), "segments")
-    done = None
-    for i, setting in enumerate(settings):
-        part = postprocess(found, [*keys, "cutoff"], *setting).withColumn("setting", F.lit(i))
-        done = part if done is None else done.unionByName(part)
-    done = staged(done, "processed")
+    series = [*dict.fromkeys([*keys, *by])]
+    rows, cutoffs = staged(rows.select(*dict.fromkeys([*series, step, "y", "p"])), "scored"), staged(cutoffs, "cutoffs")
+    lists = cutoffs.groupBy(*by).agg(F.array_sort(F.collect_list("cutoff")).alias("_c"))
+    counted = running(rows, series, [step], F.floor(F.col(step) / 10_000), sums={"_y": F.col("y"), "_n": F.lit(1)})
+    leveled = counted.join(lists, by).withColumn("_level", place(F.col("_c"), F.col("p")))
+    runs = runs_by_level(leveled, series, step, "_level", {"_y0": F.col("_y") - F.col("y"), "_n0": F.col("_n") - 1}, {"_y1": F.col("_y"), "_n1": F.col("_n")})
     each = [*by, "cutoff", "setting"]
+    options = F.array(*[F.struct(F.lit(i).alias("setting"), *[F.lit(x).alias(c) for c, x in zip(("min_run", "merge_gap", "min_length"), setting)]) for i, setting in enumerate(settings)])
+    named = runs.join(lists, by).withColumn("cutoff", F.get("_c", F.col("level") - 1)).drop("_c", "level").withColumn("_o", F.explode(options)).select("*", "_o.*").drop("_o")
+    among = [*dict.fromkeys([*series, "cutoff", "setting", "min_run", "merge_gap", "min_length"])]
+    carried = {"_y0": F.min, "_n0": F.min, "_y1": F.max, "_n1": F.max}
+    done = staged(postprocess(named, among, F.col("min_run"), F.col("merge_gap"), F.col("min_length"), carried), "processed")
     known = cutoffs.select(*by, "cutoff", F.explode(F.array(*[F.lit(i) for i in range(len(settings))])).alias("setting"))
-    truth = staged(alarm_segments(rows, keys, step, F.col("y") == 1).join(known, by), "truth")
-    scores = event_scores(truth, done, match_events(truth, done, [*dict.fromkeys([*keys, *each])]), each, known)
-    points = mask_counts(rows, done, keys, each, step, known)
-    return scores.join(points.select(*each, F.try_divide("fp", F.col("fp") + F.col("tn")).alias("event_pofd")), each)
+    truth = staged(alarm_segments(rows, series, step, F.col("y") == 1), "truth")
+    matches = match_events(truth, done, [*dict.fromkeys([*series, *each])])
+    inside = F.col("_y1") - F.col("_y0")
+    false = done.groupBy(*each).agg(F.sum(F.col("_n1") - F.col("_n0") - inside).alias("_fp"))
+    total = rows.groupBy(*by).agg(F.sum(1 - F.col("y")).alias("_neg"))
+    scores = event_scores(truth, done, matches, each, known).join(false, each, "left").join(total, by)
+    return scores.withColumn("event_pofd", F.try_divide(F.coalesce("_fp", F.lit(0)), F.col("_neg"))).drop("_fp", "_neg")
 
 
 def event_operating_point(points: DataFrame, by: list[str], max_pofd: float, pod_floor: float) -> DataFrame:
@@ -283,14 +254,21 @@ def forecast_objective(peak: DataFrame, onset: DataFrame, by: list[str], sample:
 def fit_temperature(df: DataFrame, by: list[str], low: float = 0.05, high: float = 20.0, points: int = 41, rounds: int = 3) -> DataFrame:
     """by, temperature: the T that minimises the cross entropy of sigmoid(z / T); 1 where there is one class only.
 
-    Each round is one pass that sums the loss for a grid of T, then refines the grid around the best.
+    Each round is one pass that sums the losses of a grid of T for each row, all at once, then refines the grid around the best.
     """
     grids = df.groupBy(*by).agg(F.min("y").alias("_lo"), F.max("y").alias("_hi")).select(*by, (F.col("_lo") < F.col("_hi")).alias("_two"), F.log(F.lit(low)).alias("_a"), F.log(F.lit(high)).alias("_b"))
+    grids = staged(grids, "temperatures")
+    width = (F.col("_b") - F.col("_a")) / (points - 1)
     for _ in range(rounds):
-        grid = grids.select(*by, "_two", "_a", "_b", F.explode(F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.col("_a") + (F.col("_b") - F.col("_a")) * i / (points - 1))).alias("_t"))
-        z = F.col("z") / F.exp("_t")
-        loss = F.greatest(z, F.lit(0.0)) - z * F.col("y") + F.log1p(F.exp(-F.abs(z)))
-        best = df.join(grid, by).groupBy(*by, "_t", "_two", "_a", "_b").agg(F.sum(loss).alias("_l")).groupBy(*by, "_two", "_a", "_b").agg(F.min_by("_t", F.struct("_l", "_t")).alias("_m"))
-        width = (F.col("_b") - F.col("_a")) / (points - 1)
-        grids = best.select(*by, "_two", F.greatest(F.col("_m") - width, F.log(F.lit(low))).alias("_a"), F.least(F.col("_m") + width, F.log(F.lit(high))).alias("_b"), "_m")
+        tried = [F.col("_a") + (F.col("_b") - F.col("_a")) * i / (points - 1) for i in range(points)]
+
+        def loss(t: Column) -> Column:
+            z = F.col("z") / F.exp(t)
+            return F.sum(F.greatest(z, F.lit(0.0)) - z * F.col("y") + F.log1p(F.exp(-F.abs(z))))
+
+        summed = df.join(grids, by).groupBy(*by, "_two", "_a", "_b").agg(F.array(*map(loss, tried)).alias("_l"))
+        best = F.array_min(F.arrays_zip("_l", F.array(*tried).alias("_t")))["_t"]
+        found = summed.withColumn("_m", best)
+        grids = found.select(*by, "_two", F.greatest(F.col("_m") - width, F.log(F.lit(low))).alias("_a"), F.least(F.col("_m") + width, F.log(F.lit(high))).alias("_b"), "_m")
+        grids = staged(grids, "temperatures")
     return grids.select(*by, F.when(F.col("_two"), F.exp("_m")).otherwise(F.lit(1.0)).alias("temperature"))
