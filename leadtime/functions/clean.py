@@ -62,7 +62,7 @@ def missing_report(df: DataFrame, names: list[str]) -> DataFrame:
     cells = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), reason(F.col(c)).alias("why")) for c in names])).alias("v")
     counts = [F.count_if(F.col("why") == w).alias(w) for w in ("blank", "nines", "fill", "text")]
     grouped = df.select(cells).select("v.*").groupBy("feature").agg(F.count("*").alias("n_rows"), *counts, F.count("why").alias("missing"))
-    return grouped.withColumn("percent", F.round(F.try_divide(100.0 * F.col("missing"), F.col("n_rows")), 6))
+    return grouped.withColumn("percent", F.try_divide(100.0 * F.col("missing"), F.col("n_rows")))
 
 
 def standard_names(columns: list[str], aliases: dict[str, list[str]], drop: tuple[str, ...] = ("cnt", "quality", "flag")) -> dict[str, str]:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.staging import staged
+
 
 def nearest_in_segments(obs: DataFrame, keys: list[str], time: str, segment: str, step: int, reach: str) -> DataFrame:
     """keys, target, obs time (``time``), offset: the nearest observation for each step that a segment touches.
@@ -28,15 +30,42 @@ def nearest_in_segments(obs: DataFrame, keys: list[str], time: str, segment: str
     return best.select(*keys, "target", f"_o.{time}", "_o.offset", f"_o.{segment}")
 
 
+#: A cell of a level holds so many of the level below; the highest level has few cells for any interval of 64-bit steps.
+FAN, LEVELS = 16, 14
+
+
+def cover(start: Column, end: Column, bucket: int) -> Column:
+    """Cells (level, cell) that cover the buckets of a half-open interval: at each level those at both ends that don't fill a cell of the next.
+
+    Their number grows with the logarithm of the length: at most twice ``FAN`` for each level.
+    """
+    low, high = F.floor(start / bucket), F.floor((end - 1) / bucket)
+    none = F.array().cast("array<bigint>")
+    levels = []
+    for k in range(LEVELS):
+        a, b = -F.floor(-low / FAN**k), F.floor((high + 1) / FAN**k) - 1  # whole cells of this level
+        up, down = -F.floor(-low / FAN ** (k + 1)), F.floor((high + 1) / FAN ** (k + 1)) - 1
+        left, right = F.least(b, up * FAN - 1), F.greatest(a, (down + 1) * FAN)
+        apart = up <= down if k < LEVELS - 1 else F.lit(False)
+        cells = F.when(~apart, F.when(a <= b, F.sequence(a, b)).otherwise(none)).otherwise(
+            F.concat(F.when(a <= left, F.sequence(a, left)).otherwise(none), F.when(right <= b, F.sequence(right, b)).otherwise(none))
+        )
+        levels.append(F.transform(cells, lambda c, k=k: F.struct(F.lit(k).alias("level"), c.alias("cell"))))
+    return F.concat(*levels)
+
+
 def steps_in_intervals(rows: DataFrame, step: str, intervals: DataFrame, start: str, end: str, bucket: int, keys: list[str] | None = None) -> DataFrame:
     """Each row with each half-open interval that holds its step, of the same ``keys`` if there are any.
 
-    Intervals are put into buckets of ``bucket`` steps, so that the join is an equi-join followed by the exact test.
+    Intervals are covered by cells of a hierarchy (see :func:`cover`) over buckets of ``bucket`` steps, so a long one has few rows. A
+    step asks for its cell at each level that occurs, an equi-join followed by the exact test.
     """
-    b = F.sequence(F.floor(F.col(start) / bucket), F.floor((F.col(end) - 1) / bucket))
-    spread = intervals.select("*", F.explode(b).alias("_bucket"))
-    placed = rows.withColumn("_bucket", F.floor(F.col(step) / bucket))
-    return placed.join(spread, [*(keys or []), "_bucket"]).where((F.col(step) >= F.col(start)) & (F.col(step) < F.col(end))).drop("_bucket")
+    cells = intervals.where(F.col(start) < F.col(end)).select("*", F.explode(cover(F.col(start), F.col(end), bucket)).alias("_at"))
+    spread = staged(cells.select(*intervals.columns, "_at.level", "_at.cell").withColumnsRenamed({"level": "_level", "cell": "_cell"}), "cells")
+    found = sorted(r["_level"] for r in spread.select("_level").distinct().collect())  # LEVELS at most
+    own = F.array(*[F.struct(F.lit(k).alias("_level"), F.floor(F.col(step) / (bucket * FAN**k)).alias("_cell")) for k in found]) if found else F.array().cast("array<struct<_level:int,_cell:bigint>>")
+    placed = rows.select("*", F.explode(own).alias("_at")).select(*rows.columns, "_at.*")
+    return placed.join(spread, [*(keys or []), "_level", "_cell"]).where((F.col(step) >= F.col(start)) & (F.col(step) < F.col(end))).drop("_level", "_cell")
 
 
 def floor_to_step(df: DataFrame, time: str, step: int) -> DataFrame:

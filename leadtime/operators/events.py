@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import times
 from .align import steps_in_intervals
 from .islands import islands
+from .order import median
 from .verify import alarm_segments, lead_times, postprocess
 
 # Events left out for work at the measuring site.
@@ -123,7 +124,8 @@ def alarm_episodes(rows: DataFrame, step: str, alarms: DataFrame, keys: list[str
 
 def warning_summary(warnings: DataFrame, episodes: DataFrame, points: DataFrame, by: list[str]) -> DataFrame:
     """Per forecast of ``points``, whose columns stay: eligible, detected and missed events, POD, median lead, alarms and false ones."""
-    w = warnings.groupBy(*by).agg(F.count("*").alias("eligible"), F.count_if("detected").alias("detected"), F.median("lead").alias("median_lead"))
+    w = warnings.groupBy(*by).agg(F.count("*").alias("eligible"), F.count_if("detected").alias("detected"))
+    w = w.join(median(warnings, by, "lead", "median_lead"), by, "left")
     e = episodes.groupBy(*by).agg(F.count("*").alias("episodes"), F.count_if("false_alarm").alias("false_episodes"))
     out = points.join(w, by, "left").join(e, by, "left").na.fill(0, ["eligible", "detected", "episodes", "false_episodes"])
     return out.select(

@@ -32,15 +32,15 @@ def match_events(truth: DataFrame, alarms: DataFrame, keys: list[str], chunk: in
     mine = alarms.select(*keys, "first", "last", (-F.col("first")).alias("_o"), F.lit(1).alias("_kind"))
     both = staged(true.unionByName(mine, allowMissingColumns=True), "ends")
     seen = running(both, shared, ["_o", "_kind"], part("_o"), maxima={"_t": F.col("_true")}).where("_kind = 1")
-    near = seen.select(*keys, "first", "last", F.col("_t.first").alias("f"), F.when(F.col("_t.next") <= F.col("last"), F.col("_t.next")).alias("s")).where("f <= last")
+    near = seen.select(*keys, "first", "last", F.col("_t.first").alias("_f"), F.when(F.col("_t.next") <= F.col("last"), F.col("_t.next")).alias("_s")).where("_f <= last")
     # Whether the first one is the nearer, if both are free.
-    prefers = F.col("s").isNull() | (F.abs(F.col("f") - F.col("first")) <= F.abs(F.col("s") - F.col("first")))
+    prefers = F.col("_s").isNull() | (F.abs(F.col("_f") - F.col("first")) <= F.abs(F.col("_s") - F.col("first")))
     near = staged(near.withColumn("_own", prefers), "nearest")
-    ordered = staged(running(near, keys, ["first"], part("first"), maxima={"_b": F.struct("first", "f", "s", "_own", "last")}, before=True), "neighbours")
+    ordered = staged(running(near, keys, ["first"], part("first"), maxima={"_b": F.struct("first", "_f", "_s", "_own", "last")}, before=True), "neighbours")
     b = F.col("_b")
-    depends = (b["s"] == F.col("f")) & b["_own"]
-    sure = F.when(b["f"] == F.col("f"), True).when(depends, F.lit(None).cast("boolean")).otherwise(F.coalesce(b["s"] == F.col("f"), F.lit(False)))
+    depends = (b["_s"] == F.col("_f")) & b["_own"]
+    sure = F.when(b["_f"] == F.col("_f"), True).when(depends, F.lit(None).cast("boolean")).otherwise(F.coalesce(b["_s"] == F.col("_f"), F.lit(False)))
     told = ordered.withColumn("_sure", sure).withColumn("_at", F.when(F.col("_sure").isNotNull(), F.struct("first", F.col("_sure").alias("taken"))))
     settled = running(told, keys, ["first"], part("first"), maxima={"_last": F.col("_at")})
-    choice = F.when(F.col("_own") & ~F.col("_last.taken"), F.col("f")).otherwise(F.col("s"))
+    choice = F.when(F.col("_own") & ~F.col("_last.taken"), F.col("_f")).otherwise(F.col("_s"))
     return settled.select(*keys, F.col("first").alias("alarm_first"), choice.alias("truth_first")).where("truth_first is not null")

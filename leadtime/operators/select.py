@@ -26,12 +26,12 @@ def feature_filter(df: DataFrame, names: list[str], limit: float = 0.95, min_var
     return kept
 
 
-def standard_scale(df: DataFrame, names: list[str], training: Column, digits: int = 6) -> DataFrame:
+def standard_scale(df: DataFrame, names: list[str], training: Column) -> DataFrame:
     """Each column less its mean over its population deviation, both from the training rows; deviation 0 counts as 1."""
     fitted = df.where(training).agg(*[x for c in names for x in (F.avg(c).alias(f"_m_{c}"), F.stddev_pop(c).alias(f"_s_{c}"))])
     both = df.join(F.broadcast(fitted))  # one row
     deviation = {c: F.when(F.col(f"_s_{c}") == 0, 1.0).otherwise(F.col(f"_s_{c}")) for c in names}
-    return both.select(*[c for c in df.columns if c not in names], *[F.round((F.col(c) - F.col(f"_m_{c}")) / deviation[c], digits).alias(c) for c in names])
+    return both.select(*[c for c in df.columns if c not in names], *[((F.col(c) - F.col(f"_m_{c}")) / deviation[c]).alias(c) for c in names])
 
 
 def histogram(df: DataFrame, by: list[str], value: str, low: float, high: float, bins: int) -> DataFrame:
@@ -41,7 +41,7 @@ def histogram(df: DataFrame, by: list[str], value: str, low: float, high: float,
     counted = df.where(F.col(value).between(low, high)).groupBy(*by, at.alias("bin")).agg(F.count("*").alias("n"))
     all_bins = df.select(*by).distinct().select(*by, F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     n = F.coalesce("n", F.lit(0))
-    return all_bins.join(counted, [*by, "bin"], "left").select(*by, "bin", F.round(low + (F.col("bin") + 0.5) * width, 6).alias("center"), n.alias("n"), F.round(F.when(n > 0, F.log10(n)), 6).alias("log10_n"))
+    return all_bins.join(counted, [*by, "bin"], "left").select(*by, "bin", (low + (F.col("bin") + 0.5) * width).alias("center"), n.alias("n"), F.when(n > 0, F.log10(n)).alias("log10_n"))
 
 
 def labelled_histogram(df: DataFrame, by: list[str], value: str, edges: list[float]) -> DataFrame:
@@ -56,12 +56,6 @@ def labelled_histogram(df: DataFrame, by: list[str], value: str, edges: list[flo
     return known.join(counted, [*by, "label"], "left").select(*by, "label", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def quantiles(df: DataFrame, by: list[str], value: str, n: int, digits: int = 4) -> DataFrame:
-    """by, place, quantile: n exact quantiles from 0 to 1, interpolated."""
-    grid = F.array(*[F.lit(i / (n - 1)) for i in range(n)])
-    return df.groupBy(*by).agg(F.percentile(value, grid).alias("q")).select(*by, F.posexplode("q").alias("place", "q")).select(*by, "place", F.round("q", digits).alias("quantile"))
-
-
 def rank_configurations(scores: DataFrame, by: list[str], *tie: str) -> DataFrame:
     """Adds ``rank``: highest CSI, then lowest FAR, then Bias nearest 1; nulls last."""
     order = [F.col("csi").desc_nulls_last(), F.col("far").asc_nulls_last(), F.abs(F.col("bias") - 1).asc_nulls_last(), *tie]

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import clean, physics, times
-from ..operators import align, blocks, events, islands, spine, validate
+from ..operators import align, blocks, events, islands, order, spine, validate
 from ..operators import windows as w
+from ..operators.running import running
+from ..sources.staging import staged
 from . import standins as s
 
 ALIASES = {"speed": ["l_extendedprice", "price"], "density": ["quantity"], "day": ["l_shipdate"]}
@@ -52,7 +54,7 @@ def clean_features(spark, sf_dir):
 
 
 def feature_missing_report(spark, sf_dir):
-    return clean.missing_report(cells(spark, sf_dir), ["bal", "nat"])
+    return clean.missing_report(cells(spark, sf_dir), ["bal", "nat"]).withColumn("percent", F.round("percent", 6))
 
 
 def missing_summary(spark, sf_dir):
@@ -208,9 +210,10 @@ def segmented(spark, sf_dir) -> DataFrame:
     ev = s.table(spark, sf_dir, "events")
     start = F.lit(s.START).cast("timestamp_ntz")
     obs = ev.where((F.col("ts") >= start) & (F.col("ts") < F.lit(s.END).cast("timestamp_ntz"))).select(F.col("event_type").alias("series"), (times.micros(F.col("ts")) - times.micros(start)).alias("us")).distinct()
-    step = F.col("us") - F.lag("us").over(Window.partitionBy("series").orderBy("us"))
-    q = obs.withColumn("step", step).groupBy("series").agg(F.percentile("step", F.array(F.lit(0.5), F.lit(0.9))).alias("q"))
-    limit = q.select("series", F.greatest(F.element_at("q", 1) * 1.5, F.element_at("q", 2) * 1.05).alias("reach"))
+    obs = staged(obs, "observations")
+    before = running(obs, ["series"], ["us"], F.floor(F.col("us") / 86_400_000_000), maxima={"before": F.col("us")}, before=True)
+    q = order.quantiles(before.withColumn("step", F.col("us") - F.col("before")), ["series"], "step", [0.5, 0.9])
+    limit = staged(q.groupBy("series").agg(F.max(F.col("quantile") * F.when(F.col("place") == 0, 1.5).otherwise(1.05)).alias("reach")), "reach")
     return islands.gap_segments(obs.join(limit, "series"), ["series"], "us", F.col("reach"), chunk=86_400_000_000)
 
 
@@ -227,7 +230,9 @@ def asof_nearest_segmented(spark, sf_dir):
 
 
 def asof_report(spark, sf_dir):
-    return nearest(spark, sf_dir).groupBy("series").agg(F.countDistinct("segment").alias("n_segments"), F.count("*").alias("n_mapped"), F.max("offset").alias("max_offset"), F.round(F.median("offset"), 3).alias("median_offset"))
+    found = staged(nearest(spark, sf_dir), "nearest")
+    counts = found.groupBy("series").agg(F.countDistinct("segment").alias("n_segments"), F.count("*").alias("n_mapped"), F.max("offset").alias("max_offset"))
+    return counts.join(order.median(found, ["series"], "offset", "median_offset"), "series").withColumn("median_offset", F.round("median_offset", 3))
 
 
 # events and blocks

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import physics
-from ..operators import blocks, events, model, select, spine, verify
+from ..operators import blocks, events, model, order, select, spine, verify
 from . import series
 from . import standins as s
 
@@ -96,11 +96,12 @@ def cutoff_far_cap(spark, sf_dir):
 
 
 def exact_quantiles(spark, sf_dir):
-    return select.quantiles(s.table(spark, sf_dir, "orders"), ["o_orderpriority"], "o_totalprice", 31)
+    found = order.quantiles(s.table(spark, sf_dir, "orders"), ["o_orderpriority"], "o_totalprice", [i / 30 for i in range(31)])
+    return rounded(found, 4)
 
 
 def histogram(spark, sf_dir):
-    return select.histogram(s.hourly(spark, sf_dir), ["series"], "x", -250.0, 250.0, 100)
+    return rounded(select.histogram(s.hourly(spark, sf_dir), ["series"], "x", -250.0, 250.0, 100), 6)
 
 
 def histogram_abs(spark, sf_dir):
@@ -127,7 +128,7 @@ def feature_roles(spark, sf_dir):
 
 
 def standard_scale(spark, sf_dir):
-    return select.standard_scale(s.daily(spark, sf_dir).select("k", *FEATURES), FEATURES, F.col("k") < 1750)
+    return rounded(select.standard_scale(s.daily(spark, sf_dir).select("k", *FEATURES), FEATURES, F.col("k") < 1750), 6)
 
 
 def class_weights(spark, sf_dir):
@@ -208,7 +209,9 @@ def warning_lead_time(spark, sf_dir):
 
 def warning_summary(spark, sf_dir):
     known = spark.createDataFrame([(t,) for t in (*s.THRESHOLDS, 1000)], "threshold int")
-    g = warning_lead_time(spark, sf_dir).groupBy("threshold").agg(F.count("*").alias("eligible"), F.count_if("detected").alias("detected"), F.round(F.median("lead"), 6).alias("median_lead"))
+    leads = warning_lead_time(spark, sf_dir)
+    g = leads.groupBy("threshold").agg(F.count("*").alias("eligible"), F.count_if("detected").alias("detected"))
+    g = g.join(rounded(order.median(leads, ["threshold"], "lead", "median_lead"), 6), "threshold", "left")
     eps = alarm_episodes(spark, sf_dir).groupBy("threshold").agg(F.count("*").alias("episodes"), F.count_if("false_alarm").alias("false_episodes"))
     out = known.join(g, "threshold", "left").join(eps, "threshold", "left").na.fill(0, ["eligible", "detected", "episodes", "false_episodes"])
     return out.select("*", F.round(F.try_divide("detected", "eligible"), 9).alias("pod"), F.round(F.try_divide("false_episodes", "episodes"), 9).alias("false_ratio"))
