@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +36,10 @@ def nearest_in_segments(obs: DataFrame, keys: list[str], time: str, segment: str
 FAN, LEVELS = 16, 14
 
 
+def at_level(level: Column, cell: Column) -> Column:
+    return F.struct(level.alias("level"), cell.alias("cell"))
+
+
 def cover(start: Column, end: Column, bucket: int) -> Column:
     """Cells (level, cell) that cover the buckets of a half-open interval: at each level those at both ends that don't fill a cell of the next.
 
@@ -50,7 +56,7 @@ def cover(start: Column, end: Column, bucket: int) -> Column:
         cells = F.when(~apart, F.when(a <= b, F.sequence(a, b)).otherwise(none)).otherwise(
             F.concat(F.when(a <= left, F.sequence(a, left)).otherwise(none), F.when(right <= b, F.sequence(right, b)).otherwise(none))
         )
-        levels.append(F.transform(cells, lambda c, k=k: F.struct(F.lit(k).alias("level"), c.alias("cell"))))
+        levels.append(F.transform(cells, partial(at_level, F.lit(k))))
     return F.concat(*levels)
 
 
@@ -60,11 +66,11 @@ def steps_in_intervals(rows: DataFrame, step: str, intervals: DataFrame, start:
     Intervals are covered by cells of a hierarchy (see :func:`cover`) over buckets of ``bucket`` steps, so a long one has few rows. A
     step asks for its cell at each level that occurs, an equi-join followed by the exact test.
     """
-    cells = intervals.where(F.col(start) < F.col(end)).select("*", F.explode(cover(F.col(start), F.col(end), bucket)).alias("_at"))
-    spread = staged(cells.select(*intervals.columns, "_at.level", "_at.cell").withColumnsRenamed({"level": "_level", "cell": "_cell"}), "cells")
+    cells = intervals.where(F.col(start) < F.col(end)).select("*", F.explode(cover(F.col(start), F.col(end), bucket)).alias("_in_cell"))
+    spread = staged(cells.select(*intervals.columns, "_in_cell.level", "_in_cell.cell").withColumnsRenamed({"level": "_level", "cell": "_cell"}), "cells")
     found = sorted(r["_level"] for r in spread.select("_level").distinct().collect())  # LEVELS at most
     own = F.array(*[F.struct(F.lit(k).alias("_level"), F.floor(F.col(step) / (bucket * FAN**k)).alias("_cell")) for k in found]) if found else F.array().cast("array<struct<_level:int,_cell:bigint>>")
-    placed = rows.select("*", F.explode(own).alias("_at")).select(*rows.columns, "_at.*")
+    placed = rows.select("*", F.explode(own).alias("_in_cell")).select(*rows.columns, "_in_cell.*")
     return placed.join(spread, [*(keys or []), "_level", "_cell"]).where((F.col(step) >= F.col(start)) & (F.col(step) < F.col(end))).drop("_level", "_cell")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import times
+from ..sources.staging import staged
 from .align import steps_in_intervals
 from .islands import islands
 from .order import median
@@ -115,6 +116,29 @@ def event_warnings(rows: DataFrame, step: str, alarms: DataFrame, onsets: DataFr
     return lead_times(onsets, inside, keys, step, "onset", horizon)
 
 
+def event_ids(rows: DataFrame, step: str, events: DataFrame, bucket: int, keys: list[str]) -> DataFrame:
+    """keys, step, event_id: a row for each step and each event of the same keys whose window holds it."""
+    return steps_in_intervals(rows.select(*keys, step).distinct(), step, events.select(*keys, "event_id", "start", "end"), "start", "end", bucket, keys).select(*keys, step, "event_id")
+
+
+def prediction_table(scores: DataFrame, step: str, points: DataFrame, keys: list[str], by: list[str], events: DataFrame, bucket: int, stride: int = 1) -> DataFrame:
+    """Each score (keys, by, step, y, p) with the cutoff of its forecast, ``raw`` and ``processed`` decisions, and the ``event_ids`` of its step.
+
+    ``points`` has the cutoff and alarm setting of each forecast. Samples are ``stride`` steps apart, so settings count samples. The
+    ids are one text, in order, comma-joined, empty without events.
+    """
+    rows = staged(scores, "scores")
+    each = list(dict.fromkeys([*keys, *by]))
+    places = rows.withColumn("_at", F.floor(F.col(step) / stride))
+    alarms = decided_alarms(places.select(*each, "_at", "p"), "_at", points, keys, by)
+    inside = steps_in_intervals(places.select(*each, "_at"), "_at", alarms.withColumn("_end", F.col("last") + 1).select(*each, "first", "_end"), "first", "_end", bucket, each)
+    hit = inside.select(*each, "_at").distinct().withColumn("processed", F.lit(1))
+    ids = event_ids(rows, step, events, bucket, keys).groupBy(*keys, step).agg(F.array_join(F.array_sort(F.collect_set("event_id")).cast("array<string>"), ",").alias("event_ids"))
+    out = places.join(points.select(*by, "cutoff"), by).join(hit, [*each, "_at"], "left").join(ids, [*keys, step], "left")
+    decided = (F.col("p") >= F.col("cutoff")).cast("int").alias("raw")
+    return out.select(*each, step, "y", "p", "cutoff", decided, F.coalesce("processed", F.lit(0)).alias("processed"), F.coalesce("event_ids", F.lit("")).alias("event_ids"))
+
+
 def alarm_episodes(rows: DataFrame, step: str, alarms: DataFrame, keys: list[str]) -> DataFrame:
     """Each alarm with its length, its target steps, whether it has any (``matched``), and ``false_alarm``."""
     inside = alarms.select(*keys, "first", "last", F.explode(F.sequence("first", "last")).alias(step)).join(rows.select(*keys, step, "y"), [*keys, step], "left")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import physics
 from ..operators import blocks, events, model, order, select, spine, verify
+from ..sources.staging import staged
 from . import series
 from . import standins as s
 
@@ -295,8 +296,13 @@ def test_predictions(spark, sf_dir):
 MODEL_FEATURES = ["f_last", "f_mean", "f_max", "f_delta"]
 
 
+#: Every so many-th hour of a series is a sample.
+STRIDE = 2
+
+
 def model_rows(spark, sf_dir) -> DataFrame:
-    """Labels of the next hours with features that end two hours before, in blocks of three days."""
+    """Samples with features that end two hours before, in blocks of three days: every second hour of a series, then those with all labels and features."""
+    from ..operators.islands import sample_index
     from ..operators.windows import chunked, full
 
     def make(w):
@@ -305,12 +311,17 @@ def model_rows(spark, sf_dir) -> DataFrame:
         return stats | {"f_last": F.lag(x, 2).over(w), "f_delta": F.lag("x", 2).over(w) - F.lag("x", 3).over(w)}
 
     feats = chunked(s.hourly(spark, sf_dir), ["series"], "h", 4, 0, make).select("series", "h", *MODEL_FEATURES)
-    return d5(spark, sf_dir).drop("p").join(feats, ["series", "h"]).withColumn("block", F.floor(F.col("h") / 72).cast("int")).na.drop()
+    labels = [f"y_{t}" for t in s.THRESHOLDS], [f"y_onset_{t}" for t in s.THRESHOLDS]
+    wide = s.labelled(spark, sf_dir).select("series", "h", *labels[0]).join(series.onset_labels(spark, sf_dir).select("series", "h", *labels[1]), ["series", "h"]).join(feats, ["series", "h"])
+    needed = F.forall(F.array(*[F.col(c).cast("double") for c in (*labels[0], *labels[1], *MODEL_FEATURES)]), lambda v: v.isNotNull())
+    chosen = sample_index(wide, ["series"], "h", STRIDE, needed)
+    each = F.explode(F.array(*[F.struct(F.lit(t).alias("threshold"), F.col(f"y_{t}").alias("y")) for t in s.THRESHOLDS])).alias("l")
+    return chosen.select("series", "h", *MODEL_FEATURES, each).select("series", "h", "l.*", *MODEL_FEATURES, F.floor(F.col("h") / 72).cast("int").alias("block"))
 
 
 def model_parts(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Rows of the folds with their roles, and rows of the test, the last two blocks."""
-    rows = model_rows(spark, sf_dir)
+    rows = staged(model_rows(spark, sf_dir), "samples")
     last = s.HOURS // 72 - 2
     known = spark.range(last).select(F.col("id").cast("int").alias("block"), F.col("id").alias("start"))
     return model.fold_rows(rows, blocks.forward_folds(known, 3, 0.4), "block"), rows.where(F.col("block") >= last)
@@ -318,14 +329,25 @@ def model_parts(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 
 def fold_scores(spark, sf_dir):
     ready, _ = model_parts(spark, sf_dir)
-    found = model.validation_scores(ready, model.fit_folds(ready, MODEL_FEATURES), ["series", "h"])
+    found = model.validation_scores(ready, model.fit_folds(ready, MODEL_FEATURES, one_class=True), ["series", "h"])
     return found.select("series", "h", "fold", "threshold", "y", F.round("p", 6).alias("p"))
 
 
+def mean_test_scores(spark, sf_dir) -> DataFrame:
+    ready, test = model_parts(spark, sf_dir)
+    return model.mean_scores(test, model.fit_folds(ready, MODEL_FEATURES, one_class=True), ["series", "h"])
+
+
 def test_ensemble(spark, sf_dir):
     """The test rows with the mean probability of all folds' models."""
-    ready, test = model_parts(spark, sf_dir)
-    return rounded(model.mean_scores(test, model.fit_folds(ready, MODEL_FEATURES), ["series", "h"]), 6)
+    return rounded(mean_test_scores(spark, sf_dir), 6)
+
+
+def model_test_predictions(spark, sf_dir):
+    """The test rows of the models with the decisions at each threshold's cutoff and setting, and the events whose windows hold them."""
+    shocks = s.shocks(spark, sf_dir).select("series", "event_id", "peak", "start", "end")
+    made = events.prediction_table(mean_test_scores(spark, sf_dir), "h", points(spark), ["series"], BY, shocks, 48, STRIDE)
+    return rounded(made, 6)
 
 
 def oof_predictions(spark, sf_dir):
@@ -338,7 +360,7 @@ QUERIES = {
         decision_cut, calibrated_probability, temperature_fit, probability_series, skill_scores, roc_auc, pr_auc, roc_curve, pr_curve, cutoff_sweep, cutoff_csi, cutoff_bias_one,
         cutoff_far_cap, exact_quantiles, histogram, histogram_abs, corr_matrix, feature_filter, feature_roles, standard_scale, class_weights, forecast_loss, monotonicity_penalty, forecast_objective,
         ensemble_mean, weighted_score, alarm_segments, alarm_postprocess, alarm_episodes, event_match, warning_lead_time, warning_summary, event_warnings, event_evaluation, config_comparison, config_ranking,
-        window_selection, best_epoch, event_operating_point, test_metrics, test_predictions, fold_scores, oof_predictions, test_ensemble,
+        window_selection, best_epoch, event_operating_point, test_metrics, test_predictions, fold_scores, oof_predictions, test_ensemble, model_test_predictions,
     )
 }
 

@@ -170,7 +170,7 @@ def test_models_of_folds_on_new_rows(spark):
     folds = spark.createDataFrame([(1, 0, "train"), (1, 1, "validation"), (2, 0, "train"), (2, 1, "train"), (2, 2, "validation")], "fold int, block int, role string")
     ready = model.fold_rows(df, folds, "block")
     models = model.fit_folds(ready, ["f", "copy", "flat"])
-    assert [m.model.stages[0].getInputCols() for m in models] == [["f"], ["f"]]
+    assert [m.model.features for m in models] == [["f"], ["f"]]
     test = df.where("block = 3")
     single = [{r.h: r.p for r in model.score(test, m, ["h"]).collect()} for m in models]
     mean = {r.h: (r.p, r.n_folds) for r in model.mean_scores(test, models, ["block", "h"]).collect()}
