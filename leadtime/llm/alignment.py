@@ -26,6 +26,8 @@ MARK = "▁"
 CACHED_SEGMENTS = 1 << 17
 #: Texts are aligned in pieces of about so many bytes; one longer text is a piece of its own.
 PIECE_BYTES = 1 << 20
+#: Row groups of staged texts, which the tasks that write them hold.
+BLOCK_BYTES = 16 << 20
 #: So many segments are encoded at a time.
 SLICE = 1 << 12
 #: Each task has the counts of at most so many pairs, and passes on its own when there are more.
@@ -220,6 +222,8 @@ def aligned_texts(docs: DataFrame, a_path: str | None, b_path: str | None, key:
             groups = [bytes(text[a : max(a, b - 1)]) for a, b in zip(bounds, bounds[1:])]
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(per_text[3])].astype(np.int32)), pa.array(links))
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *[pa.array(x.astype(np.int64)) for x in per_text], pa.array(groups, pa.string()), lists], names=names)
+            del rows, of, which, links, written, text, groups, lists
+            pa.default_memory_pool().release_unused()
 
     base = docs.select(F.col(key).alias("_key"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kinds = [base.schema[c].dataType.simpleString() for c in ("_key", "id")]
@@ -258,7 +262,7 @@ def align(docs: DataFrame, a_path: str | None = None, b_path: str | None = None,
     """
     docs, key = row_keys(docs, id_col)
     spark = docs.sparkSession
-    aligned = stage(aligned_texts(docs, a_path, b_path, key, id_col, text_col), "aligned")
+    aligned = stage(aligned_texts(docs, a_path, b_path, key, id_col, text_col), "aligned", BLOCK_BYTES)
     size = len(Tokenizers(read_files(a_path, b_path)).b_bytes)
     counts = stage(link_counts(aligned).withColumn("b_id", (F.col("link") % size).cast("int")), "pairs")
     # As many rows as there are powers of two; then the pairs from such a power on, as many as are allowed; then one row per id of B.

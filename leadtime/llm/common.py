@@ -18,8 +18,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
+def stage(df: DataFrame, name: str, block_bytes: int | None = None) -> DataFrame:
+    """Write ``df`` as Parquet (with row groups of about ``block_bytes``) in the shared folder and read it back.
 
     This cuts lineage the way ``checkpoint()`` does, keeps column pruning, and tells the planner the true
     size. A lost executor costs nothing, as no part of the table lives on one. The files go when the
@@ -27,7 +27,8 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = shared_folder(spark, f"stage-{name}")
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.option("parquet.block.size", block_bytes) if block_bytes else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
