@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import clean
+from ..functions import clean, times
 from ..sources import files
-from ..sources.staging import shared_folder
+from ..sources.staging import delete, shared_folder
 from ..streaming import resample as streams
 from . import standins as s
 
@@ -107,11 +107,14 @@ def src_report(spark, sf_dir):
     return a.intersect(spark.read.schema(table.schema).json(f"{folder}/json"))
 
 
-def landed(spark, sf_dir, folder: str) -> DataFrame:
-    """The events as files that land one after the other, and a stream over them."""
+def landed(spark, sf_dir, folder: str, files: int = 4) -> DataFrame:
+    """The events as files that land one after the other, in the order of their times, and a stream over them, a file at a time."""
     ev = s.table(spark, sf_dir, "events").select("event_id", "ts", "event_type", "value", F.concat(F.lit("f"), (F.col("event_id") % 5).cast("string")).alias("source_file"))
-    ev.repartitionByRange(4, "ts").write.parquet(f"{folder}/in")
-    return spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+    first, last = F.lit(s.START).cast("timestamp_ntz"), F.lit(s.END).cast("timestamp_ntz")
+    part = F.greatest(F.lit(0), F.least(F.floor(F.timestamp_diff("HOUR", first, F.col("ts")) * files / F.timestamp_diff("HOUR", first, last)), F.lit(files - 1)))
+    for k in range(files):
+        ev.where(part == k).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    return spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
 
 
 def newest(spark, folder: str) -> DataFrame:
@@ -122,10 +125,9 @@ def newest(spark, folder: str) -> DataFrame:
 
 def stream_resample(spark, sf_dir):
     folder = shared_folder(spark, "stream")
-    result = streams.stream_resample(landed(spark, sf_dir, folder), "event_type", "ts", "value", "event_id")
-    streams.drain(result, folder, "complete")
-    hour = F.timestamp_diff("HOUR", F.lit(s.START).cast("timestamp"), F.col("start"))
-    return newest(spark, folder).select(F.col("event_type").alias("series"), hour.alias("h"), "value")
+    streams.drain(streams.stream_resample(landed(spark, sf_dir, folder), "event_type", "ts", "value", "event_id"), folder, "append")
+    hour = F.floor((times.micros(F.col("start")) - times.micros(F.lit(s.START).cast("timestamp_ntz"))) / 3_600_000_000)
+    return streams.resampled(spark, folder, "event_type", "value").select(F.col("event_type").alias("series"), hour.alias("h"), "value")
 
 
 def stream_file_audit(spark, sf_dir):
@@ -134,9 +136,28 @@ def stream_file_audit(spark, sf_dir):
     return newest(spark, folder)
 
 
+def product_by_day(spark, sf_dir):
+    """A table of days made from files of days, then again after one day's files have changed and another's are gone: only these are rebuilt."""
+    folder = shared_folder(spark, "days")
+    ev = s.table(spark, sf_dir, "events").select(F.date_format("ts", "yyyyMMdd").alias("day"), "event_id", "value")
+    ev.write.partitionBy("day").parquet(f"{folder}/in")
+
+    def build(paths: list[str]) -> DataFrame:
+        return spark.read.option("basePath", f"{folder}/in").schema("event_id bigint, value double, day string").parquet(*paths).groupBy("day").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+    first = files.rebuild_by_day(spark, f"{folder}/in", f"{folder}/out", build, r"day=(\d{8})")
+    days = ev.select("day").distinct().orderBy("day").limit(2)
+    changed, gone = (r["day"] for r in days.collect())
+    ev.where(F.col("day") == changed).select("event_id", (F.col("value") * 2).alias("value")).write.mode("overwrite").parquet(f"{folder}/in/day={changed}")
+    delete(spark, f"{folder}/in/day={gone}")
+    second = files.rebuild_by_day(spark, f"{folder}/in", f"{folder}/out", build, r"day=(\d{8})")
+    table = spark.read.schema("n bigint, total double, day string").parquet(f"{folder}/out")
+    return table.select("day", "n", F.round("total", 4).alias("total"), F.col("day").isin(second).alias("rebuilt"), F.lit(len(first)).cast("bigint").alias("n_first"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (src_discover, src_samples_text, src_samples_csv, src_ascii_header, src_preamble_delim, src_product_keep_last, product_reuse, src_report, stream_resample, stream_file_audit)
+    for f in (src_discover, src_samples_text, src_samples_csv, src_ascii_header, src_preamble_delim, src_product_keep_last, product_reuse, product_by_day, src_report, stream_resample, stream_file_audit)
 }
 
 _NINE = r"regexp_full_match(CAST(value AS VARCHAR), '[+-]?9+(\.9+)?(e[+-]?\d+)?') AND len(regexp_replace(CAST(value AS VARCHAR), '[^9]', '', 'g')) >= 3"
@@ -152,6 +173,8 @@ ORACLE = {
     "src_product_keep_last": """WITH b AS (SELECT o_custkey, o_orderkey AS line_no, o_totalprice, 'f1.txt' AS source_file FROM orders UNION ALL SELECT o_custkey, o_orderkey, o_totalprice, 'f2.txt' FROM orders WHERE o_orderkey % 3 = 0)
 SELECT *, count(*) OVER (PARTITION BY o_custkey) AS n_rows FROM b QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY source_file DESC, line_no DESC) = 1""",
     "product_reuse": "SELECT count(*) AS n_rows, count(*) FILTER (o_orderkey % 2 = 0) AS n_half, count(*) FILTER (o_orderkey % 2 = 0) AS n_again FROM orders",
+    "product_by_day": """WITH e AS (SELECT strftime(ts, '%Y%m%d') AS day, value FROM events), d AS (SELECT day, row_number() OVER (ORDER BY day) AS k, count(*) OVER () AS n_first FROM (SELECT DISTINCT day FROM e))
+SELECT day, count(*) AS n, round(sum(value) * CASE WHEN k = 1 THEN 2 ELSE 1 END, 4) AS total, k = 1 AS rebuilt, n_first FROM e JOIN d USING (day) WHERE k <> 2 GROUP BY day, k, n_first""",
     "src_report": "SELECT c_custkey, c_name, c_nationkey FROM customer",
     "stream_resample": f"""SELECT event_type AS series, CAST(date_diff('hour', TIMESTAMP '{s.START}', date_trunc('hour', ts)) AS BIGINT) AS h, value FROM events
 QUALIFY row_number() OVER (PARTITION BY event_type, date_trunc('hour', ts) ORDER BY abs(value) DESC, event_id) = 1""",

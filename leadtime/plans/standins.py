@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import times
 from ..operators import spine
 from ..operators.windows import chunked, exceedance, full, future_peak
 
@@ -23,7 +24,7 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events")
     first, last = (F.lit(x).cast("timestamp_ntz") for x in (START, END))
     inside = ev.where((F.col("ts") >= first) & (F.col("ts") < last))
-    return inside.select(F.col("event_type").alias("series"), F.timestamp_diff("HOUR", first, F.col("ts")).alias("h"), "value", "event_id")
+    return inside.select(F.col("event_type").alias("series"), F.floor((times.micros(F.col("ts")) - times.micros(first)) / 3_600_000_000).alias("h"), "value", "event_id")
 
 
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import clean, times
+from .staging import delete, exists, replace, staged
 
 # File suffixes, the seven sample columns, sentinels and the range of samples.
 SUFFIXES = "*.{[tT][xX][tT],[dD][aA][tT],[cC][sS][vV]}"
@@ -156,17 +159,44 @@ def keep_last_file(df: DataFrame, keys: list[str]) -> DataFrame:
 def write_if_incomplete(df: DataFrame, path: str, required: list[str], expected_rows: int | None = None) -> DataFrame:
     """The table at ``path`` if it has the columns (and rows), else written from ``df``. The row count comes from file footers."""
     spark = df.sparkSession
-    try:
+    if exists(spark, path):
         there = spark.read.parquet(path)
         if set(required) <= set(there.columns) and (expected_rows is None or there.count() == expected_rows):
             return there
-    except Exception as e:  # only a table that isn't there yet
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-    df.write.mode("overwrite").parquet(path)
+    replace(df, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+MANIFEST = "path string, length bigint, modified timestamp, day string"
+
+
+def rebuild_by_day(spark: SparkSession, source: str, product: str, build: Callable[[list[str]], DataFrame], day_pattern: str) -> list[str]:
+    """Brings a table of days at ``product`` up to date with the files below ``source``; the days that were rebuilt or taken out.
+
+    The first group of ``day_pattern`` in a file's path is its day; files without one are left out. A manifest beside the
+    table has the path, length and time of each file that went into it. Days with a file that is new, changed or gone are touched: ``build``
+    makes the rows of their files (with a column ``day``), which replace the partitions of these days and no others. The manifest
+    follows last, so a run that breaks off is made good by the next one.
+    """
+    manifest = f"{product.rstrip('/')}.manifest"
+    day = F.regexp_extract("path", day_pattern, 1)
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(source).select("path", "length", F.col("modificationTime").alias("modified"))
+    now = staged(listed.withColumn("day", day).where("day <> ''"), "listing")
+    known = spark.read.schema(MANIFEST).parquet(manifest) if exists(spark, manifest) else spark.createDataFrame([], MANIFEST)
+    same = ["path", "length", "modified"]
+    touched = staged(now.join(known, same, "left_anti").select("day").union(known.join(now, same, "left_anti").select("day")).distinct(), "touched")
+    days = sorted(r["day"] for r in touched.collect())  # one row per day
+    if days:
+        paths = [r["path"] for r in now.join(touched, "day", "left_semi").select("path").collect()]  # as many as are read next
+        if paths:
+            build(paths).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(product)
+        there = {r["day"] for r in now.select("day").distinct().collect()}
+        for gone in sorted(set(days) - there):
+            delete(spark, f"{product.rstrip('/')}/day={gone}")
+        replace(now, manifest)
+    return days
+
+
 def write_report(df: DataFrame, path: str, form: str = "csv") -> None:
     """A report table as CSV with header, or as JSON lines."""
     writer = df.write.mode("overwrite")

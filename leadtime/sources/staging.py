@@ -20,13 +20,32 @@ def tidied(spark: SparkSession) -> Iterator[None]:
     before = len(_made)
     yield
     for path in _made[before:-1]:
-        _delete(spark, path)
+        delete(spark, path)
     del _made[before:-1]
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def _file_system(spark: SparkSession, path: str):
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    target, files = _file_system(spark, path)
+    files.delete(target, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    target, files = _file_system(spark, path)
+    return files.exists(target)
+
+
+def replace(df: DataFrame, path: str) -> None:
+    """Writes the table beside ``path``, then puts it in its place: a write that fails leaves what was there."""
+    spark, beside = df.sparkSession, f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
+    df.write.parquet(beside)
+    delete(spark, path)
+    target, files = _file_system(spark, path)
+    files.rename(_file_system(spark, beside)[0], target)
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
