@@ -113,6 +113,14 @@ def near_duplicates(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     return pairs.join(t, "line_id").join(o, "other_id").where(near.between(0, 1)).select("line_id").distinct()
 
 
+def without_lines(parts: Column, gone: Column) -> Column:
+    """The lines but those whose numbers are in ``gone``, in time in proportion to the lines: a digit for each line says whether it goes."""
+    bounds = F.concat(F.array(F.lit(-1)), F.sort_array(gone), F.array(F.size(parts)))
+    runs = F.zip_with(F.slice(bounds, 1, F.size(gone) + 1), F.slice(bounds, 2, F.size(gone) + 1), lambda a, b: F.repeat(F.lit("0"), b - a - 1))
+    lines = F.arrays_zip(parts.alias("line"), F.split(F.array_join(runs, "1"), "").alias("goes"))
+    return F.transform(F.filter(lines, lambda x: x["goes"] == "0"), lambda x: x["line"])
+
+
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_near_chars: int = MIN_NEAR_CHARS, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: id, text (its kept lines), n_lines, n_removed, and with ``carry`` those columns as a struct ``carried``.
 
@@ -135,7 +143,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = places.join(stage(marked, "marked"), "line_id").where(F.col("near") | ~here.eqNullSafe(F.col("first"))).groupBy("id").agg(F.collect_set("line_no").alias("gone"))
     left = docs.select(F.col(key_col).alias("id"), F.col(id_col).alias("own_id"), F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1).alias("parts"), *([F.struct(*carry).alias("carried")] if carry else []))
     joined = left.alias("d").join(gone.alias("g"), F.col("d.id").eqNullSafe(F.col("g.id")), "left").select("d.own_id", *(["d.carried"] if carry else []), "parts", F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
-    kept = F.when(F.size("gone") == 0, F.col("parts")).otherwise(F.filter("parts", lambda x, i: ~F.array_contains(F.col("gone"), i)))
+    kept = F.when(F.size("gone") == 0, F.col("parts")).otherwise(without_lines(F.col("parts"), F.col("gone")))
     return joined.select(
         F.col("own_id").alias(id_col),
         F.array_join(kept, "\n").alias(text_col),
