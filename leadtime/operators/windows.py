@@ -98,3 +98,31 @@ def sequence_matrix(df: DataFrame, series: list[str], step: str, sequence: list[
     made = chunked(df, series, step, lag + length - 1, 0, make, chunk_steps)
     whole = F.col("_rows").isNotNull() & F.forall("_end", lambda v: v.isNotNull())
     return made.withColumn(name, F.when(whole, F.transform("_rows", lambda r: F.concat(r, F.col("_end"))))).drop("_rows", "_end")
+
+
+def endpoint_matrices(
+    df: DataFrame, series: list[str], step: str, endpoint: Column, sequence: list[str], context: list[str], lag: int, length: int, keep: list[str] | None = None, name: str = "matrix", chunk_steps: int = 1_000
+) -> DataFrame:
+    """series, step, ``keep`` and ``name`` of the rows with ``endpoint`` (such as samples with all labels) that have a whole matrix, as ``sequence_matrix`` gives it.
+
+    Whether the steps are all there is a difference of running counts. The values of a chunk, with a halo of ``lag`` and ``length``, are packed
+    into one array, of which each endpoint takes its slice; other rows carry no matrix.
+    """
+    back, keep = lag + length - 1, keep or []
+    size = max(chunk_steps, back, 1)
+    own = F.floor(F.col(step) / size)
+    homes = F.array_compact(F.array(own, F.when(F.pmod(F.col(step), F.lit(size)) >= size - back, own + 1)))
+    row, end = F.array(*[F.col(c).cast("double") for c in sequence]), F.array(*[F.col(c).cast("double") for c in context]).cast("array<double>")
+    there = F.forall(row, lambda v: v.isNotNull())
+    placed = df.select(*series, step, *keep, endpoint.alias("_wanted"), row.alias("_row"), end.alias("_context"), there.cast("int").alias("_ok"), own.alias("_own"), F.explode(homes).alias("_chunk"))
+    window = Window.partitionBy(*series, "_chunk").orderBy(step)
+    counted = placed.withColumn("_upto", F.sum("_ok").over(window))
+    whole = F.lag("_upto", lag).over(window) - F.coalesce(F.lag("_upto", lag + length).over(window), F.lit(0)) == length
+    seen = counted.select("*", whole.alias("_whole"), F.lag("_context", lag).over(window).alias("_end"))
+    chosen = (F.col("_own") == F.col("_chunk")) & F.col("_wanted") & F.col("_whole") & F.forall("_end", lambda v: v.isNotNull())
+    packed = seen.groupBy(*series, "_chunk").agg(
+        F.sort_array(F.collect_list(F.struct(step, "_row"))).alias("_rows"), F.min(step).alias("_first"), F.collect_list(F.when(chosen, F.struct(step, *keep, "_end"))).alias("_ends")
+    )
+    start = lambda e: (e[step] - F.lit(back) - F.col("_first") + 1).cast("int")
+    made = F.transform("_ends", lambda e: F.struct(e.alias("e"), F.transform(F.slice(F.col("_rows._row"), start(e), length), lambda r: F.concat(r, e["_end"])).alias("m")))
+    return packed.where(F.size("_ends") > 0).select(*series, F.explode(made).alias("_x")).select(*series, *[F.col(f"_x.e.{c}").alias(c) for c in (step, *keep)], F.col("_x.m").alias(name))

@@ -96,6 +96,17 @@ def sample_index(spark, sf_dir):
     return islands.sample_index(rows, ["series"], "h", 2, needed, chunk=240).select("series", "h")
 
 
+def sampled_sequences(spark, sf_dir):
+    """The values of the hours h-4 to h-2, each with the magnitude at h-2, for every second hour that has all labels of peaks and onsets."""
+    labels = [f"y_{t}" for t in s.THRESHOLDS], [f"y_onset_{t}" for t in s.THRESHOLDS]
+    rows = s.labelled(spark, sf_dir).select("series", "h", "x", F.abs("x").alias("size"), *labels[0]).join(onset_labels(spark, sf_dir), ["series", "h"])
+    needed = F.forall(F.array(*[F.col(c) for c in (*labels[0], *labels[1])]), lambda v: v.isNotNull())
+    samples = islands.sample_index(rows, ["series"], "h", 2, needed, chunk=240).select("series", "h", F.lit(True).alias("sample"))
+    marked = rows.join(samples, ["series", "h"], "left")
+    made = w.endpoint_matrices(marked, ["series"], "h", F.coalesce("sample", F.lit(False)), ["x"], ["size"], 2, 3)
+    return made.select("series", "h", F.array_join(F.transform(F.flatten("matrix"), lambda v: F.round(v).cast("bigint").cast("string")), ",").alias("matrix"))
+
+
 def missing_intervals(spark, sf_dir):
     found = islands.islands(s.hourly(spark, sf_dir), ["series"], "h", F.col("x").isNull(), chunk_steps=240)
     return found.where("n >= 2").select("series", F.col("first").alias("start_h"), F.col("last").alias("end_h"), F.col("n").alias("hours"))
@@ -134,7 +145,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         flagship, resample_argmax, reindex_spine, future_peak, exceedance_labels, onset_flags, onset_labels, lag_window_masks, config_valid_counts, rolling_stats, rolling_accumulation,
-        feature_deltas, sequence_windows, sequence_features, sample_index, missing_intervals, long_missing_intervals, longest_gap, dedup_keep_last, downsample_peaks, union_parts,
+        feature_deltas, sequence_windows, sequence_features, sample_index, sampled_sequences, missing_intervals, long_missing_intervals, longest_gap, dedup_keep_last, downsample_peaks, union_parts,
     )
 }
 
@@ -171,6 +182,10 @@ SELECT series, h, array_to_string([CAST(CAST(round(z * 100) AS BIGINT) AS VARCHA
     "sequence_features": f"""WITH {s.DAILY}, q AS (SELECT k, """ + ", ".join(f"lag({c}, {b}) OVER (ORDER BY k) AS {c}_{b}" for b in (4, 3, 2) for c in ("f_sum_qty", "resp", "f_n")) + """ FROM d2)
 SELECT k, concat_ws(',', """ + ", ".join(f"CAST(round({c}) AS BIGINT)" for b in (4, 3, 2) for c in (f"f_sum_qty_{b}", f"resp_{b}", "f_n_2")) + ") AS matrix FROM q WHERE " + " AND ".join(f"{c}_{b} IS NOT NULL" for b in (4, 3, 2) for c in ("f_sum_qty", "resp")) + """ AND f_n_2 IS NOT NULL""",
     "sample_index": f"WITH {s.HOURLY}, {s.PEAK}, m AS (SELECT series, h, x, lag(x, 2) OVER (PARTITION BY series ORDER BY h) AS c, {_MASK} FROM pk) SELECT series, h FROM m WHERE h % 2 = 0 AND mask_2_3 = 1 AND c IS NOT NULL",
+    "sampled_sequences": f"""WITH {s.HOURLY}, q AS (SELECT series, h, x, count(x) OVER f AS c, """ + ", ".join(f"lag(x, {b}) OVER o AS x_{b}" for b in (4, 3, 2)) + f""" FROM d1
+  WINDOW o AS (PARTITION BY series ORDER BY h), f AS (PARTITION BY series ORDER BY h ROWS BETWEEN 1 FOLLOWING AND {s.HORIZON} FOLLOWING))
+SELECT series, h, concat_ws(',', """ + ", ".join(f"CAST(round(x_{b}) AS BIGINT), CAST(round(abs(x_2)) AS BIGINT)" for b in (4, 3, 2)) + f""") AS matrix
+FROM q WHERE h % 2 = 0 AND x IS NOT NULL AND c = {s.HORIZON} AND x_4 IS NOT NULL AND x_3 IS NOT NULL AND x_2 IS NOT NULL""",
     "missing_intervals": f"WITH {s.HOURLY} SELECT series, a AS start_h, b AS end_h, n AS hours FROM ({_RUNS.format(k='series', o='h', t='d1', c='x IS NULL')}) WHERE n >= 2",
     "long_missing_intervals": f"""WITH {s.DAILY}, u AS (""" + " UNION ALL ".join(f"SELECT '{f}' AS feature, k, {f} IS NULL AS missing FROM d2" for f in ("f_sum_qty", "f_max_price", "f_avg_disc", "resp"))
     + f") SELECT feature, a AS start_k, b AS end_k, n AS days FROM ({_RUNS.format(k='feature', o='k', t='u', c='missing')}) WHERE n >= 2",

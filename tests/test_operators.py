@@ -195,6 +195,16 @@ def test_sequences_of_all_features_with_context(spark, chunk):
     assert [k for k, v in sorted(got.items()) if v is None] == [0, 1, 3, 6, 7]
 
 
+@pytest.mark.parametrize("chunk,lag,length", [(5, 1, 2), (7, 3, 4), (1000, 2, 3)])
+def test_matrices_at_endpoints(spark, chunk, lag, length):
+    data = [(s, k, float(k) if k % 11 else None, 10.0 * k, -k if k % 13 else None, k % 3 == 0) for s in "xy" for k in range(60)]
+    df = spark.createDataFrame(data, "s string, k bigint, a double, b double, c int, wanted boolean")
+    all_rows = w.sequence_matrix(df, ["s"], "k", ["a", "b"], ["c"], lag, length)
+    want = {(r.s, r.k): r.matrix for r in all_rows.where("wanted and matrix is not null").collect()}
+    got = {(r.s, r.k): r.matrix for r in w.endpoint_matrices(df, ["s"], "k", F.col("wanted"), ["a", "b"], ["c"], lag, length, keep=["b"], chunk_steps=chunk).collect()}
+    assert got == want and len(got) > 10
+
+
 def test_objective_by_hand(spark):
     peak = spark.createDataFrame([("a", 1, 5, 1, 0.5), ("a", 2, 5, 0, 0.5), ("a", 1, 9, 1, 0.75), ("a", 2, 9, 0, 0.25)], "s string, h int, threshold int, y int, p double")
     onset = peak.where("threshold = 5")
