@@ -7,7 +7,7 @@ segments, and a batch aligns each distinct segment once.
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 from typing import NamedTuple
 
@@ -28,8 +28,8 @@ CACHED_SEGMENTS = 1 << 17
 PIECE_BYTES = 1 << 20
 #: Row groups of staged texts, which the tasks that write them hold.
 BLOCK_BYTES = 16 << 20
-#: So many segments are encoded at a time.
-SLICE = 1 << 12
+#: So many segments are encoded as one text, and so many such texts at a time.
+JOINED, SLICE = 256, 16
 #: Each task has the counts of at most so many pairs, and passes on its own when there are more.
 TOP_PAIRS = 1 << 20
 EMPTY = np.zeros(0, np.int64)
@@ -73,6 +73,7 @@ class Tokenizers:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = pa.array([bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)], pa.large_binary())
         self.decimals = pa.array([f"{i}{mark}".encode() for i in range(max(len(self.a_bytes), len(self.b_bytes))) for mark in ",|;"], pa.large_binary())
+        self.lengths = [pc.binary_length(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in (self.a_bytes, self.b_bytes)]
         #: Whether no piece has a blank after another character, so that none reaches over the beginning of a segment.
         self.cuts = not any(x != MARK and y == MARK for p in pieces for x, y in zip(p, p[1:]))
         self.forget()
@@ -86,21 +87,47 @@ class Tokenizers:
         if len(self.known) > CACHED_SEGMENTS:
             self.forget()
         new = [s for s in dict.fromkeys(segments) if s not in self.known]
-        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
-        found: list[list[list[int]]] = [[], []]
-        for k in range(0, len(new), SLICE):
-            texts = [s.decode(errors="replace") for s in new[k : k + SLICE]]
-            found[0] += [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
-            found[1] += self.b.encode([t[1:] for t in texts], out_type=int, num_threads=1)
+        plain, odd = [s for s in new if self.cuts and joins(s)], [s for s in new if not (self.cuts and joins(s))]
+        self.known.update(zip(chain(plain, odd), range(len(self.known), len(self.known) + len(new))))
+        encoders = (lambda texts: [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]), (lambda texts: self.b.encode([t[1:] for t in texts], out_type=int, num_threads=1))
         which = np.fromiter(map(self.known.__getitem__, segments), np.int64, len(segments))
         out = []
-        for k, lists in enumerate(found):
-            self.off[k] = np.r_[self.off[k], self.off[k][-1] + np.cumsum([len(x) for x in lists], dtype=np.int64)]
-            self.values[k] = np.r_[self.values[k], np.fromiter(chain.from_iterable(lists), np.int32)]
+        for k, (encode, length) in enumerate(zip(encoders, self.lengths)):
+            runs = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)] + [[s] for s in odd]
+            values, counts = encoded(runs, encode, length)
+            self.off[k] = np.r_[self.off[k], self.off[k][-1] + np.cumsum(counts)]
+            self.values[k] = np.r_[self.values[k], values]
             out.append((self.values[k][spread(which, self.off[k])], np.r_[0, np.cumsum(np.diff(self.off[k])[which])]))
         return out
 
 
+def joins(segment: bytes) -> bool:
+    """Whether a segment may have others before and after it without a change of its tokens: visible after its blank and at its end."""
+    if len(segment) < 2:
+        return False
+    first, last = segment[1], segment[-1]
+    return (32 < first < 127 or 0xC3 <= first <= 0xDF) and (32 < last < 127 or (last >= 0x80 and 0xC3 <= segment[-2] <= 0xDF))
+
+
+def encoded(runs: list[list[bytes]], encode: Callable[[list[str]], list[list[int]]], length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all segments end to end, and how many each has. A run is encoded as one text, or segment by segment if its tokens don't end where its segments do."""
+    values, counts = [np.zeros(0, np.int32)], [EMPTY]
+    for k in range(0, len(runs), SLICE):
+        part = runs[k : k + SLICE]
+        for run, ids in zip(part, encode([b"".join(run).decode(errors="replace") for run in part])):
+            ids = np.array(ids, np.int32)
+            ends, bounds = np.cumsum(length[ids]), np.cumsum([len(s) for s in run])
+            at = np.searchsorted(ends, bounds)
+            if len(run) > 1 and not (len(ends) and ends[-1] == bounds[-1] and np.array_equal(ends[np.minimum(at, len(ends) - 1)], bounds)):
+                alone = encode([s.decode(errors="replace") for s in run])
+                values.append(np.fromiter(chain.from_iterable(alone), np.int32))
+                counts.append(np.array([len(x) for x in alone], np.int64))
+            else:
+                values.append(ids)
+                counts.append(np.diff(np.r_[-1, at]) if len(run) > 1 else np.array([len(ids)], np.int64))
+    return np.concatenate(values), np.concatenate(counts)
+
+
 def segments(raw: np.ndarray, off: np.ndarray, cuts: bool) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """The distinct segments of a blank and each text that isn't empty, which of them each segment is, and the first segment of each text.
 
