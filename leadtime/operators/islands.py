@@ -24,18 +24,20 @@ def coalesced(
     ``WIDER`` chunks at most, for each group. ``aggregates`` must be sums, minima or maxima.
     """
     limit = max_step if isinstance(max_step, Column) else F.lit(max_step)
-    parts = df.select(*keys, F.col(first).alias("first"), F.col(last).alias("last"), *aggregates, F.lit(True).alias("_edge"))
-    for size in (chunk_steps, chunk_steps * WIDER, None):
-        group = [*keys, "_home", "_done"]
-        home = F.floor(F.col("first") / size) if size else F.lit(0)
-        placed = parts.select("*", home.alias("_home"), F.when(~F.col("_edge"), F.col("first")).alias("_done"))
+
+    def merged(parts: DataFrame, size: int | None) -> DataFrame:
+        group = [*keys, "_home"]
         order = Window.partitionBy(*group).orderBy("first")
         apart = F.when(F.col("first") - F.lag("last").over(order) <= limit, 0).otherwise(1)
-        numbered = placed.select("*", apart.alias("_new")).select("*", F.sum("_new").over(order).alias("_run"))
-        merged = numbered.groupBy(*group, "_run").agg(F.min("first").alias("first"), F.max("last").alias("last"), *[f(F.col(name)).alias(name) for name, f in aggregates.items()])
-        outer = (F.col("_run") == 1) | (F.col("_run") == F.max("_run").over(Window.partitionBy(*group)))
-        parts = merged.select(*keys, "first", "last", *aggregates, (F.col("_done").isNull() & outer).alias("_edge"))
-    return parts.drop("_edge")
+        placed = parts.withColumn("_home", F.floor(F.col("first") / size) if size else F.lit(0))
+        numbered = placed.select("*", apart.alias("_new"), F.lead("first").over(order).isNull().alias("_tail")).select("*", F.sum("_new").over(order).alias("_run"))
+        runs = numbered.groupBy(*group, "_run").agg(F.min("first").alias("first"), F.max("last").alias("last"), *[f(F.col(name)).alias(name) for name, f in aggregates.items()], F.max("_tail").alias("_tail"))
+        return runs.select(*keys, "first", "last", *aggregates, ((F.col("_run") == 1) | F.col("_tail")).alias("_edge"))
+
+    near = merged(df.select(*keys, F.col(first).alias("first"), F.col(last).alias("last"), *aggregates), chunk_steps)
+    wide = merged(near.where("_edge").drop("_edge"), chunk_steps * WIDER)
+    whole = merged(wide.where("_edge").drop("_edge"), None)
+    return near.where("not _edge").unionByName(wide.where("not _edge")).unionByName(whole).drop("_edge")
 
 
 def islands(df: DataFrame, keys: list[str], step: str, flag: Column, max_step: int = 1, extra: dict[str, tuple[Column, Callable]] | None = None, chunk_steps: int = 10_000) -> DataFrame:
