@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from typing import NamedTuple
+
 from functools import reduce
 from operator import or_
 
@@ -65,14 +68,40 @@ def missing_report(df: DataFrame, names: list[str]) -> DataFrame:
     return grouped.withColumn("percent", F.try_divide(100.0 * F.col("missing"), F.col("n_rows")))
 
 
-def standard_names(columns: list[str], aliases: dict[str, list[str]], drop: tuple[str, ...] = ("cnt", "quality", "flag")) -> dict[str, str]:
+class Likeness(NamedTuple):
+    """A name is alike if it is one of ``names``, or begins and ends so and holds a part of each of ``parts``; an empty likeness is like nothing."""
+
+    names: tuple[str, ...] = ()
+    begins: str = ""
+    ends: str = ""
+    parts: tuple[tuple[str, ...], ...] = ()
+
+    def fits(self, name: str) -> bool:
+        if name in self.names:
+            return True
+        told = bool(self.begins or self.ends or self.parts)
+        return told and name.startswith(self.begins) and name.endswith(self.ends) and all(any(p in name for p in some) for some in self.parts)
+
+
+# What columns of solar-wind files are taken for when no alias names them.
+PARTICLES = ("proton", "ion", "sw")
+SOLAR_WIND = {
+    "Btot": [Likeness(("b_nt", "magnitude_nt", "bmag_nt")), Likeness(begins="btot_"), Likeness(begins="b_", ends="_nt")],
+    "Bx_gse": [Likeness(begins="bx_gse", ends="_nt")],
+    "By_gse": [Likeness(begins="by_gse", ends="_nt")],
+    "Bz_gse": [Likeness(begins="bz_gse", ends="_nt")],
+    "Vp": [Likeness(("vp",)), Likeness(begins="vp_"), Likeness(parts=(("speed", "velocity"), PARTICLES))],
+    "Np": [Likeness(("np",)), Likeness(begins="np_"), Likeness(begins="h_density_"), Likeness(parts=(("density",), PARTICLES))],
+}
+
+
+def standard_names(columns: list[str], aliases: dict[str, list[str]], drop: tuple[str, ...] = ("cnt", "quality", "flag"), like: dict[str, list[Likeness]] | None = None) -> dict[str, str]:
     """From each column that an alias list names (after lower case and runs of other characters as "_") to its standard name.
 
-    An exact alias comes first, then a column whose name has an alias as a whole word (or words, between "_"). Columns with a
-    ``drop`` part match exactly only. A standard name that is there already stays as it is, and no column gets two.
+    An exact alias comes first, then the first column that is like one of ``like`` for the standard name (such as ``SOLAR_WIND``), or
+    where it has none, whose name has an alias as a whole word (or words, between "_"). Columns with a ``drop`` part match
+    exactly only. A standard name that is there already stays as it is, and no column gets two.
     """
-    import re
-
     keys = {c: re.sub("[^a-z0-9]+", "_", c.lower()).strip("_") for c in columns}
     out: dict[str, str] = {}
     for name, known in aliases.items():
@@ -80,7 +109,9 @@ def standard_names(columns: list[str], aliases: dict[str, list[str]], drop: tupl
             continue
         open_ = {c: k for c, k in keys.items() if c not in out and c not in aliases}
         exact = [c for c, k in open_.items() if k in known]
-        loose = [c for c, k in open_.items() if not any(part in k for part in drop) and any(f"_{a}_" in f"_{k}_" for a in known)]
+        clean = {c: k for c, k in open_.items() if not any(part in k for part in drop)}
+        rules = (like or {}).get(name)
+        loose = [c for c, k in clean.items() if (any(rule.fits(k) for rule in rules) if rules else any(f"_{a}_" in f"_{k}_" for a in known))]
         if exact or loose:
             out[(exact or loose)[0]] = name
     return out

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.staging import staged
@@ -42,9 +42,12 @@ def split_blocks(blocks: DataFrame, train: float = 0.7, validation: float = 0.15
 def forward_folds(blocks: DataFrame, folds: int = 3, initial: float = 0.4, order: list[str] | None = None, keys: list[str] | None = None, chunk: int = 1_000) -> DataFrame:
     """fold, keys, block, role: expanding folds. The first blocks train only; the rest is cut into ``folds`` runs, the first ones one longer.
 
-    Fold k validates run k and trains on all before it. Fewer blocks than one more than the folds are an error.
+    Fold k validates run k and trains on all before it. Fewer blocks than one more than the folds are an error, and so is a block
+    that is there more than once, such as in two splits.
     """
     order, keys = order or ["start"], keys or []
+    twice = Window.partitionBy(*keys, "block")  # a row each
+    blocks = blocks.withColumn("_n", F.count("*").over(twice)).where(F.assert_true(F.col("_n") == 1, F.lit("a block is there twice")).isNull()).drop("_n")
     placed = running(blocks, [], order, F.floor(F.col(order[0]) / chunk), sums={"_i": F.lit(1)})
     placed = staged(placed, "blocks")
     counted = placed.crossJoin(F.broadcast(placed.agg(F.count("*").cast("int").alias("_n"))))  # one row

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import clean, physics, times
-from ..operators import align, blocks, events, islands, order, spine, validate
+from ..operators import align, blocks, events, islands, order, reports, spine, validate
 from ..operators import windows as w
 from ..operators.running import running
 from ..sources.staging import staged
@@ -58,16 +58,13 @@ def feature_missing_report(spark, sf_dir):
 
 
 def missing_summary(spark, sf_dir):
-    features = ["f_sum_qty", "f_max_price", "f_avg_disc", "resp"]
-    long = s.daily(spark, sf_dir).select("k", F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).isNull().alias("m")) for f in features])).alias("v")).select("k", "v.*")
-    return long.groupBy("feature").agg(F.count_if("m").alias("missing"), F.round(F.avg(F.col("m").cast("int")), 6).alias("ratio"), F.min(F.when(F.col("m"), F.col("k"))).alias("first_missing"))
+    found = reports.missing_counts(s.daily(spark, sf_dir), ["f_sum_qty", "f_max_price", "f_avg_disc", "resp"], "k")
+    return found.withColumn("ratio", F.round("ratio", 6))
 
 
 def missing_ratio(spark, sf_dir):
-    raw = s.samples(spark, sf_dir).groupBy("series").agg(F.count("*").alias("n_raw"), F.count_if(F.col("value").isNull()).alias("raw_missing"))
-    grid = s.hourly(spark, sf_dir).groupBy("series").agg(F.count("*").alias("n_grid"), F.count_if(F.col("x").isNull()).alias("grid_missing"))
-    both = raw.join(grid, "series")
-    return both.select("*", F.round(F.try_divide("grid_missing", "n_grid"), 6).alias("grid_ratio"))
+    found = reports.missing_ratio(s.samples(spark, sf_dir), "value", s.hourly(spark, sf_dir), "x", ["series"])
+    return found.withColumn("grid_ratio", F.round("grid_ratio", 6))
 
 
 def standardize_columns(spark, sf_dir):
@@ -197,12 +194,8 @@ def join_window_stats(spark, sf_dir):
 
 
 def resample_check(spark, sf_dir):
-    """Each hour's value made again from the samples, by a window instead of an aggregate, and compared."""
-    w = Window.partitionBy("series", "h").orderBy(F.abs("value").desc(), "event_id")
-    again = s.samples(spark, sf_dir).withColumn("r", F.row_number().over(w)).withColumn("n", F.count("*").over(Window.partitionBy("series", "h"))).where("r = 1").select("series", "h", F.col("value").alias("again"), "n")
-    both = s.hourly(spark, sf_dir).join(again, ["series", "h"], "left")
-    ok = F.coalesce(F.abs(F.col("x") - F.col("again")) <= 1e-6, F.col("x").isNull() & F.col("again").isNull())
-    return both.select("series", "h", "x", F.coalesce("n", F.lit(0)).alias("n_samples"), ok.alias("matches"))
+    """Each hour's value made again from the samples, and compared."""
+    return reports.resampling_check(s.hourly(spark, sf_dir), s.samples(spark, sf_dir), ["series", "h"], "x", "value", F.col("event_id"))
 
 
 def segmented(spark, sf_dir) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import physics
-from ..operators import blocks, events, model, order, select, spine, verify
+from ..operators import blocks, events, model, order, reports, select, spine, verify
 from ..sources.staging import staged
 from . import series
 from . import standins as s
@@ -55,7 +55,7 @@ def temperature_fit(spark, sf_dir):
 
 
 def probability_series(spark, sf_dir):
-    return d5(spark, sf_dir).groupBy("series", "h").agg(*[F.max(F.when(F.col("threshold") == t, F.col("p"))).alias(f"p_{t}") for t in s.THRESHOLDS])
+    return reports.wide_probabilities(d5(spark, sf_dir), ["series", "h"], list(s.THRESHOLDS))
 
 
 def skill_scores(spark, sf_dir):
@@ -133,8 +133,7 @@ def standard_scale(spark, sf_dir):
 
 
 def class_weights(spark, sf_dir):
-    g = d5(spark, sf_dir).groupBy(*BY).agg(F.count("*").alias("n"), F.sum("y").alias("positives"))
-    return g.withColumn("weight", F.round((F.col("n") - F.col("positives")) / F.greatest("positives", F.lit(1)), 9))
+    return rounded(reports.class_weights(d5(spark, sf_dir), BY, strict=False))
 
 
 def forecast_loss(spark, sf_dir):
@@ -161,8 +160,7 @@ def ensemble_mean(spark, sf_dir):
 
 def weighted_score(spark, sf_dir):
     weight = F.coalesce(*[F.when(F.col("threshold") == t, w) for t, w in WEIGHTS.items()])
-    g = skill_scores(spark, sf_dir).withColumn("w", F.when((weight > 0) & F.col("csi").isNotNull(), weight))
-    return g.agg(F.round(F.try_divide(F.sum(F.col("w") * F.col("csi")), F.sum("w")), 9).alias("score"), F.max("csi").alias("best_csi"))
+    return rounded(reports.weighted_score(skill_scores(spark, sf_dir), "csi", weight))
 
 
 # alarms
@@ -249,7 +247,7 @@ def config_scores(spark, sf_dir) -> DataFrame:
 def config_comparison(spark, sf_dir):
     scores = rounded(config_scores(spark, sf_dir)).select("lag", "length", "threshold", "csi", "far", "bias")
     counts = series.config_valid_counts(spark, sf_dir)
-    return scores.join(counts, ["lag", "length"], "left")
+    return reports.config_comparison(scores, counts, ["lag", "length"])
 
 
 def config_ranking(spark, sf_dir):
@@ -263,7 +261,7 @@ def window_selection(spark, sf_dir):
 def best_epoch(spark, sf_dir):
     loss = F.round(F.avg((F.col("p") - F.col("y")) * (F.col("p") - F.col("y"))), 9)
     g = d5(spark, sf_dir).groupBy("threshold", F.floor(F.col("h") / 72).alias("epoch")).agg(loss.alias("loss"))
-    return g.groupBy("threshold").agg(F.min_by("epoch", F.struct("loss", "epoch")).alias("epoch"), F.min("loss").alias("loss"))
+    return reports.best_epoch(g, BY)
 
 
 def event_operating_point(spark, sf_dir):
