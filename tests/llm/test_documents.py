@@ -58,6 +58,12 @@ def test_empty_table(spark, operator):
     assert operator(frame(spark, [])).collect() == []
 
 
+def test_no_documents_no_leaks(spark):
+    items = spark.createDataFrame([(1, " ".join(words_of(20, 9)))], "item_id bigint, text string")
+    assert contaminated(frame(spark, []), items).collect() == []
+    assert contaminated(frame(spark, [" ".join(words_of(20, 9)), None, ""]), items.where("false")).collect() == []
+
+
 def test_exact_dedup(spark, texts):
     got = {r.doc_id: r for r in exact_dedup(frame(spark, texts)).collect()}
     norm = [re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for t in texts]
