@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import clean, physics, times
-from ..operators import align, blocks, events, islands, order, reports, spine, validate
+from ..operators import align, blocks, events, islands, order, reports, validate
 from ..operators import windows as w
 from ..operators.running import running
 from ..sources.staging import staged

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import physics
-from ..operators import blocks, events, model, order, reports, select, spine, verify
+from ..operators import blocks, events, model, order, reports, select, verify
 from ..sources.staging import staged
 from . import series
 from . import standins as s
