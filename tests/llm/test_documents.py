@@ -455,4 +455,4 @@ def test_repeated_rows_and_null_ids(spark, texts):
 
 
 def test_queries_have_the_contract_columns():
-    assert set(q.ORACLE) <= set(q.QUERIES) and [k.split("_")[0] for k in q.QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert set(q.ORACLE) <= set(q.QUERIES) and [k.split("_")[0] for k in q.QUERIES] == [f"op{i}" for i in range(1, 14)]
