@@ -22,6 +22,8 @@ TOP_GRAMS = 1 << 20
 TOP_WORDS = 262_144
 #: The byte after the last word of a text, which is also the context before its first.
 END = 10
+#: Grams are made, counted and looked up for about so many bytes at a time, whatever the length of a text.
+SLICE_BYTES = 1 << 18
 
 
 def lgamma(x: Column) -> Column:
@@ -57,9 +59,9 @@ def stream(words: Words) -> tuple[np.ndarray, np.ndarray]:
     sizes[is_end] = (words.per_doc == 0).astype(np.int64)
     off = np.r_[0, np.cumsum(sizes)]
     out = np.full(off[-1], 32, np.uint8)
-    starts = off[:-1][~is_end]
-    place = np.arange(len(words.data)) - np.repeat(words.off[:-1], words.lengths) + np.repeat(starts, words.lengths)
-    out[place] = words.data
+    of_word = np.ones(len(out), bool)
+    of_word[off[1:][sizes > 0] - 1] = False
+    out[of_word] = words.data
     doc_off = np.r_[0, off[end_at + 1]]
     out[doc_off[1:] - 1] = END
     return out, doc_off
@@ -83,6 +85,15 @@ def grams(data: np.ndarray, doc_off: np.ndarray, depth: int) -> np.ndarray:
     return out
 
 
+def gram_slices(data: np.ndarray, doc_off: np.ndarray, depth: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The same in slices of SLICE_BYTES bytes, each with the place of its first."""
+    for lo in range(0, len(data), max(SLICE_BYTES, depth)):
+        hi = min(lo + max(SLICE_BYTES, depth), len(data))
+        since = max(0, lo - depth)
+        starts = doc_off[np.searchsorted(doc_off, since) : np.searchsorted(doc_off, hi)]
+        yield lo, grams(data[since:hi], np.r_[starts, hi] - since, depth)[lo - since :]
+
+
 class Tally:
     """Counts of sorted integers, merged when what is pending is about as much as what is held."""
 
@@ -161,9 +172,10 @@ def tallies(docs: DataFrame, depth: int) -> DataFrame:
             words = Words(lowered(raw), off)
             coded = words.arrow().value_counts()
             yield pa.RecordBatch.from_arrays([coded.field(0).cast(pa.binary()), pa.nulls(len(coded), pa.int64()), coded.field(1)], names=["word", "gram", "n"])
-            tally.add(grams(*stream(words), depth))
-            if len(tally.keys) > 2_000_000:  # memory stays bounded: the sums are finished by the aggregate
-                yield of_grams()
+            for _, part in gram_slices(*stream(words), depth):
+                tally.add(part)
+                if len(tally.keys) > 2_000_000:  # memory stays bounded: the sums are finished by the aggregate
+                    yield of_grams()
         yield of_grams()
 
     return docs.mapInArrow(count, "word binary, gram bigint, n bigint").groupBy("word", "gram").agg(F.sum("n").alias("n"))
@@ -349,11 +361,14 @@ def lm_scores(
         for rows, raw, off in pieces(batches, "text"):
             words = Words(lowered(raw), off)
             data, doc_off = stream(words)
-            of_byte = grams(data, doc_off, depth)
-            by_byte = table(of_byte)
-            rare_gram = np.flatnonzero(np.isnan(by_byte))
-            by_byte[rare_gram] = 0.0
-            total = sums(by_byte, doc_off)
+            total, rare_gram = np.zeros(len(doc_off) - 1), []
+            for lo, of_byte in gram_slices(data, doc_off, depth):
+                by_byte = table(of_byte)
+                rare = np.flatnonzero(np.isnan(by_byte))
+                by_byte[rare] = 0.0
+                first, last = np.searchsorted(doc_off, [lo, lo + len(of_byte) - 1], "right") - 1
+                total[first : last + 1] += np.add.reduceat(by_byte, np.maximum(doc_off[first : last + 1] - lo, 0))
+                rare_gram.append((np.searchsorted(doc_off, rare + lo, "right") - 1, of_byte[rare]))
             distinct, which = distinct_words(words)
             slot = pc.index_in(distinct, value_set=known).fill_null(-1).to_numpy()
             of_word = np.where(slot >= 0, gain[slot] if len(gain) else 0.0, 0.0) + least
@@ -376,8 +391,8 @@ def lm_scores(
             if len(rare):
                 key, times = np.unique(words.doc()[rare] * len(distinct) + which[rare], return_counts=True)
                 yield others(key // len(distinct), distinct.take(pa.array(key % len(distinct))).cast(pa.binary()), pa.nulls(len(key), pa.int64()), times)
-            if len(rare_gram):
-                doc, gram = np.searchsorted(doc_off, rare_gram, "right") - 1, of_byte[rare_gram]
+            doc, gram = (np.concatenate(x) for x in zip(*rare_gram))
+            if len(gram):
                 order = np.lexsort((gram, doc))
                 doc, gram = doc[order], gram[order]
                 first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (gram[1:] != gram[:-1])])

@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -348,6 +349,39 @@ def test_scores_use_the_whole_tree(spark, top_grams):
         assert got[i] == pytest.approx(want, abs=1e-7), t
 
 
+@pytest.mark.parametrize("size", [7, 64, 1 << 18])
+def test_grams_in_slices_equal_whole(monkeypatch, size):
+    """Slices of any length give the grams of the whole, texts that begin at, before or in a slice too."""
+    from leadtime.llm import context_tree
+
+    monkeypatch.setattr(context_tree, "SLICE_BYTES", size)
+    texts = ["a bc  def", "", " ", "x", "one longer text than a slice of sixty-four bytes, so that it begins in another", "yz"] * 3
+    raw = [t.encode() for t in texts]
+    data, doc_off = context_tree.stream(context_tree.Words(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])))
+    assert data.tobytes() == b"".join(b" ".join(r.split()) + b"\n" for r in raw)
+    got = list(context_tree.gram_slices(data, doc_off, 5))
+    assert [lo for lo, _ in got] == list(range(0, len(data), size))
+    assert np.array_equal(np.concatenate([g for _, g in got]), context_tree.grams(data, doc_off, 5))
+
+
+def test_memory_of_grams_is_bounded():
+    """Counting the grams of a text takes a fixed multiple of a slice beside a few bytes for each byte of the text."""
+    import tracemalloc
+
+    from leadtime.llm import context_tree
+
+    raw = np.frombuffer(b"some words of a text " * 200_000, np.uint8)
+    words = context_tree.Words(raw, np.array([0, len(raw)]))
+    tracemalloc.start()
+    tally = context_tree.Tally()
+    for _, part in context_tree.gram_slices(*context_tree.stream(words), 5):
+        tally.add(part)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert tally.rows()[1].sum() == len(raw)
+    assert peak < 20 * len(raw)
+
+
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
