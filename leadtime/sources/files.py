@@ -23,10 +23,15 @@ def discover(spark: SparkSession, folder: str, suffixes: str = SUFFIXES) -> Data
     return files.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"))
 
 
-def whole_files(spark: SparkSession, folder: str, suffixes: str = SUFFIXES) -> DataFrame:
-    """source_file (its path), all (its lines): a file is one row, so its header is found where it is read."""
+def whole_texts(spark: SparkSession, folder: str, suffixes: str = SUFFIXES) -> DataFrame:
+    """source_file (its path), text, with its lines ended by \\n: a file is one row, so its header is found where it is read."""
     raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", suffixes).text(folder, wholetext=True)
-    return raw.select(F.col("_metadata.file_path").alias("source_file"), F.split(F.regexp_replace("value", "\r\n?", "\n"), "\n").alias("all"))
+    return raw.select(F.col("_metadata.file_path").alias("source_file"), F.regexp_replace("value", "\r\n?", "\n").alias("text"))
+
+
+def whole_files(spark: SparkSession, folder: str, suffixes: str = SUFFIXES) -> DataFrame:
+    """source_file, all (its lines)."""
+    return whole_texts(spark, folder, suffixes).select("source_file", F.split("text", "\n").alias("all"))
 
 
 def lines(files: DataFrame, *carried: str) -> DataFrame:
@@ -99,23 +104,32 @@ def read_header_ascii(spark: SparkSession, folder: str, wanted: dict[str, str] |
         return F.split(F.trim(line), r"\s+")
 
     times_of = ("year", "doy", "millisecs")
-    head_no = first_line(lambda x: F.size(F.array_intersect(F.split(F.lower(F.trim(x)), r"\s+"), F.array(*map(F.lit, times_of)))) == len(times_of))
-    files = whole_files(spark, folder).withColumn("head_no", head_no).where("head_no is not null").withColumn("named", words(F.get("all", F.col("head_no") - 1)))
+    keys = [*times_of, *[k.lower() for k in wanted or ()]]
+    # The first such line ends the search, and what is above it isn't split into lines.
+    header = r"(?dim)^" + "".join(rf"(?=(?:.*\s)?{w}(?:\s|$))".replace(r"\s", r"[ \t\x0B\f]") for w in times_of) + ".*"
+    files = whole_texts(spark, folder).withColumn("cut", F.split("text", header, 2)).where(F.size("cut") == 2).withColumn("named", words(F.regexp_extract("text", header, 0)))
     files = files.withColumn("head", F.transform("named", lambda x: F.lower(x)))
     if wanted:
         files = complete(files, ~F.forall(F.array(*[F.lit(k.lower()) for k in wanted]), lambda k: F.array_contains("head", k)))
-    data = lines(files, "head_no", "head", "named").withColumn("words", words(F.col("value"))).where((F.col("line_no") >= F.col("head_no") + 2) & (F.size("words") <= F.size("head")))
+    above, below = F.get("cut", F.lit(0)), F.get("cut", F.lit(1))
+    places = F.array(*[(F.nullif(F.array_position("head", F.lit(k)), F.lit(0)) - 1).cast("int") for k in keys])
+    files = files.select("source_file", "named", (F.length(above) - F.length(F.replace(above, F.lit("\n"))) + 1).alias("head_no"), places.alias("places"), F.size("head").alias("width"), below.alias("below"))
+    # A line is split and timed where it is made, so that no filter does it again.
+    split = F.transform(F.split("below", "\n"), words)
+    cells = F.transform(split, lambda x: F.struct(x.alias("words"), F.transform(F.slice("places", 1, len(times_of)), lambda k: clean.number(F.get(x, k))).alias("at")))
+    rows = F.transform(cells, lambda x: F.struct(x["words"].alias("words"), times.from_day_of_year(*[F.get(x["at"], F.lit(i)) for i in range(len(times_of))]).alias("time")))
+    data = files.select("source_file", "named", "head_no", "places", "width", F.posexplode(rows).alias("below_head", "row")).select("*", "row.words", "row.time")
+    data = data.where((F.col("below_head") >= 2) & (F.size("words") <= F.col("width"))).withColumn("line_no", F.col("head_no") + F.col("below_head"))
 
     def cell(name: str) -> Column:
-        return F.get("words", (F.nullif(F.array_position("head", F.lit(name.lower())), F.lit(0)) - 1).cast("int"))
+        return F.get("words", F.get("places", F.lit(keys.index(name.lower()))))
 
-    at = times.from_day_of_year(*[clean.number(cell(c)) for c in times_of])
     if wanted:
         others = [cell(k).alias(v) for k, v in wanted.items()]
     else:
         pairs = F.transform("named", lambda name, i: F.struct(name.alias("key"), F.get("words", i).alias("value")))
         others = [F.map_from_entries(F.filter(pairs, lambda x: ~F.lower(x["key"]).isin(*times_of))).alias("cells")]
-    return data.select("source_file", "line_no", at.alias("time"), *others).where("time is not null")
+    return data.where("time is not null").select("source_file", "line_no", "time", *others)
 
 
 def read_preamble(spark: SparkSession, folder: str, skip: int, columns: list[str], keep_bad_times: bool = False) -> DataFrame:

@@ -93,3 +93,19 @@ def test_last_file_and_finished_tables(spark, tmp_path):
     path = f"{tmp_path}/t"
     assert files.write_if_incomplete(rows.where("k = 5"), path, ["k"]).count() == 3
     assert files.write_if_incomplete(rows, path, ["k"], 3).count() == 3 and files.write_if_incomplete(rows, path, ["k"], 4).count() == 4
+
+
+def test_a_header_line_is_split_once(spark, tmp_path):
+    """Lines with words in any case and order, blanks and tabs; line numbers; and no work on each line to find the header."""
+    body = "year doy\nxyear doy millisecs\n\n  Np MILLISECS Doy\tyear B \nunits year doy millisecs\n1 1000 2 2013 3.5\n\n\t\n1 0 3 2013\n1 0 3 2013 1 9\nyear doy millisecs\n2 0 4 2013 x"
+    (tmp_path / "a.txt").write_text(body)
+    (tmp_path / "b.txt").write_text(body.replace("\n", "\r\n"))
+    (tmp_path / "c.txt").write_text("year\ndoy millisecs\n1 2 3\n")
+    (tmp_path / "d.txt").write_text("year doy millisecs B\n-\n2013 1 0 7")
+    out = files.read_header_ascii(spark, str(tmp_path), {"b": "b"})
+    got = sorted((r.source_file[-5:], r.line_no, r.time, r.b) for r in out.collect())
+    day = dt.datetime(2013, 1, 1)
+    rows = [(6, day + dt.timedelta(days=1, seconds=1), "3.5"), (9, day + dt.timedelta(days=2), None), (12, day + dt.timedelta(days=3), "x")]
+    assert got == [(f, *r) for f in ("a.txt", "b.txt") for r in rows] + [("d.txt", 3, day, "7")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_intersect" not in plan and not any("split(" in x for x in plan.split("Generate")[0].splitlines())
