@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -107,14 +109,14 @@ def src_report(spark, sf_dir):
     return a.intersect(spark.read.schema(table.schema).json(f"{folder}/json"))
 
 
-def landed(spark, sf_dir, folder: str, files: int = 4) -> DataFrame:
-    """The events as files that land one after the other, in the order of their times, and a stream over them, a file at a time."""
+def drained(spark, sf_dir, folder: str, result: Callable[[DataFrame], DataFrame], mode: str, landings: int = 4) -> None:
+    """The events land in the order of their times, each landing as files of all tasks; after each, the stream drains what is new."""
     ev = s.table(spark, sf_dir, "events").select("event_id", "ts", "event_type", "value", F.concat(F.lit("f"), (F.col("event_id") % 5).cast("string")).alias("source_file"))
     first, last = F.lit(s.START).cast("timestamp_ntz"), F.lit(s.END).cast("timestamp_ntz")
-    part = F.greatest(F.lit(0), F.least(F.floor(F.timestamp_diff("HOUR", first, F.col("ts")) * files / F.timestamp_diff("HOUR", first, last)), F.lit(files - 1)))
-    for k in range(files):
-        ev.where(part == k).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    return spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    part = F.greatest(F.lit(0), F.least(F.floor(F.timestamp_diff("HOUR", first, F.col("ts")) * landings / F.timestamp_diff("HOUR", first, last)), F.lit(landings - 1)))
+    for k in range(landings):
+        ev.where(part == k).write.mode("append").parquet(f"{folder}/in")
+        streams.drain(result(spark.readStream.schema(ev.schema).parquet(f"{folder}/in")), folder, mode)
 
 
 def newest(spark, folder: str) -> DataFrame:
@@ -125,14 +127,14 @@ def newest(spark, folder: str) -> DataFrame:
 
 def stream_resample(spark, sf_dir):
     folder = shared_folder(spark, "stream")
-    streams.drain(streams.stream_resample(landed(spark, sf_dir, folder), "event_type", "ts", "value", "event_id"), folder, "append")
+    drained(spark, sf_dir, folder, lambda stream: streams.stream_resample(stream, "event_type", "ts", "value", "event_id"), "append")
     hour = F.floor((times.micros(F.col("start")) - times.micros(F.lit(s.START).cast("timestamp_ntz"))) / 3_600_000_000)
     return streams.resampled(spark, folder, "event_type", "value").select(F.col("event_type").alias("series"), hour.alias("h"), "value")
 
 
 def stream_file_audit(spark, sf_dir):
     folder = shared_folder(spark, "stream")
-    streams.drain(streams.stream_file_audit(landed(spark, sf_dir, folder), "value"), folder, "complete")
+    drained(spark, sf_dir, folder, lambda stream: streams.stream_file_audit(stream, "value"), "complete")
     return newest(spark, folder)
 
 

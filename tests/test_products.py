@@ -1,5 +1,6 @@
 """Streams that let state go, and products rebuilt day by day."""
 
+import datetime as dt
 import os
 import random
 
@@ -119,3 +120,19 @@ def test_a_failed_write_leaves_the_table(spark, tmp_path):
         files.write_if_incomplete(bad, path, ["x"])
     assert spark.read.parquet(path).count() == 3
     assert files.write_if_incomplete(spark.range(4), path, ["id"], 4).count() == 4
+
+
+def test_landings_are_written_by_all_tasks(spark, tmp_path):
+    """Each landing is as many files as tasks had rows, is drained before the next, and loses no row; rows without a time land too."""
+    from leadtime.plans import files as plans
+
+    sf_dir, folder = str(tmp_path / "sf"), str(tmp_path / "run")
+    start = dt.datetime(2024, 1, 1)
+    events = [(i, start + dt.timedelta(hours=i), "ab"[i % 2], float(i)) for i in range(720)] + [(720, None, "a", 1.0)]
+    spark.createDataFrame(events, "event_id long, ts timestamp_ntz, event_type string, value double").repartition(4).write.parquet(f"{sf_dir}/events.parquet")
+    plans.drained(spark, sf_dir, folder, lambda stream: resample.stream_file_audit(stream, "value"), "complete")
+    assert sum(r.n_rows for r in plans.newest(spark, folder).collect()) == 721
+    landed_files = spark.read.parquet(f"{folder}/in").groupBy(F.col("_metadata.file_path").alias("f")).agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).collect()
+    assert len(landed_files) > 4 and all(r.hi - r.lo < dt.timedelta(hours=180) for r in landed_files)
+    batches = {r.batch: r.n for r in spark.read.parquet(f"{folder}/out").groupBy("batch").agg(F.sum("n_rows").alias("n")).collect()}
+    assert sorted(batches.values()) == [180, 360, 540, 721]
